@@ -55,7 +55,7 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int,
     """
     groups = _cols(group_cols)
     order = _cols(order_cols)
-    salt_src = _cols(salt_cols) if salt_cols else order
+    salt_src = _cols(salt_cols) if salt_cols else [F.col(c) for c in df.columns]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_src), F.lit(salt_buckets)))
     w1 = Window.partitionBy(*groups, F.col("_salt")).orderBy(*order)
     first = (salted.withColumn("_r1", F.row_number().over(w1))

@@ -19,13 +19,14 @@ def _fields(c: Column) -> Column:
     return F.split(c, TAB, -1)
 
 
-def _check(df: DataFrame, n_fields: Column, need: int, mode: str) -> DataFrame:
-    """strict: fail on short lines (the reference raises IndexError);
-    permissive: keep them with a ``_corrupt_record`` column."""
-    short = n_fields < need
+def _check(df: DataFrame, fields: str, need: int, mode: str) -> DataFrame:
+    """strict: fail on lines with fewer than ``need`` fields (the reference
+    raises IndexError); permissive: keep them with a ``_corrupt_record`` column.
+    The check wraps the parsed fields, so it cannot be pruned away."""
+    short = F.size(fields) < need
     if mode == "strict":
-        return df.withColumn("value", F.when(short, F.raise_error(
-            F.concat(F.lit(f"line has fewer than {need} fields: "), F.col("value")))).otherwise(F.col("value")))
+        return df.withColumn(fields, F.when(short, F.raise_error(
+            F.concat(F.lit(f"line has fewer than {need} fields: "), F.col("value")))).otherwise(F.col(fields)))
     if mode == "permissive":
         return df.withColumn("_corrupt_record", F.when(short, F.col("value")))
     raise ValueError(mode)
@@ -37,10 +38,10 @@ def read_labelled_tsv(spark: SparkSession, path, header_lines: int = HEADER_LINE
     Fields come from the stripped line; the grade is the last field."""
     lines = indexed_lines(spark, path, header_lines)
     lines = lines.withColumn("_f", _fields(py_strip("value")))
-    lines = _check(lines, F.size("_f"), 5, mode)
+    lines = _check(lines, "_f", 5, mode)
     f = F.col("_f")
     grade = F.element_at(f, -1)
-    out = lines.select("row_idx", *[f[i].alias(n) for i, n in enumerate(("par_id", "art_id", "keyword", "country", "text"))],
+    out = lines.select("row_idx", *[F.get(f, i).alias(n) for i, n in enumerate(("par_id", "art_id", "keyword", "country", "text"))],
                        binarise(grade, strict_grades).alias("label"), grade.alias("orig_label"),
                        *(["_corrupt_record"] if mode == "permissive" else []))
     return out
@@ -56,10 +57,10 @@ def read_span_tsv(spark: SparkSession, path, header_lines: int = HEADER_LINES,
     s = _fields(py_strip("value"))
     r = _fields(F.col("value"))
     x = lines.select("row_idx", s.alias("s"), r.alias("r"), "value")
-    x = _check(x, F.size("s"), 7, "strict")
-    return x.select("row_idx", F.col("s")[0].alias("par_id"), F.col("s")[1].alias("art_id"),
-                    F.col("r")[2].alias("text"), F.col("r")[3].alias("keyword"), F.col("r")[4].alias("country"),
-                    F.col("r")[5].alias("start"), F.col("r")[6].alias("finish"), F.col("r")[7].alias("text_span"),
+    x = _check(x, "s", 7, "strict")
+    return x.select("row_idx", F.get(F.col("s"), 0).alias("par_id"), F.get(F.col("s"), 1).alias("art_id"),
+                    F.get(F.col("r"), 2).alias("text"), F.get(F.col("r"), 3).alias("keyword"), F.get(F.col("r"), 4).alias("country"),
+                    F.get(F.col("r"), 5).alias("start"), F.get(F.col("r"), 6).alias("finish"), F.get(F.col("r"), 7).alias("text_span"),
                     F.element_at("s", -2).alias("category"),
                     category_id(F.element_at("s", -2), categories).alias("category_id"),
                     F.element_at("s", -1).alias("num_annotators"))
@@ -69,7 +70,7 @@ def read_unlabelled_tsv(spark: SparkSession, path) -> DataFrame:
     """row_idx, par_id, art_id, keyword, country, text (no header lines)."""
     lines = indexed_lines(spark, path, 0).withColumn("_f", _fields(py_strip("value")))
     f = F.col("_f")
-    return lines.select("row_idx", *[f[i].alias(n) for i, n in enumerate(("par_id", "art_id", "keyword", "country", "text"))])
+    return lines.select("row_idx", *[F.get(f, i).alias(n) for i, n in enumerate(("par_id", "art_id", "keyword", "country", "text"))])
 
 
 def read_split_manifest(spark: SparkSession, path) -> DataFrame:
@@ -81,7 +82,7 @@ def read_split_manifest(spark: SparkSession, path) -> DataFrame:
 def read_prompt_pairs(spark: SparkSession, path) -> DataFrame:
     """row_idx, source, target: 'source<TAB>target' per stripped line."""
     lines = indexed_lines(spark, path, 0).withColumn("_f", _fields(py_strip("value")))
-    return lines.select("row_idx", F.col("_f")[0].alias("source"), F.col("_f")[1].alias("target"))
+    return lines.select("row_idx", F.get(F.col("_f"), 0).alias("source"), F.get(F.col("_f"), 1).alias("target"))
 
 
 def read_prompt_lines(spark: SparkSession, path) -> DataFrame:
@@ -97,5 +98,5 @@ def read_label_lines(spark: SparkSession, path) -> DataFrame:
 def read_label_pairs(spark: SparkSession, path) -> DataFrame:
     """row_idx, label: the label is field 0 of a one-field line, else field 1."""
     lines = indexed_lines(spark, path, 0).withColumn("_f", _fields(py_strip("value")))
-    lab = F.when(F.size("_f") == 1, F.col("_f")[0]).otherwise(F.col("_f")[1])
+    lab = F.when(F.size("_f") == 1, F.get(F.col("_f"), 0)).otherwise(F.get(F.col("_f"), 1))
     return lines.select("row_idx", lab.cast("int").alias("label"))
