@@ -145,3 +145,50 @@ def q_sink_aug(spark, d):
     aug = ag.augment_positives(_pos(spark, d), big)
     path = sk.write_augmented_tsv(aug, scratch_path(spark, "augment"), order=["m_idx", "round"])
     return rd.read_labelled_tsv(spark, path).select("row_idx", "par_id", "text", "orig_label", "label")
+
+
+# ---------------------------------------------------------------- candidate ranking
+
+from parlance.operators import candidates as cd  # noqa: E402
+from parlance.plans.fixtures import table  # noqa: E402
+
+
+def _cand_inputs(spark, d):
+    src = _pos(spark, d).select(F.col("par_id").alias("src_id"), "keyword", "text")
+    corpus = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("cand_id"),
+                                                 F.col("lang").alias("keyword"), "text")
+    return src, corpus
+
+
+CAND_CTES = (
+    f"SRC AS (SELECT par_id AS src_id, keyword, text, list_distinct({sql_tokens('lower(text)')}) AS sa FROM TR WHERE label = 1)",
+    f"CORP AS (SELECT CAST(doc_id AS VARCHAR) AS cand_id, lang AS keyword, text, list_distinct({sql_tokens('lower(text)')}) AS sb, "
+    f"{sql_tokens('lower(text)')} AS tb FROM documents)",
+    "BG2 AS (SELECT tb[i] AS a, tb[i + 1] AS b FROM (SELECT tb, unnest(range(1, len(tb))) AS i FROM CORP))",
+    "BC2 AS (SELECT a, b, count(*) AS c FROM BG2 GROUP BY ALL)",
+    f"ADQ AS (SELECT * FROM (SELECT src_id, cand_id, len(list_intersect(sa, sb)) / len(sa) AS adequacy FROM SRC JOIN CORP USING (keyword) "
+    f"WHERE cand_id <> src_id) WHERE adequacy >= {cd.ADEQUACY_MIN})",
+    "FL AS (SELECT cand_id, count(*) FILTER (WHERE c >= 2) / count(*) AS fluency FROM (SELECT cand_id, tb[i] AS a, tb[i + 1] AS b FROM ("
+    "SELECT cand_id, tb, unnest(range(1, len(tb))) AS i FROM CORP WHERE cand_id IN (SELECT cand_id FROM ADQ))) JOIN BC2 USING (a, b) "
+    "GROUP BY cand_id)",
+    f"V AS (SELECT ADQ.*, coalesce(FL.fluency, 0.0) AS fluency FROM ADQ LEFT JOIN FL USING (cand_id) "
+    f"WHERE coalesce(FL.fluency, 0.0) >= {cd.FLUENCY_MIN})",
+)
+
+
+@register("candidate_pairs", with_ctes(*BASE, *CAND_CTES, body="""
+SELECT src_id, cand_id, round(adequacy, 9) AS adequacy, round(fluency, 9) AS fluency FROM V"""))
+def q_candidate_pairs(spark, d):
+    src, corpus = _cand_inputs(spark, d)
+    r = cd.rank_candidates(src, corpus, k=1 << 30)
+    return r.select("src_id", "cand_id", F.round("adequacy", 9).alias("adequacy"), F.round("fluency", 9).alias("fluency"))
+
+
+@register("rank_candidates")
+def q_rank_candidates(spark, d):
+    """Rows-only in the driver: SQL engines at hand measure Levenshtein in
+    bytes, this one in characters; tests compare with a brute force."""
+    src, corpus = _cand_inputs(spark, d)
+    r = cd.rank_candidates(src, corpus)
+    return r.select("src_id", "rank", "cand_id", F.round("adequacy", 9).alias("adequacy"),
+                    F.round("fluency", 9).alias("fluency"), "distance")
