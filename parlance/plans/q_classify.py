@@ -168,3 +168,19 @@ def q_verbaliser(spark, d):
 @register("classify_ml")
 def q_classify_pipeline(spark, d):
     return cl.classify_ml(_train_down(spark, d), _split(spark, d, "dev"))
+
+
+@register("stream_batch_score", ORACLE_BATCH_SCORE := with_ctes(*BASE, U_SQL, DS_SQL,
+                                                              *nb_sql("TRD", "U", "NB1", doc_cols="row_idx"), body=f"""
+SELECT par_id, row_idx, round(score, {R6}) AS score, CAST(score > 0 AS INTEGER) AS pred FROM NB1SC"""))
+def q_stream_score(spark, d):
+    """batch_score over a file stream of the documents table (micro-batches
+    scored against a model table frozen in the shared folder)."""
+    from parlance.plans.fixtures import table
+    from parlance.streaming.scoring import freeze_model, score_stream
+    train = _train_down(spark, d)
+    model, prior = freeze_model(spark, cl.nb_word_scores(train), cl.nb_prior(train))
+    labelled = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("par_id"))
+    out = score_stream(spark, d, model, prior, exclude=labelled)
+    res = spark.read.parquet(out)
+    return res.select("par_id", "row_idx", F.round("score", R6).alias("score"), "pred")
