@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import PY_WS_RUN, lower_tokens
-from parlance.operators.scores import ensemble_vote, stack_models
+from parlance.operators.scores import ensemble_vote
+from parlance.plans.ordering import materialize
 
 
 def doc_terms(df: DataFrame, key: str = "par_id", text: str = "text", keep=()) -> DataFrame:
@@ -26,12 +27,11 @@ def doc_terms(df: DataFrame, key: str = "par_id", text: str = "text", keep=()) -
 def nb_word_scores(train: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """word, c1, c0, lo -- smoothed log-odds per word of the training rows."""
     w = train.select(F.col(label).alias("_y"), F.explode(lower_tokens(text)).alias("word"))
-    counts = w.groupBy("word").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("c1"),
-                                   F.count(F.when(F.col("_y") == 0, 1)).alias("c0"))
-    n1 = counts.select(F.sum("c1")).scalar()
-    n0 = counts.select(F.sum("c0")).scalar()
-    v = counts.select(F.count(F.lit(1))).scalar()
-    lo = F.log((F.col("c1") + 1) / (n1 + v)) - F.log((F.col("c0") + 1) / (n0 + v))
+    counts = materialize(w.groupBy("word").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("c1"),
+                                               F.count(F.when(F.col("_y") == 0, 1)).alias("c0")))
+    tot = counts.select(F.struct(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"),
+                                 F.count(F.lit(1)).alias("v"))).scalar()
+    lo = _log_odds(F.col("c1"), tot["n1"], F.col("c0"), tot["n0"], tot["v"])
     return counts.select("word", "c1", "c0", lo.alias("lo"))
 
 
@@ -56,50 +56,75 @@ def classify_binary(train: DataFrame, docs: DataFrame, key: str = "par_id", keep
     return nb_score(docs, model, nb_prior(train), key, keep=keep)
 
 
-def nb_multilabel_scores(train: DataFrame, num_classes: int, text: str = "text",
-                         label: str = "label") -> DataFrame:
-    """(class_id, word, lo) and per-class priors, one-vs-rest, all classes in
-    one (class, word) aggregate."""
-    w = train.select(F.posexplode(F.col(label)).alias("class_id", "_y"), F.col(text))
-    w = w.select("class_id", "_y", F.explode(lower_tokens(text)).alias("word"))
-    counts = w.groupBy("class_id", "word").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("c1"),
-                                               F.count(F.when(F.col("_y") == 0, 1)).alias("c0"))
-    tot = counts.groupBy("class_id").agg(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"))
-    v = counts.filter(F.col("class_id") == 0).select(F.count(F.lit(1))).scalar()
-    lo = F.log((F.col("c1") + 1) / (F.col("n1") + v)) - F.log((F.col("c0") + 1) / (F.col("n0") + v))
-    return counts.join(F.broadcast(tot), "class_id").select("class_id", "word", lo.alias("lo"))
+def _log_odds(c1, n1, c0, n0, v):
+    return F.log((c1 + 1) / (n1 + v)) - F.log((c0 + 1) / (n0 + v))
 
 
-def nb_multilabel_priors(train: DataFrame, label: str = "label") -> DataFrame:
-    x = train.select(F.posexplode(F.col(label)).alias("class_id", "_y"))
-    return x.groupBy("class_id").agg(
-        F.log((F.count(F.when(F.col("_y") == 1, 1)) + 1) / (F.count(F.when(F.col("_y") == 0, 1)) + 1)).alias("prior"))
+def nb_multilabel_model(train: DataFrame, num_classes: int, text: str = "text",
+                        label: str = "label") -> tuple[DataFrame, list]:
+    """(word, lo ARRAY<DOUBLE>) one-vs-rest for every class, and the class
+    priors.  One aggregate over words with a conditional sum per class: a
+    token is counted for class c when its document has label[c] = 1, and
+    c0 = all tokens of the word - c1."""
+    w = train.select(F.col(label).alias("_y"), F.explode(lower_tokens(text)).alias("word"))
+    counts = materialize(w.groupBy("word").agg(
+        F.count(F.lit(1)).alias("n"),
+        *[F.sum(F.element_at("_y", c + 1)).alias(f"c{c}") for c in range(num_classes)]))
+    tot = counts.select(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"),
+                                 *[F.sum(f"c{c}").alias(f"c{c}") for c in range(num_classes)])).scalar()
+    lo = [_log_odds(F.col(f"c{c}"), tot[f"c{c}"], F.col("n") - F.col(f"c{c}"), tot["n"] - tot[f"c{c}"], tot["v"])
+          for c in range(num_classes)]
+    model = counts.select("word", F.array(*lo).alias("lo"))
+    docs = train.select(F.col(label).alias("_y"))
+    pri = docs.select(F.struct(*[F.log((F.count(F.when(F.element_at("_y", c + 1) == 1, 1)) + 1)
+                                       / (F.count(F.when(F.element_at("_y", c + 1) == 0, 1)) + 1)).alias(f"p{c}")
+                                 for c in range(num_classes)])).scalar()
+    return model, [pri[f"p{c}"] for c in range(num_classes)]
+
+
+def score_arrays(docs: DataFrame, model: DataFrame, priors: list, key: str = "par_id") -> DataFrame:
+    """key, scores ARRAY<DOUBLE>: prior_c + sum tf * lo[c] for every class c,
+    one join of (doc, word, tf) with the model and one aggregate."""
+    width = len(priors)
+    terms = doc_terms(docs, key)
+    s = terms.join(model, "word").groupBy(key).agg(
+        *[F.sum(F.col("tf") * F.element_at("lo", c + 1)).alias(f"_s{c}") for c in range(width)])
+    j = docs.select(key).join(s, key, "left")
+    return j.select(key, F.array(*[priors[c] + F.coalesce(F.col(f"_s{c}"), F.lit(0.0))
+                                   for c in range(width)]).alias("scores"))
 
 
 def classify_multilabel(train: DataFrame, docs: DataFrame, num_classes: int, key: str = "par_id") -> DataFrame:
-    """key, pred ARRAY<INT> (width ``num_classes``) and the score per class."""
-    model = nb_multilabel_scores(train, num_classes)
-    priors = nb_multilabel_priors(train)
-    terms = doc_terms(docs, key)
-    s = terms.join(model, "word").groupBy(key, "class_id").agg(F.sum(F.col("tf") * F.col("lo")).alias("_s"))
-    wide = s.groupBy(key).agg(*[F.max(F.when(F.col("class_id") == c, F.col("_s"))).alias(f"_s{c}")
-                                for c in range(num_classes)])
-    pr = priors.groupBy().agg(*[F.max(F.when(F.col("class_id") == c, F.col("prior"))).alias(f"_p{c}")
-                                for c in range(num_classes)])
-    pcols = [pr.select(f"_p{c}").scalar() for c in range(num_classes)]
-    j = docs.select(key).join(wide, key, "left")
-    scores = [pcols[c] + F.coalesce(F.col(f"_s{c}"), F.lit(0.0)) for c in range(num_classes)]
-    return j.select(key, F.array(*scores).alias("scores"),
-                    F.array(*[(sc > 0).cast("int") for sc in scores]).alias("pred"))
+    """key, scores and pred ARRAY<INT> (width ``num_classes``, 1 when score > 0)."""
+    model, priors = nb_multilabel_model(train, num_classes)
+    s = score_arrays(docs, model, priors, key)
+    return s.withColumn("pred", F.transform("scores", lambda v: (v > 0).cast("int")))
 
 
 def seed_ensemble(samples: dict, docs: DataFrame, key: str = "par_id") -> DataFrame:
-    """One model per seed sample; logits [0, score]; softmax mean; argmax."""
-    tables = {}
-    for seed, train in samples.items():
-        scored = classify_binary(train, docs, key, keep=())
-        tables[seed] = scored.select(key, F.array(F.lit(0.0), F.col("score")).alias("logits"))
-    stacked = stack_models(tables, key)
+    """One binary model per seed sample, all trained in one aggregate (a
+    conditional sum per seed) and applied in one join; logits [0, score]
+    per seed; softmax mean; argmax."""
+    seeds = list(samples)
+    tagged = None
+    for i, (seed, train) in enumerate(samples.items()):
+        part = train.select(F.lit(i).alias("_m"), F.col("label").alias("_y"), "text")
+        tagged = part if tagged is None else tagged.unionByName(part)
+    w = tagged.select("_m", "_y", F.explode(lower_tokens("text")).alias("word"))
+    m = len(seeds)
+    counts = materialize(w.groupBy("word").agg(
+        *[F.count(F.when((F.col("_m") == i) & (F.col("_y") == y), 1)).alias(f"c{y}_{i}")
+          for i in range(m) for y in (0, 1)]))
+    tot = counts.select(F.struct(F.count(F.lit(1)).alias("v"),
+                                 *[F.sum(f"c{y}_{i}").alias(f"c{y}_{i}") for i in range(m) for y in (0, 1)])).scalar()
+    lo = [_log_odds(F.col(f"c1_{i}"), tot[f"c1_{i}"], F.col(f"c0_{i}"), tot[f"c0_{i}"], tot["v"]) for i in range(m)]
+    model = counts.select("word", F.array(*lo).alias("lo"))
+    pri = tagged.select(F.struct(*[F.log((F.count(F.when((F.col("_m") == i) & (F.col("_y") == 1), 1)) + 1)
+                                         / (F.count(F.when((F.col("_m") == i) & (F.col("_y") == 0), 1)) + 1)).alias(f"p{i}")
+                                   for i in range(m)])).scalar()
+    scored = score_arrays(docs, model, [pri[f"p{i}"] for i in range(m)], key)
+    stacked = scored.select(key, F.posexplode("scores").alias("model_id", "_s")) \
+                    .select(key, "model_id", F.array(F.lit(0.0), F.col("_s")).alias("logits"))
     return ensemble_vote(stacked, key, 2)
 
 

@@ -7,11 +7,11 @@ Corpus totals enter as scalar subqueries, never as cross joins.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import lower_tokens, token_count
-from parlance.plans.ordering import top_k_per_group
+from parlance.plans.ordering import materialize, top_k_per_group
 
 # Graded labels of the corpus.
 GRADES = ["0", "1", "2", "3", "4"]
@@ -130,7 +130,7 @@ def word_tokens(df: DataFrame, text: str = "text", keep=()) -> DataFrame:
 def word_frequency(df: DataFrame, text: str = "text") -> DataFrame:
     """word, n, freq = n / total tokens."""
     words = word_tokens(df, text)
-    counts = words.groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
     total = counts.select(F.sum("n")).scalar()
     return counts.select("word", "n", (F.col("n") / total).alias("freq"))
 
@@ -139,7 +139,7 @@ def vocab_summary(df: DataFrame, group: str, text: str = "text",
                   exact: bool = True) -> DataFrame:
     """Distinct words and total tokens overall (group NULL) and per group."""
     words = word_tokens(df, text, keep=(group,))
-    per = words.groupBy(group, "word").agg(F.count(F.lit(1)).alias("c"))
+    per = materialize(words.groupBy(group, "word").agg(F.count(F.lit(1)).alias("c")))
     by_group = per.groupBy(group).agg(F.count(F.lit(1)).alias("n_words"), F.sum("c").alias("n_tokens"))
     overall_words = per.groupBy("word").agg(F.sum("c").alias("c"))
     overall = overall_words.agg(F.count(F.lit(1)).alias("n_words"), F.sum("c").alias("n_tokens")) \
@@ -157,12 +157,14 @@ def pmi_top_words(df: DataFrame, group: str, label: str | None = "label", text:
     """
     keys = [label] if label else []
     words = word_tokens(df, text, keep=tuple(keys + [group]))
-    gw = words.groupBy(*keys, group, "word").agg(F.count(F.lit(1)).alias("c_gw"))
+    gw = materialize(words.groupBy(*keys, group, "word").agg(F.count(F.lit(1)).alias("c_gw")))
     w = gw.groupBy(*keys, "word").agg(F.sum("c_gw").alias("c_w"))
+    j = gw.join(w, keys + ["word"])
     g = gw.groupBy(*keys, group).agg(F.sum("c_gw").alias("t_g"))
     t = g.groupBy(*keys).agg(F.sum("t_g").alias("t"))
-    j = gw.join(w, keys + ["word"]).join(g, keys + [group]).join(t, keys) if keys else \
-        gw.join(w, "word").join(g, group).withColumn("t", g.select(F.sum("t_g")).scalar())
+    # g and t have one row per group / label: tiny, broadcast by AQE.
+    j = j.join(g, keys + [group]).join(t, keys) if keys else \
+        j.join(g, group).withColumn("t", g.select(F.sum("t_g")).scalar())
     pmi = F.log((F.col("c_gw") / F.col("t_g")) / (F.col("c_w") / F.col("t")))
     scored = j.select(*keys, group, "word", "c_gw", pmi.alias("pmi"))
     top = top_k_per_group(scored, keys + [group], [F.desc(F.round("pmi", 9)), F.asc("word")], k,

@@ -17,6 +17,15 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def materialize(df: DataFrame) -> DataFrame:
+    """Write an intermediate that several branches read (counts, models) to
+    the shared checkpoint folder once.  Without it each branch re-runs the
+    scan and tokenisation: column pruning makes the branches' aggregates
+    differ, so Spark cannot reuse the shuffle.  Reliable storage also cuts
+    the lineage, so a lost executor does not re-run the upstream work."""
+    return df.checkpoint(eager=True)
+
+
 def index_by_order(df: DataFrame, order_cols, out: str = "idx",
                    num_partitions: int | None = None) -> DataFrame:
     """Add a dense 0-based position ``out`` following ``order_cols``.
@@ -48,13 +57,22 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int,
                     salt_buckets: int = 32) -> DataFrame:
     """Rows ranked 1..k inside each group under ``order_cols`` (a total order).
 
-    Two rounds so a hot group is never sorted whole in one task: first the
-    top k inside (group, salt) sub-groups, then the top k of the at most
-    k * salt_buckets survivors.  Spark also applies a partial group limit
-    before each shuffle, so only k rows per group leave a map task.
+    For k up to Spark's group-limit threshold one window suffices: a partial
+    group limit runs in every map task before the shuffle, so at most k rows
+    per group and map task are shuffled and a hot group is never sorted whole.
+    Larger k runs two rounds: the top k inside (group, salt) sub-groups, then
+    the top k of the at most k * salt_buckets survivors.
     """
     groups = _cols(group_cols)
     order = _cols(order_cols)
+    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
+    if k <= limit:
+        # Spark plans a partial group limit before the shuffle: every map task
+        # forwards at most k rows per group, which is the pre-aggregation.
+        name = rank_col or "_rank"
+        out = df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
+        out = out.filter(F.col(name) <= k)
+        return out if rank_col else out.drop(name)
     salt_src = _cols(salt_cols) if salt_cols else [F.col(c) for c in df.columns]
     salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_src), F.lit(salt_buckets)))
     w1 = Window.partitionBy(*groups, F.col("_salt")).orderBy(*order)
