@@ -131,6 +131,7 @@ def seed_ensemble(samples: dict, docs: DataFrame, key: str = "par_id") -> DataFr
 def verbaliser_scores(word_scores: DataFrame, verbalizer: DataFrame, key: str) -> DataFrame:
     """(key, class_id, score): mean over a class's label words of the score at
     the mask.  ``word_scores`` is (key, word, score); ``verbalizer`` (class_id, word)."""
+    # The verbalizer has a few label words per class: broadcast is bounded.
     j = word_scores.join(F.broadcast(verbalizer), "word")
     return j.groupBy(key, "class_id").agg(F.avg("score").alias("score"))
 

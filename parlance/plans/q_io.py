@@ -133,3 +133,26 @@ def q_align(spark, d):
     preds = rd.read_label_lines(spark, path)
     gold = paragraphs(spark, d).select("par_id", "label", "row_idx")
     return sl.align_by_position(gold, ["row_idx"], preds, "row_idx").select("pos", "par_id", "label", "pred")
+
+
+@register("sink_text_label", with_ctes(P_SQL, body=f"""
+SELECT row_number() OVER (ORDER BY row_idx) - 1 AS row_idx, {sql_collapse('text')} AS text, CAST(label AS VARCHAR) AS label
+FROM P"""))
+def q_sink_text_label(spark, d):
+    path = sk.write_text_label(paragraphs(spark, d), scratch_path(spark, "sentences"))
+    from parlance.sources.lines import indexed_lines
+    f = F.split(F.col("value"), "\t", -1)
+    return indexed_lines(spark, path).select("row_idx", F.get(f, 0).alias("text"), F.get(f, 1).alias("label"))
+
+
+@register("sink_prompts", with_ctes(*BASE, body=f"""
+SELECT row_number() OVER (ORDER BY m_idx) - 1 AS row_idx,
+       {sql_collapse('text')} || ' </s> <mask> , this paragraph is ' || {PCL_SQL} || ' for ' || keyword || ' .' || chr(9) ||
+       {sql_collapse('text')} || ' </s> ' || CASE WHEN label = 1 THEN 'Yes' ELSE 'No' END || ' , this paragraph is '
+            || {PCL_SQL} || ' for ' || keyword || ' .' AS line
+FROM TR"""))
+def q_sink_prompts(spark, d):
+    p = pm.prompt_pair(_split(spark, d, "train"))
+    path = sk.write_prompts(p, scratch_path(spark, "prompt_file"), order=["m_idx"])
+    from parlance.sources.lines import indexed_lines
+    return indexed_lines(spark, path).select("row_idx", F.col("value").alias("line"))
