@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.plans.ordering import fetch_one
+
 SPAN_KEY = ("par_id", "art_id", "text", "keyword", "country")
 
 
@@ -32,9 +34,9 @@ def span_to_multihot(spans: DataFrame, num_classes: int, cid: str = "category_id
 
 def observed_classes(multihot: DataFrame, num_classes: int, label: str = "label") -> DataFrame:
     """Drop never-active columns, as a binarizer fitted without ``classes`` does."""
-    seen = multihot.select(F.array(*[F.max(F.element_at(label, c + 1)) for c in range(num_classes)])).scalar()
-    keep = F.filter(F.sequence(F.lit(0), F.lit(num_classes - 1)), lambda c: F.element_at(seen, c + 1) == 1)
-    return multihot.withColumn(label, F.transform(keep, lambda c: F.element_at(F.col(label), c + 1)))
+    seen = fetch_one(multihot, **{f"c{c}": F.max(F.element_at(label, c + 1)) for c in range(num_classes)})
+    keep = [c for c in range(num_classes) if seen[f"c{c}"] == 1]
+    return multihot.withColumn(label, F.array(*[F.element_at(F.col(label), c + 1) for c in keep]).cast("array<int>"))
 
 
 def span_to_ids(spans: DataFrame, num_classes: int, cid: str = "category_id", order: str = "row_idx",

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import PY_WS_RUN, lower_tokens
 from parlance.operators.scores import ensemble_vote
-from parlance.plans.ordering import materialize
+from parlance.plans.ordering import fetch_one, lit_long, materialize
 
 
 def doc_terms(df: DataFrame, key: str = "par_id", text: str = "text", keep=()) -> DataFrame:
@@ -29,16 +29,16 @@ def nb_word_scores(train: DataFrame, text: str = "text", label: str = "label") -
     w = train.select(F.col(label).alias("_y"), F.explode(lower_tokens(text)).alias("word"))
     counts = materialize(w.groupBy("word").agg(F.count(F.when(F.col("_y") == 1, 1)).alias("c1"),
                                                F.count(F.when(F.col("_y") == 0, 1)).alias("c0")))
-    tot = counts.select(F.struct(F.sum("c1").alias("n1"), F.sum("c0").alias("n0"),
-                                 F.count(F.lit(1)).alias("v"))).scalar()
-    lo = _log_odds(F.col("c1"), tot["n1"], F.col("c0"), tot["n0"], tot["v"])
+    tot = fetch_one(counts, n1=F.sum("c1"), n0=F.sum("c0"), v=F.count(F.lit(1)))
+    lo = _log_odds(F.col("c1"), lit_long(tot["n1"]), F.col("c0"), lit_long(tot["n0"]), lit_long(tot["v"]))
     return counts.select("word", "c1", "c0", lo.alias("lo"))
 
 
 def nb_prior(train: DataFrame, label: str = "label"):
     """Scalar column ln((N1+1)/(N0+1)) over training documents."""
-    return train.select(F.log((F.count(F.when(F.col(label) == 1, 1)) + 1)
-                              / (F.count(F.when(F.col(label) == 0, 1)) + 1))).scalar()
+    p = fetch_one(train, p=F.log((F.count(F.when(F.col(label) == 1, 1)) + 1)
+                                / (F.count(F.when(F.col(label) == 0, 1)) + 1)))["p"]
+    return F.lit(p)
 
 
 def nb_score(docs: DataFrame, model: DataFrame, prior, key: str = "par_id", text: str = "text",
@@ -70,16 +70,17 @@ def nb_multilabel_model(train: DataFrame, num_classes: int, text: str = "text",
     counts = materialize(w.groupBy("word").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.sum(F.element_at("_y", c + 1)).alias(f"c{c}") for c in range(num_classes)]))
-    tot = counts.select(F.struct(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v"),
-                                 *[F.sum(f"c{c}").alias(f"c{c}") for c in range(num_classes)])).scalar()
-    lo = [_log_odds(F.col(f"c{c}"), tot[f"c{c}"], F.col("n") - F.col(f"c{c}"), tot["n"] - tot[f"c{c}"], tot["v"])
+    tot = fetch_one(counts, n=F.sum("n"), v=F.count(F.lit(1)),
+                    **{f"c{c}": F.sum(f"c{c}") for c in range(num_classes)})
+    lo = [_log_odds(F.col(f"c{c}"), lit_long(tot[f"c{c}"]), F.col("n") - F.col(f"c{c}"),
+                    lit_long(tot["n"] - tot[f"c{c}"]), lit_long(tot["v"]))
           for c in range(num_classes)]
     model = counts.select("word", F.array(*lo).alias("lo"))
     docs = train.select(F.col(label).alias("_y"))
-    pri = docs.select(F.struct(*[F.log((F.count(F.when(F.element_at("_y", c + 1) == 1, 1)) + 1)
-                                       / (F.count(F.when(F.element_at("_y", c + 1) == 0, 1)) + 1)).alias(f"p{c}")
-                                 for c in range(num_classes)])).scalar()
-    return model, [pri[f"p{c}"] for c in range(num_classes)]
+    pri = fetch_one(docs, **{f"p{c}": F.log((F.count(F.when(F.element_at("_y", c + 1) == 1, 1)) + 1)
+                                            / (F.count(F.when(F.element_at("_y", c + 1) == 0, 1)) + 1))
+                             for c in range(num_classes)})
+    return model, [F.lit(pri[f"p{c}"]) for c in range(num_classes)]
 
 
 def score_arrays(docs: DataFrame, model: DataFrame, priors: list, key: str = "par_id") -> DataFrame:
@@ -115,14 +116,15 @@ def seed_ensemble(samples: dict, docs: DataFrame, key: str = "par_id") -> DataFr
     counts = materialize(w.groupBy("word").agg(
         *[F.count(F.when((F.col("_m") == i) & (F.col("_y") == y), 1)).alias(f"c{y}_{i}")
           for i in range(m) for y in (0, 1)]))
-    tot = counts.select(F.struct(F.count(F.lit(1)).alias("v"),
-                                 *[F.sum(f"c{y}_{i}").alias(f"c{y}_{i}") for i in range(m) for y in (0, 1)])).scalar()
-    lo = [_log_odds(F.col(f"c1_{i}"), tot[f"c1_{i}"], F.col(f"c0_{i}"), tot[f"c0_{i}"], tot["v"]) for i in range(m)]
+    tot = fetch_one(counts, v=F.count(F.lit(1)),
+                    **{f"c{y}_{i}": F.sum(f"c{y}_{i}") for i in range(m) for y in (0, 1)})
+    lo = [_log_odds(F.col(f"c1_{i}"), lit_long(tot[f"c1_{i}"]), F.col(f"c0_{i}"), lit_long(tot[f"c0_{i}"]),
+                    lit_long(tot["v"])) for i in range(m)]
     model = counts.select("word", F.array(*lo).alias("lo"))
-    pri = tagged.select(F.struct(*[F.log((F.count(F.when((F.col("_m") == i) & (F.col("_y") == 1), 1)) + 1)
-                                         / (F.count(F.when((F.col("_m") == i) & (F.col("_y") == 0), 1)) + 1)).alias(f"p{i}")
-                                   for i in range(m)])).scalar()
-    scored = score_arrays(docs, model, [pri[f"p{i}"] for i in range(m)], key)
+    pri = fetch_one(tagged, **{f"p{i}": F.log((F.count(F.when((F.col("_m") == i) & (F.col("_y") == 1), 1)) + 1)
+                                              / (F.count(F.when((F.col("_m") == i) & (F.col("_y") == 0), 1)) + 1))
+                               for i in range(m)})
+    scored = score_arrays(docs, model, [F.lit(pri[f"p{i}"]) for i in range(m)], key)
     stacked = scored.select(key, F.posexplode("scores").alias("model_id", "_s")) \
                     .select(key, "model_id", F.array(F.lit(0.0), F.col("_s")).alias("logits"))
     return ensemble_vote(stacked, key, 2)
@@ -143,8 +145,8 @@ def classify_ml(train: DataFrame, docs: DataFrame, num_features: int = 1 << 18,
     from pyspark.ml.classification import LogisticRegression
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
 
-    n = train.select(F.count(F.lit(1))).scalar()
-    npos = train.select(F.count(F.when(F.col("label") == 1, 1))).scalar()
+    c = fetch_one(train, n=F.count(F.lit(1)), npos=F.count(F.when(F.col("label") == 1, 1)))
+    n, npos = c["n"], c["npos"]
     w = F.when(F.col("label") == 1, n / (2 * npos)).otherwise(n / (2 * (n - npos)))
     tr = train.select("text", F.col("label").cast("double").alias("label"), w.alias("w"))
     pipe = Pipeline(stages=[

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parlance.plans.ordering import fetch_one, lit_long
+
 
 def _ratio(num: Column, den: Column) -> Column:
     return F.when(den == 0, F.lit(0.0)).otherwise(num.cast("double") / den)
@@ -78,9 +80,8 @@ def prediction_distribution(df: DataFrame, pred: str = "pred") -> DataFrame:
 def balanced_class_weights(df: DataFrame, label: str = "label") -> DataFrame:
     """n_samples / (n_classes * n_c), as scikit-learn's 'balanced'."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.select(F.sum("n")).scalar()
-    k = counts.select(F.count(F.lit(1))).scalar()
-    return counts.select(label, "n", (total / (k * F.col("n"))).alias("weight"))
+    c = fetch_one(counts, total=F.sum("n"), k=F.count(F.lit(1)))
+    return counts.select(label, "n", (lit_long(c["total"]) / (lit_long(c["k"]) * F.col("n"))).alias("weight"))
 
 
 def split_sizes(parts: dict, label: str = "label") -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.text import lower_tokens, token_count
-from parlance.plans.ordering import materialize, top_k_per_group
+from parlance.plans.ordering import fetch_one, lit_long, materialize, top_k_per_group
 
 # Graded labels of the corpus.
 GRADES = ["0", "1", "2", "3", "4"]
@@ -90,10 +90,9 @@ def length_histogram(df: DataFrame, n: str = "n_tokens", bins: int = HIST_BINS)
     """``plt.hist(x, bins)``: equal bins from min to max; last bin closed.
     A zero-width range becomes [v-0.5, v+0.5] as NumPy does."""
     spark = df.sparkSession
-    lo0 = df.select(F.min(n)).scalar()
-    hi0 = df.select(F.max(n)).scalar()
-    lo = F.when(lo0 == hi0, lo0 - 0.5).otherwise(lo0.cast("double"))
-    hi = F.when(lo0 == hi0, hi0 + 0.5).otherwise(hi0.cast("double"))
+    r = fetch_one(df, lo=F.min(n), hi=F.max(n))
+    lo_v, hi_v = (r["lo"] - 0.5, r["hi"] + 0.5) if r["lo"] == r["hi"] else (float(r["lo"]), float(r["hi"]))
+    lo, hi = F.lit(lo_v), F.lit(hi_v)
     width = (hi - lo) / bins
     b = F.least(F.floor((F.col(n) - lo) / width), F.lit(bins - 1)).cast("int")
     counts = df.groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
@@ -131,7 +130,7 @@ def word_frequency(df: DataFrame, text: str = "text") -> DataFrame:
     """word, n, freq = n / total tokens."""
     words = word_tokens(df, text)
     counts = materialize(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")))
-    total = counts.select(F.sum("n")).scalar()
+    total = lit_long(fetch_one(counts, t=F.sum("n"))["t"])
     return counts.select("word", "n", (F.col("n") / total).alias("freq"))
 
 
@@ -164,7 +163,7 @@ def pmi_top_words(df: DataFrame, group: str, label: str | None = "label", text:
     t = g.groupBy(*keys).agg(F.sum("t_g").alias("t"))
     # g and t have one row per group / label: tiny, broadcast by AQE.
     j = j.join(g, keys + [group]).join(t, keys) if keys else \
-        j.join(g, group).withColumn("t", g.select(F.sum("t_g")).scalar())
+        j.join(g, group).withColumn("t", lit_long(fetch_one(g, t=F.sum("t_g"))["t"]))
     pmi = F.log((F.col("c_gw") / F.col("t_g")) / (F.col("c_w") / F.col("t")))
     scored = j.select(*keys, group, "word", "c_gw", pmi.alias("pmi"))
     top = top_k_per_group(scored, keys + [group], [F.desc(F.round("pmi", 9)), F.asc("word")], k,

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.hashing import h32, pick
 from parlance.operators.labels import any_category
-from parlance.plans.ordering import index_by_order, top_k_per_group
+from parlance.plans.ordering import fetch_one, index_by_order, lit_long, top_k_per_group
 
 # Defaults of the reference.
 FINE_TUNE_RATIO = 2
@@ -32,8 +32,8 @@ def downsample_negatives(df: DataFrame, ratio: float = FINE_TUNE_RATIO, label: s
                          order: str = "row_idx") -> DataFrame:
     """All positives plus the first ratio * n_pos negatives in row order."""
     pos = df.filter(F.col(label) == 1)
-    npos = pos.select(F.count(F.lit(1))).scalar()
-    neg = first_n(df.filter(F.col(label) == 0), npos * ratio, order)
+    npos = fetch_one(pos, n=F.count(F.lit(1)))["n"]
+    neg = first_n(df.filter(F.col(label) == 0), lit_long(npos) * ratio, order)
     return pos.unionByName(neg)
 
 
@@ -43,7 +43,7 @@ def downsample_multilabel(df: DataFrame, ratio: float = MULTILABEL_RATIO, label:
     rows with none."""
     flag = any_category(label)
     some = df.filter(flag)
-    n_any = some.select(F.count(F.lit(1))).scalar()
+    n_any = lit_long(fetch_one(some, n=F.count(F.lit(1)))["n"])
     k = F.bround((n_any * F.lit(ratio)).cast("decimal(20,4)"), 0)
     none = first_n(df.filter(~flag), k, order)
     return some.unionByName(none)
@@ -69,7 +69,7 @@ def attach_demonstrations(df: DataFrame, pool: DataFrame, seed: int = 42, key: s
     out = df
     for side, cls in (("pos", 1), ("neg", 0)):
         p = pool.filter(F.col(label) == cls).select(order, *cols)
-        n = p.select(F.count(F.lit(1))).scalar()
+        n = lit_long(fetch_one(p, n=F.count(F.lit(1)))["n"])
         numbered = number_rows(p, order, f"_{side}_k").select(
             f"_{side}_k", *[F.col(c).alias(f"{side}_{c}") for c in cols])
         out = out.withColumn(f"_{side}_k", pick(n, F.col(key), seed, side)) \

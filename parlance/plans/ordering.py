@@ -17,6 +17,22 @@ def _cols(cols) -> list[Column]:
     return [F.col(c) if isinstance(c, str) else c for c in cols]
 
 
+def fetch_one(df: DataFrame, **aggs) -> dict:
+    """Evaluate several one-row aggregates in one job; return Python values.
+
+    The row has a fixed size (one value per aggregate), so nothing that
+    grows with the data reaches the driver.  The values then enter plans as
+    literals: a scalar subquery referenced from several expressions is
+    planned once per reference, each re-running its whole input.
+    """
+    return df.agg(*[c.alias(k) for k, c in aggs.items()]).first().asDict()
+
+
+def lit_long(v) -> Column:
+    """A fetched count as a BIGINT literal (sums of counts must not overflow INT)."""
+    return F.lit(v).cast("bigint")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write an intermediate that several branches read (counts, models) to
     the shared checkpoint folder once.  Without it each branch re-runs the
