@@ -102,27 +102,37 @@ def classify_multilabel(train: DataFrame, docs: DataFrame, num_classes: int, key
     return s.withColumn("pred", F.transform("scores", lambda v: (v > 0).cast("int")))
 
 
-def seed_ensemble(samples: dict, docs: DataFrame, key: str = "par_id") -> DataFrame:
-    """One binary model per seed sample, all trained in one aggregate (a
-    conditional sum per seed) and applied in one join; logits [0, score]
-    per seed; softmax mean; argmax."""
-    seeds = list(samples)
-    tagged = None
-    for i, (seed, train) in enumerate(samples.items()):
-        part = train.select(F.lit(i).alias("_m"), F.col("label").alias("_y"), "text")
-        tagged = part if tagged is None else tagged.unionByName(part)
-    w = tagged.select("_m", "_y", F.explode(lower_tokens("text")).alias("word"))
+def seed_ensemble(train: DataFrame, docs: DataFrame, seeds, n_per_label: int, key: str = "par_id") -> DataFrame:
+    """One binary model per seeded few-shot sample of ``train``, all trained
+    in one aggregate and applied in one join; logits [0, score] per seed;
+    softmax mean; argmax.
+
+    Samples are drawn on (key, label) only and folded into a membership
+    list per document (at most one entry per seed), so every training text
+    is tokenised once whatever the number of seeds.
+    """
+    from parlance.operators.sampling import few_shot_sample
+
+    ids = train.select(key, "label")
+    member = None
+    for i, seed in enumerate(seeds):
+        part = few_shot_sample(ids, n_per_label, seed=seed, key=key).select(key, F.lit(i).alias("_m"))
+        member = part if member is None else member.unionByName(part)
+    member = materialize(member.groupBy(key).agg(F.collect_set("_m").alias("_ms")))
+    tagged = train.select(key, F.col("label").alias("_y"), "text").join(member, key)
+    w = tagged.select("_ms", "_y", F.explode(lower_tokens("text")).alias("word"))
     m = len(seeds)
     counts = materialize(w.groupBy("word").agg(
-        *[F.count(F.when((F.col("_m") == i) & (F.col("_y") == y), 1)).alias(f"c{y}_{i}")
+        *[F.count(F.when(F.array_contains("_ms", i) & (F.col("_y") == y), 1)).alias(f"c{y}_{i}")
           for i in range(m) for y in (0, 1)]))
     tot = fetch_one(counts, v=F.count(F.lit(1)),
                     **{f"c{y}_{i}": F.sum(f"c{y}_{i}") for i in range(m) for y in (0, 1)})
     lo = [_log_odds(F.col(f"c1_{i}"), lit_long(tot[f"c1_{i}"]), F.col(f"c0_{i}"), lit_long(tot[f"c0_{i}"]),
                     lit_long(tot["v"])) for i in range(m)]
     model = counts.select("word", F.array(*lo).alias("lo"))
-    pri = fetch_one(tagged, **{f"p{i}": F.log((F.count(F.when((F.col("_m") == i) & (F.col("_y") == 1), 1)) + 1)
-                                              / (F.count(F.when((F.col("_m") == i) & (F.col("_y") == 0), 1)) + 1))
+    labels = member.join(ids, key)
+    pri = fetch_one(labels, **{f"p{i}": F.log((F.count(F.when(F.array_contains("_ms", i) & (F.col("label") == 1), 1)) + 1)
+                                              / (F.count(F.when(F.array_contains("_ms", i) & (F.col("label") == 0), 1)) + 1))
                                for i in range(m)})
     scored = score_arrays(docs, model, [F.lit(pri[f"p{i}"]) for i in range(m)], key)
     stacked = scored.select(key, F.posexplode("scores").alias("model_id", "_s")) \

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parlance.functions.text import lower_tokens
-from parlance.plans.ordering import fetch_one, index_by_order
+from parlance.plans.ordering import fetch_one, index_by_order, materialize
 
 # Reserved ids.
 PAD, BEGIN, END, UNKNOWN = 0, 1, 2, 3
@@ -46,7 +46,8 @@ def encode_pad(docs: DataFrame, vocab: DataFrame, key: str = "par_id", text: str
     full = docs.select(key).join(seqs, key, "left")
     body = F.coalesce(F.transform("_s", lambda s: s["id"]), F.array().cast("array<int>"))
     seq = F.concat(F.array(F.lit(BEGIN)), body, F.array(F.lit(END)))
-    full = full.select(key, seq.alias("_q"))
+    # Sequences are at most max_len ints: write them once, then read twice.
+    full = materialize(full.select(key, seq.alias("_q")))
     width = F.lit(fetch_one(full, w=F.max(F.size("_q")))["w"])
     pad = F.array_repeat(F.lit(PAD), width - F.size("_q"))
     return full.select(key, F.concat("_q", pad).alias("input_ids"),

@@ -41,8 +41,10 @@ DS_SQL = f"TRD AS (SELECT * FROM TR WHERE par_id IN (SELECT par_id FROM ({_downs
 
 
 def _train_down(spark, d):
+    """The downsampled train split, written once: training, priors and
+    the class counts all read it."""
     tr = _split(spark, d, "train")
-    return sp.downsample_negatives(tr, sp.FINE_TUNE_RATIO, order="m_idx")
+    return materialize(sp.downsample_negatives(tr, sp.FINE_TUNE_RATIO, order="m_idx"))
 
 
 @register("nb_word_scores", with_ctes(*BASE, DS_SQL, *nb_sql("TRD", "DV", "NB1"), body=f"""
@@ -80,8 +82,8 @@ def q_classify_eval(spark, d):
 @register("batch_score", with_ctes(*BASE, U_SQL, DS_SQL, *nb_sql("TRD", "U", "NB1", doc_cols="row_idx"), body=f"""
 SELECT par_id, row_idx, round(score, {R6}) AS score, CAST(score > 0 AS INTEGER) AS pred FROM NB1SC"""))
 def q_batch_score(spark, d):
-    out = cl.nb_score(unlabelled(spark, d), cl.nb_word_scores(_train_down(spark, d)),
-                      cl.nb_prior(_train_down(spark, d)), keep=("row_idx",))
+    train = _train_down(spark, d)
+    out = cl.nb_score(unlabelled(spark, d), cl.nb_word_scores(train), cl.nb_prior(train), keep=("row_idx",))
     return out.select("par_id", "row_idx", F.round("score", R6).alias("score"), "pred")
 
 
@@ -115,7 +117,7 @@ SELECT par_id, array_to_string(list_transform(any_value(label), lambda v: CAST(v
 FROM MSC GROUP BY par_id"""))
 def q_classify_ml(spark, d):
     m = manifest(spark, d)
-    tr = sl.rebuild_split_multilabel(paragraphs(spark, d), m.filter(F.col("split") == "train"))
+    tr = materialize(sl.rebuild_split_multilabel(paragraphs(spark, d), m.filter(F.col("split") == "train")))
     dv = sl.rebuild_split_multilabel(paragraphs(spark, d), m.filter(F.col("split") == "dev"))
     out = cl.classify_multilabel(tr, dv, NUM_CATEGORIES)
     return out.join(dv.select("par_id", "label"), "par_id").select(
@@ -141,11 +143,9 @@ def _ens_sql():
 @register("seed_ensemble", with_ctes(*BASE, *_ens_sql(), body="""
 SELECT par_id, label, n_models, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS pred FROM EP"""))
 def q_seed_ensemble(spark, d):
-    # Five samples read the rebuilt train split: write it once.
-    tr = materialize(_split(spark, d, "train").select("par_id", "label", "text"))
+    tr = _split(spark, d, "train").select("par_id", "label", "text")
     dv = _split(spark, d, "dev")
-    samples = {s: sp.few_shot_sample(tr, sp.FEW_SHOT_PER_LABEL, seed=s) for s in sp.SEEDS}
-    v = cl.seed_ensemble(samples, dv)
+    v = cl.seed_ensemble(tr, dv, sp.SEEDS, sp.FEW_SHOT_PER_LABEL)
     return v.join(dv.select("par_id", "label"), "par_id").select("par_id", "label", "n_models", "pred")
 
 
