@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from parlance.session import shared_dir
+
 _LOW33 = (1 << 33) - 1
 
 
@@ -39,6 +41,7 @@ def materialize(df: DataFrame) -> DataFrame:
     scan and tokenisation: column pruning makes the branches' aggregates
     differ, so Spark cannot reuse the shuffle.  Reliable storage also cuts
     the lineage, so a lost executor does not re-run the upstream work."""
+    shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
@@ -53,6 +56,7 @@ def index_by_order(df: DataFrame, order_cols, out: str = "idx",
     ``order_cols`` must be a total order for the result to be unique.
     """
     spark = df.sparkSession
+    shared_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _cols(order_cols)
     ranged = (df.repartitionByRange(n, *order)
