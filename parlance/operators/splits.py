@@ -28,7 +28,8 @@ def rebuild_split(corpus: DataFrame, manifest: DataFrame, cols=SLIM, key: str =
     """
     # Only rows whose id is in the manifest are shuffled; the semi-join's
     # partitioning by id is reused by the aggregate and the final join.
-    wanted = corpus.join(manifest.select(key), key, "left_semi")
+    # distinct() combines repeated manifest ids map-side first.
+    wanted = corpus.join(manifest.select(key).distinct(), key, "left_semi")
     first = first_per_id(wanted, cols, key, order)
     how = "inner" if on_missing == "drop" else "left"
     j = manifest.select(*manifest_cols).join(first, key, how)
@@ -41,7 +42,7 @@ def rebuild_split(corpus: DataFrame, manifest: DataFrame, cols=SLIM, key: str =
 def rebuild_split_multilabel(corpus: DataFrame, manifest: DataFrame, key: str = "par_id",
                              order: str = "row_idx") -> DataFrame:
     """Text from the corpus, label from the manifest ("[..]" -> ARRAY<INT>)."""
-    first = first_per_id(corpus.join(manifest.select(key), key, "left_semi"), ["text"], key, order)
+    first = first_per_id(corpus.join(manifest.select(key).distinct(), key, "left_semi"), ["text"], key, order)
     m = manifest.select("m_idx", key, parse_category_list("label").alias("label"))
     return m.join(first, key, "left").select("m_idx", key, F.col("_r.text").alias("text"), "label")
 
