@@ -144,3 +144,14 @@ SELECT par_id, list_sum(CAST(label AS INTEGER[])) > 0 AS has_any FROM M"""))
 def q_any_cat(spark, d):
     m = manifest(spark, d)
     return m.select("par_id", lb.any_category(lb.parse_category_list("label")).alias("has_any"))
+
+
+@register("span_to_multihot_observed", with_ctes(S_SQL, SC_SQL, f"""
+V AS (SELECT {_KEYS}, {_flags_sql()} AS v FROM SC GROUP BY {_KEYS})""", f"""
+MX AS (SELECT [{", ".join(f"max(v[{c + 1}])" for c in range(NUM_CATEGORIES))}] AS mx FROM V)""", f"""
+O AS (SELECT list_filter(range(0, {NUM_CATEGORIES}), lambda c: mx[c + 1] = 1) AS keep FROM MX)""", body=f"""
+SELECT {_KEYS}, array_to_string(list_transform(keep, lambda c: CAST(v[c + 1] AS VARCHAR)), ',') AS label FROM V, O"""))
+def q_multihot_observed(spark, d):
+    """One-hot width from the classes present (a binarizer fitted without a class list)."""
+    m = cat.span_to_multihot(_span_ids(spark, d), NUM_CATEGORIES).drop("n_spans")
+    return cat.observed_classes(m, NUM_CATEGORIES).withColumn("label", lb.render_ints("label"))

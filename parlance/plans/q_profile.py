@@ -214,3 +214,10 @@ def q_pmi_kw(spark, d):
 @register("pmi_top_words_country", _pmi_sql("country"))
 def q_pmi_co(spark, d):
     return _pmi(spark, d, "country")
+
+
+@register("filter_short_text", with_ctes(P_SQL, PT, body="""
+SELECT par_id, n_tokens, label FROM PT WHERE NOT (n_tokens > 63)"""))
+def q_filter_short(spark, d):
+    p = lb.filter_long_text(paragraphs(spark, d), long=False)
+    return p.select("par_id", token_count("text").alias("n_tokens"), "label")

@@ -207,3 +207,11 @@ def q_leaderboard(spark, d):
     names = bc.select(rn.run_name(F.lit("events"), F.col("run"), F.lit("1e-05"), F.col("best_epoch"),
                                   F.col("best_f1"), F.col("best_precision"), F.col("best_recall")).alias("name"))
     return rn.leaderboard(names)
+
+
+@register("focal_loss_rows", with_ctes(L_SQL, body=f"""
+SELECT vec_id, round(-{FOCAL_ALPHA} * pow(1 - exp({LOGP}), 2.0) * {LOGP}, {R9}) AS loss FROM L"""))
+def q_focal_rows(spark, d):
+    lg = logits(spark, d).select("vec_id", "gold", F.col("m0").alias("logits"))
+    rows = sc.reduce_loss(sc.focal_loss_rows(lg, FOCAL_ALPHA, 2.0), "none")
+    return rows.select("vec_id", F.round("loss", R9).alias("loss"))
