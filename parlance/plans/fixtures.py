@@ -27,9 +27,11 @@ TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page
 
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Hash-partition a scan that has fewer splits than the cluster has task
-    slots (a single large row group reads as one task).  Opt-in: measured on
-    the local fixtures the extra shuffle costs more than it saves, and
-    cluster-scale inputs already come in many splits."""
+    slots (a single large row group reads as one task).  Call it on a file
+    scan only: its partition count comes from file listing, while asking an
+    adaptive plan for its partitions can execute upstream stages.  Opt-in per
+    query: it pays off where per-text work dominates (tokenising for
+    profiles) and costs more than it saves in join-heavy plans."""
     slots = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= slots:
         return df
@@ -44,9 +46,13 @@ def _grade(df: DataFrame):
     return (2 * F.col("toxic") + (1 - F.col("quality"))).cast("string")
 
 
-def paragraphs(spark: SparkSession, d: str, with_quality: bool = False) -> DataFrame:
-    """Labelled paragraphs: row_idx, par_id, art_id, keyword, country, text, orig_label, label."""
+def paragraphs(spark: SparkSession, d: str, with_quality: bool = False, spread_text: bool = False) -> DataFrame:
+    """Labelled paragraphs: row_idx, par_id, art_id, keyword, country, text, orig_label, label.
+    ``spread_text`` spreads a coarsely split documents scan over all task slots
+    (used by the token-heavy profiling queries; a no-op on finely split input)."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
+    if spread_text:
+        docs = spread(docs, "doc_id")
     labels = table(spark, d, "labels")
     j = docs.join(labels, "doc_id")
     cols = [F.col("doc_id").alias("row_idx"),

@@ -14,7 +14,7 @@ PT = f"""PT AS (SELECT *, {sql_token_count('text')} AS n_tokens FROM P)"""
 
 
 def _pt(spark, d):
-    return pr.with_token_count(paragraphs(spark, d))
+    return pr.with_token_count(paragraphs(spark, d, spread_text=True))
 
 
 @register("binarise_label", with_ctes(P_SQL, body="""
@@ -111,7 +111,7 @@ def q_token_count(spark, d):
 @register("lower_tokens", with_ctes(P_SQL, body=f"""
 SELECT par_id, array_to_string({sql_tokens('lower(text)')}, ' ') AS tokens FROM P"""))
 def q_lower_tokens(spark, d):
-    return paragraphs(spark, d).select("par_id", F.array_join(lower_tokens("text"), " ").alias("tokens"))
+    return paragraphs(spark, d, spread_text=True).select("par_id", F.array_join(lower_tokens("text"), " ").alias("tokens"))
 
 
 @register("token_length_stats", with_ctes(P_SQL, PT, body="""
@@ -178,14 +178,14 @@ W_SQL = f"""W AS (SELECT label, keyword, country, unnest({sql_tokens('lower(text
 @register("word_frequency", with_ctes(P_SQL, W_SQL, body="""
 SELECT word, count(*) AS n, count(*) / (SELECT count(*) FROM W) AS freq FROM W GROUP BY word"""))
 def q_word_freq(spark, d):
-    return pr.word_frequency(paragraphs(spark, d))
+    return pr.word_frequency(paragraphs(spark, d, spread_text=True))
 
 
 @register("vocab_summary", with_ctes(P_SQL, W_SQL, body="""
 SELECT keyword, count(DISTINCT word) AS n_words, CAST(count(*) AS BIGINT) AS n_tokens
 FROM W GROUP BY ROLLUP (keyword)"""))
 def q_vocab_summary(spark, d):
-    return pr.vocab_summary(paragraphs(spark, d), "keyword")
+    return pr.vocab_summary(paragraphs(spark, d, spread_text=True), "keyword")
 
 
 def _pmi_sql(group):
@@ -202,7 +202,7 @@ SELECT label, {group}, CAST(rank AS INTEGER) AS rank, word, c_gw, round(pmi, 9)
 
 
 def _pmi(spark, d, group):
-    t = pr.pmi_top_words(paragraphs(spark, d), group)
+    t = pr.pmi_top_words(paragraphs(spark, d, spread_text=True), group)
     return t.withColumn("pmi", F.round("pmi", 9))
 
 
