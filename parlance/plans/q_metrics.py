@@ -57,7 +57,7 @@ _SLICE_SQL = " UNION ALL ".join(
                                      f"C AS (SELECT slice, value, count(*) AS n, {sql_counts(with_tn=False)} FROM SX GROUP BY ALL)",
                                      body=f"SELECT slice, value, n, tp, fp, fn, {sql_prf()} FROM C"))
 def q_prf1_slice(spark, d):
-    x = _scored(spark, d)
+    x = paragraphs(spark, d, with_quality=True, spread_text=True).withColumn("pred", (1 - F.col("quality")).cast("int"))
     slices = {"keyword": F.col("keyword"), "country": F.col("country"), "grade": F.col("orig_label"),
               "length": F.when(token_count("text") > 63, "long").otherwise("short")}
     return mt.prf1_by_slice(x, slices)

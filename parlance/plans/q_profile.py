@@ -39,7 +39,7 @@ def q_filter_grade(spark, d):
 @register("filter_long_text", with_ctes(P_SQL, PT, body="""
 SELECT par_id, n_tokens, label FROM PT WHERE n_tokens > 63"""))
 def q_filter_long(spark, d):
-    p = lb.filter_long_text(paragraphs(spark, d))
+    p = lb.filter_long_text(paragraphs(spark, d, spread_text=True))
     return p.select("par_id", token_count("text").alias("n_tokens"), "label")
 
 
@@ -105,7 +105,7 @@ def q_distinct_groups(spark, d):
 
 @register("token_count", with_ctes(P_SQL, PT, body="SELECT par_id, n_tokens FROM PT"))
 def q_token_count(spark, d):
-    return paragraphs(spark, d).select("par_id", token_count("text").alias("n_tokens"))
+    return paragraphs(spark, d, spread_text=True).select("par_id", token_count("text").alias("n_tokens"))
 
 
 @register("lower_tokens", with_ctes(P_SQL, body=f"""
@@ -219,5 +219,5 @@ def q_pmi_co(spark, d):
 @register("filter_short_text", with_ctes(P_SQL, PT, body="""
 SELECT par_id, n_tokens, label FROM PT WHERE NOT (n_tokens > 63)"""))
 def q_filter_short(spark, d):
-    p = lb.filter_long_text(paragraphs(spark, d), long=False)
+    p = lb.filter_long_text(paragraphs(spark, d, spread_text=True), long=False)
     return p.select("par_id", token_count("text").alias("n_tokens"), "label")
