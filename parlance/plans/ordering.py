@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from parlance.session import shared_dir
+from parlance.session import scratch_path, shared_dir
 
 _LOW33 = (1 << 33) - 1
 
@@ -41,8 +41,17 @@ def materialize(df: DataFrame) -> DataFrame:
     scan and tokenisation: column pruning makes the branches' aggregates
     differ, so Spark cannot reuse the shuffle.  Reliable storage also cuts
     the lineage, so a lost executor does not re-run the upstream work."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    return _written(df, "table")
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back:
+    a new relation with new column ids (a checkpoint keeps its input's ids,
+    which can make a later join with a related plan ambiguous)."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.parquet(path)
 
 
 def index_by_order(df: DataFrame, order_cols, out: str = "idx",
@@ -59,10 +68,9 @@ def index_by_order(df: DataFrame, order_cols, out: str = "idx",
     shared_dir(spark)
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = _cols(order_cols)
-    ranged = (df.repartitionByRange(n, *order)
-                .sortWithinPartitions(*order)
-                .withColumn("_m", F.monotonically_increasing_id())
-                .checkpoint(eager=True))
+    ranged = _written(df.repartitionByRange(n, *order)
+                        .sortWithinPartitions(*order)
+                        .withColumn("_m", F.monotonically_increasing_id()), "index")
     part = F.shiftright(F.col("_m"), 33)
     counts = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
