@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from parlance.llm import mixing
 from parlance.llm.near_dedup import near_duplicates
 from parlance.plans.fixtures import table
 
@@ -22,14 +23,19 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-@query("op1_near_dedup")
-def op1_near_dedup(spark: SparkSession, d: str) -> DataFrame:
-    return near_duplicates(table(spark, d, "documents"))
-
-
 def registered() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
 def oracle() -> dict[str, str]:
     return dict(ORACLE)
+
+
+@query("op1_near_dedup")
+def op1_near_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_duplicates(table(spark, d, "documents"))
+
+
+@query("op2_mixing", mixing.MIXTURE_SQL)
+def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mixture(table(spark, d, "documents"))
