@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import mixing
+from parlance.llm import mixing, warc
 from parlance.llm.near_dedup import near_duplicates
 from parlance.plans.fixtures import table
 
@@ -39,3 +39,8 @@ def op1_near_dedup(spark: SparkSession, d: str) -> DataFrame:
 @query("op2_mixing", mixing.MIXTURE_SQL)
 def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mixture(table(spark, d, "documents"))
+
+
+@query("op4_warc", warc.ARCHIVE_SQL)
+def op4_warc(spark: SparkSession, d: str) -> DataFrame:
+    return warc.archived(table(spark, d, "pages"))
