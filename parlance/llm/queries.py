@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import mixing, warc
 from parlance.llm.near_dedup import near_duplicates
+from parlance.llm.quality import quality
 from parlance.plans.fixtures import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +45,8 @@ def op2_mixing(spark: SparkSession, d: str) -> DataFrame:
 @query("op4_warc", warc.ARCHIVE_SQL)
 def op4_warc(spark: SparkSession, d: str) -> DataFrame:
     return warc.archived(table(spark, d, "pages"))
+
+
+@query("op10_quality_rules")
+def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    return quality(table(spark, d, "documents"))
