@@ -25,13 +25,14 @@ MIN_WORDS = 50
 MAX_REPEAT_PERCENT = 50
 KEEP_AT = 0.5
 ROUNDS = 60
+MAX_FALSE = 0.01
 
 # Votes by rule: bad if the first condition holds, good if the second does,
 # else the rule abstains.  Shares are per hundred of the named base.
 RULES = {
     "symbols": ("100 * n_symbols > 10 * n_words", "100 * n_symbols <= 2 * n_words"),
-    "dup_lines": ("100 * n_dup_lines > 30 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
-    "repeats": ("100 * n_repeat_words > 30 * n_words", "100 * n_repeat_words <= 10 * n_words"),
+    "dup_lines": ("100 * n_dup_lines > 45 * n_lines", "100 * n_dup_lines <= 10 * n_lines"),
+    "repeats": ("100 * n_repeat_words > 40 * n_words", "100 * n_repeat_words <= 10 * n_words"),
     "capitals": ("100 * n_capitals > 30 * word_chars", "100 * n_capitals <= 10 * word_chars"),
     "stops": ("100 * n_stops > 60 * n_words", "100 * n_stops between 2 * n_words and 40 * n_words"),
     "word_length": ("word_chars > 12 * n_words or word_chars < 2 * n_words",
@@ -93,50 +94,60 @@ def with_votes(stats: DataFrame, rules: dict = RULES) -> DataFrame:
 
 @dataclass(frozen=True)
 class Voters:
-    """Prior of a good text and, per rule, how often it says bad on good and on bad texts when it votes."""
-
-    prior: float
-    bad_on_good: list[float]
-    bad_on_bad: list[float]
-
-    def log_odds(self, votes) -> float:
-        x = math.log(self.prior / (1 - self.prior))
-        for v, g, b in zip(votes, self.bad_on_good, self.bad_on_bad):
-            if v < 0:
-                x += math.log(g / b)
-            elif v > 0:
-                x += math.log((1 - g) / (1 - b))
-        return x
+    """A mixture: class 0 are good texts, class r + 1 the bad texts of the kind
+    that rule r is written for.  ``weight`` per class; ``says_bad[c][r]`` is
+    how often rule r says bad on class c when it votes."""
+
+    weight: list[float]
+    says_bad: list[list[float]]
+
+    def scores(self, votes) -> list[float]:
+        """Log weight of every class together with ``votes``."""
+        return [math.log(w) + sum(math.log(p if v < 0 else 1 - p) for v, p in zip(votes, says) if v)
+                for w, says in zip(self.weight, self.says_bad)]
+
+    def posteriors(self, votes) -> list[float]:
+        x = self.scores(votes)
+        top = max(x)
+        e = [math.exp(v - top) for v in x]
+        return [v / sum(e) for v in e]
+
+
+def start_voters(n_rules: int) -> Voters:
+    """Rules seldom call a good text bad, mostly their own kind, now and then another kind."""
+    own = lambda c, r: 0.002 if c == 0 else 0.9 if c == r + 1 else 0.2
+    return Voters([0.85] + [0.15 / n_rules] * n_rules,
+                  [[own(c, r) for r in range(n_rules)] for c in range(n_rules + 1)])
 
 
 def fit_voters(patterns: list[tuple[tuple[int, ...], int]], n_rules: int, rounds: int = ROUNDS) -> Voters:
     """Expectation-maximisation over (votes, count) pairs.
 
-    The start says that rules seldom call a good text bad; pseudo-counts of
-    that start keep an empty or one-sided table defined, and a rule may not
-    call good texts bad more often than bad ones.
+    Pseudo-counts of the start keep an empty or one-sided table defined.  A
+    kind of bad texts that one rule alone sees cannot be told from that
+    rule's errors on good texts by counts; so a rule calls at most MAX_FALSE
+    of the good texts bad, and at least half of its own kind.
     """
-    good_start, bad_start, prior_start, weight = 0.02, 0.4, 0.85, 10.0
-    model = Voters(prior_start, [good_start] * n_rules, [bad_start] * n_rules)
+    first = model = start_voters(n_rules)
+    pseudo = 10.0
     total = sum(c for _, c in patterns)
+    cut = lambda p: min(max(p, 1e-6), 1 - 1e-6)
     for _ in range(rounds):
-        share = weight * prior_start
-        said = [[weight * good_start, weight, weight * bad_start, weight] for _ in range(n_rules)]
+        held = [pseudo * w for w in first.weight]
+        bad = [[pseudo * p for p in row] for row in first.says_bad]
+        voted = [[pseudo] * n_rules for _ in first.weight]
         for votes, count in patterns:
-            x = model.log_odds(votes)
-            good = count / (1 + math.exp(-x)) if x > -700 else 0.0
-            share += good
-            for r, v in enumerate(votes):
-                if v:
-                    said[r][1] += good
-                    said[r][3] += count - good
-                    if v < 0:
-                        said[r][0] += good
-                        said[r][2] += count - good
-        on_good = [a / b for a, b, _, _ in said]
-        on_bad = [max(c / d, g) for (_, _, c, d), g in zip(said, on_good)]
-        cut = lambda p: min(max(p, 1e-6), 1 - 1e-6)
-        model = Voters(cut(share / (total + weight)), [cut(p) for p in on_good], [cut(p) for p in on_bad])
+            for c, share in enumerate(model.posteriors(votes)):
+                held[c] += count * share
+                for r, v in enumerate(votes):
+                    if v:
+                        voted[c][r] += count * share
+                        bad[c][r] += count * share * (v < 0)
+        says = [[cut(b / n) for b, n in zip(*rows)] for rows in zip(bad, voted)]
+        for r in range(n_rules):
+            says[0][r] = min(says[0][r], MAX_FALSE)
+            says[r + 1][r] = max(says[r + 1][r], 0.5)
+        model = Voters([cut(h / (total + pseudo)) for h in held], says)
     return model
 
 
@@ -148,11 +159,15 @@ def learn_voters(voted: DataFrame, n_rules: int = len(RULES)) -> Voters:
 
 def posterior(model: Voters) -> Column:
     """Probability that a row with ``votes`` is good."""
-    x = F.lit(math.log(model.prior / (1 - model.prior)))
-    for r, (g, b) in enumerate(zip(model.bad_on_good, model.bad_on_bad)):
-        v = F.col("votes")[r]
-        x = x + F.when(v < 0, F.lit(math.log(g / b))).when(v > 0, F.lit(math.log((1 - g) / (1 - b)))).otherwise(F.lit(0.0))
-    return 1 / (1 + F.exp(-x))
+    def score(c: int) -> Column:
+        x = F.lit(math.log(model.weight[c]))
+        for r, p in enumerate(model.says_bad[c]):
+            v = F.col("votes")[r]
+            x = x + F.when(v < 0, F.lit(math.log(p))).when(v > 0, F.lit(math.log(1 - p))).otherwise(F.lit(0.0))
+        return x
+    good = score(0)
+    worse = [F.exp(score(c) - good) for c in range(1, len(model.weight))]
+    return 1 / (1 + sum(worse[1:], worse[0]))
 
 
 def quality(docs: DataFrame, keep_at: float = KEEP_AT) -> DataFrame:
