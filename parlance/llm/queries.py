@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from parlance.llm import mixing, warc
+from parlance.llm import chat, mixing, warc
 from parlance.llm.near_dedup import near_duplicates
 from parlance.llm.quality import quality
 from parlance.plans.fixtures import table
@@ -50,3 +50,8 @@ def op4_warc(spark: SparkSession, d: str) -> DataFrame:
 @query("op10_quality_rules")
 def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     return quality(table(spark, d, "documents"))
+
+
+@query("op8_chat_format", chat.CHAT_SQL)
+def op8_chat_format(spark: SparkSession, d: str) -> DataFrame:
+    return chat.digests(chat.formatted(chat.with_hostile(spark, table(spark, d, "conversations"))))
