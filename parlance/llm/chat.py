@@ -35,7 +35,7 @@ BEGIN = "<s>\n"
 CONTROL = r"</?s>|<</?SYS>>|\[/?INST\]|\[ANS\]|\[/?ROLE\]"
 _ESCAPE = re.compile(rf"(\\*)({CONTROL})")
 _ESCAPED = re.compile(rf"(\\+)({CONTROL})")
-_PROBE = ""
+_PROBE = "\ue000\ue001\ue000"
 
 
 def escape(text: str) -> str:

@@ -72,24 +72,24 @@ def sketches(docs: DataFrame, k: int = SKETCH, size: int = SHINGLE_WORDS) -> Dat
 
 def _memberships(classes: DataFrame, k: int, shared: int, num: int, den: int) -> DataFrame:
     """(leader, member) pairs: members of one inverted list with the list's most central member."""
-    entries = classes.select("rep", F.least(F.col("n"), F.lit(k)).alias("kept"), F.explode("sketch").alias("value"))
+    entries = classes.select("node", F.least(F.col("n"), F.lit(k)).alias("kept"), F.explode("sketch").alias("value"))
     often = (entries.groupBy("value").agg(F.count(F.lit(1)).alias("df")).filter("df > 1"))
     common = materialize(entries.join(often, "value"))
-    by_rep = Window.partitionBy("rep")
+    by_rep = Window.partitionBy("node")
     # Overlap that similar sets have at least; a set within the sketch is known whole.
     least = F.least(F.lit(shared), F.ceil(F.lit(num) * F.col("kept") / F.lit(den))).cast("long")
     ranked = common.select(
-        "rep", "value", "kept", "df",
+        "node", "value", "kept", "df",
         F.row_number().over(by_rep.orderBy("df", "value")).alias("rank"),
         F.count(F.lit(1)).over(by_rep).alias("n_common"),
         (F.sum(F.col("df") - 1).over(by_rep) / F.col("kept")).alias("central"))
     prefix = ranked.filter(F.col("kept") - F.col("n_common") + F.col("rank") <= F.col("kept") - least + 1)
-    prefix = materialize(prefix.select("rep", "value", "central"))
-    # Smallest (-central, rep) of a list leads it.
-    lead = (prefix.groupBy("value").agg(F.min(F.struct((-F.col("central")).alias("c"), "rep")).alias("l"),
+    prefix = materialize(prefix.select("node", "value", "central"))
+    # Smallest (-central, node) of a list leads it.
+    lead = (prefix.groupBy("value").agg(F.min(F.struct((-F.col("central")).alias("c"), "node")).alias("l"),
                                         F.count(F.lit(1)).alias("size"))
-                  .filter("size > 1").select("value", F.col("l.rep").alias("leader")))
-    pairs = prefix.join(lead, "value").select("leader", F.col("rep").alias("member")).distinct()
+                  .filter("size > 1").select("value", F.col("l.node").alias("leader")))
+    pairs = prefix.join(lead, "value").select("leader", F.col("node").alias("member")).distinct()
     return materialize(pairs)
 
 
@@ -178,22 +178,23 @@ def spanning(pairs) -> list[tuple]:
 
 
 def _with_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    return members.join(sets, members["member"] == sets["rep"]).drop("rep")
+    return members.join(sets, members["member"] == sets["node"]).drop("node")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(rep, shingles): the whole set of each wanted document, once."""
+    """(node, shingles): the whole set of each wanted class, from its first document."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = narrow.join(wanted.select(F.col("rep").alias("doc_id"), F.col("digest")), "doc_id")
+    texts = narrow.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
 
     def rows(batches):
         for batch in batches:
-            marks = batch.column(2).to_pylist()
-            for i, (doc, s) in enumerate(_sets_of(batch.select([0, 1]), size)):
+            marks, nodes = batch.column(2).to_pylist(), batch.column(3).to_pylist()
+            for i, (_, s) in enumerate(_sets_of(batch.select([0, 1]), size)):
+                # One doc_id may stand on several texts.
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == marks[i]:
-                    yield doc, s.tobytes()
-    # A repeated row of one document gives the same set again: one of them stays.
-    return map_rows(texts.select("doc_id", "text", "digest"), rows, "rep long, shingles binary")
+                    yield nodes[i], s.tobytes()
+    found = map_rows(texts.select("doc_id", "text", "digest", "node"), rows, "node long, shingles binary")
+    return found.dropDuplicates(["node"])
 
 
 def _block_edges(batches, k: int, num: int, den: int):
@@ -236,14 +237,15 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
     num, den = similarity
     base = materialize(sketches(docs, k, size))
     usable = base.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
-    classes = materialize(usable.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch")))
+    classes = usable.groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     members = _memberships(classes, k, min_shared, num, den)
-    heads = classes.select("rep", "n", "digest")
-    wanted = heads.join(members.select(F.col("member").alias("rep")).distinct(), "rep", "left_semi")
-    sets = materialize(_sets(docs, wanted, size).dropDuplicates(["rep"]))
+    wanted = classes.select("rep", "digest", "node").join(
+        members.select(F.col("member").alias("node")).distinct(), "node", "left_semi")
+    sets = materialize(_sets(docs, wanted.select("rep", "digest", "node"), size))
 
-    sized = members.join(heads.select(F.col("rep").alias("member"), "n"), "member")
+    sized = members.join(classes.select(F.col("node").alias("member"), "n"), "member")
     groups = sized.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
     groups = groups.select("leader", F.greatest(F.ceil(F.col("rows") / block_rows),
                                                 F.ceil(F.col("total") / block_shingles)).cast("int").alias("blocks"))
@@ -283,10 +285,10 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
         lambda it: _cross_edges(it, k, num, den), edges)
     final = connected_components(first.unionByName(second), "a", "b")
 
-    named = classes.select("digest", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    named = named.select("digest", F.coalesce("component", "rep").alias("root"))
+    rooted = classes.select("digest", "rep", "node").join(final, "node", "left").select(
+        "digest", "rep", F.coalesce("component", "node").alias("component"))
+    named = rooted.join(rooted.groupBy("component").agg(F.min("rep").alias("root")), "component").select("digest", "root")
     return (base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
-                .select("doc_id", "n_shingles",
-                        F.when((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull(), F.col("root"))
-                         .otherwise(F.col("doc_id")).alias("component_id"))
+                .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id"))
+                        .otherwise(F.col("doc_id")).alias("component_id"))
                 .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from parlance.llm import chat, mixing, warc
+from parlance.llm.embedding_dedup import near_vectors
 from parlance.llm.near_dedup import near_duplicates
 from parlance.llm.quality import quality
 from parlance.plans.fixtures import table
@@ -55,3 +56,8 @@ def op10_quality_rules(spark: SparkSession, d: str) -> DataFrame:
 @query("op8_chat_format", chat.CHAT_SQL)
 def op8_chat_format(spark: SparkSession, d: str) -> DataFrame:
     return chat.digests(chat.formatted(chat.with_hostile(spark, table(spark, d, "conversations"))))
+
+
+@query("op9_embedding_dedup")
+def op9_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
+    return near_vectors(table(spark, d, "embeddings"))
