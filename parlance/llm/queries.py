@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from parlance.llm import chat, mixing, warc
+from parlance.llm import chat, language, mixing, warc
 from parlance.llm.embedding_dedup import near_vectors
 from parlance.llm.near_dedup import near_duplicates
 from parlance.llm.quality import quality
@@ -61,3 +62,9 @@ def op8_chat_format(spark: SparkSession, d: str) -> DataFrame:
 @query("op9_embedding_dedup")
 def op9_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
     return near_vectors(table(spark, d, "embeddings"))
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
+    return language.identify(table(spark, d, "documents")).select(
+        "doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
