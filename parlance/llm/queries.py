@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, language, mixing, warc
+from parlance.llm import chat, language, mixing, secrets, warc
 from parlance.llm.embedding_dedup import near_vectors
 from parlance.llm.near_dedup import near_duplicates
 from parlance.llm.quality import quality
@@ -68,3 +68,8 @@ def op9_embedding_dedup(spark: SparkSession, d: str) -> DataFrame:
 def op3_language_id(spark: SparkSession, d: str) -> DataFrame:
     return language.identify(table(spark, d, "documents")).select(
         "doc_id", "held_out", "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
+@query("op7_secret_scan")
+def op7_secret_scan(spark: SparkSession, d: str) -> DataFrame:
+    return secrets.find_secrets(table(spark, d, "documents"))
