@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, language, mixing, pieces, secrets, warc
+from parlance.llm import chat, language, main_text, mixing, pieces, secrets, warc
 from parlance.llm.embedding_dedup import near_vectors
 from parlance.llm.near_dedup import near_duplicates
 from parlance.llm.quality import quality
@@ -78,3 +78,8 @@ def op7_secret_scan(spark: SparkSession, d: str) -> DataFrame:
 @query("op6_sentencepiece")
 def op6_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return pieces.token_digests(table(spark, d, "documents"))
+
+
+@query("op5_main_text")
+def op5_main_text(spark: SparkSession, d: str) -> DataFrame:
+    return main_text.main_texts(table(spark, d, "pages"))
