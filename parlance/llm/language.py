@@ -18,6 +18,7 @@ import unicodedata
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -321,3 +322,20 @@ def identify(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE, penalty: float
     """Train on the documents that are not held out, label all: doc_id, held_out, lang_pred, score, spans."""
     done = label_languages(docs, train(docs, sample), penalty)
     return done.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "spans")
+
+
+MIN_SCORE = 0.5
+
+
+def accepted(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, penalty: float = SWITCH_PENALTY) -> DataFrame:
+    """The rows of ``docs`` whose text is in a learned language for at least ``min_score`` of its letters."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def rows(batches):
+        for batch in batches:
+            for part in row_slices(batch, "text", _PIECE):
+                texts = part.column(part.schema.get_field_index("text")).to_pylist()
+                keep = [lang != UNDETERMINED and score >= min_score
+                        for lang, score, _ in _label(texts, held.value, penalty)]
+                yield part.filter(pa.array(keep, pa.bool_()))
+    return docs.mapInArrow(rows, docs.schema)

@@ -26,7 +26,7 @@ import hashlib
 import numpy as np
 import pyarrow as pa
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.llm.arrow import map_rows, runs
@@ -45,7 +45,7 @@ BLOCK_SHINGLES = 400_000
 # Standard deviations granted to the estimate before a pair is ruled out.
 ESTIMATE_SLACK = 6.0
 
-_SETS = "doc_id long, n_shingles long, digest binary, sketch array<long>"
+_SETS = "doc_id long, n_shingles long, digest binary, sketch array<long>, text_mark long"
 
 
 def _sets_of(batch: pa.RecordBatch, size: int):
@@ -59,14 +59,21 @@ def _sets_of(batch: pa.RecordBatch, size: int):
             yield doc, shingles(hashes[cut[i]:cut[i + 1]], size)
 
 
+def text_mark(text: Column) -> Column:
+    """A 64-bit hash that tells apart the texts of rows with one doc_id."""
+    return F.xxhash64(text.cast("string"))
+
+
 def sketches(docs: DataFrame, k: int = SKETCH, size: int = SHINGLE_WORDS) -> DataFrame:
-    """doc_id, n_shingles, digest (of the set), sketch (its k smallest values) per row of ``docs``."""
+    """doc_id, n_shingles, digest (of the set), sketch (its k smallest values), text_mark per row of ``docs``."""
     def rows(batches):
         for batch in batches:
-            for doc, s in _sets_of(batch, size):
+            marks = batch.column(2).to_pylist()
+            for (doc, s), mark in zip(_sets_of(batch, size), marks):
                 yield (doc, len(s), hashlib.blake2b(s.tobytes(), digest_size=16).digest(),
-                       s[:k].view(np.int64).tolist())
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+                       s[:k].view(np.int64).tolist(), mark)
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"),
+                         text_mark(F.col("text")).alias("text_mark"))
     return map_rows(narrow, rows, _SETS)
 
 
@@ -227,7 +234,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
                     block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
     """Near-duplicate components of ``docs`` (doc_id, text; other columns are ignored).
 
-    Returns doc_id, n_shingles, component_id, kept, one row per input row.
+    Returns doc_id, n_shingles, component_id, kept, text_mark, one row per input row.
     Rows are linked if den * |intersection| >= num * |union| of their shingle
     sets; ``component_id`` is the smallest doc_id reachable, ``kept`` marks
     that document.  A null, empty or blank text has an empty set and links
@@ -288,7 +295,21 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
     rooted = classes.select("digest", "rep", "node").join(final, "node", "left").select(
         "digest", "rep", F.coalesce("component", "node").alias("component"))
     named = rooted.join(rooted.groupBy("component").agg(F.min("rep").alias("root")), "component").select("digest", "root")
-    return (base.select("doc_id", "n_shingles", "digest").join(named, "digest", "left")
+    return (base.select("doc_id", "n_shingles", "digest", "text_mark").join(named, "digest", "left")
                 .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id"))
-                        .otherwise(F.col("doc_id")).alias("component_id"))
-                .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id"))))
+                        .otherwise(F.col("doc_id")).alias("component_id"), "text_mark")
+                .select("doc_id", "n_shingles", "component_id",
+                        F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "text_mark"))
+
+
+def deduplicated(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps, each (doc_id, text) once.
+
+    Rows of one doc_id with different texts are told apart by their texts.
+    """
+    chosen = near_duplicates(docs, **options).filter("kept").select(
+        F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")).distinct()
+    marked = docs.withColumn("_own", text_mark(docs["text"]))
+    stay = marked.join(chosen, marked["doc_id"].cast("long").eqNullSafe(chosen["_id"])
+                       & (marked["_own"] == chosen["_mark"]), "left_semi")
+    return stay.dropDuplicates(["doc_id", "_own"]).drop("_own")

@@ -24,11 +24,12 @@ import re
 from dataclasses import dataclass, field
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.arrow import map_rows
+from parlance.llm.arrow import arrow_schema, map_rows
 from parlance.llm.words import row_slices, string_buffers
 
 MODEL_FILE = os.environ.get("PARLANCE_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
@@ -338,25 +339,27 @@ def decode(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
     return data[keep], ends - np.concatenate([[0], np.cumsum(np.diff(ends) > 0)])
 
 
-def _encoded_rows(batches, v: Vocabulary):
-    for batch in batches:
-        for part in row_slices(batch, "text", _PIECE_BYTES):
-            texts = part.column(1).to_pylist()
-            ids, offsets = encode([t or "" for t in texts], v)
-            for i, doc in enumerate(part.column(0).to_pylist()):
-                yield doc, None if texts[i] is None else ids[offsets[i]:offsets[i + 1]]
-
-
 def encode_documents(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
-    """doc_id, ids of every row of ``docs`` (doc_id, text).
+    """doc_id, n_tokens, ids of every row of ``docs`` (doc_id, text).
 
-    A null text has null ids, an empty one none.  The vocabulary is read by
+    A null text has null ids and 0 tokens, an empty one no ids.  The vocabulary is read by
     the driver and sent to the executors.  Equal rows get equal results; an
     empty table gives no rows.
     """
     held = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return map_rows(narrow, lambda it: _encoded_rows(it, held.value), "doc_id long, ids array<int>")
+    ddl = "doc_id long, n_tokens long, ids array<int>"
+    schema = arrow_schema(ddl)
+
+    def rows(batches):
+        for batch in batches:
+            for part in row_slices(batch, "text", _PIECE_BYTES):
+                texts = part.column(1)
+                ids, offsets = encode([t or "" for t in texts.to_pylist()], held.value)
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()),
+                                                 type=schema.field("ids").type, mask=texts.is_null())
+                yield pa.record_batch([part.column(0), pa.array(np.diff(offsets)), lists], schema=schema)
+    return narrow.mapInArrow(rows, ddl)
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL_FILE) -> DataFrame:
