@@ -18,7 +18,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Callable
+from collections.abc import Callable, Collection
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,16 +60,19 @@ def _role(line: str) -> str | None:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(line))
 
 
+@lru_cache(maxsize=16384)
+def _rendered(turn: Turn) -> str:
+    role, text = turn
+    if role in MARKS:
+        a, b = MARKS[role]
+        return f"{a}{escape(text)}{b}"
+    a, m, b = OTHER
+    return f"{a}{_line(role)}{m}{escape(text)}{b}"
+
+
 def instruct_template(turns: list[Turn]) -> str:
-    out = [BEGIN]
-    for role, text in turns:
-        if role in MARKS:
-            a, b = MARKS[role]
-            out.append(f"{a}{escape(text)}{b}")
-        else:
-            a, m, b = OTHER
-            out.append(f"{a}{_line(role)}{m}{escape(text)}{b}")
-    return "".join(out)
+    """Turns one after another; a turn that was rendered before is not escaped again."""
+    return BEGIN + "".join(map(_rendered, turns))
 
 
 _OPENINGS = {a.rstrip(): (role, a, b) for role, (a, b) in MARKS.items()}
@@ -99,8 +103,12 @@ def read_back(formatted: str) -> list[Turn]:
     return turns
 
 
-def incremental(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """(output, per turn (start, text start, text end, end), rewrites history)."""
+def incremental(turns: list[Turn], template: Template,
+                roles: Collection[str | None] | None = None) -> tuple[str, list[tuple[int, int, int, int]], bool]:
+    """(output, per turn (start, text start, text end, end), rewrites history).
+
+    Texts are located for turns of ``roles`` (None: all); others have an empty text range.
+    """
     spans: list[tuple[int, int, int, int]] = []
     rewrites = False
     before = template([])
@@ -111,8 +119,10 @@ def incremental(turns: list[Turn], template: Template) -> tuple[str, list[tuple[
             rewrites = True
             start = _common(before, now)
             spans = [s for s in spans if s[3] <= start]
-        marked = template(turns[:i] + [(role, _PROBE)])
-        head = marked.find(_PROBE, min(start, len(marked)))
+        marked, head = "", -1
+        if roles is None or role in roles:
+            marked = template(turns[:i] + [(role, _PROBE)])
+            head = marked.find(_PROBE, min(start, len(marked)))
         if head < 0:
             spans.append((start, start, start, len(now)))
         else:
@@ -138,7 +148,7 @@ def _conversations(batches, template: Template, learn: frozenset):
         ids, turns = batch.column(0).to_pylist(), batch.column(1).to_pylist()
         for conv, rows in zip(ids, turns):
             said = [(r["role"], r["text"]) for r in rows]
-            out, spans, rewrites = incremental(said, template)
+            out, spans, rewrites = incremental(said, template, learn)
             # After a rewrite fewer spans than turns may stand; they belong to the last turns.
             roles = [r for r, _ in said][len(said) - len(spans):]
             mask = [{"from": a, "to": b} for (_, a, b, _), r in zip(spans, roles) if r in learn]
