@@ -21,19 +21,24 @@ def indexed_lines(spark: SparkSession, path, header_lines: int = 0) -> DataFrame
         "value", F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("bs"),
         F.monotonically_increasing_id().alias("_m"))
-    in_split = Window.partitionBy("file", "bs").orderBy("_m")
-    local = raw.withColumn("_local", F.row_number().over(in_split) - 1)
-    # One row per split: its size, its first line number in the file, and
-    # the number of data lines before it over all files.
-    sizes = raw.groupBy("file", "bs").agg(F.count(F.lit(1)).alias("_n"))
+    # One row per split: its size, the stamp of its first line (lines of a
+    # split are read in a row), its first line number in the file, and the
+    # number of data lines before it over all files.
+    sizes = raw.groupBy("file", "bs").agg(F.count(F.lit(1)).alias("_n"), F.min("_m").alias("_m0"))
+    # Part files follow their number, others their name.
+    folder = F.regexp_extract("file", r"^(.*)/[^/]*$", 1)
+    part = F.regexp_extract("file", r"/part-([0-9]+)[^/]*$", 1).try_cast("bigint")
     prev_in_file = Window.partitionBy("file").orderBy("bs").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_foff", F.coalesce(F.sum("_n").over(prev_in_file), F.lit(0)))
     skipped = F.least(F.greatest(F.lit(header_lines) - F.col("_foff"), F.lit(0)), F.col("_n"))
     sizes = sizes.withColumn("_skip", skipped).withColumn("_data", F.col("_n") - F.col("_skip"))
-    prev_all = Window.orderBy("file", "bs").rowsBetween(Window.unboundedPreceding, -1)
+    prev_all = Window.orderBy(folder, part, "file", "bs").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.withColumn("_goff", F.coalesce(F.sum("_data").over(prev_all), F.lit(0)))
-    # Bounded by the number of input splits (input bytes / split size).
-    j = local.join(F.broadcast(sizes.select("file", "bs", "_foff", "_skip", "_goff")), ["file", "bs"])
-    j = j.filter(F.col("_local") >= F.col("_skip"))
+    # Bounded by the number of input splits (input bytes / split size).  The
+    # lines themselves are neither shuffled nor sorted.
+    j = raw.join(F.broadcast(sizes.select("file", "bs", "_m0", "_foff", "_skip", "_goff")), ["file", "bs"])
+    j = j.withColumn("_local", F.col("_m") - F.col("_m0")).filter(F.col("_local") >= F.col("_skip"))
+    # The value depends on the join, so no later check of it can be moved in front of the header filter.
+    value = F.when(F.col("_local") >= F.col("_skip"), F.col("value")).alias("value")
     return j.select("file", (F.col("_foff") + F.col("_local")).alias("line_no"),
-                    (F.col("_goff") + F.col("_local") - F.col("_skip")).alias("row_idx"), "value")
+                    (F.col("_goff") + F.col("_local") - F.col("_skip")).alias("row_idx"), value)

@@ -74,14 +74,17 @@ def read_unlabelled_tsv(spark: SparkSession, path) -> DataFrame:
 
 
 def read_split_manifest(spark: SparkSession, path) -> DataFrame:
-    """par_id (integer in the file, returned as text), label (text of a list)."""
-    df = spark.read.csv(path, header=True, schema="par_id BIGINT, label STRING", mode="FAILFAST")
-    return df.select(F.col("par_id").cast("string").alias("par_id"), "label")
+    """m_idx (0-based place in the file), par_id (integer in the file, returned
+    as text), label (text of a list).  Every file has one header line; a line
+    that is no such record fails the job."""
+    lines = indexed_lines(spark, path, 1).withColumn(
+        "_r", F.from_csv("value", "par_id BIGINT, label STRING", {"mode": "FAILFAST"}))
+    return lines.select(F.col("row_idx").alias("m_idx"), F.col("_r.par_id").cast("string").alias("par_id"), "_r.label")
 
 
 def read_prompt_pairs(spark: SparkSession, path) -> DataFrame:
-    """row_idx, source, target: 'source<TAB>target' per stripped line."""
-    lines = indexed_lines(spark, path, 0).withColumn("_f", _fields(py_strip("value")))
+    """row_idx, source, target: 'source<TAB>target' per stripped line; a line with one field fails the job."""
+    lines = _check(indexed_lines(spark, path, 0).withColumn("_f", _fields(py_strip("value"))), "_f", 2, "strict")
     return lines.select("row_idx", F.get(F.col("_f"), 0).alias("source"), F.get(F.col("_f"), 1).alias("target"))
 
 

@@ -18,11 +18,15 @@ HEADER_LINES = 4
 _LOW33 = (1 << 33) - 1
 
 
+def _ranged(df: DataFrame, num_files: int | None, order) -> DataFrame:
+    """Range partitions by ``order``; their number is Spark's choice unless the caller names it."""
+    return df.repartitionByRange(num_files, *order) if num_files else df.repartitionByRange(*order)
+
+
 def write_lines(df: DataFrame, line: Column, path: str, order, header_lines: int = 0,
                 num_files: int | None = None, mode: str = "error") -> str:
     order = [F.col(c) if isinstance(c, str) else c for c in order]
-    n = num_files or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    x = (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    x = (_ranged(df, num_files, order).sortWithinPartitions(*order)
            .select(line.alias("_line"), F.monotonically_increasing_id().alias("_m")))
     if header_lines:
         first = F.col("_m").bitwiseAND(F.lit(_LOW33)) == 0
@@ -86,8 +90,7 @@ def write_prompts(df: DataFrame, path: str, order=("row_idx",), with_target: boo
 
 def write_manifest_csv(df: DataFrame, path: str, order=("m_idx",), **kw) -> str:
     """par_id,label CSV with a header, in manifest order."""
-    n = kw.get("num_files") or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    (df.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    (_ranged(df, kw.get("num_files"), order).sortWithinPartitions(*order)
        .select(F.col("par_id").cast("bigint").alias("par_id"), "label")
        .write.mode(kw.get("mode", "error")).option("header", True).csv(path))
     return path

@@ -29,24 +29,40 @@ def freeze_model(spark: SparkSession, model: DataFrame, prior) -> tuple[DataFram
     return spark.read.parquet(path), prior_value
 
 
-def score_stream(spark: SparkSession, source_dir: str, model: DataFrame, prior: float,
-                 exclude: DataFrame | None = None, glob: str = "documents.parquet",
-                 out_dir: str | None = None, max_files: int = 1) -> str:
-    """Run the stream to completion (available-now trigger) and return the
-    output folder (one sub-folder per micro-batch)."""
+def score_stream(spark: SparkSession, path: str, model: DataFrame, prior: float,
+                 exclude: DataFrame | None = None, out_dir: str | None = None,
+                 checkpoint: str | None = None, max_files: int | None = None) -> str:
+    """Run the stream over the files of ``path`` to completion (available-now
+    trigger) and return the output folder (one sub-folder per micro-batch).
+
+    ``out_dir`` and ``checkpoint`` named by the caller make a restarted job
+    go on where it stopped; fresh folders are used otherwise.  ``max_files``
+    bounds the files of a micro-batch (default: no bound).  A source without
+    files is an error.
+    """
     out = out_dir or scratch_path(spark, "stream-scores")
-    ckpt = scratch_path(spark, "stream-ckpt")
-    docs = (spark.readStream.schema(DOC_SCHEMA).option("pathGlobFilter", glob)
-                 .option("maxFilesPerTrigger", max_files).parquet(source_dir))
+    docs = spark.readStream.schema(DOC_SCHEMA)
+    if max_files:
+        docs = docs.option("maxFilesPerTrigger", max_files)
+    # A file source watches a folder: for a table that is one file, its folder with the name as filter.
+    first = spark.read.schema(DOC_SCHEMA).parquet(path).select("_metadata.file_path").first()
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if first and first["file_path"].rpartition("/")[2] == name:
+        docs = docs.option("pathGlobFilter", name).parquet(folder)
+    else:
+        docs = docs.parquet(path)
     docs = docs.select(F.col("doc_id").alias("row_idx"), F.col("doc_id").cast("string").alias("par_id"), "text")
     if exclude is not None:
         docs = docs.join(exclude, "par_id", "left_anti")   # stream-static anti join
 
     def per_batch(batch: DataFrame, batch_id: int) -> None:
-        scored = nb_score(batch, model, F.lit(prior), keep=("row_idx",))
+        scored = nb_score(batch, model, F.lit(prior), keep=("par_id",))
         scored.write.mode("overwrite").parquet(os.path.join(out, f"batch={batch_id}"))
 
-    q = (docs.writeStream.foreachBatch(per_batch).option("checkpointLocation", ckpt)
+    q = (docs.writeStream.foreachBatch(per_batch)
+             .option("checkpointLocation", checkpoint or scratch_path(spark, "stream-ckpt"))
              .trigger(availableNow=True).start())
     q.awaitTermination()
+    if q.lastProgress is None and checkpoint is None:
+        raise FileNotFoundError(f"the stream found no file in {path}")
     return out
