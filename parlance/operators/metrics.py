@@ -47,19 +47,20 @@ def confusion_matrix(df: DataFrame, gold: str = "label", pred: str = "pred") ->
             .select(F.col("gold").cast("int"), F.col("pred").cast("int"), "n")
 
 
-def prf1_by_slice(df: DataFrame, slices: dict, gold: str = "label", pred: str = "pred") -> DataFrame:
-    """P/R/F1 for every slice value of every slice expression, in one job.
+def prf1_by_slice(df: DataFrame, slices: dict, gold: str = "label", pred: str = "pred", by=()) -> DataFrame:
+    """P/R/F1 for every slice value of every slice expression, in one job;
+    ``by`` names further group columns, such as a model name.
 
     ``slices`` maps a slice name to a column (expression).  Rows are
     expanded once per slice (what GROUPING SETS does) and aggregated once.
     """
     arr = F.array(*[F.struct(F.lit(name).alias("slice"), col.cast("string").alias("value"))
                     for name, col in slices.items()])
-    x = df.select(F.col(gold), F.col(pred), F.explode(arr).alias("_s")) \
-          .select("_s.slice", "_s.value", gold, pred)
-    c = x.groupBy("slice", "value").agg(F.count(F.lit(1)).alias("n"), *_counts(gold, pred)[:3])
+    x = df.select(*by, F.col(gold), F.col(pred), F.explode(arr).alias("_s")) \
+          .select(*by, "_s.slice", "_s.value", gold, pred)
+    c = x.groupBy(*by, "slice", "value").agg(F.count(F.lit(1)).alias("n"), *_counts(gold, pred)[:3])
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return c.select("slice", "value", "n", "tp", "fp", "fn", *_prf_cols(tp, tp + fp, tp + fn))
+    return c.select(*by, "slice", "value", "n", "tp", "fp", "fn", *_prf_cols(tp, tp + fp, tp + fn))
 
 
 def multilabel_prf1(df: DataFrame, gold: str = "gold", pred: str = "pred") -> DataFrame:

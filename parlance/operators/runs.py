@@ -42,8 +42,15 @@ def best_checkpoint(metrics: DataFrame, run: str = "run", epoch: str = "epoch",
 
 
 def two_decimals(x) -> Column:
-    """'0.56'-style text of a value in [0, 1], rounded half up."""
-    pct = F.floor(F.col(x) * 100 + 0.5).cast("int") if isinstance(x, str) else F.floor(x * 100 + 0.5).cast("int")
+    """'0.56'-style text of a value in [0, 1]: the exact binary value rounded
+    half to even, as Python's ``.2f`` does.  Scaling by 2**60 is exact for
+    values from 1/256 up; smaller ones lose bits that cannot reach 0.005."""
+    scaled = ((F.col(x) if isinstance(x, str) else x) * float(1 << 60)).cast("bigint").cast("decimal(38,0)") * 100
+    unit, half = F.lit(1 << 60).cast("decimal(38,0)"), F.lit(1 << 59).cast("decimal(38,0)")
+    rest = scaled % unit
+    low = ((scaled - rest) / unit).cast("int")
+    up = (rest > half) | ((rest == half) & (low % 2 == 1))
+    pct = low + up.cast("int")
     return F.when(pct >= 100, F.lit("1.00")).otherwise(
         F.concat(F.lit("0."), F.lpad(pct.cast("string"), 2, "0")))
 

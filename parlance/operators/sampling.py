@@ -4,12 +4,12 @@ not depend on partitioning, and no rows are capped beyond the feature."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parlance.functions.hashing import h32, pick
 from parlance.operators.labels import any_category
-from parlance.plans.ordering import fetch_one, index_by_order, lit_long, top_k_per_group
+from parlance.plans.ordering import fetch_one, index_by_order, lit_long
 
 # Defaults of the reference.
 FINE_TUNE_RATIO = 2
@@ -19,13 +19,13 @@ FEW_SHOT_PER_LABEL = 2000
 SEEDS = (13, 21, 42, 87, 100)
 
 
-def first_n(df: DataFrame, n_col, order: str = "row_idx") -> DataFrame:
-    """The first ``n_col`` rows under the unique ``order`` column, without a
-    global window: positions come from a range-partitioned index of the
-    order column alone, joined back as a semi-join."""
+def first_n(df: DataFrame, n: int, order: str = "row_idx") -> DataFrame:
+    """The first ``n`` rows under the unique ``order`` column, without a
+    global window: a range-partitioned index of the order column alone gives
+    the value of the n-th row, and the rest is a filter."""
     idx = index_by_order(df.select(order), [order], "_i")
-    keep = idx.filter(F.col("_i") < n_col).select(order)
-    return df.join(keep, order, "left_semi")
+    last = fetch_one(idx.filter(F.col("_i") < n), m=F.max(order))["m"]
+    return df.filter(F.col(order) <= F.lit(last)) if last is not None else df.limit(0)
 
 
 def downsample_negatives(df: DataFrame, ratio: float = FINE_TUNE_RATIO, label: str = "label",
@@ -33,8 +33,7 @@ def downsample_negatives(df: DataFrame, ratio: float = FINE_TUNE_RATIO, label: s
     """All positives plus the first ratio * n_pos negatives in row order."""
     pos = df.filter(F.col(label) == 1)
     npos = fetch_one(pos, n=F.count(F.lit(1)))["n"]
-    neg = first_n(df.filter(F.col(label) == 0), lit_long(npos) * ratio, order)
-    return pos.unionByName(neg)
+    return pos.unionByName(first_n(df.filter(F.col(label) == 0), npos * ratio, order))
 
 
 def downsample_multilabel(df: DataFrame, ratio: float = MULTILABEL_RATIO, label: str = "label",
@@ -43,17 +42,43 @@ def downsample_multilabel(df: DataFrame, ratio: float = MULTILABEL_RATIO, label:
     rows with none."""
     flag = any_category(label)
     some = df.filter(flag)
-    n_any = lit_long(fetch_one(some, n=F.count(F.lit(1)))["n"])
-    k = F.bround((n_any * F.lit(ratio)).cast("decimal(20,4)"), 0)
-    none = first_n(df.filter(~flag), k, order)
-    return some.unionByName(none)
+    n_any = fetch_one(some, n=F.count(F.lit(1)))["n"]
+    return some.unionByName(first_n(df.filter(~flag), round(n_any * ratio), order))
+
+
+def few_shot_samples(df: DataFrame, n: int, seeds, label: str = "label", key: str = "par_id",
+                     order: str | None = None) -> DataFrame:
+    """``df`` rows drawn per seed and label, with a ``seed`` column: the ``n``
+    smallest (hash(key, seed), key, order) of each (seed, label).
+
+    All seeds share two passes.  A histogram of the hash's upper 16 bits
+    finds the bucket in which the n-th row falls; rows of earlier buckets
+    are in, and only the rows of that one bucket are ranked.  So no label is
+    sorted whole, whatever ``n`` and the size of the label.
+    """
+    drawn = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
+    drawn = drawn.withColumn("_h", h32(F.col(key), F.col("seed"))).withColumn("_b", F.shiftright("_h", 16))
+    # At most 65,536 rows per (seed, label).
+    hist = drawn.groupBy("seed", label, "_b").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("seed", label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    hist = hist.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0)))
+    # One row per (seed, label): the bucket that n falls into, and how many it gives.
+    edge = hist.filter(F.col("_before") < n).groupBy("seed", label).agg(
+        F.max_by(F.struct(F.col("_b").alias("edge"), (F.lit(n) - F.col("_before")).alias("left")), "_b").alias("_e"))
+    met = drawn.join(F.broadcast(edge.withColumnRenamed("seed", "_seed").withColumnRenamed(label, "_label")),
+                     (F.col("seed") == F.col("_seed")) & F.col(label).eqNullSafe(F.col("_label")))
+    cols = [*df.columns, "seed"]
+    inside = met.filter(F.col("_b") < F.col("_e.edge")).select(*cols)
+    ties = [F.col("_h"), F.col(key)] + ([F.col(order)] if order else [])
+    last = met.filter(F.col("_b") == F.col("_e.edge")).withColumn(
+        "_r", F.row_number().over(Window.partitionBy("seed", label).orderBy(*ties)))
+    return inside.unionByName(last.filter(F.col("_r") <= F.col("_e.left")).select(*cols))
 
 
 def few_shot_sample(df: DataFrame, n: int = FEW_SHOT_PER_LABEL, seed: int = 42,
-                    label: str = "label", key: str = "par_id") -> DataFrame:
+                    label: str = "label", key: str = "par_id", order: str | None = None) -> DataFrame:
     """n rows per label without replacement, a seeded uniform draw."""
-    order = [h32(F.col(key), seed), F.col(key)]
-    return top_k_per_group(df, [label], order, n, rank_col=None, salt_cols=[key])
+    return few_shot_samples(df, n, (seed,), label, key, order).drop("seed")
 
 
 def number_rows(df: DataFrame, order: str = "row_idx", out: str = "k") -> DataFrame:
@@ -64,14 +89,17 @@ def attach_demonstrations(df: DataFrame, pool: DataFrame, seed: int = 42, key: s
                           label: str = "label", order: str = "row_idx",
                           cols=("par_id", "text")) -> DataFrame:
     """One positive and one negative pool row per input row, drawn uniformly
-    with replacement (self-draws allowed).  Pools are numbered 0..n-1 and the
-    draw k = hash(id, seed, side) mod n is an equi-join, never a cross join."""
+    with replacement (self-draws allowed).  Pool rows are numbered 0..n-1 on
+    their order column alone; the draw k = hash(id, seed, side) mod n is an
+    equi-join with those numbers, and the columns of the drawn rows are
+    fetched by place at the end (texts are neither sorted nor written)."""
     out = df
     for side, cls in (("pos", 1), ("neg", 0)):
-        p = pool.filter(F.col(label) == cls).select(order, *cols)
-        n = lit_long(fetch_one(p, n=F.count(F.lit(1)))["n"])
-        numbered = number_rows(p, order, f"_{side}_k").select(
-            f"_{side}_k", *[F.col(c).alias(f"{side}_{c}") for c in cols])
-        out = out.withColumn(f"_{side}_k", pick(n, F.col(key), seed, side)) \
-                 .join(numbered, f"_{side}_k", "left").drop(f"_{side}_k")
+        p = pool.filter(F.col(label) == cls)
+        numbered = number_rows(p.select(order), order, f"_{side}_k").withColumnRenamed(order, f"_{side}_o")
+        n = lit_long(fetch_one(numbered, n=F.count(F.lit(1)))["n"])
+        fetched = p.select(F.col(order).alias(f"_{side}_o"), *[F.col(c).alias(f"{side}_{c}") for c in cols])
+        out = (out.withColumn(f"_{side}_k", pick(n, F.col(key), seed, side))
+                  .join(numbered, f"_{side}_k", "left").join(fetched, f"_{side}_o", "left")
+                  .drop(f"_{side}_k", f"_{side}_o"))
     return out

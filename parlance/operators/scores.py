@@ -40,17 +40,18 @@ def top_k_classes(scores, k: int = 5) -> Column:
     return F.transform(top, lambda s: F.struct(s["class_id"].alias("class_id"), (-s["neg"]).alias("score")))
 
 
-def ensemble_vote(stacked: DataFrame, key: str, num_classes: int, scores: str = "logits") -> DataFrame:
+def ensemble_vote(stacked: DataFrame, key, num_classes: int, scores: str = "logits") -> DataFrame:
     """Mean over models of softmax(scores), then argmax (ties to the lower class).
 
     One aggregate keyed by example: the per-class means are C fixed
     columns, so partial aggregation applies and no second shuffle is needed.
     """
-    p = stacked.select(F.col(key), softmax(scores).alias("_p"))
+    keys = [key] if isinstance(key, str) else list(key)
+    p = stacked.select(*keys, softmax(scores).alias("_p"))
     means = [F.avg(F.element_at("_p", c + 1)).alias(f"_c{c}") for c in range(num_classes)]
-    agg = p.groupBy(key).agg(F.count(F.lit(1)).alias("n_models"), *means)
+    agg = p.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_models"), *means)
     probs = F.array(*[F.col(f"_c{c}") for c in range(num_classes)])
-    return agg.select(key, "n_models", probs.alias("probs")).withColumn("pred", argmax("probs"))
+    return agg.select(*keys, "n_models", probs.alias("probs")).withColumn("pred", argmax("probs"))
 
 
 def cross_entropy_rows(df: DataFrame, scores: str = "logits", target: str = "gold") -> DataFrame:

@@ -12,10 +12,11 @@ SLIM = ("text", "label")
 WIDE = ("text", "label", "orig_label", "art_id", "keyword", "country")
 
 
-def first_per_id(corpus: DataFrame, cols, key: str = "par_id", order: str = "row_idx") -> DataFrame:
-    """The first corpus row (by ``order``) of every id: one partial+final
-    aggregate, output hash-partitioned by ``key`` for the join that follows."""
-    return corpus.groupBy(key).agg(F.min_by(F.struct(*cols), F.col(order)).alias("_r"))
+def first_per_id(corpus: DataFrame, manifest: DataFrame, key: str = "par_id", order: str = "row_idx") -> DataFrame:
+    """(key, _first): the place of the first corpus row of every id of the
+    manifest.  Two narrow columns, a hash aggregate; no other column is read."""
+    wanted = corpus.select(key, order).join(manifest.select(key).distinct(), key, "left_semi")
+    return wanted.groupBy(key).agg(F.min(order).alias("_first"))
 
 
 def rebuild_split(corpus: DataFrame, manifest: DataFrame, cols=SLIM, key: str = "par_id",
@@ -23,28 +24,27 @@ def rebuild_split(corpus: DataFrame, manifest: DataFrame, cols=SLIM, key: str =
                   manifest_cols=("m_idx", "par_id")) -> DataFrame:
     """For every manifest row (repeats kept), the first corpus row with its id.
 
+    ``order`` is unique in the corpus.  The rows are chosen on (key, order)
+    alone; one join on the chosen places then fetches the columns, so a
+    caller that selects ids and labels never reads a text.
     ``on_missing``: 'null' keeps the manifest row with NULL fields, 'drop'
     removes it, 'error' fails the job (the reference raises IndexError).
     """
-    # Only rows whose id is in the manifest are shuffled; the semi-join's
-    # partitioning by id is reused by the aggregate and the final join.
-    # distinct() combines repeated manifest ids map-side first.
-    wanted = corpus.join(manifest.select(key).distinct(), key, "left_semi")
-    first = first_per_id(wanted, cols, key, order)
     how = "inner" if on_missing == "drop" else "left"
-    j = manifest.select(*manifest_cols).join(first, key, how)
+    chosen = manifest.select(*manifest_cols).join(first_per_id(corpus, manifest, key, order), key, how)
     if on_missing == "error":
-        j = j.withColumn("_r", F.coalesce(F.col("_r"), F.raise_error(
+        chosen = chosen.withColumn("_first", F.coalesce(F.col("_first"), F.raise_error(
             F.concat(F.lit("id missing from corpus: "), F.col(key)))))
-    return j.select(*manifest_cols, *[F.col("_r")[c].alias(c) for c in cols])
+    rows = corpus.select(F.col(order).alias("_first"), *[F.col(c).alias(f"_c_{c}") for c in cols])
+    return chosen.join(rows, "_first", "left").select(*manifest_cols, *[F.col(f"_c_{c}").alias(c) for c in cols])
 
 
 def rebuild_split_multilabel(corpus: DataFrame, manifest: DataFrame, key: str = "par_id",
                              order: str = "row_idx") -> DataFrame:
     """Text from the corpus, label from the manifest ("[..]" -> ARRAY<INT>)."""
-    first = first_per_id(corpus.join(manifest.select(key).distinct(), key, "left_semi"), ["text"], key, order)
     m = manifest.select("m_idx", key, parse_category_list("label").alias("label"))
-    return m.join(first, key, "left").select("m_idx", key, F.col("_r.text").alias("text"), "label")
+    return rebuild_split(corpus, m, ["text"], key, order, manifest_cols=("m_idx", key, "label")).select(
+        "m_idx", key, "text", "label")
 
 
 def missing_ids(manifest: DataFrame, corpus: DataFrame, key: str = "par_id") -> DataFrame:
@@ -54,11 +54,13 @@ def missing_ids(manifest: DataFrame, corpus: DataFrame, key: str = "par_id") ->
 def join_on_text(t1: DataFrame, t2: DataFrame, on: str = "text") -> DataFrame:
     """Inner join on text; overlapping columns get _x / _y like pandas.merge.
     Duplicate texts multiply as in the reference; AQE's skew join splits a
-    hot text across tasks."""
+    hot text across tasks.  The join key is the text's SHA-256, so the second
+    table's texts are not shuffled, and the first table's only if selected."""
     common = (set(t1.columns) & set(t2.columns)) - {on}
     a = t1.select(*[F.col(c).alias(f"{c}_x" if c in common else c) for c in t1.columns])
     b = t2.select(*[F.col(c).alias(f"{c}_y" if c in common else c) for c in t2.columns])
-    return a.join(b, on, "inner")
+    a, b = a.withColumn("_k", F.sha2(on, 256)), b.withColumn("_k", F.sha2(on, 256)).drop(on)
+    return a.join(b, "_k", "inner").drop("_k")
 
 
 def union_augmented(base: DataFrame, augmented: DataFrame, origin: str = "origin") -> DataFrame:

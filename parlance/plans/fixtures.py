@@ -14,6 +14,7 @@ from parlance.functions.hashing import pick
 from parlance.operators.labels import binarise
 
 NUM_CATEGORIES = 7
+NUM_MODELS = 6
 # Category names in id order (Task 2).
 CATEGORIES = ["Unbalanced_power_relations", "Shallow_solution", "Presupposition",
               "Authority_voice", "Metaphors", "Compassion", "The_poorer_the_merrier"]
@@ -26,16 +27,11 @@ TEXT_TABLES = {"documents": "doc_id", "conversations": "conv_id", "pages": "page
 
 
 def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-partition a scan that has fewer splits than the cluster has task
-    slots (a single large row group reads as one task).  Call it on a file
-    scan only: its partition count comes from file listing, while asking an
-    adaptive plan for its partitions can execute upstream stages.  Opt-in per
-    query: it pays off where per-text work dominates (tokenising for
-    profiles) and costs more than it saves in join-heavy plans."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= slots:
-        return df
-    return df.repartition(slots, key)
+    """Hash-partition a coarsely split scan into ``spark.parlance.spread``
+    partitions (a single large row group reads as one task).  Unset, the
+    default, the scan stays as it is."""
+    n = df.sparkSession.conf.get("spark.parlance.spread", None)
+    return df.repartition(int(n), key) if n else df
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
@@ -48,8 +44,7 @@ def _grade(df: DataFrame):
 
 def paragraphs(spark: SparkSession, d: str, with_quality: bool = False, spread_text: bool = False) -> DataFrame:
     """Labelled paragraphs: row_idx, par_id, art_id, keyword, country, text, orig_label, label.
-    ``spread_text`` spreads a coarsely split documents scan over all task slots
-    (used by the token-heavy profiling queries; a no-op on finely split input)."""
+    ``spread_text`` lets ``spread`` deal out the documents (token-heavy profiling queries)."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
     if spread_text:
         docs = spread(docs, "doc_id")
@@ -88,6 +83,14 @@ def manifest(spark: SparkSession, d: str) -> DataFrame:
                   .withColumn("split", split_col("par_id")))
 
 
+def messy_manifest(spark: SparkSession, d: str) -> DataFrame:
+    """The manifest with every seventh id listed again at the end and every eleventh unknown to the corpus."""
+    m = manifest(spark, d)
+    unknown = F.when(pick(11, F.col("par_id"), "miss") == 0, F.concat(F.lit("x"), F.col("par_id"))).otherwise(F.col("par_id"))
+    again = m.filter(pick(7, F.col("par_id"), "again") == 0).withColumn("m_idx", F.col("m_idx") + 10 ** 9)
+    return m.unionByName(again).withColumn("par_id", unknown)
+
+
 def unlabelled(spark: SparkSession, d: str) -> DataFrame:
     """Documents without a label row: row_idx, par_id, art_id, keyword, country, text."""
     docs = table(spark, d, "documents").select("doc_id", "text", "lang", "source")
@@ -110,11 +113,12 @@ def spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def logits(spark: SparkSession, d: str) -> DataFrame:
-    """vec_id, gold (0..9), m0/m1/m2: three 10-way score vectors (DOUBLE)."""
+    """vec_id, gold (0..9), m0..m5: six 10-way score vectors, mall: one 64-way vector (DOUBLE)."""
     e = table(spark, d, "embeddings")
     as_d = lambda a: F.transform(a, lambda v: v.cast("double"))
     return e.select("vec_id", F.col("label").alias("gold"),
-                    *[as_d(F.slice("embedding", 10 * m + 1, 10)).alias(f"m{m}") for m in range(3)])
+                    *[as_d(F.slice("embedding", 10 * m + 1, 10)).alias(f"m{m}") for m in range(NUM_MODELS)],
+                    as_d(F.col("embedding")).alias("mall"))
 
 
 # ---------------------------------------------------------------- SQL twins
@@ -170,6 +174,11 @@ M_SQL = f"""M AS (
                {sql_category_vector('CAST(doc_id AS VARCHAR)', 'toxic')} AS vec
         FROM labels))"""
 
+MM_SQL = f"""MM AS (
+  SELECT * REPLACE (CASE WHEN {sql_pick('11', 'par_id', sql_lit('miss'))} = 0 THEN 'x' || par_id ELSE par_id END AS par_id)
+  FROM (SELECT * FROM M UNION ALL
+        SELECT * REPLACE (m_idx + 1000000000 AS m_idx) FROM M WHERE {sql_pick('7', 'par_id', sql_lit('again'))} = 0))"""
+
 U_SQL = """U AS (
   SELECT d.doc_id AS row_idx, CAST(d.doc_id AS VARCHAR) AS par_id,
          CAST(d.doc_id % 100 AS VARCHAR) AS art_id, d.lang AS keyword, d.source AS country, d.text
@@ -181,11 +190,10 @@ S_SQL = """S AS (
          'events' AS keyword, 'all' AS country, event_type AS category, value
   FROM events)"""
 
-L_SQL = """L AS (
-  SELECT vec_id, label AS gold,
-         list_transform(embedding[1:10], lambda v: CAST(v AS DOUBLE)) AS m0,
-         list_transform(embedding[11:20], lambda v: CAST(v AS DOUBLE)) AS m1,
-         list_transform(embedding[21:30], lambda v: CAST(v AS DOUBLE)) AS m2
+L_SQL = f"""L AS (
+  SELECT vec_id, label AS gold, {", ".join(
+      f"list_transform(embedding[{10 * m + 1}:{10 * m + 10}], lambda v: CAST(v AS DOUBLE)) AS m{m}" for m in range(NUM_MODELS))},
+         list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS mall
   FROM embeddings)"""
 
 

@@ -64,12 +64,10 @@ def index_by_order(df: DataFrame, order_cols, out: str = "idx",
     row per partition (size bounded by the partition count, broadcast).
     ``order_cols`` must be a total order for the result to be unique.
     """
-    spark = df.sparkSession
-    shared_dir(spark)
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shared_dir(df.sparkSession)
     order = _cols(order_cols)
-    ranged = _written(df.repartitionByRange(n, *order)
-                        .sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(num_partitions, *order) if num_partitions else df.repartitionByRange(*order)
+    ranged = _written(ranged.sortWithinPartitions(*order)
                         .withColumn("_m", F.monotonically_increasing_id()), "index")
     part = F.shiftright(F.col("_m"), 33)
     counts = ranged.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
@@ -80,33 +78,22 @@ def index_by_order(df: DataFrame, order_cols, out: str = "idx",
                   .drop("_m", "_p", "_off"))
 
 
-def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int,
-                    rank_col: str | None = "rank", salt_cols=None,
-                    salt_buckets: int = 32) -> DataFrame:
-    """Rows ranked 1..k inside each group under ``order_cols`` (a total order).
-
-    For k up to Spark's group-limit threshold one window suffices: a partial
-    group limit runs in every map task before the shuffle, so at most k rows
-    per group and map task are shuffled and a hot group is never sorted whole.
-    Larger k runs two rounds: the top k inside (group, salt) sub-groups, then
-    the top k of the at most k * salt_buckets survivors.
-    """
-    groups = _cols(group_cols)
-    order = _cols(order_cols)
-    limit = int(df.sparkSession.conf.get("spark.sql.optimizer.windowGroupLimitThreshold", "1000"))
-    if k <= limit:
-        # Spark plans a partial group limit before the shuffle: every map task
-        # forwards at most k rows per group, which is the pre-aggregation.
-        name = rank_col or "_rank"
-        out = df.withColumn(name, F.row_number().over(Window.partitionBy(*groups).orderBy(*order)))
-        out = out.filter(F.col(name) <= k)
-        return out if rank_col else out.drop(name)
-    salt_src = _cols(salt_cols) if salt_cols else [F.col(c) for c in df.columns]
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*salt_src), F.lit(salt_buckets)))
-    w1 = Window.partitionBy(*groups, F.col("_salt")).orderBy(*order)
-    first = (salted.withColumn("_r1", F.row_number().over(w1))
-                   .filter(F.col("_r1") <= k).drop("_r1", "_salt"))
-    w2 = Window.partitionBy(*groups).orderBy(*order)
+def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, rank_col: str | None = "rank") -> DataFrame:
+    """Rows ranked 1..k inside each group under ``order_cols`` (a total order),
+    for small k: Spark plans a partial group limit before the shuffle, so
+    every map task forwards at most k rows per group.  That limit stops at
+    ``spark.sql.optimizer.windowGroupLimitThreshold``; ``sampling`` draws
+    larger samples by a threshold instead of a ranking."""
     name = rank_col or "_rank"
-    out = first.withColumn(name, F.row_number().over(w2)).filter(F.col(name) <= k)
+    ranked = F.row_number().over(Window.partitionBy(*_cols(group_cols)).orderBy(*_cols(order_cols)))
+    out = df.withColumn(name, ranked).filter(F.col(name) <= k)
     return out if rank_col else out.drop(name)
+
+
+BROADCAST_ROWS = 500_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """Hint a broadcast of a table whose counted ``rows`` stay under ``limit``
+    (a few dozen MB of words and numbers); beyond it the join shuffles."""
+    return F.broadcast(df) if rows <= limit else df

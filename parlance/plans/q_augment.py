@@ -7,14 +7,16 @@ from pyspark.sql import functions as F
 from parlance.functions.text import token_count, tokens
 from parlance.operators import augment as ag
 from parlance.operators import splits as sl
-from parlance.plans.fixtures import sql_h, sql_tokens, with_ctes
-from parlance.plans.q_splits import BASE, _split
+from parlance.plans.fixtures import manifest, messy_manifest, sql_h, sql_tokens, with_ctes
+from parlance.plans.ordering import materialize
+from parlance.plans.q_splits import BASE, MESSY, _split
 from parlance.plans.registry import register
 from parlance.session import scratch_path
 from parlance.sources import readers as rd
 from parlance.sources import sinks as sk
 
 P30 = int(round(100 * ag.AUG_P))
+AUG_ROUNDS = ag.ROUNDS
 
 
 def _hit(op, i):
@@ -49,11 +51,11 @@ def sql_bigram_step(src, dst, op):
              else "CASE WHEN BG.succ IS NOT NULL THEN [x, BG.succ] ELSE [x] END")
     agg = f"list({'[' + piece + ']' if op == 'sub' else piece} ORDER BY i0)"
     return (
-        f"{dst}X AS (SELECT par_id, rnd, i0, t[i0 + 1] AS x, CASE WHEN {cond} THEN {look} END AS lk "
-        f"FROM (SELECT par_id, rnd, t, unnest(range(len(t))) AS i0 FROM {src}))",
+        f"{dst}X AS (SELECT m_idx, rnd, i0, t[i0 + 1] AS x, CASE WHEN {cond} THEN {look} END AS lk "
+        f"FROM (SELECT m_idx, par_id, rnd, t, unnest(range(len(t))) AS i0 FROM {src}))",
         f"{dst} AS (SELECT S.*, coalesce(flatten(N.nt), []) AS nt FROM {src} S LEFT JOIN ("
-        f"SELECT par_id, rnd, {agg} AS nt FROM {dst}X LEFT JOIN BG ON BG.l = {dst}X.lk GROUP BY par_id, rnd) N "
-        f"USING (par_id, rnd))",
+        f"SELECT m_idx, rnd, {agg} AS nt FROM {dst}X LEFT JOIN BG ON BG.l = {dst}X.lk GROUP BY m_idx, rnd) N "
+        f"USING (m_idx, rnd))",
     )
 
 
@@ -76,28 +78,37 @@ def _aug_ctes(rounds, through):
     return ctes, "A4"
 
 
-def _aug_sql(through, rounds, body):
+def _aug_sql(through, rounds, body, base=BASE, more=()):
     ctes, last = _aug_ctes(rounds, through)
-    return with_ctes(*BASE, *BIGRAM_CTES, *ctes, body=body.replace("{last}", last))
+    more = [c.replace("{last}", last) for c in more]
+    return with_ctes(*base, *BIGRAM_CTES, *ctes, *more, body=body.replace("{last}", last))
 
 
-def _pos(spark, d):
-    tr = _split(spark, d, "train")
+def train_split(spark, d, ids=manifest):
+    """The training split, written once: positives, bigrams and the union read it."""
+    return materialize(_split(spark, d, "train", ids=ids))
+
+
+def _pos(tr):
     return tr.filter(F.col("label") == 1).select("par_id", "art_id", "keyword", "country", "orig_label", "label", "m_idx", "text")
 
 
+def augmented(tr):
+    return ag.augment_positives(_pos(tr), ag.bigram_table(tr))
+
+
 def _edited(spark, d, through, rounds):
-    pos = _pos(spark, d)
-    x = pos.select("par_id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), tokens("text").alias("_t"))
+    tr = train_split(spark, d) if through in ("substitute", "insert") else _split(spark, d, "train")
+    x = _pos(tr).select("m_idx", "par_id", F.explode(F.sequence(F.lit(1), F.lit(rounds))).alias("round"), tokens("text").alias("_t"))
     k, r = F.col("par_id"), F.col("round")
     x = x.withColumn("_t", ag.swap_words(F.col("_t"), k, r))
     if through in ("delete", "substitute", "insert"):
         x = x.withColumn("_t", ag.delete_words(F.col("_t"), k, r))
     if through in ("substitute", "insert"):
-        big = ag.bigram_table(_split(spark, d, "train"))
-        x = ag.substitute_words(x, ("par_id", "round"), "_t", big)
+        big = ag.bigram_table(tr)
+        x = ag.substitute_words(x, ("m_idx", "round"), "_t", big)
         if through == "insert":
-            x = ag.insert_words(x, ("par_id", "round"), "_t", big)
+            x = ag.insert_words(x, ("m_idx", "round"), "_t", big)
     return x.select("par_id", "round", F.array_join("_t", " ").alias("text"))
 
 
@@ -122,8 +133,13 @@ _AUG_BODY = ("SELECT par_id, art_id, keyword, country, orig_label, label, m_idx,
 
 @register("augment_positives", _aug_sql("insert", ag.ROUNDS, _AUG_BODY))
 def q_augment(spark, d):
-    big = ag.bigram_table(_split(spark, d, "train"))
-    return ag.augment_positives(_pos(spark, d), big)
+    return augmented(train_split(spark, d))
+
+
+@register("augment_positives_messy", _aug_sql("insert", ag.ROUNDS, _AUG_BODY, MESSY))
+def q_augment_messy(spark, d):
+    """A manifest that repeats and misses ids: copies per manifest row."""
+    return augmented(train_split(spark, d, messy_manifest))
 
 
 @register("union_augmented", _aug_sql("insert", ag.ROUNDS, """
@@ -131,18 +147,16 @@ SELECT par_id, 'base' AS origin, label, keyword, CAST(NULL AS INTEGER) AS round,
 UNION ALL
 SELECT par_id, 'aug' AS origin, label, keyword, CAST(rnd AS INTEGER) AS round, array_to_string(t, ' ') AS text FROM {last}"""))
 def q_union_aug(spark, d):
-    tr = _split(spark, d, "train").select("par_id", "label", "keyword", "text")
-    big = ag.bigram_table(_split(spark, d, "train"))
-    aug = ag.augment_positives(_pos(spark, d), big).select("par_id", "label", "keyword", "round", "text")
-    return sl.union_augmented(tr, aug).select("par_id", "origin", "label", "keyword", "round", "text")
+    tr = train_split(spark, d)
+    aug = augmented(tr).select("par_id", "label", "keyword", "round", "text")
+    return sl.union_augmented(tr.select("par_id", "label", "keyword", "text"), aug).select("par_id", "origin", "label", "keyword", "round", "text")
 
 
 @register("sink_augmented_tsv", _aug_sql("insert", ag.ROUNDS, f"""
 SELECT row_number() OVER (ORDER BY m_idx, rnd) - 1 AS row_idx, par_id, array_to_string(t, ' ') AS text, orig_label,
        CASE WHEN orig_label IN ('0', '1') THEN 0 ELSE 1 END AS label FROM {{last}}"""))
 def q_sink_aug(spark, d):
-    big = ag.bigram_table(_split(spark, d, "train"))
-    aug = ag.augment_positives(_pos(spark, d), big)
+    aug = augmented(train_split(spark, d))
     path = sk.write_augmented_tsv(aug, scratch_path(spark, "augment"), order=["m_idx", "round"])
     return rd.read_labelled_tsv(spark, path).select("row_idx", "par_id", "text", "orig_label", "label")
 
@@ -154,7 +168,7 @@ from parlance.plans.fixtures import table  # noqa: E402
 
 
 def _cand_inputs(spark, d):
-    src = _pos(spark, d).select(F.col("par_id").alias("src_id"), "keyword", "text")
+    src = _pos(_split(spark, d, "train")).select(F.col("par_id").alias("src_id"), "keyword", "text")
     corpus = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("cand_id"),
                                                  F.col("lang").alias("keyword"), "text")
     return src, corpus
@@ -180,7 +194,7 @@ CAND_CTES = (
 SELECT src_id, cand_id, round(adequacy, 9) AS adequacy, round(fluency, 9) AS fluency FROM V"""))
 def q_candidate_pairs(spark, d):
     src, corpus = _cand_inputs(spark, d)
-    r = cd.rank_candidates(src, corpus, k=1 << 30)
+    r = cd.candidate_pairs(src, corpus)
     return r.select("src_id", "cand_id", F.round("adequacy", 9).alias("adequacy"), F.round("fluency", 9).alias("fluency"))
 
 

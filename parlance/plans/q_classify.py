@@ -9,18 +9,19 @@ from parlance.operators import labels as lb
 from parlance.operators import metrics as mt
 from parlance.operators import sampling as sp
 from parlance.operators import splits as sl
-from parlance.plans.fixtures import (L_SQL, M_SQL, NUM_CATEGORIES, P_SQL, U_SQL, logits, manifest, paragraphs,
+from parlance.plans.fixtures import (L_SQL, M_SQL, NUM_CATEGORIES, P_SQL, U_SQL, logits, manifest, messy_manifest, paragraphs,
                                      sql_pick, sql_tokens, unlabelled, with_ctes)
+from parlance.plans.q_augment import AUG_ROUNDS, _aug_sql, augmented, train_split
 from parlance.plans.q_metrics import sql_counts, sql_prf
-from parlance.plans.q_splits import BASE, ML_SQL, _downsample_sql, _split
+from parlance.plans.q_splits import BASE, MESSY, ML_SQL, SMALL_SHOT, _downsample_sql, _split
 from parlance.plans.ordering import materialize
 from parlance.plans.registry import register
 
 R6 = 6
 
 
-def nb_sql(train: str, docs: str, p: str, doc_cols: str = "label") -> list[str]:
-    """CTEs ``{p}LO`` (word model), ``{p}SC`` (par_id, doc_cols, score)."""
+def nb_sql(train: str, docs: str, p: str, doc_cols: str = "par_id, label", key: str = "m_idx") -> list[str]:
+    """CTEs ``{p}LO`` (word model), ``{p}SC`` (key, doc_cols, score)."""
     return [
         f"{p}TW AS (SELECT label, unnest({sql_tokens('lower(text)')}) AS word FROM {train})",
         f"{p}NB AS (SELECT word, count(*) FILTER (WHERE label = 1) AS c1, count(*) FILTER (WHERE label = 0) AS c0 "
@@ -29,11 +30,11 @@ def nb_sql(train: str, docs: str, p: str, doc_cols: str = "label") -> list[str]:
         f"{p}LO AS (SELECT word, c1, c0, ln((c1 + 1) / (n1 + v)) - ln((c0 + 1) / (n0 + v)) AS lo FROM {p}NB, {p}K)",
         f"{p}PR AS (SELECT ln((count(*) FILTER (WHERE label = 1) + 1) / (count(*) FILTER (WHERE label = 0) + 1)) AS prior "
         f"FROM {train})",
-        f"{p}DW AS (SELECT par_id, word, count(*) AS tf FROM (SELECT par_id, unnest({sql_tokens('lower(text)')}) AS word "
+        f"{p}DW AS (SELECT {key}, word, count(*) AS tf FROM (SELECT {key}, unnest({sql_tokens('lower(text)')}) AS word "
         f"FROM {docs}) GROUP BY ALL)",
-        f"{p}DS AS (SELECT par_id, sum(tf * lo) AS s FROM {p}DW JOIN {p}LO USING (word) GROUP BY par_id)",
-        f"{p}SC AS (SELECT D.par_id{(', ' + doc_cols) if doc_cols else ''}, (SELECT prior FROM {p}PR) + coalesce(S.s, 0.0) AS score "
-        f"FROM {docs} D LEFT JOIN {p}DS S USING (par_id))",
+        f"{p}DS AS (SELECT {key}, sum(tf * lo) AS s FROM {p}DW JOIN {p}LO USING (word) GROUP BY {key})",
+        f"{p}SC AS (SELECT D.{key}, {doc_cols}, (SELECT prior FROM {p}PR) + coalesce(S.s, 0.0) AS score "
+        f"FROM {docs} D LEFT JOIN {p}DS S USING ({key}))",
     ]
 
 
@@ -69,7 +70,27 @@ def q_classify(spark, d):
 
 @register("classify_binary_biased", with_ctes(*BASE, *nb_sql("TR", "DV", "NB1"), body=_scored_sql("NB1")))
 def q_classify_biased(spark, d):
-    return _round_score(cl.classify_binary(_split(spark, d, "train"), _split(spark, d, "dev")))
+    train = materialize(_split(spark, d, "train").select("text", "label"))
+    return _round_score(cl.classify_binary(train, _split(spark, d, "dev")))
+
+
+@register("classify_binary_augmented", _aug_sql("insert", AUG_ROUNDS, _scored_sql("NB1"), more=(
+    "TRA AS (SELECT text, label FROM TR UNION ALL SELECT array_to_string(t, ' ') AS text, label FROM {last})",
+    *nb_sql("TRA", "DV", "NB1"))))
+def q_classify_augmented(spark, d):
+    """Training on the split together with the augmented copies of its positives."""
+    tr = train_split(spark, d)
+    union = sl.union_augmented(tr.select("text", "label"), augmented(tr).select("text", "label"))
+    return _round_score(cl.classify_binary(materialize(union), _split(spark, d, "dev")))
+
+
+@register("classify_binary_messy", with_ctes(*MESSY, *nb_sql("TR", "DV", "NB1"), body=f"""
+SELECT m_idx, par_id, label, round(score, {R6}) AS score, CAST(score > 0 AS INTEGER) AS pred FROM NB1SC"""))
+def q_classify_messy(spark, d):
+    """Splits whose manifest repeats and misses ids: one score per manifest row."""
+    train = materialize(_split(spark, d, "train", ids=messy_manifest).select("text", "label"))
+    out = cl.classify_binary(train, _split(spark, d, "dev", ids=messy_manifest))
+    return out.select("m_idx", "par_id", "label", F.round("score", R6).alias("score"), "pred")
 
 
 @register("classify_binary_eval", with_ctes(*BASE, DS_SQL, *nb_sql("TRD", "DV", "NB1"),
@@ -79,11 +100,11 @@ def q_classify_eval(spark, d):
     return mt.prf1(cl.classify_binary(_train_down(spark, d), _split(spark, d, "dev")))
 
 
-@register("batch_score", with_ctes(*BASE, U_SQL, DS_SQL, *nb_sql("TRD", "U", "NB1", doc_cols="row_idx"), body=f"""
+@register("batch_score", with_ctes(*BASE, U_SQL, DS_SQL, *nb_sql("TRD", "U", "NB1", "par_id", "row_idx"), body=f"""
 SELECT par_id, row_idx, round(score, {R6}) AS score, CAST(score > 0 AS INTEGER) AS pred FROM NB1SC"""))
 def q_batch_score(spark, d):
     train = _train_down(spark, d)
-    out = cl.nb_score(unlabelled(spark, d), cl.nb_word_scores(train), cl.nb_prior(train), keep=("row_idx",))
+    out = cl.nb_score(unlabelled(spark, d), cl.nb_word_scores(train), cl.nb_prior(train), keep=("par_id",))
     return out.select("par_id", "row_idx", F.round("score", R6).alias("score"), "pred")
 
 
@@ -120,17 +141,17 @@ def q_classify_ml(spark, d):
     tr = materialize(sl.rebuild_split_multilabel(paragraphs(spark, d), m.filter(F.col("split") == "train")))
     dv = sl.rebuild_split_multilabel(paragraphs(spark, d), m.filter(F.col("split") == "dev"))
     out = cl.classify_multilabel(tr, dv, NUM_CATEGORIES)
-    return out.join(dv.select("par_id", "label"), "par_id").select(
+    return out.select(
         "par_id", lb.render_ints("label").alias("gold"), lb.render_ints("pred").alias("pred"))
 
 
 # ---------------------------------------------------------------- seed ensemble
 
-def _ens_sql():
+def _ens_sql(n):
     ctes = []
     for s in sp.SEEDS:
         ctes.append(f"""F{s} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY
-            {sql_pick('4294967296', 'par_id', f"'{s}'")}, par_id) AS rn FROM TR) WHERE rn <= {sp.FEW_SHOT_PER_LABEL})""")
+            {sql_pick('4294967296', 'par_id', f"'{s}'")}, par_id) AS rn FROM TR) WHERE rn <= {n})""")
         ctes += nb_sql(f"F{s}", "DV", f"E{s}")
     union = " UNION ALL ".join(f"SELECT par_id, label, score FROM E{s}SC" for s in sp.SEEDS)
     ctes.append(f"ES AS ({union})")
@@ -140,27 +161,37 @@ def _ens_sql():
     return ctes
 
 
-@register("seed_ensemble", with_ctes(*BASE, *_ens_sql(), body="""
-SELECT par_id, label, n_models, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS pred FROM EP"""))
+_ENS_BODY = "SELECT par_id, label, n_models, CASE WHEN p1 > p0 THEN 1 ELSE 0 END AS pred FROM EP"
+
+
+def _seed_ensemble(spark, d, n):
+    tr = materialize(_split(spark, d, "train").select("m_idx", "par_id", "label", "text"))
+    return cl.seed_ensemble(tr, _split(spark, d, "dev"), sp.SEEDS, n).select("par_id", "label", "n_models", "pred")
+
+
+@register("seed_ensemble", with_ctes(*BASE, *_ens_sql(sp.FEW_SHOT_PER_LABEL), body=_ENS_BODY))
 def q_seed_ensemble(spark, d):
-    tr = _split(spark, d, "train").select("par_id", "label", "text")
-    dv = _split(spark, d, "dev")
-    v = cl.seed_ensemble(tr, dv, sp.SEEDS, sp.FEW_SHOT_PER_LABEL)
-    return v.join(dv.select("par_id", "label"), "par_id").select("par_id", "label", "n_models", "pred")
+    return _seed_ensemble(spark, d, sp.FEW_SHOT_PER_LABEL)
+
+
+@register("seed_ensemble_small", with_ctes(*BASE, *_ens_sql(SMALL_SHOT), body=_ENS_BODY))
+def q_seed_ensemble_small(spark, d):
+    """Samples below the class sizes, so the five members differ."""
+    return _seed_ensemble(spark, d, SMALL_SHOT)
 
 
 # ---------------------------------------------------------------- verbaliser and ML pipeline
 
-# Label words per class in the logit fixture (word j = score j).
-VERBALIZER_ROWS = [(0, "w0"), (0, "w1"), (0, "w2"), (1, "w3"), (1, "w4"), (1, "w5")]
+# Label words per class in the logit fixture (word j = score j): half of the words each.
+VERBALIZER_ROWS = [(j // 32, f"w{j}") for j in range(64)]
 
 
 @register("verbaliser_scores", with_ctes(L_SQL, body=f"""
-SELECT vec_id, CAST(c AS INTEGER) AS class_id, round(avg(m0[3 * c + k]), 9) AS score
-FROM L, range(0, 2) cc(c), range(1, 4) kk(k) GROUP BY vec_id, c"""))
+SELECT vec_id, CAST(c AS INTEGER) AS class_id, round(avg(mall[32 * c + k]), 9) AS score
+FROM L, range(0, 2) cc(c), range(1, 33) kk(k) GROUP BY vec_id, c"""))
 def q_verbaliser(spark, d):
     lg = logits(spark, d)
-    ws = lg.select("vec_id", F.posexplode(F.slice("m0", 1, 6)).alias("j", "score")) \
+    ws = lg.select("vec_id", F.posexplode("mall").alias("j", "score")) \
            .select("vec_id", F.concat(F.lit("w"), F.col("j").cast("string")).alias("word"), "score")
     verb = spark.createDataFrame(VERBALIZER_ROWS, "class_id int, word string")
     out = cl.verbaliser_scores(ws, verb, "vec_id")
@@ -173,7 +204,7 @@ def q_classify_pipeline(spark, d):
 
 
 @register("stream_batch_score", ORACLE_BATCH_SCORE := with_ctes(*BASE, U_SQL, DS_SQL,
-                                                              *nb_sql("TRD", "U", "NB1", doc_cols="row_idx"), body=f"""
+                                                              *nb_sql("TRD", "U", "NB1", "par_id", "row_idx"), body=f"""
 SELECT par_id, row_idx, round(score, {R6}) AS score, CAST(score > 0 AS INTEGER) AS pred FROM NB1SC"""))
 def q_stream_score(spark, d):
     """batch_score over a file stream of the documents table (micro-batches
@@ -183,6 +214,6 @@ def q_stream_score(spark, d):
     train = _train_down(spark, d)
     model, prior = freeze_model(spark, cl.nb_word_scores(train), cl.nb_prior(train))
     labelled = table(spark, d, "labels").select(F.col("doc_id").cast("string").alias("par_id"))
-    out = score_stream(spark, d, model, prior, exclude=labelled)
+    out = score_stream(spark, f"{d}/documents.parquet", model, prior, exclude=labelled)
     res = spark.read.parquet(out)
     return res.select("par_id", "row_idx", F.round("score", R6).alias("score"), "pred")

@@ -10,7 +10,13 @@ from parlance.operators import prompts as pm
 from parlance.operators import splits as sl
 from parlance.plans.fixtures import (CATEGORIES, EVENT_CATEGORIES, M_SQL, P_SQL, S_SQL, U_SQL, manifest,
                                      paragraphs, spans, sql_collapse, sql_token_count, unlabelled, with_ctes)
-from parlance.plans.q_splits import BASE, _split
+from parlance.operators import classify as cl
+from parlance.operators import metrics as mt
+from parlance.operators import sampling as sp
+from parlance.plans.ordering import materialize
+from parlance.plans.q_classify import nb_sql
+from parlance.plans.q_metrics import sql_counts, sql_prf
+from parlance.plans.q_splits import BASE, _downsample_sql, _split
 from parlance.plans.q_text import PCL_SQL
 from parlance.plans.registry import register
 from parlance.session import scratch_path
@@ -64,12 +70,34 @@ def q_src_unlabelled(spark, d):
     return rd.read_unlabelled_tsv(spark, path)
 
 
-@register("src_split_manifest", with_ctes(M_SQL, body="SELECT par_id, label FROM M"))
+@register("src_split_manifest", with_ctes(M_SQL, body="""
+SELECT row_number() OVER (ORDER BY m_idx) - 1 AS m_idx, par_id, label FROM M"""))
 def q_src_manifest(spark, d):
     path = sk.write_manifest_csv(manifest(spark, d), scratch_path(spark, "manifest"))
     return rd.read_split_manifest(spark, path)
 
 
+@register("manifest_to_downsample", with_ctes(*BASE, body=_downsample_sql(
+    "(SELECT * REPLACE (row_number() OVER (ORDER BY m_idx) - 1 AS m_idx) FROM TR)", 2)))
+def q_manifest_chain(spark, d):
+    """Manifest file, split rebuilt from it, negatives downsampled in file order."""
+    m = manifest(spark, d).filter(F.col("split") == "train")
+    path = sk.write_manifest_csv(m, scratch_path(spark, "manifest"))
+    r = sl.rebuild_split(paragraphs(spark, d), rd.read_split_manifest(spark, path), ["label"])
+    return sp.downsample_negatives(materialize(r.select("par_id", "label", "m_idx")), 2, order="m_idx")
+
+
+@register("predict_file_eval", with_ctes(*BASE, *nb_sql("TR", "DV", "NB1"), f"""
+C AS (SELECT {sql_counts('label', 'CAST(score > 0 AS INTEGER)')} FROM NB1SC)""", body=f"SELECT tp, fp, fn, tn, {sql_prf()} FROM C"))
+def q_predict_file_eval(spark, d):
+    """Train, predict the dev split, write one prediction per line, read the file back, align, evaluate."""
+    train = materialize(_split(spark, d, "train").select("text", "label"))
+    dev = _split(spark, d, "dev")
+    path = sk.write_label_lines(cl.classify_binary(train, dev), scratch_path(spark, "dev_preds"), order=["m_idx"])
+    gold = dev.select("par_id", "label", "m_idx")
+    return mt.prf1(sl.align_by_position(gold, ["m_idx"], rd.read_label_lines(spark, path), "row_idx"))
+
+
 @register("src_prompt_pairs", with_ctes(*BASE, body=f"""
 SELECT row_number() OVER (ORDER BY m_idx) - 1 AS row_idx,
        {sql_collapse('text')} || ' </s> <mask> , this paragraph is ' || {PCL_SQL} || ' for ' || keyword || ' .' AS source,

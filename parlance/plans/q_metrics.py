@@ -63,6 +63,20 @@ def q_prf1_slice(spark, d):
     return mt.prf1_by_slice(x, slices)
 
 
+@register("prf1_by_slice_model", with_ctes(P_SQL, """
+X2 AS (SELECT 'labels' AS model, *, 1 - quality AS pred FROM P
+       UNION ALL SELECT 'length' AS model, *, CAST(length(text) < 1000 AS INTEGER) AS pred FROM P)""", f"""
+C AS (SELECT model, 'keyword' AS slice, keyword AS value, count(*) AS n, {sql_counts(with_tn=False)} FROM X2 GROUP BY ALL)""",
+                                           body=f"SELECT model, slice, value, n, tp, fp, fn, {sql_prf()} FROM C"))
+def q_prf1_slice_model(spark, d):
+    """Per-slice scores of several models side by side, in one aggregate."""
+    p = paragraphs(spark, d, with_quality=True)
+    preds = F.array(F.struct(F.lit("labels").alias("model"), (1 - F.col("quality")).cast("int").alias("pred")),
+                    F.struct(F.lit("length").alias("model"), (F.length("text") < 1000).cast("int").alias("pred")))
+    x = p.select("label", "keyword", F.explode(preds).alias("m")).select("label", "keyword", "m.model", "m.pred")
+    return mt.prf1_by_slice(x, {"keyword": F.col("keyword")}, by=("model",))
+
+
 @register("prediction_distribution", with_ctes(P_SQL, X_SQL, body="SELECT pred, count(*) AS n FROM X GROUP BY pred"))
 def q_pred_dist(spark, d):
     return mt.prediction_distribution(_scored(spark, d))
@@ -122,10 +136,11 @@ C AS (SELECT class_id, {sql_counts('g', 'p', with_tn=False)}, count(*) FILTER (W
 SELECT CAST(class_id AS INTEGER) AS class_id, support, tp, fp, fn, {sql_prf()} FROM C"""))
 def q_multilabel_prf1(spark, d):
     s = _span_ids(spark, d)
-    hi = s.withColumn("category_id", F.when(F.col("value") >= HIGH_VALUE, F.col("category_id")))
-    gold = cat.span_to_multihot(s, NUM_CATEGORIES).select(*cat.SPAN_KEY, F.col("label").alias("gold"))
-    pred = cat.span_to_multihot(hi, NUM_CATEGORIES).select(*cat.SPAN_KEY, F.col("label").alias("pred"))
-    return mt.multilabel_prf1(gold.join(pred, list(cat.SPAN_KEY)))
+    # Gold and predicted vectors from one aggregate.
+    flags = lambda cond: F.array(*[F.max(F.when((F.col("category_id") == c) & cond, 1).otherwise(0))
+                                   for c in range(NUM_CATEGORIES)])
+    both = s.groupBy(*cat.SPAN_KEY).agg(flags(F.lit(True)).alias("gold"), flags(F.col("value") >= HIGH_VALUE).alias("pred"))
+    return mt.multilabel_prf1(both)
 
 
 # ---------------------------------------------------------------- manifest labels

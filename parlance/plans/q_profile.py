@@ -8,6 +8,7 @@ from parlance.functions.text import lower_tokens, token_count
 from parlance.operators import labels as lb
 from parlance.operators import profile as pr
 from parlance.plans.fixtures import P_SQL, paragraphs, sql_token_count, sql_tokens, with_ctes
+from parlance.plans.ordering import materialize
 from parlance.plans.registry import register
 
 PT = f"""PT AS (SELECT *, {sql_token_count('text')} AS n_tokens FROM P)"""
@@ -132,7 +133,7 @@ SELECT 'all' AS scope, 0.98::DOUBLE AS p, quantile_cont(n_tokens, 0.98) AS value
 UNION ALL
 SELECT 'positive' AS scope, 0.9::DOUBLE AS p, quantile_cont(n_tokens, 0.9) AS value FROM PT WHERE label = 1"""))
 def q_len_pct(spark, d):
-    pt = _pt(spark, d)
+    pt = materialize(_pt(spark, d).select("label", "n_tokens"))
     a = pr.token_length_percentiles(pt).select(F.lit("all").alias("scope"), "p", "value")
     b = pr.token_length_percentiles(pt.filter("label = 1"), percentiles=(0.9,)) \
           .select(F.lit("positive").alias("scope"), "p", "value")

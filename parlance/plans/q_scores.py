@@ -9,7 +9,7 @@ from parlance.operators import labels as lb
 from parlance.operators import metrics as mt
 from parlance.operators import runs as rn
 from parlance.operators import scores as sc
-from parlance.plans.fixtures import L_SQL, logits, table, with_ctes
+from parlance.plans.fixtures import L_SQL, NUM_MODELS, logits, table, with_ctes
 from parlance.plans.ordering import index_by_order
 from parlance.plans.q_metrics import sql_prf
 from parlance.plans.registry import register
@@ -17,15 +17,17 @@ from parlance.plans.registry import register
 R9 = 9
 
 
-def _long_sql(models=(0, 1, 2)):
+def _long_sql(models=range(NUM_MODELS)):
     return " UNION ALL ".join(
         f"SELECT {m} AS model_id, vec_id, CAST(i - 1 AS INTEGER) AS class_id, m{m}[i] AS logit, gold "
         f"FROM L, range(1, 11) r(i)" for m in models)
 
 
 def _stacked(spark, d):
-    lg = logits(spark, d)
-    return sc.stack_models({m: lg.select("vec_id", F.col(f"m{m}").alias("logits")) for m in range(3)}, "vec_id")
+    """Every model's vector as a row, from one scan."""
+    each = F.array(*[F.struct(F.lit(m).alias("model_id"), F.col(f"m{m}").alias("logits")) for m in range(NUM_MODELS)])
+    return logits(spark, d).select("vec_id", "gold", F.explode(each).alias("m")).select(
+        F.col("m.model_id"), "vec_id", "gold", F.col("m.logits"))
 
 
 @register("stack_models", with_ctes(L_SQL, body=f"SELECT model_id, vec_id, class_id, logit FROM ({_long_sql()})"))
@@ -35,7 +37,7 @@ def q_stack(spark, d):
 
 @register("argmax_class", with_ctes(L_SQL, body=" UNION ALL ".join(
     f"SELECT {m} AS model_id, vec_id, CAST(list_position(m{m}, list_max(m{m})) - 1 AS INTEGER) AS pred FROM L"
-    for m in range(3))))
+    for m in range(NUM_MODELS))))
 def q_argmax(spark, d):
     return _stacked(spark, d).select("model_id", "vec_id", argmax("logits").alias("pred"))
 
@@ -48,43 +50,40 @@ SOFT_SQL = f"""SM AS (SELECT model_id, vec_id, class_id, gold,
 
 @register("softmax_scores", with_ctes(L_SQL, body=f"""
 SELECT vec_id, CAST(i - 1 AS INTEGER) AS class_id,
-       round(exp(m0[i] - list_max(m0)) / list_sum(list_transform(m0, lambda v: exp(v - list_max(m0)))), {R9}) AS prob
-FROM L, range(1, 11) r(i)"""))
+       round(exp(mall[i] - list_max(mall)) / list_sum(list_transform(mall, lambda v: exp(v - list_max(mall)))), {R9}) AS prob
+FROM L, range(1, 65) r(i)"""))
 def q_softmax(spark, d):
     lg = logits(spark, d)
-    s = sc.explode_classes(lg.select("vec_id", softmax("m0").alias("p")), ["vec_id"], "p", "prob")
+    s = sc.explode_classes(lg.select("vec_id", softmax("mall").alias("p")), ["vec_id"], "p", "prob")
     return s.withColumn("prob", F.round("prob", R9))
 
 
 @register("ensemble_vote", with_ctes(L_SQL, f"""
 S AS (SELECT m, vec_id, gold, i - 1 AS class_id,
              exp(x[i] - list_max(x)) / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))) AS p
-      FROM (SELECT 0 AS m, vec_id, gold, m0 AS x FROM L UNION ALL SELECT 1, vec_id, gold, m1 FROM L
-            UNION ALL SELECT 2, vec_id, gold, m2 FROM L), range(1, 11) r(i))""",
+      FROM ({" UNION ALL ".join(f"SELECT {m} AS m, vec_id, gold, m{m} AS x FROM L" for m in range(NUM_MODELS))}), range(1, 11) r(i))""",
                                      "A AS (SELECT vec_id, gold, class_id, avg(p) AS p, count(*) AS n_models FROM S GROUP BY ALL)",
                                      body="""
 SELECT vec_id, gold, n_models, CAST(class_id AS INTEGER) AS pred FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class_id) AS rn FROM A) WHERE rn = 1"""))
 def q_ensemble(spark, d):
-    v = sc.ensemble_vote(_stacked(spark, d), "vec_id", 10)
-    gold = table(spark, d, "embeddings").select("vec_id", F.col("label").alias("gold"))
-    return v.join(gold, "vec_id").select("vec_id", "gold", "n_models", "pred")
+    return sc.ensemble_vote(_stacked(spark, d), ["vec_id", "gold"], 10).select("vec_id", "gold", "n_models", "pred")
 
 
 @register("top_k_classes", with_ctes(L_SQL, f"""
 S AS (SELECT vec_id, i - 1 AS class_id,
-             exp(m0[i] - list_max(m0)) / list_sum(list_transform(m0, lambda v: exp(v - list_max(m0)))) AS p
-      FROM L, range(1, 11) r(i))""", body=f"""
+             exp(mall[i] - list_max(mall)) / list_sum(list_transform(mall, lambda v: exp(v - list_max(mall)))) AS p
+      FROM L, range(1, 65) r(i))""", body=f"""
 SELECT vec_id, CAST(rank AS INTEGER) AS rank, CAST(class_id AS INTEGER) AS class_id, round(p, {R9}) AS prob FROM (
   SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class_id) AS rank FROM S) WHERE rank <= 5"""))
 def q_topk_classes(spark, d):
-    lg = logits(spark, d).select("vec_id", sc.top_k_classes(softmax("m0"), 5).alias("t"))
+    lg = logits(spark, d).select("vec_id", sc.top_k_classes(softmax("mall"), 5).alias("t"))
     x = lg.select("vec_id", F.posexplode("t").alias("rank", "c"))
     return x.select("vec_id", (F.col("rank") + 1).cast("int").alias("rank"), F.col("c.class_id").cast("int").alias("class_id"),
                     F.round("c.score", R9).alias("prob"))
 
 
-LOGP = "(m0[gold + 1] - list_max(m0) - ln(list_sum(list_transform(m0, lambda v: exp(v - list_max(m0))))))"
+LOGP = "(mall[gold + 1] - list_max(mall) - ln(list_sum(list_transform(mall, lambda v: exp(v - list_max(mall))))))"
 
 
 @register("cross_entropy", with_ctes(L_SQL, f"""
@@ -94,7 +93,7 @@ CE AS (SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, -{LOGP} AS loss FR
 SELECT CAST(sum(bn) AS BIGINT) AS n_rows, count(*) AS n_batches, round(sum(bs) / sum(bn), {R9}) AS loss_row_mean,
        round(avg(bl), {R9}) AS loss_batch_mean FROM B"""))
 def q_ce(spark, d):
-    lg = index_by_order(logits(spark, d).select("vec_id", "gold", F.col("m0").alias("logits")), ["vec_id"], "pos")
+    lg = index_by_order(logits(spark, d).select("vec_id", "gold", F.col("mall").alias("logits")), ["vec_id"], "pos")
     out = sc.cross_entropy(lg, "pos", 32)
     return out.select("n_rows", "n_batches", F.round("loss_row_mean", R9).alias("loss_row_mean"),
                       F.round("loss_batch_mean", R9).alias("loss_batch_mean"))
@@ -105,7 +104,7 @@ W AS (SELECT gold, (SELECT count(*) FROM L) / ((SELECT count(DISTINCT gold) FROM
                                               f"CE AS (SELECT gold, -{LOGP} AS loss FROM L)", body=f"""
 SELECT count(*) AS n_rows, round(sum(weight * loss) / sum(weight), {R9}) AS loss FROM CE JOIN W USING (gold)"""))
 def q_wce(spark, d):
-    lg = logits(spark, d).select("vec_id", "gold", F.col("m0").alias("logits"))
+    lg = logits(spark, d).select("vec_id", "gold", F.col("mall").alias("logits"))
     w = mt.balanced_class_weights(lg, "gold").select("gold", "weight")
     out = sc.weighted_cross_entropy(lg, w)
     return out.select("n_rows", F.round("loss", R9).alias("loss"))
@@ -118,7 +117,7 @@ FOCAL_ALPHA = 0.5
 FL AS (SELECT -{FOCAL_ALPHA} * pow(1 - exp({LOGP}), 2.0) * {LOGP} AS loss FROM L)""", body=f"""
 SELECT count(*) AS n_rows, round(avg(loss), {R9}) AS loss_mean, round(sum(loss), {R9}) AS loss_sum FROM FL"""))
 def q_focal(spark, d):
-    lg = logits(spark, d).select("vec_id", "gold", F.col("m0").alias("logits"))
+    lg = logits(spark, d).select("vec_id", "gold", F.col("mall").alias("logits"))
     s = sc.loss_summary(sc.focal_loss_rows(lg, FOCAL_ALPHA, 2.0))
     return s.select("n_rows", F.round("loss_mean", R9).alias("loss_mean"), F.round("loss_sum", R9).alias("loss_sum"))
 
@@ -128,12 +127,13 @@ def _lsig(x):
 
 
 @register("binary_focal_loss", with_ctes(L_SQL, f"""
-BX AS (SELECT m0[1] AS x, CAST(gold % 2 AS DOUBLE) AS y FROM L)""", f"""
+BX AS (SELECT mall[i] AS x, CAST(gold = i - 1 AS INTEGER)::DOUBLE AS y FROM L, range(1, 65) r(i))""", f"""
 FL AS (SELECT -0.25 * pow(exp({_lsig('-x')}), 2.0) * y * {_lsig('x')}
               - (1 - 0.25) * pow(exp({_lsig('x')}), 2.0) * (1 - y) * {_lsig('-x')} AS loss FROM BX)""", body=f"""
 SELECT count(*) AS n_rows, round(avg(loss), {R9}) AS loss_mean, round(sum(loss), {R9}) AS loss_sum FROM FL"""))
 def q_bfocal(spark, d):
-    lg = logits(spark, d).select(F.element_at("m0", 1).alias("x"), F.pmod("gold", F.lit(2)).alias("y"))
+    lg = sc.explode_classes(logits(spark, d).select("gold", "mall"), ["gold"], "mall", "x")
+    lg = lg.select("x", (F.col("gold") == F.col("class_id")).cast("int").alias("y"))
     s = sc.loss_summary(sc.binary_focal_loss_rows(lg, "x", "y"))
     return s.select("n_rows", F.round("loss_mean", R9).alias("loss_mean"), F.round("loss_sum", R9).alias("loss_sum"))
 
@@ -187,8 +187,7 @@ def _epoch_prf_from(spark, d):
 
 
 def _two(x):
-    return (f"CASE WHEN CAST(floor({x} * 100 + 0.5) AS INTEGER) >= 100 THEN '1.00' ELSE "
-            f"'0.' || lpad(CAST(CAST(floor({x} * 100 + 0.5) AS INTEGER) AS VARCHAR), 2, '0') END")
+    return f"printf('%.2f', {x})"
 
 
 LB_NAME_SQL = (f"'events_' || CAST(run AS VARCHAR) || '_1e-05_' || CAST(best_epoch AS VARCHAR) || '_' || {_two('best_f1')}"
@@ -212,6 +211,6 @@ def q_leaderboard(spark, d):
 @register("focal_loss_rows", with_ctes(L_SQL, body=f"""
 SELECT vec_id, round(-{FOCAL_ALPHA} * pow(1 - exp({LOGP}), 2.0) * {LOGP}, {R9}) AS loss FROM L"""))
 def q_focal_rows(spark, d):
-    lg = logits(spark, d).select("vec_id", "gold", F.col("m0").alias("logits"))
+    lg = logits(spark, d).select("vec_id", "gold", F.col("mall").alias("logits"))
     rows = sc.reduce_loss(sc.focal_loss_rows(lg, FOCAL_ALPHA, 2.0), "none")
     return rows.select("vec_id", F.round("loss", R9).alias("loss"))

@@ -8,8 +8,8 @@ from parlance.operators import labels as lb
 from parlance.operators import metrics as mt
 from parlance.operators import sampling as sp
 from parlance.operators import splits as sl
-from parlance.plans.fixtures import (M_SQL, P_SQL, manifest, paragraphs, sql_pick, table, with_ctes)
-from parlance.plans.ordering import index_by_order
+from parlance.plans.fixtures import (M_SQL, MM_SQL, P_SQL, manifest, messy_manifest, paragraphs, sql_pick, table, with_ctes)
+from parlance.plans.ordering import index_by_order, materialize
 from parlance.plans.registry import register
 
 FIRST_SQL = """FP AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY par_id ORDER BY row_idx) AS rn FROM P)
@@ -18,13 +18,20 @@ TR_SQL = """TR AS (SELECT M.m_idx, M.par_id, FP.text, FP.label, FP.orig_label, F
                FROM M LEFT JOIN FP USING (par_id) WHERE M.split = 'train')"""
 DV_SQL = TR_SQL.replace("TR AS", "DV AS").replace("'train'", "'dev'")
 BASE = (P_SQL, M_SQL, FIRST_SQL, TR_SQL, DV_SQL)
+# The same splits from a manifest that repeats and misses ids.
+MESSY = (P_SQL, M_SQL, MM_SQL, FIRST_SQL, *(s.replace("FROM M ", "FROM MM ").replace("M.", "MM.") for s in (TR_SQL, DV_SQL)))
 
 
-def _split(spark, d, name, cols=sl.WIDE):
-    m = manifest(spark, d).filter(F.col("split") == name)
+def _split(spark, d, name, cols=sl.WIDE, ids=manifest):
+    m = ids(spark, d).filter(F.col("split") == name)
     return sl.rebuild_split(paragraphs(spark, d), m, cols)
 
 
+def _narrow(spark, d, name):
+    """par_id, label, m_idx of a split, written once: what counts and draws read."""
+    return materialize(_split(spark, d, name).select("par_id", "label", "m_idx"))
+
+
 @register("rebuild_split", with_ctes(*BASE, body="SELECT m_idx, par_id, text, label FROM TR"))
 def q_rebuild(spark, d):
     return _split(spark, d, "train", sl.SLIM)
@@ -79,7 +86,7 @@ def q_row_index(spark, d):
 SELECT par_id, 0 AS part, m_idx FROM TR WHERE label = 1
 UNION ALL SELECT par_id, 1 AS part, m_idx FROM TR WHERE label = 0"""))
 def q_concat(spark, d):
-    tr = _split(spark, d, "train").select("par_id", "label", "m_idx")
+    tr = _narrow(spark, d, "train")
     c = sl.concat_classes(tr.filter("label = 1"), tr.filter("label = 0"))
     return c.select("par_id", "part", "m_idx")
 
@@ -94,13 +101,13 @@ WHERE i < {ratio} * (SELECT count(*) FROM {src} WHERE label = 1)"""
 
 @register("downsample_negatives", with_ctes(*BASE, body=_downsample_sql("TR", 2)))
 def q_downsample(spark, d):
-    tr = _split(spark, d, "train").select("par_id", "label", "m_idx")
+    tr = _narrow(spark, d, "train")
     return sp.downsample_negatives(tr, sp.FINE_TUNE_RATIO, order="m_idx")
 
 
 @register("downsample_negatives_prompt", with_ctes(*BASE, body=_downsample_sql("TR", 4)))
 def q_downsample4(spark, d):
-    tr = _split(spark, d, "train").select("par_id", "label", "m_idx")
+    tr = _narrow(spark, d, "train")
     return sp.downsample_negatives(tr, sp.PROMPT_RATIO, order="m_idx")
 
 
@@ -111,7 +118,7 @@ SELECT par_id, has_any, m_idx FROM (SELECT *, row_number() OVER (ORDER BY m_idx)
 WHERE i < round_even(CAST((SELECT count(*) FROM MA WHERE has_any) * 0.5 AS DECIMAL(20, 4)), 0)"""))
 def q_downsample_ml(spark, d):
     m = manifest(spark, d).filter(F.col("split") == "train")
-    r = sl.rebuild_split_multilabel(paragraphs(spark, d), m)
+    r = materialize(sl.rebuild_split_multilabel(paragraphs(spark, d), m).select("par_id", "label", "m_idx"))
     out = sp.downsample_multilabel(r, sp.MULTILABEL_RATIO, order="m_idx")
     return out.select("par_id", lb.any_category("label").alias("has_any"), "m_idx")
 
@@ -123,19 +130,51 @@ UNION ALL SELECT 'dev', count(*), count(*) FILTER (WHERE label = 1), count(*) FI
 UNION ALL SELECT 'train_downsampled', count(*), count(*) FILTER (WHERE label = 1),
        count(*) FILTER (WHERE label = 0) FROM DS"""))
 def q_split_sizes(spark, d):
-    tr = _split(spark, d, "train")
-    dv = _split(spark, d, "dev")
-    ds = sp.downsample_negatives(tr.select("par_id", "label", "m_idx"), 2, order="m_idx")
+    tr, dv = _narrow(spark, d, "train"), _split(spark, d, "dev").select("par_id", "label", "m_idx")
+    ds = sp.downsample_negatives(tr, 2, order="m_idx")
     return mt.split_sizes({"train": tr, "dev": dv, "train_downsampled": ds})
 
 
-@register("few_shot_sample", with_ctes(*BASE, body=f"""
-SELECT par_id, label FROM (
-  SELECT par_id, label, row_number() OVER (PARTITION BY label ORDER BY {sql_pick('4294967296', 'par_id', "'42'")}, par_id) AS rn
-  FROM TR) WHERE rn <= {sp.FEW_SHOT_PER_LABEL}"""))
+def _few_shot_sql(n):
+    return f"""
+SELECT par_id, label, m_idx FROM (
+  SELECT par_id, label, m_idx, row_number() OVER (
+    PARTITION BY label ORDER BY {sql_pick('4294967296', 'par_id', "'42'")}, par_id, m_idx) AS rn
+  FROM TR) WHERE rn <= {n}"""
+
+
+@register("few_shot_sample", with_ctes(*BASE, body=_few_shot_sql(sp.FEW_SHOT_PER_LABEL)))
 def q_few_shot(spark, d):
-    tr = _split(spark, d, "train").select("par_id", "label")
-    return sp.few_shot_sample(tr, sp.FEW_SHOT_PER_LABEL, seed=42)
+    tr = _split(spark, d, "train").select("par_id", "label", "m_idx")
+    return sp.few_shot_sample(tr, sp.FEW_SHOT_PER_LABEL, seed=42, order="m_idx")
+
+
+SMALL_SHOT = 20
+
+
+@register("few_shot_sample_small", with_ctes(*BASE, body=_few_shot_sql(SMALL_SHOT)))
+def q_few_shot_small(spark, d):
+    """A draw below the class sizes of every fixture."""
+    tr = _split(spark, d, "train").select("par_id", "label", "m_idx")
+    return sp.few_shot_sample(tr, SMALL_SHOT, seed=42, order="m_idx")
+
+
+@register("few_shot_sample_messy", with_ctes(*MESSY, body=_few_shot_sql(SMALL_SHOT)))
+def q_few_shot_messy(spark, d):
+    tr = _split(spark, d, "train", ids=messy_manifest).select("par_id", "label", "m_idx")
+    return sp.few_shot_sample(tr, SMALL_SHOT, seed=42, order="m_idx")
+
+
+@register("rebuild_split_messy", with_ctes(*MESSY, body="SELECT m_idx, par_id, text, label FROM TR"))
+def q_rebuild_messy(spark, d):
+    return _split(spark, d, "train", sl.SLIM, messy_manifest)
+
+
+@register("rebuild_split_known", with_ctes(*MESSY, body="SELECT m_idx, par_id, text, label FROM TR WHERE text IS NOT NULL"))
+def q_rebuild_known(spark, d):
+    """As above, ids unknown to the corpus dropped."""
+    m = messy_manifest(spark, d).filter(F.col("split") == "train")
+    return sl.rebuild_split(paragraphs(spark, d), m, sl.SLIM, on_missing="drop")
 
 
 def _demo_sql(seed):

@@ -39,7 +39,7 @@ def test_top_k_per_group_matches_pandas(spark):
     rows = [(rng.choice("abc"), rng.random(), i) for i in range(2000)]
     rows += [("hot", rng.random(), 10000 + i) for i in range(3000)]   # one group holds most rows
     df = spark.createDataFrame(rows, "g string, s double, id int")
-    got = top_k_per_group(df, ["g"], [F.desc("s"), F.asc("id")], 25, salt_buckets=8)
+    got = top_k_per_group(df, ["g"], [F.desc("s"), F.asc("id")], 25)
     got = sorted((r.g, r.rank, r.id) for r in got.collect())
     p = pd.DataFrame(rows, columns=["g", "s", "id"]).sort_values(["g", "s", "id"], ascending=[True, False, True])
     p["rank"] = p.groupby("g").cumcount() + 1
