@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -54,10 +55,21 @@ def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
 
 
+def map_batches(df: DataFrame, fn, schema) -> DataFrame:
+    """``df.mapInArrow`` with this package's folder on the Python path of the
+    workers, so that they find it wherever the driver was started."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    env = df.sparkSession.sparkContext.environment
+    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    return df.mapInArrow(fn, schema)
+
+
 def map_rows(df: DataFrame, fn, ddl: str) -> DataFrame:
-    """``df.mapInArrow`` of a function from batches to row tuples."""
+    """``map_batches`` of a function from batches to row tuples."""
     schema = arrow_schema(ddl)
 
     def run(batches):
         yield from rebatch(fn(batches), schema)
-    return df.mapInArrow(run, ddl)
+    return map_batches(df, run, ddl)

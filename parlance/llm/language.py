@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.arrow import map_rows
+from parlance.llm.arrow import map_batches, map_rows
 from parlance.llm.words import row_slices
 
 UNDETERMINED = "und"
@@ -338,4 +338,4 @@ def accepted(docs: DataFrame, model: Model, min_score: float = MIN_SCORE, penalt
                 keep = [lang != UNDETERMINED and score >= min_score
                         for lang, score, _ in _label(texts, held.value, penalty)]
                 yield part.filter(pa.array(keep, pa.bool_()))
-    return docs.mapInArrow(rows, docs.schema)
+    return map_batches(docs, rows, docs.schema)

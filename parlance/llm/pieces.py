@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.arrow import arrow_schema, map_rows
+from parlance.llm.arrow import arrow_schema, map_batches, map_rows
 from parlance.llm.words import row_slices, string_buffers
 
 MODEL_FILE = os.environ.get("PARLANCE_SENTENCEPIECE", "/opt/tokenizers/piece_bpe_32k.model")
@@ -359,7 +359,7 @@ def encode_documents(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids, pa.int32()),
                                                  type=schema.field("ids").type, mask=texts.is_null())
                 yield pa.record_batch([part.column(0), pa.array(np.diff(offsets)), lists], schema=schema)
-    return narrow.mapInArrow(rows, ddl)
+    return map_batches(narrow, rows, ddl)
 
 
 def decode_documents(encoded: DataFrame, path: str = MODEL_FILE) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.arrow import map_rows
+from parlance.llm.arrow import map_batches, map_rows
 from parlance.llm.words import row_slices, string_buffers
 from parlance.plans.ordering import materialize
 
@@ -257,4 +257,4 @@ def mask_secrets(docs: DataFrame, share: float = FALSE_DISCOVERIES) -> DataFrame
     """``docs`` with every secret in ``text`` replaced by a mask; a null text stays null."""
     profile = corpus_profile(docs)
     limit = discovery_limit(materialize(scan(docs, profile).select("candidates")), share)
-    return docs.mapInArrow(lambda it: _masked_rows(it, profile, limit), docs.schema)
+    return map_batches(docs, lambda it: _masked_rows(it, profile, limit), docs.schema)
