@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import tempfile
 import uuid
@@ -62,7 +63,28 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir() or conf
 
 
+_scratch: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh sub-folder of the shared folder for a written table."""
     base = shared_dir(spark)
-    return os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    path = os.path.join(base, f"{name}-{uuid.uuid4().hex[:12]}")
+    _scratch.append(path)
+    return path
+
+
+@contextlib.contextmanager
+def scratch_scope(spark: SparkSession):
+    """Delete the scratch tables named inside the block when it ends.  Results
+    that read them must have been written or collected by then."""
+    first = len(_scratch)
+    try:
+        yield
+    finally:
+        paths = _scratch[first:]
+        del _scratch[first:]
+        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+        for p in paths:
+            place = jvm.org.apache.hadoop.fs.Path(p)
+            place.getFileSystem(conf).delete(place, True)

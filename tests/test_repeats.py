@@ -135,3 +135,17 @@ def test_lines_are_numbered_without_a_shuffle_of_their_text(spark, tmp_path):
 def test_wide_queries_are_registered():
     assert {"classify_binary_augmented", "incontext_prompt_train", "incontext_prompt_test", "predict_file_eval",
             "prf1_by_slice_model", "manifest_to_downsample", "seed_ensemble_small"} <= set(ent.queries())
+
+
+def test_scratch_scope_deletes_its_tables(spark):
+    import os
+
+    from parlance.plans.ordering import materialize
+    from parlance.session import scratch_scope, shared_dir
+    base = shared_dir(spark).removeprefix("file:")
+    kept = materialize(spark.range(3))
+    before = set(os.listdir(base))
+    with scratch_scope(spark):
+        assert materialize(spark.range(5)).count() == 5
+        assert set(os.listdir(base)) > before
+    assert set(os.listdir(base)) == before and kept.count() == 3
