@@ -256,7 +256,9 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
     groups = sized.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
     groups = groups.select("leader", F.greatest(F.ceil(F.col("rows") / block_rows),
                                                 F.ceil(F.col("total") / block_shingles)).cast("int").alias("blocks"))
-    placed = materialize(sized.join(groups, "leader").select(
+    # Written apart, the few large groups are a table that a join on a hot leader can broadcast or split.
+    large = materialize(groups.filter("blocks > 1"))
+    placed = materialize(sized.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select(
         "leader", "member", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")))
 
     # The leader stands in every block of its group.
@@ -273,7 +275,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
     # Blocks of one group meet in pairs; a pair needs a side that its leader has not reached.
     wide = placed.filter("blocks > 1")
     state = wide.join(labels.withColumnRenamed("node", "member"), "member", "left")
-    state = state.withColumn("label", F.coalesce("component", "member")).drop("component")
+    state = materialize(state.withColumn("label", F.coalesce("component", "member")).drop("component"))
     home = state.filter("member = leader").select("leader", F.col("label").alias("home"))
     state = state.join(home, "leader").withColumn("stray", F.col("label") != F.col("home"))
     stray = state.filter("stray")
