@@ -174,6 +174,11 @@ def _cand_inputs(spark, d):
     return src, corpus
 
 
+def _cand_ctes(adequacy, fluency):
+    return tuple(c.replace(f"adequacy >= {cd.ADEQUACY_MIN}", f"adequacy >= {adequacy}")
+                  .replace(f", 0.0) >= {cd.FLUENCY_MIN}", f", 0.0) >= {fluency}") for c in CAND_CTES)
+
+
 CAND_CTES = (
     f"SRC AS (SELECT par_id AS src_id, keyword, text, list_distinct({sql_tokens('lower(text)')}) AS sa FROM TR WHERE label = 1)",
     f"CORP AS (SELECT CAST(doc_id AS VARCHAR) AS cand_id, lang AS keyword, text, list_distinct({sql_tokens('lower(text)')}) AS sb, "
@@ -198,6 +203,18 @@ def q_candidate_pairs(spark, d):
     return r.select("src_id", "cand_id", F.round("adequacy", 9).alias("adequacy"), F.round("fluency", 9).alias("fluency"))
 
 
+LOOSE = 0.55
+
+
+@register("candidate_pairs_loose", with_ctes(*BASE, *_cand_ctes(LOOSE, LOOSE), body="""
+SELECT src_id, cand_id, round(adequacy, 9) AS adequacy, round(fluency, 9) AS fluency FROM V"""))
+def q_candidate_pairs_loose(spark, d):
+    """Thresholds that many pairs reach, one of them awkward in floating point."""
+    src, corpus = _cand_inputs(spark, d)
+    r = cd.candidate_pairs(src, corpus, LOOSE, LOOSE)
+    return r.select("src_id", "cand_id", F.round("adequacy", 9).alias("adequacy"), F.round("fluency", 9).alias("fluency"))
+
+
 @register("rank_candidates")
 def q_rank_candidates(spark, d):
     """Rows-only in the driver: SQL engines at hand measure Levenshtein in
