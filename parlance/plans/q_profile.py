@@ -125,19 +125,19 @@ def q_len_stats(spark, d):
 
 
 @register("token_length_percentile", with_ctes(P_SQL, PT, body="""
-SELECT 'all' AS scope, 0.45::DOUBLE AS p, quantile_cont(n_tokens, 0.45) AS value FROM PT
+SELECT 'all' AS scope, 0.45::DOUBLE AS p, round(quantile_cont(n_tokens, 0.45), 9) AS value FROM PT
 UNION ALL
-SELECT 'all' AS scope, 0.9::DOUBLE AS p, quantile_cont(n_tokens, 0.9) AS value FROM PT
+SELECT 'all' AS scope, 0.9::DOUBLE AS p, round(quantile_cont(n_tokens, 0.9), 9) AS value FROM PT
 UNION ALL
-SELECT 'all' AS scope, 0.98::DOUBLE AS p, quantile_cont(n_tokens, 0.98) AS value FROM PT
+SELECT 'all' AS scope, 0.98::DOUBLE AS p, round(quantile_cont(n_tokens, 0.98), 9) AS value FROM PT
 UNION ALL
-SELECT 'positive' AS scope, 0.9::DOUBLE AS p, quantile_cont(n_tokens, 0.9) AS value FROM PT WHERE label = 1"""))
+SELECT 'positive' AS scope, 0.9::DOUBLE AS p, round(quantile_cont(n_tokens, 0.9), 9) AS value FROM PT WHERE label = 1"""))
 def q_len_pct(spark, d):
     pt = materialize(_pt(spark, d).select("label", "n_tokens"))
     a = pr.token_length_percentiles(pt).select(F.lit("all").alias("scope"), "p", "value")
     b = pr.token_length_percentiles(pt.filter("label = 1"), percentiles=(0.9,)) \
           .select(F.lit("positive").alias("scope"), "p", "value")
-    return a.unionByName(b)
+    return a.unionByName(b).withColumn("value", F.round("value", 9))
 
 
 @register("token_length_extremes", with_ctes(P_SQL, PT, body="""
