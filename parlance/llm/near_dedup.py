@@ -294,9 +294,12 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
         lambda it: _cross_edges(it, k, num, den), edges)
     final = connected_components(first.unionByName(second), "a", "b")
 
-    rooted = classes.select("digest", "rep", "node").join(final, "node", "left").select(
-        "digest", "rep", F.coalesce("component", "node").alias("component"))
-    named = rooted.join(rooted.groupBy("component").agg(F.min("rep").alias("root")), "component").select("digest", "root")
+    # Roots of the linked classes only, written apart: a large component meets one row of a small table.
+    linked = materialize(classes.select("rep", "node").join(final, "node"))
+    least = materialize(linked.groupBy("component").agg(F.min("rep").alias("least")))
+    roots = linked.join(least, "component").select("node", F.col("least").alias("_root"))
+    named = classes.select("digest", "rep", "node").join(roots, "node", "left").select(
+        "digest", F.coalesce("_root", "rep").alias("root"))
     return (base.select("doc_id", "n_shingles", "digest", "text_mark").join(named, "digest", "left")
                 .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.coalesce("root", "doc_id"))
                         .otherwise(F.col("doc_id")).alias("component_id"), "text_mark")
