@@ -45,6 +45,8 @@ FALSE_DISCOVERIES = 0.01
 # A candidate is not random if one of the uniformity tests falls below this.
 REJECT = 0.001
 _BINS_PER_DECADE = 20
+# Smaller p-values share a bin: each is under share / total by itself, whatever the corpus.
+_LAST_DECADE = 300.0
 
 _LOWER, _UPPER, _DIGIT = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
 # Alphabets from the smallest to the largest; the first that holds all characters is the encoding.
@@ -115,6 +117,13 @@ def _above(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
+def _log_above(z: float) -> float:
+    """Logarithm of ``_above``; by the first terms of its asymptotic series where erfc comes near 0."""
+    if z < 30:
+        return math.log(_above(z))
+    return -z * z / 2 - math.log(z * math.sqrt(2 * math.pi)) + math.log1p(-1 / z ** 2 + 3 / z ** 4)
+
+
 def _rate_deviation(n: int, squares: float, cubes: float) -> float:
     """Standard deviation of the coincidence rate of n independent symbols (variance of a U-statistic)."""
     var = (4 * (n - 2) * (cubes - squares ** 2) + 2 * (squares - squares ** 2)) / (n * (n - 1))
@@ -123,6 +132,11 @@ def _rate_deviation(n: int, squares: float, cubes: float) -> float:
 
 def ordinary_p(value: str, profile: Profile) -> float:
     """Probability that ordinary text looks as random as ``value``; 1 if ``value`` is not uniform in its encoding."""
+    return math.exp(ordinary_log_p(value, profile))
+
+
+def ordinary_log_p(value: str, profile: Profile) -> float:
+    """Logarithm of ``ordinary_p``, which itself is 0 in floating point for runs of many hundred characters."""
     value = value.rstrip("=")
     n = len(value)
     symbols = frozenset(value)
@@ -136,38 +150,38 @@ def ordinary_p(value: str, profile: Profile) -> float:
     high = x >= size / 2
     n1, n2 = int(high.sum()), int(n - high.sum())
     if not n1 or not n2:
-        return 1.0
+        return 0.0
     runs = 1 + int((high[1:] != high[:-1]).sum())
     mean = 1 + 2 * n1 * n2 / n
     dev = math.sqrt(max((mean - 1) * (mean - 2) / (n - 1), 1e-9))
     uniform.append(2 * _above(abs(runs - mean) / dev))
     spread = x.std()
     if spread == 0:
-        return 1.0
+        return 0.0
     serial = float(((x[1:] - x.mean()) * (x[:-1] - x.mean())).sum() / (n * spread ** 2))
     uniform.append(2 * _above(abs(serial + 1 / n) * math.sqrt(n)))
     if min(uniform) < REJECT:
-        return 1.0
+        return 0.0
     squares, cubes = profile.rates(alphabet)
-    p_rate = max(_above((squares - rate) / _rate_deviation(n, squares, cubes)), 1e-300)
+    log_rate = _log_above((squares - rate) / _rate_deviation(n, squares, cubes))
     kinds = np.array([_CLASS[c] for c in value])
     share = float((kinds[1:] != kinds[:-1]).mean())
-    p_change = 1.0
+    log_change = 0.0
     if share > profile.changes:
         # Chernoff bound of the binomial tail.
         t = min(profile.changes, 1 - 1e-9)
         gain = share * math.log(share / t) + ((1 - share) * math.log((1 - share) / (1 - t)) if share < 1 else 0.0)
-        p_change = max(math.exp(-(n - 1) * gain), 1e-300)
-    half = -(math.log(p_rate) + math.log(p_change))
-    return min(1.0, math.exp(-half) * (1 + half))
+        log_change = -(n - 1) * gain
+    half = -(log_rate + log_change)
+    return min(0.0, math.log1p(half) - half)
 
 
 def candidates(text: str, base: list[tuple[int, int, int]], profile: Profile) -> list[tuple[int, int, float]]:
-    """(start, end, p) of the candidate runs of ``text`` that touch no base span."""
+    """(start, end, log10 p) of the candidate runs of ``text`` that touch no base span."""
     out = []
     for m in CANDIDATE.finditer(text):
         if not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append((m.start(), m.end(), ordinary_p(m.group(), profile)))
+            out.append((m.start(), m.end(), ordinary_log_p(m.group(), profile) / math.log(10)))
     return out
 
 
@@ -178,30 +192,30 @@ def _scan_rows(batches, profile: Profile):
             text = value.as_py() or ""
             base = base_spans(text)
             yield (doc, [{"start": s, "kind": k, "end": e} for s, k, e in base],
-                   [{"start": s, "end": e, "p": p} for s, e, p in candidates(text, base, profile)])
+                   [{"start": s, "end": e, "log10_p": p} for s, e, p in candidates(text, base, profile)])
 
 
 _SCANNED = ("doc_id long, base array<struct<start:int,kind:int,end:int>>, "
-            "candidates array<struct<start:int,end:int,p:double>>")
+            "candidates array<struct<start:int,end:int,log10_p:double>>")
 
 
 def scan(docs: DataFrame, profile: Profile) -> DataFrame:
-    """doc_id, base spans and candidates with their p-values, one row per row of ``docs``."""
+    """doc_id, base spans and candidates with the logarithms of their p-values, one row per row of ``docs``."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_rows(narrow, lambda it: _scan_rows(it, profile), _SCANNED)
 
 
 def discovery_limit(scanned: DataFrame, share: float = FALSE_DISCOVERIES) -> float:
-    """Benjamini-Hochberg limit over the p-values of all candidates, from a histogram of bounded size."""
-    p = scanned.select(F.explode("candidates.p").alias("p"))
-    bins = p.groupBy(F.floor(-F.log10("p") * _BINS_PER_DECADE).cast("int").alias("bin")).agg(
-        F.count(F.lit(1)).alias("n")).collect()
-    total, below, limit = sum(r["n"] for r in bins), 0, 0.0
+    """Benjamini-Hochberg limit (log10) over the p-values of all candidates, from a histogram of bounded size."""
+    p = scanned.select(F.explode("candidates.log10_p").alias("log10_p"))
+    place = F.least(-F.col("log10_p"), F.lit(_LAST_DECADE)) * _BINS_PER_DECADE
+    bins = p.groupBy(F.floor(place).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    total, below, limit = sum(r["n"] for r in bins), 0, -math.inf
     for r in sorted(bins, key=lambda r: -r["bin"]):
         below += r["n"]
         # All of a bin lies at or under its upper edge.
-        edge = 10.0 ** (-r["bin"] / _BINS_PER_DECADE)
-        if edge <= share * below / total:
+        edge = -r["bin"] / _BINS_PER_DECADE
+        if edge <= math.log10(share * below / total):
             limit = edge
     return limit
 
@@ -221,7 +235,7 @@ def find_secrets(docs: DataFrame, share: float = FALSE_DISCOVERIES) -> DataFrame
     """
     scanned = materialize(scan(docs, corpus_profile(docs)))
     limit = discovery_limit(scanned, share)
-    extra = F.transform(F.filter("candidates", lambda c: c["p"] <= limit), lambda c: F.struct(
+    extra = F.transform(F.filter("candidates", lambda c: c["log10_p"] <= limit), lambda c: F.struct(
         c["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), c["end"].alias("end")))
     both = scanned.select("doc_id", "base", F.sort_array(F.concat("base", extra)).alias("all"))
     of = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")

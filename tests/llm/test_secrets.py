@@ -76,3 +76,16 @@ def test_documents_without_secrets_stay(spark):
     assert before.keys() == after.keys()
     assert all(after[i] == t for i, t in before.items() if not _naive(t or "") and sc.MASK not in (after[i] or ""))
     assert all(not _naive(t or "") for t in after.values())
+
+
+def test_long_random_runs_are_found(spark):
+    rng = random.Random(4)
+    rows, _ = _fixture()
+    key = base64.b64encode(rng.randbytes(1500)).decode()
+    docs = spark.createDataFrame(rows + [(200, f"see {key} here")], "doc_id long, text string")
+    assert sc.ordinary_log_p(key, sc.corpus_profile(docs)) < -745
+    got = {r["doc_id"]: r["spans"] for r in sc.find_secrets(docs).collect()}
+    out = {r["doc_id"]: r["text"] for r in sc.mask_secrets(docs).collect()}
+    assert got[200] == f"random:4:{4 + len(key)}" and out[200] == f"see {sc.MASK} here"
+    profile = sc.Profile(tuple(1000 if chr(i).islower() else 10 for i in range(128)), 0.03)
+    assert -1e6 < sc.ordinary_log_p(base64.b64encode(rng.randbytes(75_000)).decode(), profile) < -1e4
