@@ -277,8 +277,11 @@ def _label(texts: list[str | None], model: Model, penalty: float):
             yield UNDETERMINED, 0.0, []
         return
     path = best_path(model.scores(w), w.text, penalty)
-    letters = np.bincount(w.text * len(model.languages) + path, w.end - w.start,
+    size = w.end - w.start
+    # Letters of a script that the language does not write are no letters of that language.
+    letters = np.bincount(w.text * len(model.languages) + path, size * model.allowed[w.script, path],
                           w.n_texts * len(model.languages)).reshape(w.n_texts, -1)
+    total = np.bincount(w.text, size, w.n_texts)
     cut = np.searchsorted(w.text, np.arange(w.n_texts + 1))
     change = np.ones(len(path), bool)
     change[1:] = (path[1:] != path[:-1]) | (w.text[1:] != w.text[:-1])
@@ -290,7 +293,7 @@ def _label(texts: list[str | None], model: Model, penalty: float):
         best = int(letters[i].argmax())
         heads = np.flatnonzero(change[a:b]) + a
         lasts = np.concatenate([heads[1:], [b]]) - 1
-        yield (model.languages[best], float(letters[i][best] / letters[i].sum()),
+        yield (model.languages[best], float(letters[i][best] / total[i]),
                [{"from": int(w.start[h]), "to": int(w.end[e]), "lang": model.languages[path[h]]}
                 for h, e in zip(heads, lasts)])
 
@@ -301,8 +304,10 @@ _SPANS = "array<struct<from:int,to:int,lang:string>>"
 def label_languages(docs: DataFrame, model: Model, penalty: float = SWITCH_PENALTY) -> DataFrame:
     """doc_id, lang_pred, score, spans (code points, end exclusive) of every row of ``docs`` (doc_id, text).
 
-    ``score`` is the share of the letters in spans of ``lang_pred``.  A null
-    text, one without letters, and every text if no language was learned
+    ``score`` is the share of the text's letters that stand in spans of
+    ``lang_pred`` and in a script which that language writes: 0 for a text
+    wholly in a script that no learned language writes (its label is then the
+    first language).  A null text, one without letters, and every text if no language was learned
     give ``und``, 0 and no spans.  Equal rows get equal results; an empty
     table gives no rows.
     """

@@ -65,3 +65,18 @@ def test_undetermined_and_empty_training(spark):
     none = spark.createDataFrame([(4, "abc", None)], "doc_id long, text string, lang string")
     assert [(r["lang_pred"], r["score"]) for r in lg.identify(none).collect()] == [("und", 0.0)]
     assert lg.accepted(none, lg.train(none)).count() == 0
+
+
+def test_unlearned_scripts_are_rejected(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    model = lg.train(docs)
+    foreign = ["Все счастливые семьи похожи друг на друга", "人人生而自由在尊严和权利上一律平等", "يولد جميع الناس أحرارا متساوين"]
+    english = "the people of the town and the"
+    texts = foreign + [english, english + " " + foreign[0], english + " сад"]
+    got = list(lg._label(texts, model, lg.SWITCH_PENALTY))
+    assert all(label in model.languages and score == 0.0 for label, score, _ in got[:3])
+    letters = [sum(c.isalpha() for c in t) for t in texts]
+    assert [(label, score) for label, score, _ in got[3:]] == [
+        ("en", 1.0), ("en", letters[3] / letters[4]), ("en", letters[3] / letters[5])]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in lg.accepted(rows, model).collect()) == [3, 5]
