@@ -1,7 +1,8 @@
 """Secret scan: fixed patterns plus a battery of randomness tests.
 
 Three kinds of spans come from patterns.  Further candidates are long runs
-of characters that encodings use.  For each the encoding is inferred from
+of characters that encodings use, less the spans of the patterns, and the parts
+of such a run; of nested ones that are found the outermost counts.  For each the encoding is inferred from
 its characters, and two questions are asked:
 
 * Is it compatible with uniform random symbols of that encoding?
@@ -20,6 +21,7 @@ from __future__ import annotations
 import math
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,9 @@ BASE = {
 FOUND = "random"
 KINDS = (*BASE, FOUND)
 CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+LEAST = 20
+_SEPARATORS = "/_-"
+_PART = re.compile(r"[^/_-]+")
 FALSE_DISCOVERIES = 0.01
 # A candidate is not random if one of the uniformity tests falls below this.
 REJECT = 0.001
@@ -76,6 +81,14 @@ class Profile:
     counts: tuple[int, ...]
     changes: float
 
+    @cached_property
+    def gains(self) -> np.ndarray:
+        """Per ASCII character: log odds of a uniform base64 symbol against ordinary text."""
+        n = np.array(self.counts) + 1.0
+        inside = np.zeros(128, bool)
+        inside[[ord(c) for c in _CLASS]] = True
+        return np.where(inside, math.log(1 / 64) - np.log(n / n[inside].sum()), 0.0)
+
     def rates(self, alphabet: str) -> tuple[float, float]:
         """Sums of squares and cubes of the shares of the alphabet's characters (one pseudo-count each)."""
         n = np.array([self.counts[ord(c)] + 1.0 for c in alphabet])
@@ -176,12 +189,61 @@ def ordinary_log_p(value: str, profile: Profile) -> float:
     return min(0.0, math.log1p(half) - half)
 
 
-def candidates(text: str, base: list[tuple[int, int, int]], profile: Profile) -> list[tuple[int, int, float]]:
-    """(start, end, log10 p) of the candidate runs of ``text`` that touch no base span."""
+def _pieces(start: int, end: int, base: list[tuple[int, int, int]]):
+    """What the base spans (by start) leave of a run; separators beside a cut go with it."""
+    at = start
+    for s, _, e in base:
+        if s < end and at < e:
+            if at < s:
+                yield at, s
+            at = e
+    if at < end:
+        yield at, end
+
+
+def _best_range(parts: list[tuple[int, int]], text: str, gains: np.ndarray) -> tuple[int, int]:
+    """First and last of the adjoining parts that favour random symbols over ordinary text most (greatest sum)."""
+    best, here, first, found = -math.inf, 0.0, 0, (0, len(parts) - 1)
+    for i, (s, e) in enumerate(parts):
+        if here <= 0:
+            here, first = 0.0, i
+        here += float(gains[np.frombuffer(text[s:e].encode("ascii"), np.uint8)].sum())
+        if here > best:
+            best, found = here, (first, i)
+    return found
+
+
+def candidates(text: str, base: list[tuple[int, int, int]], profile: Profile) -> list[tuple[int, int, float, float]]:
+    """(start, end, log10 p, least log10 p of the candidates around it or 1) of the candidates of ``text``.
+
+    Candidates are what the base spans leave of each run, the parts between
+    its separators, and its range of adjoining parts that looks most random,
+    whose p-value is multiplied by the number of ranges it was chosen from.
+    """
     out = []
     for m in CANDIDATE.finditer(text):
-        if not any(s < m.end() and m.start() < e for s, _, e in base):
-            out.append((m.start(), m.end(), ordinary_log_p(m.group(), profile) / math.log(10)))
+        for start, end in _pieces(m.start(), m.end(), base):
+            while start < end and start > m.start() and text[start] in _SEPARATORS:
+                start += 1
+            while start < end and end < m.end() and text[end - 1] in _SEPARATORS:
+                end -= 1
+            if len(text[start:end].rstrip("=")) < LEAST:
+                continue
+            log_p = lambda s, e: ordinary_log_p(text[s:e], profile) / math.log(10)
+            whole = log_p(start, end)
+            out.append((start, end, whole, 1.0))
+            parts = [(start + x.start(), start + x.end()) for x in _PART.finditer(text[start:end])]
+            if len(parts) < 2:
+                continue
+            first, last = _best_range(parts, text, profile.gains)
+            s, e = parts[first][0], parts[last][1]
+            inner = 1.0
+            if first < last and (first > 0 or last < len(parts) - 1) and len(text[s:e].rstrip("=")) >= LEAST:
+                inner = min(0.0, log_p(s, e) + math.log10(len(parts) * (len(parts) + 1) / 2))
+                out.append((s, e, inner, whole))
+            for i, (s, e) in enumerate(parts):
+                if len(text[s:e].rstrip("=")) >= LEAST:
+                    out.append((s, e, log_p(s, e), min(whole, inner) if first <= i <= last else whole))
     return out
 
 
@@ -192,11 +254,11 @@ def _scan_rows(batches, profile: Profile):
             text = value.as_py() or ""
             base = base_spans(text)
             yield (doc, [{"start": s, "kind": k, "end": e} for s, k, e in base],
-                   [{"start": s, "end": e, "log10_p": p} for s, e, p in candidates(text, base, profile)])
+                   [{"start": s, "end": e, "log10_p": p, "around": o} for s, e, p, o in candidates(text, base, profile)])
 
 
 _SCANNED = ("doc_id long, base array<struct<start:int,kind:int,end:int>>, "
-            "candidates array<struct<start:int,end:int,log10_p:double>>")
+            "candidates array<struct<start:int,end:int,log10_p:double,around:double>>")
 
 
 def scan(docs: DataFrame, profile: Profile) -> DataFrame:
@@ -235,7 +297,7 @@ def find_secrets(docs: DataFrame, share: float = FALSE_DISCOVERIES) -> DataFrame
     """
     scanned = materialize(scan(docs, corpus_profile(docs)))
     limit = discovery_limit(scanned, share)
-    extra = F.transform(F.filter("candidates", lambda c: c["log10_p"] <= limit), lambda c: F.struct(
+    extra = F.transform(F.filter("candidates", lambda c: (c["log10_p"] <= limit) & (c["around"] > limit)), lambda c: F.struct(
         c["start"].alias("start"), F.lit(len(KINDS) - 1).alias("kind"), c["end"].alias("end")))
     both = scanned.select("doc_id", "base", F.sort_array(F.concat("base", extra)).alias("all"))
     of = lambda k: F.size(F.filter("all", lambda s: s["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
@@ -250,7 +312,7 @@ MASK = "[SECRET]"
 def masked(text: str, profile: Profile, limit: float) -> str:
     """``text`` with every span replaced; spans that touch are replaced together."""
     base = base_spans(text)
-    spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, p in candidates(text, base, profile) if p <= limit])
+    spans = sorted([(s, e) for s, _, e in base] + [(s, e) for s, e, p, _ in candidates(text, base, profile) if p <= limit])
     out, at = [], 0
     for s, e in spans:
         if s >= at:
