@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, language, main_text, mixing, pieces, secrets, warc
+from parlance.llm import chat, filter_audit, language, main_text, mixing, pieces, secrets, warc
 from parlance.llm.embedding_dedup import near_vectors
 from parlance.llm.near_dedup import near_duplicates
 from parlance.llm.quality import quality
@@ -83,3 +83,8 @@ def op6_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
 @query("op5_main_text")
 def op5_main_text(spark: SparkSession, d: str) -> DataFrame:
     return main_text.main_texts(table(spark, d, "pages"))
+
+
+@query("op13_filter_audit", filter_audit.AUDIT_SQL)
+def op13_filter_audit(spark: SparkSession, d: str) -> DataFrame:
+    return filter_audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels"))
