@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parlance.llm import chat, filter_audit, language, main_text, mixing, pieces, secrets, warc
+from parlance.llm import chat, decontaminate, filter_audit, hard_negatives, language, main_text, mixing, pieces, secrets, warc
 from parlance.llm.embedding_dedup import near_vectors
 from parlance.llm.near_dedup import near_duplicates
 from parlance.llm.quality import quality
@@ -88,3 +88,13 @@ def op5_main_text(spark: SparkSession, d: str) -> DataFrame:
 @query("op13_filter_audit", filter_audit.AUDIT_SQL)
 def op13_filter_audit(spark: SparkSession, d: str) -> DataFrame:
     return filter_audit.filter_audit(table(spark, d, "documents"), table(spark, d, "labels"))
+
+
+@query("op11_decontamination", decontaminate.CONTAMINATION_SQL)
+def op11_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, d, "documents"), table(spark, d, "benchmark"))
+
+
+@query("op12_hard_negatives", hard_negatives.MINED_SQL)
+def op12_hard_negatives(spark: SparkSession, d: str) -> DataFrame:
+    return hard_negatives.mined(table(spark, d, "embeddings"))

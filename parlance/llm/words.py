@@ -119,17 +119,21 @@ def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.nd
     return np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts])
 
 
+def window_hashes(words: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the ``width`` words from every place of ``words`` (word hashes) on; places too near the end have none."""
+    n = max(len(words) - width + 1, 0)
+    acc = np.full(n, np.uint64((width * 0xD1342543DE82EF95) & _MASK), np.uint64)
+    for j in range(width):
+        acc += words[j:n + j] * _SLOT[j % 64] * np.uint64(2 * (j // 64) + 1)
+    return mix64(acc)
+
+
 def shingles(words: np.ndarray, size: int = 5) -> np.ndarray:
     """Sorted distinct hashes of the ``size``-word windows of one text's word
     hashes; a shorter text is one window, a text without words has none."""
-    n = len(words)
-    if n == 0:
+    if not len(words):
         return np.zeros(0, np.uint64)
-    width = min(n, size)
-    acc = np.full(n - width + 1, np.uint64((width * 0xD1342543DE82EF95) & _MASK), np.uint64)
-    for j in range(width):
-        acc += words[j:n - width + 1 + j] * _SLOT[j % 64] * np.uint64(2 * (j // 64) + 1)
-    return np.unique(mix64(acc))
+    return np.unique(window_hashes(words, min(len(words), size)))
 
 
 def row_slices(batch: pa.RecordBatch, column: str, size: int = 8 << 20):

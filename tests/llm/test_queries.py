@@ -19,7 +19,7 @@ def test_query_equals_sql(spark, name):
 
 def test_every_operator_is_registered():
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.registered())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
 
 
 def test_pipeline_stages_do_what_their_operators_say(spark):
