@@ -2,7 +2,8 @@
 
 Training counts hashed letter trigrams and words per language over a bounded
 sample of labelled texts, and the share of each script among its letters.
-Prediction splits a text into words (runs of letters of one script), scores
+Prediction splits a text into words (runs of letters of one script; marks go
+with the letter they follow and are no letters themselves), scores
 each word for the languages that write its script, and finds the best
 sequence of languages under a penalty for every switch.  The text's language
 is the one with most letters.
@@ -29,6 +30,7 @@ from parlance.llm.words import row_slices
 UNDETERMINED = "und"
 # Documents per language that training reads, by hash of the id; more add little to letter statistics.
 SAMPLE_PER_LANGUAGE = 3000
+MOST_LANGUAGES = 1000
 BUCKETS = 1 << 15
 SWITCH_PENALTY = 14.0
 MIN_SCRIPT_SHARE = 0.01
@@ -60,33 +62,41 @@ N_SCRIPTS = len(SCRIPTS) + 1
 _tables: dict[str, np.ndarray] = {}
 
 
-def _code_tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per code point: part of a word, lower case, script (0: any other)."""
+def _code_tables() -> dict[str, np.ndarray]:
+    """Per code point: letter, mark, lower case, script (0: any other); besides, canonical pairs and what they compose to."""
     if not _tables:
         chars = [chr(i) for i in range(_TABLE)]
         kinds = [unicodedata.category(c)[0] for c in chars]
-        _tables["word"] = np.array([k in "LM" for k in kinds])
-        _tables["letter"] = np.array([k == "L" for k in kinds])
+        letter = np.array([k == "L" for k in kinds])
         low = np.arange(_TABLE, dtype=np.uint32)
+        pairs = {}
         for i, c in enumerate(chars):
-            if kinds[i] == "L" and len(c.lower()) == 1:
-                low[i] = ord(c.lower())
-        _tables["lower"] = low
+            if kinds[i] == "L":
+                if len(c.lower()) == 1:
+                    low[i] = ord(c.lower())
+                apart = unicodedata.decomposition(c).split()
+                if len(apart) == 2 and apart[0][0] != "<":
+                    first, second = (int(x, 16) for x in apart)
+                    if unicodedata.normalize("NFC", chr(first) + chr(second)) == c:
+                        pairs[first << 21 | second] = i
         script = np.zeros(_TABLE, np.uint8)
         for k, ranges in enumerate(SCRIPTS.values(), 1):
             for a, b in ranges:
                 script[a:min(b + 1, _TABLE)] = k
-        _tables["script"] = script
-    return _tables["word"], _tables["lower"], _tables["script"]
+        keys = np.array(sorted(pairs), np.int64)
+        _tables.update(letter=letter, mark=np.array([k == "M" for k in kinds]), lower=low, script=script,
+                       pairs=keys, composed=np.array([pairs[k] for k in keys.tolist()], np.uint32))
+    return _tables
 
 
 @dataclass
 class Words:
-    """The words of a batch: text number, start and end (code points in the text), buckets, script."""
+    """The words of a batch: text number, start and end (code points in the text), letters, buckets, script."""
 
     text: np.ndarray
     start: np.ndarray
     end: np.ndarray
+    letters: np.ndarray
     script: np.ndarray
     trigrams: np.ndarray
     first: np.ndarray
@@ -94,30 +104,71 @@ class Words:
     n_texts: int
 
 
+def _with_marks(codes: np.ndarray, low: np.ndarray, letter: np.ndarray, script: np.ndarray, offsets: np.ndarray):
+    """(part of a word, read as part of the character before): marks go with the letter they follow.
+
+    Changes ``script`` of these marks to their letter's, and ``low`` of a
+    letter to the lower case of what it and its marks compose to, so that a
+    text reads the same composed and decomposed.
+    """
+    t = _code_tables()
+    mark = t["mark"][np.minimum(codes, _TABLE - 1)] & (codes < _TABLE)
+    joined = np.zeros(len(codes), bool)
+    if not mark.any():
+        return letter, joined
+    at = np.flatnonzero(mark)
+    base = np.maximum.accumulate(np.where(mark, -1, np.arange(len(codes))))[at]
+    own = base >= offsets[np.searchsorted(offsets, at, "right") - 1]
+    own[own] = letter[base[own]]
+    at, base = at[own], base[own]
+    script[at] = script[base]
+    word = letter.copy()
+    word[at] = True
+    # The marks of a letter compose one after another, as far as each pair has a character.
+    now = codes.copy()
+    step = 1
+    while len(at):
+        use = at - base == step
+        key = now[base[use]].astype(np.int64) << 21 | codes[at[use]]
+        place = np.minimum(np.searchsorted(t["pairs"], key), len(t["pairs"]) - 1)
+        fits = t["pairs"][place] == key
+        letters = base[use][fits]
+        now[letters] = t["composed"][place[fits]]
+        low[letters] = t["lower"][now[letters]]
+        joined[at[use][fits]] = True
+        going = np.isin(base, letters) & (at - base > step)
+        at, base, step = at[going], base[going], step + 1
+    return word, joined
+
+
 def words_of(texts: list[str]) -> Words:
-    is_word, lower, scripts = _code_tables()
+    tables = _code_tables()
     codes = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
     sizes = np.array([len(t) for t in texts], np.int64)
     offsets = np.concatenate([[0], np.cumsum(sizes)])
     inside = np.minimum(codes, _TABLE - 1)
     rare = codes >= _TABLE
-    letter = is_word[inside] | (rare & (codes < 0x40000))
-    script = scripts[inside]
+    letter = (tables["letter"][inside] & ~rare) | (rare & (codes < 0x40000))
+    script = tables["script"][inside]
     script[rare] = list(SCRIPTS).index("han") + 1
-    low = np.where(rare, codes, lower[inside])
+    low = np.where(rare, codes, tables["lower"][inside])
+    part, joined = _with_marks(codes, low, letter, script, offsets)
     before = np.zeros(len(codes), bool)
     if len(codes):
-        before[1:] = letter[:-1] & (script[:-1] == script[1:])
+        before[1:] = part[:-1] & (script[:-1] == script[1:])
         edge = offsets[:-1][sizes > 0]
         before[edge] = False
-    head = np.flatnonzero(letter & ~before)
+    head = np.flatnonzero(part & ~before)
     follows = np.zeros(len(codes), bool)
-    follows[:-1] = before[1:] & letter[1:]
-    tail = np.flatnonzero(letter & ~follows) + 1
-    length = tail - head
+    follows[:-1] = before[1:] & part[1:]
+    tail = np.flatnonzero(part & ~follows) + 1
+    count = lambda x: np.concatenate([[0], np.cumsum(x)])
+    letters, read = count(letter), count(part & ~joined)
+    letters = letters[tail] - letters[head]
+    at = np.flatnonzero(part & ~joined)
+    length = read[tail] - read[head]
     total = int(length.sum())
     first = np.cumsum(length) - length
-    at = np.repeat(head - first, length) + np.arange(total)
     c = low[at].astype(np.uint64)
     left = np.zeros(total, np.uint64)
     left[1:] = c[:-1]
@@ -132,7 +183,7 @@ def words_of(texts: list[str]) -> Words:
     whole = np.add.reduceat((c + np.uint64(1)) * power[place], first) if total else np.zeros(0, np.uint64)
     whole = ((whole ^ (whole >> np.uint64(31))) * np.uint64(0x94D049BB133111EB) >> np.uint64(40)).astype(np.int64) % BUCKETS
     text = np.searchsorted(offsets, head, "right") - 1
-    return Words(text, head - offsets[text], tail - offsets[text], script[head], tri, first, whole, len(texts))
+    return Words(text, head - offsets[text], tail - offsets[text], letters, script[head], tri, first, whole, len(texts))
 
 
 @dataclass
@@ -171,7 +222,7 @@ def _training_counts(batches):
                 n = seen.setdefault(lang, np.zeros(2 * BUCKETS + N_SCRIPTS, np.int64))
                 n[:BUCKETS] += np.bincount(w.trigrams, minlength=BUCKETS)
                 n[BUCKETS:2 * BUCKETS] += np.bincount(w.word, minlength=BUCKETS)
-                n[2 * BUCKETS:] += np.bincount(w.script, w.end - w.start, N_SCRIPTS).astype(np.int64)
+                n[2 * BUCKETS:] += np.bincount(w.script, w.letters, N_SCRIPTS).astype(np.int64)
     for lang, n in seen.items():
         for b in np.flatnonzero(n):
             yield lang, int(b), int(n[b])
@@ -181,12 +232,16 @@ def train(docs: DataFrame, sample: int = SAMPLE_PER_LANGUAGE) -> Model:
     """Learn from about ``sample`` documents of each non-null lang among those not held out.
 
     What reaches the driver is one count per language and one per (language,
-    bucket): bounded by the number of languages, not by the corpus.
+    bucket): bounded by the number of languages, not by the corpus.  More
+    than ``MOST_LANGUAGES`` distinct values are an error: such a column holds
+    no languages.
     """
     labelled = docs.select(F.col("doc_id"), F.col("text").cast("string").alias("text"),
                            F.col("lang").cast("string").alias("lang")).filter(
         F.col("lang").isNotNull() & ~held_out(F.col("doc_id")))
-    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    sizes = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).take(MOST_LANGUAGES + 1)}
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} values of lang")
     if not sizes:
         return Model([], np.zeros((0, BUCKETS), np.float32), np.zeros((0, BUCKETS), np.float32),
                      np.zeros((N_SCRIPTS, 0), bool))
@@ -227,17 +282,13 @@ def best_path(scores: np.ndarray, text: np.ndarray, penalty: float, chunk: int =
     order = np.argsort(-length, kind="stable")
     start_o, length_o = start[order], length[order]
     span = int(length_o[0])
+    # Chunks that still have a word at place t.
+    running = [int(np.searchsorted(-length_o, -t, "left")) for t in range(span)]
     # value[c, s, l]: best path of chunk c that comes from language s and stands in l.
     value = np.where(np.eye(k, dtype=bool), 0, -penalty)[None] + scores[start_o][:, None, :]
-    back = np.zeros((n, k, k), np.int8 if k < 128 else np.int32)
     for t in range(1, span):
-        m = int(np.searchsorted(-length_o, -t, "left"))
-        v = value[:m]
-        leave = v.max(axis=2) - penalty
-        arg = v.argmax(axis=2)
-        stay = v >= leave[:, :, None]
-        back[start_o[:m] + t] = np.where(stay, np.arange(k)[None, None, :], arg[:, :, None])
-        value[:m] = np.where(stay, v, leave[:, :, None]) + scores[start_o[:m] + t][:, None, :]
+        v = value[:running[t]]
+        value[:running[t]] = np.maximum(v, v.max(axis=2, keepdims=True) - penalty) + scores[start_o[:running[t]] + t][:, None, :]
     through = np.empty_like(value)
     through[order] = value
     # Chain the chunks of each text; before the first chunk every language is free.
@@ -259,13 +310,25 @@ def best_path(scores: np.ndarray, text: np.ndarray, penalty: float, chunk: int =
         ends[c] = state[live]
         comes[c] = came[c, state[live]]
         state[live] = comes[c]
-    path = np.zeros(n, np.int64)
+    # Once more from the language each chunk is known to come from: whether a
+    # word's language was kept, and the one left for all others.
     now, source = ends[order], comes[order]
+    kept, left = np.ones((n, k), bool), np.zeros(n, np.int64)
+    value = np.where(np.arange(k) == source[:, None], 0, -penalty) + scores[start_o]
+    for t in range(1, span):
+        v = value[:running[t]]
+        leave = v.max(axis=1) - penalty
+        stay = v >= leave[:, None]
+        at = start_o[:running[t]] + t
+        kept[at], left[at] = stay, v.argmax(axis=1)
+        value[:running[t]] = np.where(stay, v, leave[:, None]) + scores[at]
+    path = np.zeros(n, np.int64)
     for t in range(span - 1, -1, -1):
-        m = int(np.searchsorted(-length_o, -t, "left"))
-        path[start_o[:m] + t] = now[:m]
+        m = running[t]
+        at = start_o[:m] + t
+        path[at] = now[:m]
         if t:
-            now[:m] = back[start_o[:m] + t, source[:m], now[:m]]
+            now[:m] = np.where(kept[at, now[:m]], now[:m], left[at])
     return path
 
 
@@ -277,7 +340,7 @@ def _label(texts: list[str | None], model: Model, penalty: float):
             yield UNDETERMINED, 0.0, []
         return
     path = best_path(model.scores(w), w.text, penalty)
-    size = w.end - w.start
+    size = w.letters
     # Letters of a script that the language does not write are no letters of that language.
     letters = np.bincount(w.text * len(model.languages) + path, size * model.allowed[w.script, path],
                           w.n_texts * len(model.languages)).reshape(w.n_texts, -1)

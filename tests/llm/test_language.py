@@ -1,3 +1,5 @@
+import unicodedata
+
 import numpy as np
 import pytest
 
@@ -38,6 +40,39 @@ def test_words_split_at_scripts_and_texts():
         (0, 0, 3), (0, 4, 7), (2, 0, 2), (4, 0, 2), (4, 3, 4), (4, 5, 6)]
 
 
+def test_marks_go_with_their_letters():
+    for text in ("été ça où", "Ünïcödé naïve", "việt ệ", "żółw"):
+        composed, apart = unicodedata.normalize("NFC", text), unicodedata.normalize("NFD", text)
+        a, b = lg.words_of([composed, "x"]), lg.words_of([apart, "x"])
+        for field in ("text", "letters", "script", "trigrams", "first", "word"):
+            assert (getattr(a, field) == getattr(b, field)).all(), (text, field)
+        assert [composed[i:j] for i, j in zip(a.start[:-1], a.end[:-1])] == [
+            unicodedata.normalize("NFC", apart[i:j]) for i, j in zip(b.start[:-1], b.end[:-1])]
+    w = lg.words_of(["a", "\u0301", "\u0301\u0302 1\u0301", "b\u0301\u0fff"])
+    assert w.text.tolist() == [0, 3] and w.letters.tolist() == [1, 1] and w.end.tolist() == [1, 2]
+
+
+def test_marks_alone_are_undetermined_and_decomposed_text_counts_whole(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    model = lg.train(docs)
+    french = docs.filter("lang = 'fr' and length(text) > 300").first() or docs.filter("lang = 'es' and length(text) > 300").first()
+    texts = ["\u0301", " \u0301\u0302 12", unicodedata.normalize("NFC", french["text"]), unicodedata.normalize("NFD", french["text"])]
+    got = list(lg._label(texts, model, lg.SWITCH_PENALTY))
+    assert got[0] == got[1] == ("und", 0.0, []) and got[2][:2] == got[3][:2] and got[2][0] == french["lang"]
+
+
+def test_memory_of_the_path_is_linear_in_languages():
+    import tracemalloc
+    rng = np.random.default_rng(3)
+    scores, text = rng.normal(0, 2, (20000, 60)).astype(np.float32), np.zeros(20000, np.int64)
+    tracemalloc.start()
+    path = lg.best_path(scores, text, 3.0)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 60e6
+    assert np.isclose(_score(scores, path, 3.0), _brute(scores, 3.0), rtol=1e-5)
+
+
 def test_held_out_accuracy_and_coverage(spark):
     docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
     got = {r["doc_id"]: r for r in lg.identify(docs).collect()}
