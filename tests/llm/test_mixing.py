@@ -61,6 +61,31 @@ def test_emitted_rows_are_the_copies(spark):
     assert +seen == +words
 
 
+def test_equal_rows_count_one_by_one(spark):
+    """500 equal rows and 500 others of one source: the words taken come near the target."""
+    text = " ".join(["w"] * 10)
+    rows = [(1, text, "en", "a", 0)] * 500 + [(10 + i, text, "en", "a", 0) for i in range(500)]
+    rows += [(5000 + i, text, "en", "b", 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, DOCS).repartition(4)
+    got = mixing.mixture(df).collect()
+    assert len(got) == len(rows)
+    for part in (lambda r: r["doc_id"] < 5000, lambda r: r["doc_id"] >= 5000):
+        own = [r for r in got if part(r)]
+        assert abs(sum(r["taken"] for r in own) - own[0]["target"]) <= 10
+        assert max(r["taken"] for r in own) <= 3 * 10
+    words = Counter({i: n for i, n in sum((Counter({r["doc_id"]: r["taken"] // 10}) for r in got), Counter()).items()})
+    assert Counter(r["doc_id"] for r in mixing.mixed_documents(df).collect()) == words
+
+
+def test_many_copies_of_one_row_are_written_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "_COPIES", 7)
+    rows = [(1, "a b", "en", "a", 0)] * 50 + [(1, "a c", "en", "a", 0)] * 3 + [(None, "a d", None, None, None)] * 4
+    df = spark.createDataFrame(rows, DOCS)
+    taken = sum(r["taken"] for r in mixing.mixture(df).collect())
+    out = mixing.mixed_documents(df).collect()
+    assert 2 * len(out) == taken and {r["text"] for r in out} <= {"a b", "a c", "a d"}
+
+
 def test_partitions_do_not_matter(spark):
     df = spark.createDataFrame(documents(7), DOCS)
     a = sorted(map(tuple, mixing.mixture(df.repartition(1)).collect()))
