@@ -2,11 +2,13 @@
 
 A template is any function from a list of (role, text) to a string.  The
 formatter renders every prefix of a conversation and compares consecutive
-outputs: what the longer output adds is the span of the last turn.  If the
-shorter output is not the start of the longer one, the template rewrites
-history; the spans then count only from the first changed character on and
-the conversation is flagged.  Inside a span, a second rendering with a
-marker in place of the text shows where the text begins and ends.
+outputs: what the longer output adds is the span of the last turn.  Inside a
+span, a second rendering with a marker in place of the text shows where the
+text begins and ends.  If the shorter output is not the start of the longer
+one, the template rewrites history: the conversation is flagged, and every
+learnt text is located again in the last output, by a marker in its turn's
+place around which all must stand as it does around the text.  A
+conversation with a learnt text that this does not find teaches nothing.
 
 The built-in template writes instruction marks and escapes them inside texts:
 a mark in a text gets a backslash in front, backslashes before it are
@@ -60,8 +62,15 @@ def _role(line: str) -> str | None:
     return re.sub(r"\\(.)", lambda m: "\n" if m[1] == "n" else m[1], unescape(line))
 
 
-@lru_cache(maxsize=16384)
+# Longer turns are escaped each time: what a worker remembers stays under some 100 MB.
+_REMEMBERED_CHARS = 2048
+
+
 def _rendered(turn: Turn) -> str:
+    return _remembered(turn) if len(turn[1]) <= _REMEMBERED_CHARS else _written(turn)
+
+
+def _written(turn: Turn) -> str:
     role, text = turn
     if role in MARKS:
         a, b = MARKS[role]
@@ -70,8 +79,11 @@ def _rendered(turn: Turn) -> str:
     return f"{a}{_line(role)}{m}{escape(text)}{b}"
 
 
+_remembered = lru_cache(maxsize=16384)(_written)
+
+
 def instruct_template(turns: list[Turn]) -> str:
-    """Turns one after another; a turn that was rendered before is not escaped again."""
+    """Turns one after another; a short turn that was rendered before is not escaped again."""
     return BEGIN + "".join(map(_rendered, turns))
 
 
@@ -103,13 +115,20 @@ def read_back(formatted: str) -> list[Turn]:
     return turns
 
 
+Span = tuple[int, int, int, int]
+# The span of a turn that a later one rewrote and that is not found again.
+LOST: Span = (-1, -1, -1, -1)
+
+
 def incremental(turns: list[Turn], template: Template,
-                roles: Collection[str | None] | None = None) -> tuple[str, list[tuple[int, int, int, int]], bool]:
-    """(output, per turn (start, text start, text end, end), rewrites history).
+                roles: Collection[str | None] | None = None) -> tuple[str, list[Span], bool]:
+    """(output, per turn (start, text start, text end, end) or LOST, rewrites history).
 
     Texts are located for turns of ``roles`` (None: all); others have an empty text range.
+    If a later turn rewrote a turn's part of the output, the turn is looked for again in the whole
+    output; it is LOST if it is not found there.
     """
-    spans: list[tuple[int, int, int, int]] = []
+    spans: list[Span] = []
     rewrites = False
     before = template([])
     for i, (role, text) in enumerate(turns):
@@ -118,19 +137,47 @@ def incremental(turns: list[Turn], template: Template,
         if not now.startswith(before):
             rewrites = True
             start = _common(before, now)
-            spans = [s for s in spans if s[3] <= start]
-        marked, head = "", -1
-        if roles is None or role in roles:
-            marked = template(turns[:i] + [(role, _PROBE)])
-            head = marked.find(_PROBE, min(start, len(marked)))
-        if head < 0:
-            spans.append((start, start, start, len(now)))
-        else:
-            spans.append((start, head, len(now) - (len(marked) - head - len(_PROBE)), len(now)))
+            spans = [s if s[3] <= start else LOST for s in spans]
+        found = _probed(turns[:i + 1], i, now, template, start) if roles is None or role in roles else None
+        spans.append((start, *(found or (start, start)), len(now)))
         before = now
+    if rewrites:
+        spans = _again(turns, before, spans, template, roles)
     return before, spans, rewrites
 
 
+def _probed(turns: list[Turn], j: int, out: str, template: Template, start: int) -> tuple[int, int] | None:
+    """Where the text of turn ``j`` stands in ``out``: where a marker stands that takes its place."""
+    marked = template(turns[:j] + [(turns[j][0], _PROBE)] + turns[j + 1:])
+    head = marked.find(_PROBE, min(start, len(marked)))
+    if head < 0:
+        return None
+    return head, len(out) - (len(marked) - head - len(_PROBE))
+
+
+def _again(turns: list[Turn], out: str, spans: list[Span], template: Template,
+           roles: Collection[str | None] | None) -> list[Span]:
+    """The spans in ``out`` of a template that rewrites: what stands around a marker must stand around the text."""
+    done: list[Span] = []
+    for j, (role, _) in enumerate(turns):
+        if roles is not None and role not in roles:
+            done.append(spans[j])
+            continue
+        marked = template(turns[:j] + [(role, _PROBE)] + turns[j + 1:])
+        head = marked.find(_PROBE)
+        tail = len(marked) - head - len(_PROBE)
+        past = len(out) - tail
+        same = (head >= 0 and marked.find(_PROBE, head + 1) < 0 and head <= past
+                and out[:head] == marked[:head] and out[past:] == marked[head + len(_PROBE):])
+        if not same:
+            done.append(LOST)
+        elif spans[j] != LOST:
+            done.append((spans[j][0], head, past, spans[j][3]))
+        else:
+            done.append((head, head, past, past))
+    return done
+
+
 def _common(a: str, b: str) -> int:
     """Length of the common start of two strings."""
     low, high = 0, min(len(a), len(b))
@@ -149,30 +196,36 @@ def _conversations(batches, template: Template, learn: frozenset):
         for conv, rows in zip(ids, turns):
             said = [(r["role"], r["text"]) for r in rows]
             out, spans, rewrites = incremental(said, template, learn)
-            # After a rewrite fewer spans than turns may stand; they belong to the last turns.
-            roles = [r for r, _ in said][len(said) - len(spans):]
-            mask = [{"from": a, "to": b} for (_, a, b, _), r in zip(spans, roles) if r in learn]
-            yield (conv, out, [{"from": s, "to": e} for s, _, _, e in spans], mask, rewrites)
+            own = [s for s, (role, _) in zip(spans, said) if role in learn]
+            found = LOST not in own and all(a[2] <= b[1] for a, b in zip(own, own[1:]))
+            yield (conv, out, [None if s == LOST else {"from": s[0], "to": s[3]} for s in spans],
+                   [{"from": s[1], "to": s[2]} for s in own] if found else [], rewrites, not found)
 
 
 _FORMATTED = ("conv_id long, formatted string, spans array<struct<from:int,to:int>>, "
-              "loss_mask array<struct<from:int,to:int>>, rewrites_history boolean")
+              "loss_mask array<struct<from:int,to:int>>, rewrites_history boolean, refused boolean")
 
 
 def formatted(conversations: DataFrame, template: Template = instruct_template,
               learn: tuple[str, ...] = ("assistant",)) -> DataFrame:
-    """One row per conv_id of (conv_id, turn, role, text): formatted, spans, loss_mask, rewrites_history.
+    """One row per conv_id of (conv_id, turn, role, text): formatted, spans, loss_mask, rewrites_history, refused.
 
     Turns stand in order of (turn, role, text), nulls first; repeated rows
-    are turns of their own; a null text is empty; rows with a null conv_id
-    are one conversation.  A conversation is the unit that a template sees, so its
+    are turns of their own; a null text is empty; a row without conv_id is a
+    conversation by itself.  ``spans`` has an entry per turn, null where a
+    later turn rewrote the turn's part of the output and it was not found
+    again.  ``loss_mask`` has the text of each learnt turn once, in order; if
+    one is not found after a rewrite, the mask is empty and the conversation
+    ``refused``.  A conversation is the unit that a template sees, so its
     turns meet in one row; rendering its prefixes takes time with the square
     of its turns.  An empty table gives no rows.
     """
     turn = F.struct(F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"),
                     F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     c = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
-    whole = c.groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    whole = (c.withColumn("alone", alone).groupBy("conv_id", "alone")
+              .agg(F.sort_array(F.collect_list("t")).alias("turns")).drop("alone"))
     keep = frozenset(learn)
     return map_rows(whole, lambda it: _conversations(it, template, keep), _FORMATTED)
 
@@ -204,17 +257,20 @@ def with_hostile(spark: SparkSession, conversations: DataFrame) -> DataFrame:
 
 
 _SQL_ESCAPED = rf"regexp_replace({{}}, '(\\*)({CONTROL})', '\1\1\\\2', 'g')"
+_SQL_LINE = r"replace(replace(role, '\', '\\'), chr(10), '\n')"
 CHAT_SQL = f"""
 WITH c AS (
-  SELECT conv_id, turn, role, coalesce(text, '') AS text FROM conversations
-  UNION ALL SELECT * FROM (VALUES {', '.join(f"({a}, {b}, '{r}', '{t}')" for a, b, r, t in HOSTILE)}) v),
+  SELECT conv_id, turn, role, coalesce(text, '') AS text, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS alone
+  FROM conversations
+  UNION ALL SELECT *, NULL FROM (VALUES {', '.join(f"({a}, {b}, '{r}', '{t}')" for a, b, r, t in HOSTILE)}) v),
 e AS (
-  SELECT *, length({_SQL_ESCAPED.format('text')}) + CASE role {' '.join(
-      f"WHEN '{r}' THEN {len(a) + len(b)}" for r, (a, b) in MARKS.items())} END AS n FROM c)
+  SELECT *, length({_SQL_ESCAPED.format('text')}) + CASE {' '.join(
+      f"WHEN role = '{r}' THEN {len(a) + len(b)}" for r, (a, b) in MARKS.items())}
+      ELSE {sum(map(len, OTHER))} + coalesce(length({_SQL_ESCAPED.format(_SQL_LINE)}), 1) END AS n FROM c)
 SELECT conv_id, count(*)::BIGINT AS n_turns,
-       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sha256(string_agg(coalesce(role, '') || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text)) AS turns_sha256,
        coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
-       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
        ({len(BEGIN)} + sum(n))::BIGINT AS formatted_chars
-FROM e GROUP BY conv_id
+FROM e GROUP BY conv_id, alone
 """

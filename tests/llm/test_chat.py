@@ -24,6 +24,48 @@ def test_rewriting_template_is_detected():
     assert [out[a:b] for _, a, b, _ in spans][-1] == "there"
 
 
+def _shortening():
+    """A template whose earlier answers keep their first three characters (made here, so that workers need no test module)."""
+    return lambda turns: "".join(f"<{r}>{t if r != 'assistant' or i == len(turns) - 1 else t[:3]}</{r}>\n"
+                                 for i, (r, t) in enumerate(turns))
+
+
+SEVEN = [("system", "S"), ("user", "u1"), ("assistant", "answer one"), ("user", "u2"), ("assistant", "answer two"), ("user", "u3"),
+         ("assistant", "answer three")]
+
+
+def test_learnt_turns_stand_once_under_a_template_that_shortens_history():
+    for n in range(1, 8):
+        turns = SEVEN[:n]
+        out, spans, rewrites = chat.incremental(turns, _shortening(), {"assistant"})
+        assert rewrites == any(r == "assistant" for r, _ in turns[:-1]) and len(spans) == n
+        said = [out[s[1]:s[2]] for s, (r, _) in zip(spans, turns) if r == "assistant"]
+        assert said == [t if i == n - 1 else t[:3] for i, (r, t) in enumerate(turns) if r == "assistant"]
+
+
+def test_rewriting_conversations_are_masked_or_refused(spark):
+    df = spark.createDataFrame([(c, i, r, t) for c in (1, 2) for i, (r, t) in enumerate(SEVEN[:7 if c == 1 else 3])],
+                               "conv_id long, turn long, role string, text string")
+    got = {r["conv_id"]: r for r in chat.formatted(df, _shortening()).collect()}
+    texts = lambda r: [r["formatted"][m["from"]:m["to"]] for m in r["loss_mask"]]
+    assert texts(got[1]) == ["ans", "ans", "answer three"] and got[1]["rewrites_history"] and not got[1]["refused"]
+    assert texts(got[2]) == ["answer one"] and not got[2]["rewrites_history"] and not got[2]["refused"]
+    dropping = lambda turns: "".join(f"{r}:{t};" for r, t in turns[-2:])
+    r = {r["conv_id"]: r for r in chat.formatted(df, dropping).collect()}[1]
+    assert r["rewrites_history"] and r["refused"] and r["loss_mask"] == []
+    # A length that depends on the text leaves nothing around a marker as it was.
+    counting = lambda turns: f"{sum(len(t) for _, t in turns)}:" + "".join(f"{r}:{t};" for r, t in turns)
+    r = {r["conv_id"]: r for r in chat.formatted(df, counting).collect()}[1]
+    assert r["rewrites_history"] and r["refused"] and r["loss_mask"] == []
+
+
+def test_rows_without_a_conversation_stand_alone(spark):
+    rows = [(None, i, "user", f"t{i}") for i in range(5)] + [(1, 0, "user", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    got = chat.formatted(df).collect()
+    assert sorted(chat.read_back(r["formatted"]) for r in got if r["conv_id"] is None) == [[("user", f"t{i}")] for i in range(5)]
+
+
 def test_conversations_with_nulls_ties_and_repeats(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (1, 1, "assistant", "b"), (None, None, None, None),
             (2, None, "user", "x"), (2, 0, "user", "y")]
