@@ -12,16 +12,21 @@
 3. Each list names its most central member as leader.  Membership
    (leader, member) is one row per pair whatever the number of shared lists:
    two similar sets share a list and therefore a leader.
-4. The members of a leader meet in blocks of bounded size: sketches of the
-   union estimate the similarity, whole sets confirm it.  Blocks of a large
-   group meet in pairs only where members are not connected yet.  A block
-   returns a spanning forest of its links, never all pairs.
+4. The members of a leader meet in blocks of bounded size, each with the
+   leader: the sketch of the union of two sets estimates their similarity,
+   whole sets confirm it.  Members of a large group that are not connected
+   with its leader by then (strays) are dealt into blocks of their own; these
+   meet one another and the blocks of the others.  A group without strays
+   sends nothing more, and the others' work grows with their number of stray
+   blocks.  A block returns a spanning forest of its links, never all pairs.
 5. Connected components over the class graph; copies join by their class.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +36,7 @@ from pyspark.sql import functions as F
 
 from parlance.llm.arrow import map_rows, runs
 from parlance.llm.components import connected_components
+from parlance.llm.mixing import row_mark
 from parlance.llm.words import row_slices, shingles, string_buffers, word_hashes
 from parlance.plans.ordering import materialize
 
@@ -42,9 +48,13 @@ SKETCH = 32
 MIN_SHARED = 10
 BLOCK_ROWS = 256
 BLOCK_SHINGLES = 400_000
-# Standard deviations granted to the estimate before a pair is ruled out.
-ESTIMATE_SLACK = 6.0
+# Values of the union of two sets that estimate their similarity, and the probability with which the
+# estimate may rule out a pair at the threshold (less above it).
+UNION_SKETCH = 64
+UNION_LOSS = 1e-6
+_ESTIMATED_PAIRS = 1 << 15
 
+_LAST = np.uint64((1 << 64) - 1)
 _SETS = "doc_id long, n_shingles long, digest binary, sketch array<long>, text_mark long"
 
 
@@ -123,33 +133,70 @@ def _overlaps(a: list[np.ndarray], b: list[np.ndarray] | None) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _estimate_allows(a: list[np.ndarray], b: list[np.ndarray] | None, k: int, num: int, den: int) -> np.ndarray:
-    """Which pairs the sketch of the union leaves possible.
+@lru_cache(maxsize=1024)
+def _floor(size: int, num: int, den: int) -> int:
+    """The least shared values among ``size`` of a union that do not rule out the similarity num / den.
 
-    The k smallest values of the union of two sketches are a uniform sample
-    of the union of the sets; those in both sketches estimate the
-    similarity.  A pair is ruled out if the estimate lies more than
-    ESTIMATE_SLACK deviations under the threshold.  The k-th smallest union
-    value is at most the larger of the two sketch limits, so counting all
-    shared retained values bounds the estimate from above.
+    Below it the binomial tail at the threshold stays under UNION_LOSS; drawing
+    without replacement, as a sketch does, has a lighter tail still.
+    """
+    share, tail, c = num / den, 0.0, 0
+    while c < size:
+        tail += comb(size, c) * share ** c * (1 - share) ** (size - c)
+        if tail > UNION_LOSS:
+            break
+        c += 1
+    return c
+
+
+def _union_shared(a: list[np.ndarray], b: list[np.ndarray], i: np.ndarray, j: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """For pairs (a[i], b[j]) of sorted sets: size of the sketch of the union, and how many of its values are in both.
+
+    The k smallest values of two sets' k smallest are the k smallest of their
+    union: a uniform sample of it.
+    """
+    def padded(sets):
+        out = np.full((len(sets), k), _LAST, np.uint64)
+        for r, s in enumerate(sets):
+            out[r, :min(k, len(s))] = s[:k]
+        return out
+    pa = padded(a)
+    pb = pa if b is a else padded(b)
+    size, shared = np.zeros(len(i), np.int64), np.zeros(len(i), np.int64)
+    for c in range(0, len(i), _ESTIMATED_PAIRS):
+        x = np.sort(np.concatenate([pa[i[c:c + _ESTIMATED_PAIRS]], pb[j[c:c + _ESTIMATED_PAIRS]]], 1), axis=1)
+        real = x != _LAST
+        again = np.zeros(x.shape, bool)
+        again[:, 1:] = (x[:, 1:] == x[:, :-1]) & real[:, 1:]
+        place = np.cumsum(real & ~again, axis=1)
+        size[c:c + _ESTIMATED_PAIRS] = np.minimum(place[:, -1], k)
+        shared[c:c + _ESTIMATED_PAIRS] = (again & (place <= k)).sum(1)
+    return size, shared
+
+
+def _estimate_allows(a: list[np.ndarray], b: list[np.ndarray] | None, apart: np.ndarray, num: int, den: int,
+                     k: int = UNION_SKETCH) -> np.ndarray:
+    """Which pairs of ``apart`` the sizes of the sets and the sketch of their union leave possible.
+
+    All shared values of the two sketches bound those in the union's sketch;
+    so only pairs that this lets through have the union's sketch formed.
     """
-    sa = [s[:k] for s in a]
-    sb = None if b is None else [s[:k] for s in b]
-    shared = _overlaps(sa, sb)
-    la = np.array([len(s) for s in sa])
-    lb = la if sb is None else np.array([len(s) for s in sb])
-    size = np.minimum(k, np.maximum(la[:, None], lb[None, :]))
-    share = num / den
-    floor = share * size - ESTIMATE_SLACK * np.sqrt(np.maximum(size, 1) * share * (1 - share))
     na = np.array([len(s) for s in a])
     nb = na if b is None else np.array([len(s) for s in b])
     low, high = np.minimum(na[:, None], nb[None, :]), np.maximum(na[:, None], nb[None, :])
-    return (shared >= floor) & (den * low >= num * high) & (low > 0)
+    # The sketch of the union holds at least as many values as the larger of the two.
+    floors = np.array([_floor(n, num, den) for n in range(k + 1)])
+    possible = apart & (low > 0) & (den * low >= num * high)
+    possible &= _overlaps([s[:k] for s in a], None if b is None else [s[:k] for s in b]) >= floors[np.minimum(k, high)]
+    i, j = np.nonzero(possible)
+    size, shared = _union_shared(a, a if b is None else b, i, j, k)
+    possible[i, j] = shared >= floors[size]
+    return possible
 
 
-def _links(a: list[np.ndarray], b: list[np.ndarray] | None, apart: np.ndarray, k: int, num: int, den: int):
+def _links(a: list[np.ndarray], b: list[np.ndarray] | None, apart: np.ndarray, num: int, den: int):
     """Index pairs of confirmed links among pairs marked in ``apart``."""
-    possible = _estimate_allows(a, b, k, num, den) & apart
+    possible = _estimate_allows(a, b, apart, num, den)
     if not possible.any():
         return np.zeros((0, 2), np.int64)
     ia, ib = np.flatnonzero(possible.any(1)), np.flatnonzero(possible.any(0))
@@ -204,29 +251,67 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     return found.dropDuplicates(["node"])
 
 
-def _block_edges(batches, k: int, num: int, den: int):
+def _block_edges(batches, num: int, den: int):
     """Spanning links inside each (leader, block)."""
     for t in runs(batches, ["leader", "block"]):
         ids = t.column("member").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         apart = np.triu(np.ones((len(ids), len(ids)), bool), 1)
-        found = _links(sets, None, apart, k, num, den)
+        found = _links(sets, None, apart, num, den)
         yield from spanning((ids[i], ids[j]) for i, j in found)
 
 
-def _cross_edges(batches, k: int, num: int, den: int):
-    """Spanning links between the two sides of each (leader, left, right), among unconnected members."""
+def _cross_edges(batches, num: int, den: int):
+    """Spanning links among unconnected members of each (leader, lo, hi): between its sides, or inside it if lo = hi."""
     for t in runs(batches, ["leader", "lo", "hi"]):
         ids = t.column("member").to_pylist()
         sets = [np.frombuffer(x, np.uint64) for x in t.column("shingles").to_pylist()]
         side = np.array(t.column("side").to_pylist())
         label = np.array(t.column("label").to_pylist())
         i0, i1 = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(i0) or not len(i1):
-            continue
-        apart = label[i0][:, None] != label[i1][None, :]
-        found = _links([sets[i] for i in i0], [sets[i] for i in i1], apart, k, num, den)
-        yield from spanning((ids[i0[i]], ids[i1[j]]) for i, j in found)
+        if t.column("lo")[0] == t.column("hi")[0]:
+            apart = np.triu(label[:, None] != label[None, :], 1)
+            found = _links(sets, None, apart, num, den)
+            yield from spanning((ids[i], ids[j]) for i, j in found)
+        elif len(i0) and len(i1):
+            apart = label[i0][:, None] != label[i1][None, :]
+            found = _links([sets[i] for i in i0], [sets[i] for i in i1], apart, num, den)
+            yield from spanning((ids[i0[i]], ids[i1[j]]) for i, j in found)
+
+
+def _meetings(state: DataFrame, block_rows: int, block_shingles: int) -> DataFrame:
+    """(leader, lo, hi, side, member, label): who meets whom once blocks are done.
+
+    ``state`` has leader, member, n, block, blocks and label of the members of
+    groups of several blocks.  Strays, whose label is not their leader's, are
+    dealt into blocks 0, 1, ... of their own; block b of the others has the
+    number b behind these.  Groups without strays have no rows.
+    """
+    home = state.filter("member = leader").select("leader", F.col("label").alias("home"))
+    state = state.join(home, "leader").withColumn("stray", F.col("label") != F.col("home"))
+    # A few rows per large group, written apart: joins on a hot leader can broadcast or split.
+    dealt = materialize(state.filter("stray").groupBy("leader").agg(
+        F.greatest(F.ceil(F.count(F.lit(1)) / block_rows), F.ceil(F.sum("n") / block_shingles)).cast("int").alias("strays")))
+    state = state.join(dealt, "leader")
+    own = F.when(F.col("stray"), F.pmod(F.xxhash64("member"), F.col("strays")).cast("int")).otherwise(F.col("strays") + F.col("block"))
+    others = F.when(F.col("stray"), F.sequence(F.lit(0), F.col("strays") + F.col("blocks") - 1)).otherwise(
+        F.sequence(F.lit(0), F.col("strays") - 1))
+    each = state.select("leader", "member", "label", own.alias("own"), F.explode(others).alias("other"))
+    return each.select("leader", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+                       (F.col("own") > F.col("other")).cast("int").alias("side"), "member", "label")
+
+
+def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, component) of the components ``labels`` once ``edges`` link some of them and some single nodes."""
+    ends = edges
+    for end in ("a", "b"):
+        named = labels.select(F.col("node").alias(end), F.col("component").alias(f"_{end}"))
+        ends = ends.join(named, end, "left").withColumn(f"_{end}", F.coalesce(f"_{end}", end))
+    linked = materialize(connected_components(ends, "_a", "_b"))
+    moved = linked.withColumnRenamed("component", "_to").withColumnRenamed("node", "component")
+    single = linked.join(labels.select("node"), "node", "left_anti")
+    return (labels.join(moved, "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+                  .unionByName(single.select("node", "component")))
 
 
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k: int = SKETCH,
@@ -259,7 +344,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
     # Written apart, the few large groups are a table that a join on a hot leader can broadcast or split.
     large = materialize(groups.filter("blocks > 1"))
     placed = materialize(sized.join(large, "leader", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))).select(
-        "leader", "member", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")))
+        "leader", "member", "n", "blocks", F.pmod(F.xxhash64("member"), F.col("blocks")).cast("int").alias("block")))
 
     # The leader stands in every block of its group.
     others = placed.filter("member != leader").select("leader", "block", "member")
@@ -269,30 +354,17 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
     edges = "a long, b long"
     first = materialize(map_rows(
         inside.repartition("leader", "block").sortWithinPartitions("leader", "block", "member"),
-        lambda it: _block_edges(it, k, num, den), edges))
+        lambda it: _block_edges(it, num, den), edges))
     labels = materialize(connected_components(first, "a", "b"))
 
-    # Blocks of one group meet in pairs; a pair needs a side that its leader has not reached.
     wide = placed.filter("blocks > 1")
     state = wide.join(labels.withColumnRenamed("node", "member"), "member", "left")
     state = materialize(state.withColumn("label", F.coalesce("component", "member")).drop("component"))
-    home = state.filter("member = leader").select("leader", F.col("label").alias("home"))
-    state = state.join(home, "leader").withColumn("stray", F.col("label") != F.col("home"))
-    stray = state.filter("stray")
-    settled = state.filter("not stray")
-    grid = lambda df, cond: df.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).filter(cond)
-    # Strays of block i meet strays of block j > i and the settled members of every other block.
-    cross = (grid(stray, F.col("other") != F.col("block"))
-             .select("leader", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                     (F.col("block") > F.col("other")).cast("int").alias("side"), "member", "label"))
-    rest = (grid(settled, F.col("other") != F.col("block"))
-            .select("leader", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"),
-                    (F.col("block") > F.col("other")).cast("int").alias("side"), "member", "label"))
-    met = _with_sets(cross.unionByName(rest), sets)
+    met = _with_sets(_meetings(state, block_rows, block_shingles), sets)
     second = map_rows(
         met.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi", "side", "member"),
-        lambda it: _cross_edges(it, k, num, den), edges)
-    final = connected_components(first.unionByName(second), "a", "b")
+        lambda it: _cross_edges(it, num, den), edges)
+    final = _joined(labels, second)
 
     # Roots of the linked classes only, written apart: a large component meets one row of a small table.
     linked = materialize(classes.select("rep", "node").join(final, "node"))
@@ -310,11 +382,18 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
 def deduplicated(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps, each (doc_id, text) once.
 
-    Rows of one doc_id with different texts are told apart by their texts.
+    Rows of one doc_id with different texts are told apart by their texts; of
+    those with one text the row with the least hash stays, whatever the run.
     """
-    chosen = near_duplicates(docs, **options).filter("kept").select(
-        F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark")).distinct()
-    marked = docs.withColumn("_own", text_mark(docs["text"]))
-    stay = marked.join(chosen, marked["doc_id"].cast("long").eqNullSafe(chosen["_id"])
-                       & (marked["_own"] == chosen["_mark"]), "left_semi")
-    return stay.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    found = materialize(near_duplicates(docs, **options).select("doc_id", "text_mark", "kept"))
+    chosen = materialize(found.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"))
+                              .agg(F.count(F.lit(1)).alias("_rows")))
+    held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"),
+                       text_mark(docs["text"]).alias("_own"), row_mark(docs).alias("_whole"))
+    same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark"))
+    out = held.join(chosen.filter("_rows = 1"), same, "left_semi").select("_row.*")
+    again = chosen.filter("_rows > 1")
+    if again.isEmpty():
+        return out
+    first = held.join(again, same, "left_semi").groupBy("_doc", "_own").agg(F.min_by("_row", "_whole").alias("_row"))
+    return out.unionByName(first.select("_row.*"))
