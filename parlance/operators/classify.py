@@ -152,24 +152,26 @@ def seed_ensemble(train: DataFrame, docs: DataFrame, seeds, n_per_label: int, ke
 def verbaliser_scores(word_scores: DataFrame, verbalizer: DataFrame, key: str) -> DataFrame:
     """(key, class_id, score): mean over a class's label words of the score at
     the mask.  ``word_scores`` is (key, word, score); ``verbalizer`` (class_id, word)."""
-    # The verbalizer has a few label words per class: broadcast is bounded.
-    j = word_scores.join(F.broadcast(verbalizer), "word")
+    j = word_scores.join(verbalizer, "word")
     return j.groupBy(key, "class_id").agg(F.avg("score").alias("score"))
 
 
 def classify_ml(train: DataFrame, docs: DataFrame, num_features: int = 1 << 18, key: str = "par_id",
-                max_iter: int = 50):
-    """pyspark.ml pipeline: tokenizer, hashed term counts, IDF, class-weighted
+                max_iter: int = 50, vocabulary: bool = False):
+    """pyspark.ml pipeline: tokenizer, term counts, IDF, class-weighted
     logistic regression.  Returns (key, label, pred) for ``docs``.
 
-    ``num_features`` is the width of the hashed counts: with more distinct
-    words than that, words share a weight, so raise it with the vocabulary.
+    Counts are hashed to ``num_features`` places: with more distinct words
+    than that, words share a weight, so raise it with the vocabulary.  With
+    ``vocabulary`` the ``num_features`` most frequent words of the training
+    rows each have a weight of their own and the others none; the vocabulary
+    is then held by the driver, so ``num_features`` bounds it.
     ``max_iter`` bounds the optimiser's passes over the training rows.  A
     training set of one class predicts that class.
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+    from pyspark.ml.feature import IDF, CountVectorizer, HashingTF, RegexTokenizer
 
     c = fetch_one(train, n=F.count(F.lit(1)), npos=F.count(F.when(F.col("label") == 1, 1)))
     n, npos = c["n"], c["npos"]
@@ -179,7 +181,8 @@ def classify_ml(train: DataFrame, docs: DataFrame, num_features: int = 1 << 18,
     tr = train.select("text", F.col("label").cast("double").alias("label"), w.alias("w"))
     pipe = Pipeline(stages=[
         RegexTokenizer(inputCol="text", outputCol="tok", pattern=PY_WS_RUN, toLowercase=True),
-        HashingTF(inputCol="tok", outputCol="tf", numFeatures=num_features),
+        CountVectorizer(inputCol="tok", outputCol="tf", vocabSize=num_features) if vocabulary
+        else HashingTF(inputCol="tok", outputCol="tf", numFeatures=num_features),
         IDF(inputCol="tf", outputCol="features"),
         LogisticRegression(featuresCol="features", labelCol="label", weightCol="w", maxIter=max_iter, regParam=0.01),
     ])
