@@ -94,7 +94,7 @@ def _pos(tr):
 
 
 def augmented(tr):
-    return ag.augment_positives(_pos(tr), ag.bigram_table(tr))
+    return ag.augment_positives(_pos(tr), ag.written_bigrams(tr))
 
 
 def _edited(spark, d, through, rounds):
@@ -105,7 +105,7 @@ def _edited(spark, d, through, rounds):
     if through in ("delete", "substitute", "insert"):
         x = x.withColumn("_t", ag.delete_words(F.col("_t"), k, r))
     if through in ("substitute", "insert"):
-        big = ag.bigram_table(tr)
+        big = ag.written_bigrams(tr)
         x = ag.substitute_words(x, ("m_idx", "round"), "_t", big)
         if through == "insert":
             x = ag.insert_words(x, ("m_idx", "round"), "_t", big)
@@ -215,6 +215,29 @@ def q_candidate_pairs_loose(spark, d):
     return r.select("src_id", "cand_id", F.round("adequacy", 9).alias("adequacy"), F.round("fluency", 9).alias("fluency"))
 
 
+ASCII_ADEQUACY = 0.35
+_AS_ASCII = r"regexp_replace(text, '[^\x00-\x7F]', '?', 'g')"
+
+
+def _ascii_ctes():
+    return tuple(c.replace("FROM TR WHERE", f"FROM (SELECT * REPLACE ({_AS_ASCII} AS text) FROM TR) WHERE")
+                  .replace("AS tb FROM documents)", f"AS tb FROM (SELECT * REPLACE ({_AS_ASCII} AS text) FROM documents))")
+                 for c in _cand_ctes(ASCII_ADEQUACY, 0.0))
+
+
+@register("rank_candidates_ascii", with_ctes(*BASE, *_ascii_ctes(), """
+R AS (SELECT V.*, levenshtein(SRC.text, CORP.text) AS distance FROM V JOIN SRC USING (src_id) JOIN CORP USING (cand_id))""", body=f"""
+SELECT src_id, CAST(rank AS INTEGER) AS rank, cand_id, round(adequacy, 9) AS adequacy, round(fluency, 9) AS fluency,
+       CAST(distance AS INTEGER) AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY src_id ORDER BY distance DESC, cand_id) AS rank FROM R) WHERE rank <= {cd.MAX_CANDIDATES}"""))
+def q_rank_ascii(spark, d):
+    """Ranks and the cap at a loose threshold, on texts whose other characters are replaced, so that SQL can measure them."""
+    plain = lambda df: df.withColumn("text", F.regexp_replace("text", r"[^\x00-\x7F]", "?"))
+    src, corpus = (plain(x) for x in _cand_inputs(spark, d))
+    r = cd.rank_candidates(src, corpus, ASCII_ADEQUACY, 0.0)
+    return r.select("src_id", "rank", "cand_id", F.round("adequacy", 9).alias("adequacy"), F.round("fluency", 9).alias("fluency"), "distance")
+
+
 @register("rank_candidates")
 def q_rank_candidates(spark, d):
     """Rows-only in the driver: SQL engines at hand measure Levenshtein in
