@@ -32,6 +32,39 @@ def span_to_multihot(spans: DataFrame, num_classes: int, cid: str = "category_id
     return agg.select(*keys, "n_spans", F.array(*[F.col(f"_c{c}") for c in range(num_classes)]).alias("label"))
 
 
+WORD_BITS = 32
+
+
+def span_to_bitmap(spans: DataFrame, cid: str = "category_id", keys=SPAN_KEY) -> DataFrame:
+    """keys..., n_spans, bits MAP<INT, BIGINT>: the classes of each key as words of WORD_BITS bits, by number of the word.
+
+    Any number of classes is one expression: a bit is set by ``bit_or`` per
+    (key, word), so a task sends at most one row per key and word, and only
+    words with a class are held.  A null class counts as a span without one.
+    """
+    word = F.coalesce(F.floor(F.col(cid) / WORD_BITS), F.lit(-1)).cast("int")
+    bit = F.when(F.col(cid).isNotNull(), F.expr(f"shiftleft(1L, cast(pmod({cid}, {WORD_BITS}) as int))"))
+    per = spans.select(*keys, word.alias("_w"), bit.alias("_b")).groupBy(*keys, "_w").agg(
+        F.bit_or("_b").alias("_b"), F.count(F.lit(1)).alias("_n"))
+    held = F.filter(F.collect_list(F.struct("_w", "_b")), lambda e: e["_w"] >= 0)
+    return per.groupBy(*keys).agg(F.sum("_n").alias("n_spans"), F.map_from_entries(held).alias("bits"))
+
+
+def bitmap_to_multihot(bitmaps: DataFrame, num_classes: int, out: str = "label") -> DataFrame:
+    """``bits`` as ``out`` ARRAY<INT> of width ``num_classes``; classes beyond it are left out."""
+    at = lambda c: F.coalesce(F.element_at("bits", F.floor(c / WORD_BITS).cast("int")), F.lit(0).cast("bigint"))
+    flag = lambda c: F.getbit(at(c), F.pmod(c, F.lit(WORD_BITS)).cast("int")).cast("int")
+    return bitmaps.withColumn(out, F.transform(F.sequence(F.lit(0), F.lit(num_classes - 1)), flag)).drop("bits")
+
+
+def bitmap_to_ids(bitmaps: DataFrame, out: str = "ids") -> DataFrame:
+    """``bits`` as ``out`` ARRAY<INT>: the class ids in ascending order."""
+    each = F.transform(F.map_entries("bits"), lambda e: F.transform(
+        F.filter(F.sequence(F.lit(0), F.lit(WORD_BITS - 1)), lambda i: F.getbit(e["value"], i) == 1),
+        lambda i: e["key"] * WORD_BITS + i))
+    return bitmaps.withColumn(out, F.array_sort(F.flatten(each))).drop("bits")
+
+
 def observed_classes(multihot: DataFrame, num_classes: int, label: str = "label") -> DataFrame:
     """Drop never-active columns, as a binarizer fitted without ``classes`` does."""
     seen = fetch_one(multihot, **{f"c{c}": F.max(F.element_at(label, c + 1)) for c in range(num_classes)})

@@ -24,5 +24,5 @@ def register(name: str, sql: str | None = None):
 
 def load_all() -> None:
     import importlib
-    for mod in ("q_profile", "q_metrics", "q_splits", "q_scores", "q_text", "q_classify", "q_io", "q_augment"):
+    for mod in ("q_profile", "q_metrics", "q_splits", "q_scores", "q_text", "q_classify", "q_io", "q_augment", "q_models", "q_store"):
         importlib.import_module(f"parlance.plans.{mod}")
