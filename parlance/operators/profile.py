@@ -2,7 +2,7 @@
 
 Tokenisation happens once per row; every statistic is one partial+final
 hash aggregate (map-side combine removes word skew such as stop words).
-Corpus totals enter as scalar subqueries, never as cross joins.
+Corpus totals are fetched once and enter as literals, never as cross joins.
 """
 
 from __future__ import annotations
@@ -88,14 +88,18 @@ def token_length_extremes(df: DataFrame, n: str = "n_tokens", order: str = "row_
 
 def length_histogram(df: DataFrame, n: str = "n_tokens", bins: int = HIST_BINS) -> DataFrame:
     """``plt.hist(x, bins)``: equal bins from min to max; last bin closed.
-    A zero-width range becomes [v-0.5, v+0.5] as NumPy does.
+    A zero-width range becomes [v-0.5, v+0.5] and a table without lengths
+    gives empty bins over [0, 1], as NumPy does.
 
     The rows are read once into (length, count) -- one row per distinct
     length -- and both the range and the bins come from that small table."""
     spark = df.sparkSession
     lengths = materialize(df.groupBy(F.col(n).alias("_x")).agg(F.count(F.lit(1)).alias("_c")))
     r = fetch_one(lengths, lo=F.min("_x"), hi=F.max("_x"))
-    lo_v, hi_v = (r["lo"] - 0.5, r["hi"] + 0.5) if r["lo"] == r["hi"] else (float(r["lo"]), float(r["hi"]))
+    if r["lo"] is None:
+        lo_v, hi_v = 0.0, 1.0
+    else:
+        lo_v, hi_v = (r["lo"] - 0.5, r["hi"] + 0.5) if r["lo"] == r["hi"] else (float(r["lo"]), float(r["hi"]))
     lo, hi = F.lit(lo_v), F.lit(hi_v)
     width = (hi - lo) / bins
     b = F.least(F.floor((F.col("_x") - lo) / width), F.lit(bins - 1)).cast("int")

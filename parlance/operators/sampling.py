@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.hashing import h32, pick
 from parlance.operators.labels import any_category
-from parlance.plans.ordering import fetch_one, index_by_order, lit_long
+from parlance.plans.ordering import broadcast_if_small, fetch_one, index_by_order, lit_long, materialize
 
 # Defaults of the reference.
 FINE_TUNE_RATIO = 2
@@ -54,8 +54,16 @@ def few_shot_samples(df: DataFrame, n: int, seeds, label: str = "label", key: st
     All seeds share two passes.  A histogram of the hash's upper 16 bits
     finds the bucket in which the n-th row falls; rows of earlier buckets
     are in, and only the rows of that one bucket are ranked.  So no label is
-    sorted whole, whatever ``n`` and the size of the label.
+    sorted whole, whatever ``n`` and the size of the label.  With a unique
+    ``order`` only (key, label, order) are multiplied by the seeds; they are
+    written once for both passes, and other columns join the drawn places.
     """
+    narrow = list(dict.fromkeys([key, label] + ([order] if order else [])))
+    if order and narrow != df.columns:
+        drawn = few_shot_samples(materialize(df.select(*narrow)), n, seeds, label, key, order)
+        if set(df.columns) <= set(narrow):
+            return drawn.select(*df.columns, "seed")
+        return df.join(drawn.select(order, "seed"), order).select(*df.columns, "seed")
     drawn = df.withColumn("seed", F.explode(F.array(*[F.lit(int(s)) for s in seeds])))
     drawn = drawn.withColumn("_h", h32(F.col(key), F.col("seed"))).withColumn("_b", F.shiftright("_h", 16))
     # At most 65,536 rows per (seed, label).
@@ -92,14 +100,29 @@ def attach_demonstrations(df: DataFrame, pool: DataFrame, seed: int = 42, key: s
     with replacement (self-draws allowed).  Pool rows are numbered 0..n-1 on
     their order column alone; the draw k = hash(id, seed, side) mod n is an
     equi-join with those numbers, and the columns of the drawn rows are
-    fetched by place at the end (texts are neither sorted nor written)."""
-    out = df
-    for side, cls in (("pos", 1), ("neg", 0)):
-        p = pool.filter(F.col(label) == cls)
-        numbered = number_rows(p.select(order), order, f"_{side}_k").withColumnRenamed(order, f"_{side}_o")
-        n = lit_long(fetch_one(numbered, n=F.count(F.lit(1)))["n"])
-        fetched = p.select(F.col(order).alias(f"_{side}_o"), *[F.col(c).alias(f"{side}_{c}") for c in cols])
-        out = (out.withColumn(f"_{side}_k", pick(n, F.col(key), seed, side))
-                  .join(numbered, f"_{side}_k", "left").join(fetched, f"_{side}_o", "left")
-                  .drop(f"_{side}_k", f"_{side}_o"))
-    return out
+    fetched by place.  All this is done once per id, on narrow rows; the
+    input's own columns meet the drawn ones in one last join.  A side
+    without rows in the pool is NULL."""
+    places = materialize(pool.select(F.col(order).alias("_o"), F.col(label).alias("_y")))
+    sides = {"pos": 1, "neg": 0}
+    numbered, sizes = None, {}
+    for side, cls in sides.items():
+        own = number_rows(places.filter(F.col("_y") == cls).select("_o"), "_o", "_k").select(F.lit(side).alias("_side"), "_k", "_o")
+        sizes[side] = fetch_one(own, n=F.count(F.lit(1)))["n"]
+        numbered = own if numbered is None else numbered.unionByName(own)
+    # One row per id and side; both sides are drawn, numbered and fetched together.
+    draws = F.array(*[F.struct(F.lit(side).alias("side"), pick(lit_long(n), F.col(key), seed, side).alias("k"))
+                      for side, n in sizes.items() if n])
+    if not any(sizes.values()):
+        draws = F.array().cast("array<struct<side:string,k:bigint>>")
+    drawn = df.select(key).distinct().select(key, F.explode(draws).alias("_d")).select(
+        key, F.col("_d.side").alias("_side"), F.col("_d.k").alias("_k"))
+    rows = sum(sizes.values())
+    drawn = drawn.join(broadcast_if_small(numbered, rows), ["_side", "_k"])
+    # A small pool stands for few, often drawn rows: it is broadcast if its texts fit; a large one has no hot row.
+    fetched = pool.select(F.col(order).alias("_o"), *[F.col(c).alias(f"_{c}") for c in cols])
+    fetched = broadcast_if_small(fetched, rows)
+    drawn = drawn.join(fetched, "_o")
+    one = [F.first(F.when(F.col("_side") == side, F.col(f"_{c}")), ignorenulls=True).alias(f"{side}_{c}") for side in sides for c in cols]
+    given = drawn.groupBy(F.col(key).alias("_key")).agg(*one)
+    return df.join(given, df[key].eqNullSafe(given["_key"]), "left").drop("_key")

@@ -75,8 +75,7 @@ def cross_entropy(df: DataFrame, order: str, batch_size: int, scores: str = "log
 def weighted_cross_entropy(df: DataFrame, weights: DataFrame, scores: str = "logits",
                            target: str = "gold") -> DataFrame:
     """sum(w_y * loss) / sum(w_y); ``weights`` is (target, weight), one row per class."""
-    # One weight per class: broadcast is bounded by the class count.
-    rows = cross_entropy_rows(df, scores, target).join(F.broadcast(weights), target)
+    rows = cross_entropy_rows(df, scores, target).join(weights, target)
     return rows.agg(F.count(F.lit(1)).alias("n_rows"),
                     (F.sum(F.col("weight") * F.col("loss")) / F.sum("weight")).alias("loss"))
 

@@ -79,12 +79,12 @@ def align_by_position(gold: DataFrame, gold_order, preds: DataFrame, pred_pos: s
                       strict: bool = True) -> DataFrame:
     """Pair the i-th gold row (under ``gold_order``) with prediction line i.
     Strict mode fails the job when the two sides differ in length."""
-    g = index_by_order(gold, gold_order, "pos")
-    p = preds.withColumnRenamed(pred_pos, "pos")
+    g = index_by_order(gold, gold_order, "pos").withColumn("_gold", F.lit(True))
+    p = preds.withColumnRenamed(pred_pos, "pos").withColumn("_pred", F.lit(True))
     j = g.join(p, "pos", "full_outer" if strict else "inner")
     if strict:
-        cols = [c for c in gold.columns][:1] + [c for c in preds.columns if c != pred_pos][:1]
-        bad = F.col(cols[0]).isNull() | F.col(cols[1]).isNull()
+        # The marks tell a missing row from one whose values are null.
+        bad = F.col("_gold").isNull() | F.col("_pred").isNull()
         j = j.withColumn("pos", F.when(bad, F.raise_error(F.lit("prediction count differs from gold"))
                                         .cast("bigint")).otherwise(F.col("pos")))
-    return j
+    return j.drop("_gold", "_pred")

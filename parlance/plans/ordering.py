@@ -91,9 +91,19 @@ def top_k_per_group(df: DataFrame, group_cols, order_cols, k: int, rank_col: str
 
 
 BROADCAST_ROWS = 500_000
+BROADCAST_BYTES = 64 << 20
 
 
-def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Hint a broadcast of a table whose counted ``rows`` stay under ``limit``
-    (a few dozen MB of words and numbers); beyond it the join shuffles."""
-    return F.broadcast(df) if rows <= limit else df
+    and whose strings and binaries hold at most ``max_bytes`` (one more small
+    aggregate, run only if the rows are few enough); beyond it the join
+    shuffles.  Other columns are a few numbers per row."""
+    if rows > limit:
+        return df
+    wide = [c for c, kind in df.dtypes if kind in ("string", "binary")]
+    if wide:
+        total = fetch_one(df, b=sum((F.coalesce(F.sum(F.octet_length(c)), F.lit(0)) for c in wide), F.lit(0)))["b"]
+        if total > max_bytes:
+            return df
+    return F.broadcast(df)
