@@ -314,6 +314,18 @@ def _joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
                   .unionByName(single.select("node", "component")))
 
 
+def _across(wide: DataFrame, labels: DataFrame, sets: DataFrame, num: int, den: int, block_rows: int,
+            block_shingles: int) -> DataFrame:
+    """``labels`` (node, component) once the strays of the groups ``wide`` have met the other blocks."""
+    state = wide.join(labels.withColumnRenamed("node", "member"), "member", "left")
+    state = materialize(state.withColumn("label", F.coalesce("component", "member")).drop("component"))
+    met = _with_sets(_meetings(state, block_rows, block_shingles), sets)
+    edges = materialize(map_rows(
+        met.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi", "side", "member"),
+        lambda it: _cross_edges(it, num, den), "a long, b long"))
+    return labels if edges.isEmpty() else _joined(labels, edges)
+
+
 def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k: int = SKETCH,
                     min_shared: int = MIN_SHARED, size: int = SHINGLE_WORDS,
                     block_rows: int = BLOCK_ROWS, block_shingles: int = BLOCK_SHINGLES) -> DataFrame:
@@ -357,14 +369,7 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
         lambda it: _block_edges(it, num, den), edges))
     labels = materialize(connected_components(first, "a", "b"))
 
-    wide = placed.filter("blocks > 1")
-    state = wide.join(labels.withColumnRenamed("node", "member"), "member", "left")
-    state = materialize(state.withColumn("label", F.coalesce("component", "member")).drop("component"))
-    met = _with_sets(_meetings(state, block_rows, block_shingles), sets)
-    second = map_rows(
-        met.repartition("leader", "lo", "hi").sortWithinPartitions("leader", "lo", "hi", "side", "member"),
-        lambda it: _cross_edges(it, num, den), edges)
-    final = _joined(labels, second)
+    final = labels if large.isEmpty() else _across(placed.filter("blocks > 1"), labels, sets, num, den, block_rows, block_shingles)
 
     # Roots of the linked classes only, written apart: a large component meets one row of a small table.
     linked = materialize(classes.select("rep", "node").join(final, "node"))
