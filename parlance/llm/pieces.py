@@ -5,7 +5,8 @@ of spaces and what follows); no piece crosses into a run of spaces.  The
 distinct words of a batch that no earlier batch has seen are probed: for each
 piece length, the hashes of all substrings are looked up among the sorted
 hashes of the pieces of that length.  Where no found piece crosses a
-position, words are cut further without loss.  Parts of equal length then
+position, words are cut further without loss; a text without spaces is cut
+so before its table is filled, in stretches of bounded length.  Parts of equal length then
 advance together through the Viterbi table; vectorised maxima keep the back
 pointers.  Characters without a piece become byte pieces.
 
@@ -141,6 +142,44 @@ def text_parts(text: str, size: int = _PIECE_CHARS) -> list[str]:
     return out
 
 
+def short_parts(part: str, v: Vocabulary, size: int = _PIECE_CHARS) -> list[str]:
+    """``part`` cut into parts of at most ``size`` characters, where no piece crosses: they encode as ``part`` does.
+
+    Only as many characters as are cut next are looked up at a time.  A
+    stretch that pieces cross everywhere stays whole.
+    """
+    out, a, span, reach = [], 0, size, len(v.keys)
+    while len(part) - a > size:
+        ahead = part[a:a + span + reach]
+        codes, _ = _codes([ahead])
+        crossed = _crossings(codes, np.arange(len(codes)), np.full(len(codes), len(codes)), v)
+        # Pieces over a place up to ``span`` end inside what was looked up.
+        free = np.flatnonzero(crossed[1:min(span, len(codes) - 1) + 1] == 0) + 1
+        if len(free):
+            out.append(part[a:a + int(free[-1])])
+            a, span = a + int(free[-1]), size
+        elif span >= len(part) - a:
+            break
+        else:
+            span *= 2
+    return out + [part[a:]]
+
+
+def _crossings(codes: np.ndarray, where: np.ndarray, limit: np.ndarray, v: Vocabulary) -> np.ndarray:
+    """How many pieces lie over every place between two characters."""
+    sums, inverse = _prefix(codes)
+    crossed = np.zeros(len(codes) + 1, np.int64)
+    for k in range(1, len(v.keys)):
+        at = where[where + k + 1 <= limit]
+        if not len(at) or not len(v.keys[k]):
+            continue
+        h = _hash(sums, inverse, at, at + k + 1)
+        slot = np.minimum(np.searchsorted(v.keys[k], h), len(v.keys[k]) - 1)
+        at = at[v.keys[k][slot] == h]
+        crossed += np.bincount(at + 1, minlength=len(crossed)) - np.bincount(at + k + 1, minlength=len(crossed))[:len(crossed)]
+    return np.cumsum(crossed)
+
+
 def _codes(parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all parts, spaces as U+2581; start of every part."""
     codes = np.frombuffer("".join(parts).encode("utf-32-le"), np.uint32).astype(np.int64)
@@ -259,7 +298,7 @@ def encode(texts: list[str], v: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     held: list[tuple[int, str]] = []
     chars = 0
     for i, t in enumerate(texts):
-        for part in text_parts(t):
+        for part in (x for whole in text_parts(t) for x in (short_parts(whole, v) if len(whole) > 2 * _PIECE_CHARS else [whole])):
             held.append((i, part))
             chars += len(part)
             if chars >= _PIECE_CHARS:
@@ -342,6 +381,11 @@ def decode(ids: np.ndarray, offsets: np.ndarray, v: Vocabulary) -> tuple[np.ndar
 def encode_documents(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
     """doc_id, n_tokens, ids of every row of ``docs`` (doc_id, text).
 
+    Ids are those of the best sequence of pieces.  A file made by pair
+    merging has its own encoder replay the merges, which gives other pieces
+    for about a third of distinct words: ids from here fit models that are
+    trained on ids from here, not a model trained with that encoder.
+
     A null text has null ids and 0 tokens, an empty one no ids.  The vocabulary is read by
     the driver and sent to the executors.  Equal rows get equal results; an
     empty table gives no rows.
@@ -394,7 +438,15 @@ def _digest_rows(batches, v: Vocabulary):
 
 
 def token_digests(docs: DataFrame, path: str = MODEL_FILE) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (decoded text equals the text)."""
+    """doc_id, n_tokens, ids_sha256 (of the ids as little-endian 32-bit numbers), round_trip (decoded text equals the text).
+
+    A null, empty or unencodable text: null and empty texts have 0 tokens and
+    the digest of no bytes, and read back as the empty text; every character
+    can be written by byte pieces, so no text is left out.  Equal and repeated
+    rows get equal results, each its own; of equally good sequences the one
+    with the longer last piece counts.  Other columns are ignored; an empty
+    table gives no rows.
+    """
     held = docs.sparkSession.sparkContext.broadcast(load_vocabulary(path))
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return map_rows(narrow, lambda it: _digest_rows(it, held.value),

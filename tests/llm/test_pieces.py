@@ -78,3 +78,28 @@ def test_documents(spark):
     assert len(rows) == docs.count() and all(r["round_trip"] for r in rows)
     ids = {r["doc_id"]: r for r in coded.collect()}
     assert ids[-1]["ids"] is None and ids[-2]["ids"] == [] and all(r["n_tokens"] == ids[r["doc_id"]]["n_tokens"] for r in rows)
+
+
+def test_texts_without_spaces_are_cut_where_no_piece_crosses(monkeypatch):
+    import random
+    import tracemalloc
+    v = pc.load_vocabulary()
+    rng = random.Random(3)
+    han = [chr(0x4E00 + rng.randrange(3000)) for _ in range(400)]
+    texts = ["".join(rng.choice(han) for _ in range(5000)), "".join(rng.choice("abcdeé") for _ in range(3000)), "ab" * 2000,
+             "x" * 700 + " " + "".join(rng.choice(han) for _ in range(900))]
+    whole = [a.tolist() for a in pc.encode(texts, pc.load_vocabulary())]
+    for t in texts:
+        parts = pc.short_parts(" " + t, v, 64)
+        assert "".join(parts) == " " + t
+    assert max(map(len, pc.short_parts(texts[0], v, 64))) <= 64 + 20
+    monkeypatch.setattr(pc, "_PIECE_CHARS", 100)
+    monkeypatch.setattr(pc.short_parts, "__defaults__", (100,))
+    assert [a.tolist() for a in pc.encode(texts, v)] == whole
+    monkeypatch.undo()
+    long = "".join(rng.choice(han) for _ in range(50000)) * 60
+    tracemalloc.start()
+    ids, _ = pc.encode([long], v)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 400e6, most
