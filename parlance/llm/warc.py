@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import re
 import zlib
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,6 +31,7 @@ RESPONSE, REVISIT = "response", "revisit"
 # Fixed values of the format.
 VERSION = "WARC/1.1"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+# The date of records whose capture time nobody names.
 DATE = "1970-01-01T00:00:00Z"
 _END = "\r\n"
 _HEX5 = "0123456789ABCDEFGHIJKLMNOPQRSTUV"
@@ -42,12 +44,23 @@ def base32_of_hex(digest):
     return F.translate(F.concat(*groups), _HEX5, _BASE32)
 
 
+_CONTROLS = [chr(i) for i in range(32)] + [chr(127)]
+_ESCAPED = re.compile(r"\\(\\|x[0-9A-F]{2})")
+
+
 def _clean(c):
-    """A header value on one line: control characters and % become %XX."""
-    c = F.regexp_replace(c, "%", "%25")
-    for code in (10, 13, 9):
-        c = F.replace(c, F.lit(chr(code)), F.lit(f"%{code:02X}"))
-    return F.regexp_replace(c, r"[\x00-\x1F\x7F]", "%00")
+    """A header value on one line: control characters become \\xNN and a backslash is doubled; other values stay as they are."""
+    safe = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for x in _CONTROLS:
+        safe = F.replace(safe, F.lit(x), F.lit(f"\\x{ord(x):02X}"))
+    return F.when(F.rlike(c, F.lit(r"[\x00-\x1F\x7F\\]")), safe).otherwise(c)
+
+
+def _restored(value: str | None) -> str | None:
+    """The value that ``_clean`` wrote."""
+    if value is None or "\\" not in value:
+        return value
+    return _ESCAPED.sub(lambda m: "\\" if m[1] == "\\" else chr(int(m[1][1:], 16)), value)
 
 
 def digested(pages: DataFrame) -> DataFrame:
@@ -80,7 +93,7 @@ def _header(*fields):
     return F.concat(*parts, F.lit(_END))
 
 
-def headers(typed: DataFrame) -> DataFrame:
+def headers(typed: DataFrame, date: str = DATE) -> DataFrame:
     """The records table: page_id, digest, header, http."""
     http = F.concat(F.lit("HTTP/1.1 200 OK" + _END + "Content-Type: text/html; charset=utf-8" + _END
                           + "Content-Length: "), F.col("length").cast("string"), F.lit(_END + _END))
@@ -90,7 +103,7 @@ def headers(typed: DataFrame) -> DataFrame:
     head = _header(
         ("WARC-Type", F.col("record_type")),
         ("WARC-Record-ID", F.coalesce(ident(F.col("page_id")), F.lit("<urn:page:>"))),
-        ("WARC-Date", F.lit(DATE)),
+        ("WARC-Date", F.lit(date)),
         ("WARC-Target-URI", _clean(F.col("url"))),
         ("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("sha1"))),
         ("WARC-Payload-Length", F.col("length").cast("string")),
@@ -112,8 +125,8 @@ def _packed(batches):
             yield digest, ids[i], zlib.compress(data, 6)
 
 
-def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Archive every row of ``pages`` (page_id, url, html) under ``path``.
+def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = DATE) -> None:
+    """Archive every row of ``pages`` (page_id, url, html) under ``path``; ``date`` is that of all records.
 
     A null html is an empty payload, a null url is left out of the header.
     Rows with one page_id and payload are records of one type; the payload
@@ -121,7 +134,7 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0) -> None:
     """
     full = digested(pages)
     typed = materialize(record_types(full.drop("payload"), min_bytes))
-    headers(typed).write.parquet(f"{path}/records")
+    headers(typed, date).write.parquet(f"{path}/records")
     # The record that holds a payload is found by both keys: copies of one payload spread over all tasks.
     held = typed.filter(F.col("record_type") == RESPONSE)
     held = held.groupBy("digest").agg(F.min("page_id").alias("_page"))
@@ -181,7 +194,7 @@ def _parsed(batches):
                 if found != said or len(payload) != length:
                     raise ValueError(f"record {fields['WARC-Record-ID']} does not match its payload digest")
             refers = fields.get("WARC-Refers-To")
-            yield (_number(fields["WARC-Record-ID"]), fields.get("WARC-Target-URI"), length, said, kind,
+            yield (_number(fields["WARC-Record-ID"]), _restored(fields.get("WARC-Target-URI")), length, said, kind,
                    None if refers is None else _number(refers), payload if kind == RESPONSE else None)
 
 

@@ -38,7 +38,18 @@ def test_records_are_whole_and_payloads_stored_once(spark):
         fields = dict(x.split(b": ", 1) for x in head.split(b"\r\n")[1:])
         assert rest[int(fields[b"Content-Length"]):] == b"\r\n\r\n"
     parsed = {r["url"]: r["payload"] for r in warc.parse_records(records).collect() if r["record_type"] == "response"}
-    assert bytes(parsed["c"]) == b"one\r\n\r\ntwo" and "http://b/%0D%0AX: y%25" in parsed
+    assert bytes(parsed["c"]) == b"one\r\n\r\ntwo" and "http://b/\r\nX: y%" in parsed
+
+
+def test_addresses_come_back_as_they_went_in(spark):
+    urls = ["http://h/a%20b", "http://h/%0A%25", "\r\n\t\x00\x7f", "\\", "\\x0A\\\\x0D", "é\x1f\\n", "", None]
+    path = tempfile.mkdtemp(prefix="warc-") + "/a"
+    warc.write_archive(spark.createDataFrame([(i, u, f"p{i}") for i, u in enumerate(urls)], PAGES), path, date="2024-02-03T04:05:06Z")
+    records = warc.read_records(spark, path)
+    assert {r["page_id"]: r["url"] for r in warc.parse_records(records).collect()} == dict(enumerate(urls))
+    heads = [bytes(r["record"]).partition(b"\r\n\r\n")[0] for r in records.collect()]
+    assert all(b"WARC-Date: 2024-02-03T04:05:06Z" in h for h in heads)
+    assert any(b"WARC-Target-URI: http://h/a%20b" in h for h in heads)
 
 
 def test_empty_table(spark):
