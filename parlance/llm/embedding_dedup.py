@@ -2,15 +2,21 @@
 
 Equal vectors fall into one class first.  Every class vector is scaled to
 length 1 and rounded to int8 once; the length of what rounding took away is
-kept with it.  Classes are dealt into stripes of bounded size, every pair of
-stripes meets in one task, and tiles of int8 codes are multiplied (exactly:
-the sums fit a float).  The product and the two rounding lengths bound the
-cosine from above; only pairs whose bound reaches the threshold are computed
-again in double precision.  A task returns one count per linked vector and a
+kept with it.  Classes are dealt into stripes of bounded size by the pivot
+nearest to them, and a stripe knows the least and largest angle of its
+vectors to every pivot.  Two vectors within the angle t of each other differ
+by at most t in their angle to any pivot, so two stripes whose ranges for
+some pivot lie further apart cannot hold a link and never meet.  The others
+meet in one task a pair, and tiles of int8 codes are multiplied (exactly: the
+sums fit a float).  The product and the two rounding lengths bound the cosine
+from above; only pairs whose bound reaches the threshold are computed again
+in double precision.  A task returns one count per linked vector and a
 spanning forest of its links, never the pairs.
 
-All vectors are compared, so the products grow with the square of the
-distinct vectors; each vector is sent once per stripe.
+On vectors that gather around directions, the pivots leave each stripe few
+partners.  On vectors that spread evenly over many dimensions no pivot rules
+a pair of stripes out: then every stripe is sent to every other, and traffic
+and products grow with the square of the distinct vectors.
 """
 
 from __future__ import annotations
@@ -18,11 +24,12 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.arrow import map_rows, runs
+from parlance.llm.arrow import map_batches, map_rows, runs
 from parlance.llm.components import connected_components
 from parlance.plans.ordering import materialize
 
@@ -33,6 +40,13 @@ TILE = 1024
 _EXACT_DIMS = (1 << 24) // (127 * 127)
 _RECOMPUTE = 1 << 16
 _SLACK = 1e-9
+# Pivots are chosen from at most this many vectors and bytes; they set who meets, not what is linked.
+SAMPLE_ROWS, SAMPLE_BYTES, MOST_PIVOTS = 2048, 16 << 20, 128
+LEAST_STRIPE = 256
+# Stripe ranges that are sent to the tasks at a time.
+RANGE_BYTES = 32 << 20
+# What rounding can take from an angle, with room to spare.
+_ANGLE_SLACK = 1e-6
 
 
 def quantise(v: np.ndarray) -> tuple[bytes, float, float]:
@@ -72,21 +86,103 @@ _KEYED = "vec_id long, key binary, dim int, vector binary, codes binary, step do
 class _Side:
     """The vectors of one stripe."""
 
-    def __init__(self, table, rows: np.ndarray, dim: int):
-        pick = table.take(rows)
-        n = len(rows)
-        self.ids = pick.column("node").to_numpy()
-        self.copies = pick.column("copies").to_numpy()
-        self.codes = np.frombuffer(b"".join(pick.column("codes").to_pylist()), np.int8).reshape(n, dim)
-        self.vectors = np.frombuffer(b"".join(pick.column("vector").to_pylist()), np.float64).reshape(n, dim)
-        self.step = pick.column("step").to_numpy()
-        self.error = pick.column("error").to_numpy()
+    def __init__(self, row: dict):
+        self.ids = np.frombuffer(row["ids"], np.int64)
+        self.copies = np.frombuffer(row["copies"], np.int64)
+        n, dim = len(self.ids), row["dim"]
+        self.codes = np.frombuffer(row["codes"], np.int8).reshape(n, dim)
+        self.vectors = np.frombuffer(row["vectors"], np.float64).reshape(n, dim)
+        self.step = np.frombuffer(row["steps"], np.float64)
+        self.error = np.frombuffer(row["errors"], np.float64)
         self.length = np.sqrt(np.einsum("ij,ij->i", self.vectors, self.vectors))
 
     def __len__(self):
         return len(self.ids)
 
 
+def pivots(x: np.ndarray, k: int) -> np.ndarray:
+    """``k`` of the unit rows of ``x``, each as far as can be from those before."""
+    chosen = [0]
+    near = x @ x[0]
+    while len(chosen) < min(k, len(x)):
+        chosen.append(int(near.argmin()))
+        near = np.maximum(near, x @ x[chosen[-1]])
+    return x[chosen]
+
+
+def _chosen_pivots(classes: DataFrame, sizes: list, rows_of) -> dict[int, np.ndarray]:
+    """Pivots per dimension, as many as there are full stripes, from a bounded sample of ``classes``."""
+    widest = max((r["dim"] for r in sizes), default=1)
+    rows = min(SAMPLE_ROWS, max(1, SAMPLE_BYTES // (8 * widest)))
+    sample = classes.select("dim", "key", "vector").orderBy("key").limit(rows).collect()
+    out = {}
+    count = {r["dim"]: r["n"] for r in sizes}
+    for dim in {r["dim"] for r in sample}:
+        x = np.array([np.frombuffer(r["vector"]) for r in sample if r["dim"] == dim])
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        out[dim] = pivots(x, min(MOST_PIVOTS, -(-count[dim] // rows_of(dim))))
+    return out
+
+
+def _nearest(batches, centres):
+    for batch in batches:
+        names = batch.schema.names
+        dims, vectors = batch.column(names.index("dim")).to_pylist(), batch.column(names.index("vector"))
+        near = [int((centres.value[d] @ np.frombuffer(v.as_py())).argmax()) if d in centres.value else 0 for d, v in zip(dims, vectors)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], names=[*names, "pivot"])
+
+
+def _packed(batches, centres):
+    """One row per stripe: its vectors and the range of their angles to every pivot."""
+    for t in runs(batches, ["stripe"]):
+        dim = t.column("dim")[0].as_py()
+        joined = lambda name: b"".join(t.column(name).to_pylist())
+        x = np.frombuffer(joined("vector")).reshape(t.num_rows, dim)
+        angles = np.zeros((t.num_rows, 0))
+        if dim in centres.value:
+            cosine = x @ centres.value[dim].T / np.linalg.norm(x, axis=1)[:, None]
+            angles = np.arccos(np.clip(cosine, -1, 1))
+        numbers = lambda name, kind: t.column(name).to_numpy().astype(kind).tobytes()
+        yield (t.column("stripe")[0].as_py(), dim, numbers("node", np.int64), numbers("copies", np.int64), joined("codes"),
+               x.tobytes(), numbers("step", np.float64), numbers("error", np.float64),
+               angles.min(0).tobytes(), angles.max(0).tobytes())
+
+
+_STRIPE = ("stripe long, dim int, ids binary, copies binary, codes binary, vectors binary, steps binary, errors binary, "
+           "low binary, high binary")
+
+
+def _partners(batches, ranges, reach: float):
+    """(i, j), i <= j: pairs of stripes that no pivot keeps apart."""
+    for batch in batches:
+        for row in batch.to_pylist():
+            others, low, high = ranges.value.get(row["dim"], ((), None, None))
+            if not len(others):
+                continue
+            gap = np.maximum(np.frombuffer(row["low"]) - high, low - np.frombuffer(row["high"]))
+            near = gap.max(1, initial=0.0) <= reach
+            yield from ((row["stripe"], int(o)) for o in others[near & (others >= row["stripe"])])
+
+
+def _meetings(spark, stripes: DataFrame, cosine: float) -> DataFrame:
+    """Pairs of stripes that may hold a link; the ranges are held against all stripes in parts of bounded size."""
+    narrow = materialize(stripes.select("stripe", "dim", "low", "high"))
+    size = narrow.agg(F.sum(F.octet_length("low") + F.octet_length("high") + 64).alias("b")).first()["b"] or 0
+    parts = max(1, -(-size // RANGE_BYTES))
+    reach, out = float(np.arccos(np.clip(cosine, -1, 1))) + _ANGLE_SLACK, None
+    for i in range(parts):
+        held = narrow.filter(F.pmod(F.xxhash64("stripe"), F.lit(parts)) == i).collect()
+        by_dim = {}
+        for dim in {r["dim"] for r in held}:
+            own = [r for r in held if r["dim"] == dim]
+            by_dim[dim] = (np.array([r["stripe"] for r in own]), np.array([np.frombuffer(r["low"]) for r in own]),
+                           np.array([np.frombuffer(r["high"]) for r in own]))
+        sent = spark.sparkContext.broadcast(by_dim)
+        found = map_rows(narrow, lambda it, sent=sent: _partners(it, sent, reach), "i long, j long")
+        out = found if out is None else out.unionByName(found)
+    return materialize(out)
+
+
 def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Exact products of int8 rows."""
     if a.shape[1] <= _EXACT_DIMS:
@@ -132,14 +228,11 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def _stripe_links(batches, cosine: float):
     """(a, b, n): link counts of a as (a, null, n), forest links as (a, b, null)."""
-    for t in runs(batches, ["dim", "i", "j"]):
-        dim, first, second = (t.column(c)[0].as_py() for c in ("dim", "i", "j"))
-        side = t.column("side").to_numpy()
-        x = _Side(t, np.flatnonzero(side == 0), dim)
-        same = first == second
-        y = x if same else _Side(t, np.flatnonzero(side == 1), dim)
-        if not len(x) or not len(y):
-            continue
+    for t in runs(batches, ["i", "j"]):
+        rows = t.to_pylist()
+        same = len(rows) == 1
+        x = _Side(rows[0])
+        y = x if same else _Side(rows[1])
         ids = x.ids if same else np.concatenate([x.ids, y.ids])
         shift = 0 if same else len(x)
         count = np.zeros(len(ids), np.int64)
@@ -168,6 +261,7 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, stripe_bytes: int =
     rows are linked like any other copies; each gets its row.  An empty
     table gives no rows.
     """
+    spark = vectors.sparkSession
     base = materialize(map_rows(vectors.select(F.col("vec_id").cast("long").alias("vec_id"),
                                                F.col("embedding").cast("array<double>").alias("embedding")),
                                 _keyed, _KEYED))
@@ -176,15 +270,30 @@ def near_vectors(vectors: DataFrame, cosine: float = COSINE, stripe_bytes: int =
         F.first("vector").alias("vector"), F.first("codes").alias("codes"), F.first("step").alias("step"),
         F.first("error").alias("error"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
-    stripes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).select(
-        "dim", F.ceil(F.col("n") * F.col("dim") * 8 / F.lit(stripe_bytes)).cast("int").alias("stripes"))
-    dealt = classes.join(stripes, "dim").withColumn("stripe", F.pmod(F.xxhash64("key"), F.col("stripes")).cast("int"))
-    place = F.transform(F.sequence(F.lit(0), F.col("stripes") - 1), lambda o: F.struct(
-        F.least(o, F.col("stripe")).alias("i"), F.greatest(o, F.col("stripe")).alias("j"),
-        (o < F.col("stripe")).cast("int").alias("side")))
-    sent = dealt.select("dim", "node", "copies", "vector", "codes", "step", "error", F.explode(place).alias("p")).select(
-        "dim", "p.i", "p.j", "p.side", "node", "copies", "vector", "codes", "step", "error")
-    met = sent.repartition("dim", "i", "j").sortWithinPartitions("dim", "i", "j", "side", "node")
+    # Small tables make stripes enough for all cores; the pairs of m stripes are m (m + 1) / 2.
+    sizes = classes.groupBy("dim").agg(F.count(F.lit(1)).alias("n"))
+    total = classes.count()
+    spread = -(-total // max(1, int(np.ceil(np.sqrt(4 * spark.sparkContext.defaultParallelism)))))
+    rows_of = lambda dim: max(1, min(stripe_bytes // (8 * max(dim, 1)), max(LEAST_STRIPE, spread)))
+    seen = sizes.orderBy(F.desc("n"), "dim").limit(SAMPLE_ROWS).collect()
+    centres = spark.sparkContext.broadcast(_chosen_pivots(classes, seen, rows_of) if total else {})
+    near = materialize(map_batches(classes.select("dim", "node", "copies", "vector", "codes", "step", "error"),
+                                   lambda it: _nearest(it, centres),
+                                   "dim int, node long, copies long, vector binary, codes binary, step double, error double, pivot int"))
+    full = F.greatest(F.lit(1), F.least(F.floor(F.lit(stripe_bytes) / (8 * F.greatest("dim", F.lit(1)))),
+                                        F.lit(max(LEAST_STRIPE, spread))))
+    cells = materialize(near.groupBy("dim", "pivot").agg(F.ceil(F.count(F.lit(1)) / full).cast("long").alias("parts")))
+    part = F.pmod(F.xxhash64("node"), F.col("parts"))
+    stripe = F.shiftleft(F.col("dim").cast("long"), 40) + F.shiftleft(F.col("pivot").cast("long"), 24) + part
+    dealt = near.join(cells, ["dim", "pivot"]).withColumn("stripe", stripe).drop("pivot", "parts")
+    stripes = materialize(map_rows(dealt.repartition("stripe").sortWithinPartitions("stripe", "node"),
+                                   lambda it: _packed(it, centres), _STRIPE))
+    pairs = _meetings(spark, stripes, cosine)
+    held = stripes.drop("low", "high")
+    sides = [pairs.select("i", "j", F.lit(0).alias("side"), F.col("i").alias("stripe")).join(held, "stripe"),
+             pairs.filter("i < j").select("i", "j", F.lit(1).alias("side"), F.col("j").alias("stripe")).join(held, "stripe")]
+    n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(pairs.count(), 16 * spark.sparkContext.defaultParallelism))
+    met = sides[0].unionByName(sides[1]).repartition(n, "i", "j").sortWithinPartitions("i", "j", "side")
     found = materialize(map_rows(met, lambda it: _stripe_links(it, cosine), "a long, b long, n long"))
     linked = found.filter("n is not null").groupBy("a").agg(F.sum("n").alias("more"))
     parts = connected_components(found.filter("b is not null"), "a", "b")

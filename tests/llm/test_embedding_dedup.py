@@ -66,3 +66,37 @@ def test_bound_is_rigorous():
 
 def test_empty_table(spark):
     assert ed.near_vectors(spark.createDataFrame([], SCHEMA)).collect() == []
+
+
+def test_clustered_vectors_meet_few_stripes(spark, monkeypatch):
+    """Twenty narrow clusters: links as by brute force, and pivots keep most stripes apart."""
+    rng = np.random.default_rng(7)
+    centres = rng.normal(size=(20, 24))
+    rows = [(i, (centres[i % 20] * (1 + i % 3) + 0.12 * rng.normal(size=24)).astype(np.float32).tolist()) for i in range(400)]
+    met = []
+    real = ed._meetings
+    monkeypatch.setattr(ed, "_meetings", lambda *a: met.append((real(*a), a[1])) or met[-1][0])
+    monkeypatch.setattr(ed, "LEAST_STRIPE", 1)
+    got = ed.near_vectors(spark.createDataFrame(rows, SCHEMA), stripe_bytes=8 * 24 * 10).collect()
+    assert sorted(map(tuple, got), key=str) == _expected(rows, ed.COSINE)
+    pairs, stripes = met[-1]
+    n = stripes.count()
+    assert n >= 20 and pairs.count() < 0.35 * n * (n + 1) / 2
+
+
+def test_stripes_of_ranges_sent_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(ed, "RANGE_BYTES", 100)
+    monkeypatch.setattr(ed, "LEAST_STRIPE", 1)
+    rows = _rows()
+    got = ed.near_vectors(spark.createDataFrame(rows, SCHEMA), stripe_bytes=1000).collect()
+    assert sorted(map(tuple, got), key=str) == _expected(rows, ed.COSINE)
+
+
+def test_pivot_angles_differ_by_at_most_the_angle_between():
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    p = ed.pivots(x, 12)
+    angle = np.arccos(np.clip(x @ p.T, -1, 1))
+    between = np.arccos(np.clip(x @ x.T, -1, 1))
+    assert len(p) == 12 and (np.abs(angle[:, None] - angle[None]).max(2) <= between + ed._ANGLE_SLACK).all()
