@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from parlance.llm.arrow import map_rows, runs
 from parlance.llm.components import connected_components
 from parlance.llm.mixing import row_mark
+from parlance.llm.prefilter import bit_pages, marked
 from parlance.llm.words import row_slices, shingles, string_buffers, word_hashes
 from parlance.plans.ordering import materialize
 
@@ -238,6 +239,10 @@ def _with_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """(node, shingles): the whole set of each wanted class, from its first document."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    wanted = materialize(wanted)
+    # Texts without a wanted class are left out before the shuffle.
+    pages, bits = bit_pages(wanted, F.col("rep"), wanted.count())
+    narrow = marked(narrow, F.col("doc_id"), materialize(pages), bits, "_may").filter("_may").drop("_may")
     texts = narrow.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
 
     def rows(batches):
@@ -393,12 +398,18 @@ def deduplicated(docs: DataFrame, **options) -> DataFrame:
     found = materialize(near_duplicates(docs, **options).select("doc_id", "text_mark", "kept"))
     chosen = materialize(found.filter("kept").groupBy(F.col("doc_id").alias("_id"), F.col("text_mark").alias("_mark"))
                               .agg(F.count(F.lit(1)).alias("_rows")))
+    # Most ids have one row, and it stays: only those that may be among the others are joined.
+    other = found.filter("not kept").select(F.col("doc_id").alias("_id")).unionByName(chosen.filter("_rows > 1").select("_id"))
+    other = materialize(other.distinct())
+    pages, bits = bit_pages(other, F.col("_id"), other.count())
     held = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("_row"), docs["doc_id"].cast("long").alias("_doc"),
                        text_mark(docs["text"]).alias("_own"), row_mark(docs).alias("_whole"))
+    held = marked(held, F.col("_doc"), materialize(pages), bits, "_may")
     same = F.col("_doc").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_mark"))
-    out = held.join(chosen.filter("_rows = 1"), same, "left_semi").select("_row.*")
+    out = held.filter("not _may").select("_row.*").unionByName(
+        held.filter("_may").join(chosen.filter("_rows = 1"), same, "left_semi").select("_row.*"))
     again = chosen.filter("_rows > 1")
     if again.isEmpty():
         return out
-    first = held.join(again, same, "left_semi").groupBy("_doc", "_own").agg(F.min_by("_row", "_whole").alias("_row"))
+    first = held.filter("_may").join(again, same, "left_semi").groupBy("_doc", "_own").agg(F.min_by("_row", "_whole").alias("_row"))
     return out.unionByName(first.select("_row.*"))

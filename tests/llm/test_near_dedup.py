@@ -42,8 +42,8 @@ def test_kept_rows(spark):
 def test_equal_keys_keep_one_row_whatever_the_run(spark):
     rows = [(1, "a b c d e f", "en", "x", 1), (1, "a b c d e f", "fr", "y", 2), (1, "q r s t u v", "en", "x", 1), (2, "z", None, None, None)]
     df = spark.createDataFrame(rows + rows, DOCS).selectExpr("*", "1 as _own", "'a' as _id", "2 as _row", "3 as _mark")
-    got = [sorted(map(tuple, nd.deduplicated(df.repartition(n)).collect())) for n in (1, 3, 7)]
-    assert got[0] == got[1] == got[2] and nd.deduplicated(df).columns == df.columns
+    got = [sorted(map(tuple, nd.deduplicated(df.repartition(n)).collect())) for n in (1, 5)]
+    assert got[0] == got[1] and nd.deduplicated(df).columns == df.columns
     assert sorted((r[0], r[1]) for r in got[0]) == [(1, "a b c d e f"), (1, "q r s t u v"), (2, "z")]
 
 
