@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parlance.llm.arrow import map_rows
+from parlance.llm.prefilter import bit_pages, marked
 from parlance.plans.ordering import materialize
 from parlance.session import scratch_path
 
@@ -137,8 +138,12 @@ def write_archive(pages: DataFrame, path: str, min_bytes: int = 0, date: str = D
     headers(typed, date).write.parquet(f"{path}/records")
     # The record that holds a payload is found by both keys: copies of one payload spread over all tasks.
     held = typed.filter(F.col("record_type") == RESPONSE)
-    held = held.groupBy("digest").agg(F.min("page_id").alias("_page"))
-    candidates = map_rows(full.select("digest", "payload", "page_id"), _packed,
+    held = materialize(held.groupBy("digest").agg(F.min("page_id").alias("_page")))
+    # Copies leave before they are packed and shuffled, but for the few that the bit table lets through.
+    key = lambda page: F.concat_ws(":", "digest", page.cast("string"))
+    pages_of, bits = bit_pages(held, key(F.col("_page")), held.count())
+    holders = marked(full.select("digest", "payload", "page_id"), key(F.col("page_id")), materialize(pages_of), bits, "_may")
+    candidates = map_rows(holders.filter("_may").select("digest", "payload", "page_id"), _packed,
                           "digest string, page_id long, packed binary")
     stored = candidates.join(held, (candidates["digest"] == held["digest"])
                              & candidates["page_id"].eqNullSafe(held["_page"])).select(
