@@ -1,4 +1,7 @@
 import re
+import unicodedata
+
+import numpy as np
 
 from conftest import SF_SMALL
 from helpers import DOCS, WORD, documents
@@ -53,3 +56,58 @@ def test_no_python_in_the_plan(spark):
     docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     plan = q.with_votes(q.text_statistics(docs))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
+
+
+def _brute_votes(text):
+    """Votes of the seven rules on one text, by plain counting."""
+    text = text or ""
+    n, chars, symbols, dup, repeat = _brute(text)
+    w = WORD.findall(text)
+    lines = sum(bool(WORD.search(x)) for x in text.split("\n"))
+    capitals = sum(unicodedata.category(c) == "Lu" for c in text)
+    stops = len(re.findall(r"[.,;:!?](?![^\x20\x09-\x0D])", text))
+    if not n:
+        return [0] * 7
+    bad_good = [(100 * symbols > 10 * n, 100 * symbols <= 2 * n), (100 * dup > 45 * lines, 100 * dup <= 10 * lines),
+                (100 * repeat > 40 * n, 100 * repeat <= 10 * n), (100 * capitals > 30 * chars, 100 * capitals <= 10 * chars),
+                (100 * stops > 60 * n, 2 * n <= 100 * stops <= 40 * n),
+                (chars > 12 * n or chars < 2 * n, 3 * n <= chars <= 9 * n),
+                (n >= 20 and 100 * len(set(w)) < 20 * n, 100 * len(set(w)) >= 35 * n)]
+    return [-1 if bad else 1 if good else 0 for bad, good in bad_good]
+
+
+def _brute_posteriors(votes):
+    """Expectation-maximisation text by text: one class of good texts, one of bad ones per rule."""
+    v = np.array(votes)
+    rules = v.shape[1]
+    weight = np.array([0.85] + [0.15 / rules] * rules)
+    says = np.full((rules + 1, rules), 0.2)
+    says[0] = 0.002
+    says[np.arange(1, rules + 1), np.arange(rules)] = 0.9
+    weight0, says0 = weight.copy(), says.copy()
+
+    def share():
+        log = np.log(weight) + (v < 0) @ np.log(says).T + (v > 0) @ np.log(1 - says).T
+        e = np.exp(log - log.max(1, keepdims=True))
+        return e / e.sum(1, keepdims=True)
+    for _ in range(60):
+        p = share()
+        says = (p.T @ (v < 0) + 10 * says0) / (p.T @ (v != 0) + 10)
+        says = np.clip(says, 1e-6, 1 - 1e-6)
+        says[0] = np.minimum(says[0], 0.01)
+        own = (np.arange(1, rules + 1), np.arange(rules))
+        says[own] = np.maximum(says[own], 0.5)
+        weight = np.clip((p.sum(0) + 10 * weight0) / (len(v) + 10), 1e-6, 1 - 1e-6)
+    return share()[:, 0]
+
+
+def test_kept_equals_a_plain_expectation_maximisation(spark):
+    docs = spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text")
+    rows = [tuple(r) for r in docs.collect()] + [(10 ** 6, None), (10 ** 6 + 1, ""), (10 ** 6 + 2, "a b " * 60)]
+    got = {r["doc_id"]: r for r in q.quality(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    p = _brute_posteriors([_brute_votes(t) for _, t in rows])
+    assert len(got) == len(rows)
+    for (doc, text), good in zip(rows, p):
+        n, _, _, _, repeat = _brute(text)
+        assert abs(got[doc]["p_good"] - good) < 1e-6, doc
+        assert got[doc]["kept"] == (n >= 50 and 100 * repeat <= 50 * n and good >= 0.5)
