@@ -74,6 +74,16 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return path
 
 
+def delete_scratch(spark: SparkSession, paths) -> None:
+    """Delete scratch tables that nothing reads any more."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for p in paths:
+        place = jvm.org.apache.hadoop.fs.Path(p)
+        place.getFileSystem(conf).delete(place, True)
+        if p in _scratch:
+            _scratch.remove(p)
+
+
 @contextlib.contextmanager
 def scratch_scope(spark: SparkSession):
     """Delete the scratch tables named inside the block when it ends.  Results
@@ -82,9 +92,4 @@ def scratch_scope(spark: SparkSession):
     try:
         yield
     finally:
-        paths = _scratch[first:]
-        del _scratch[first:]
-        jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-        for p in paths:
-            place = jvm.org.apache.hadoop.fs.Path(p)
-            place.getFileSystem(conf).delete(place, True)
+        delete_scratch(spark, _scratch[first:])
