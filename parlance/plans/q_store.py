@@ -10,17 +10,22 @@ from parlance.functions.hashing import pick
 from parlance.functions.text import collapse_ws, token_count
 from parlance.operators import categories as cat
 from parlance.operators import labels as lb
+from parlance.operators import metrics as mt
 from parlance.operators import profile as pf
+from parlance.operators import scores as sc
 from parlance.operators import sketches as sk
-from parlance.plans.fixtures import P_SQL, S_SQL, manifest, paragraphs, spans, sql_collapse, sql_pick, sql_token_count, sql_tokens, with_ctes
+from parlance.operators import splits as sl
+from parlance.plans.fixtures import (L_SQL, NUM_MODELS, P_SQL, S_SQL, logits, manifest, paragraphs, spans, sql_collapse, sql_pick,
+                                     sql_token_count, with_ctes)
 from parlance.plans.ordering import materialize
-from parlance.plans.q_metrics import X_SQL, _scored, sql_counts
+from parlance.plans.q_metrics import X_SQL, _scored, sql_counts, sql_prf
 from parlance.plans.q_scores import BC_CTES, _epoch_prf_from
 from parlance.plans.q_splits import BASE
 from parlance.plans.registry import register
 from parlance.session import scratch_path
 from parlance.sources import bucketed as bk
 from parlance.sources import datasource as ds
+from parlance.sources import readers as rd
 from parlance.sources import sinks
 from parlance.streaming import stateful as st
 
@@ -109,10 +114,9 @@ SELECT m_idx, par_id, text, label, orig_label, art_id, keyword, country FROM TR
 SELECT m_idx, par_id, text, label, orig_label, art_id, keyword, country FROM DV"""))
 def q_rebuild_bucketed(spark, d):
     """Both splits from one bucketed corpus."""
-    from parlance.operators.splits import WIDE
     name = bk.write_bucketed(paragraphs(spark, d))
     m = manifest(spark, d)
-    parts = [bk.rebuild_bucketed(spark, name, m.filter(F.col("split") == s), WIDE) for s in ("train", "dev")]
+    parts = [bk.rebuild_bucketed(spark, name, m.filter(F.col("split") == s), sl.WIDE) for s in ("train", "dev")]
     return parts[0].unionByName(parts[1])
 
 
@@ -159,3 +163,42 @@ def q_wide(spark, d):
     s = spans(spark, d).select("par_id", pick(WIDE_CLASSES, F.col("row_idx"), "class").cast("int").alias("category_id"))
     wide = cat.bitmap_to_multihot(cat.span_to_bitmap(s, keys=("par_id",)), WIDE_CLASSES)
     return wide.select("par_id", "n_spans", lb.render_ints("label").alias("label"))
+
+
+# ---------------------------------------------------------------- runs and predictions read back from files
+
+@register("ensemble_stored_runs", with_ctes(L_SQL, f"""
+S AS (SELECT m, vec_id, gold, i - 1 AS class_id,
+             exp(x[i] - list_max(x)) / list_sum(list_transform(x, lambda v: exp(v - list_max(x)))) AS p
+      FROM ({" UNION ALL ".join(f"SELECT {m} AS m, vec_id, gold, m{m} AS x FROM L" for m in range(NUM_MODELS))}), range(1, 11) r(i))""",
+                                            "A AS (SELECT vec_id, gold, class_id, avg(p) AS p, count(*) AS n_models FROM S GROUP BY ALL)",
+                                            "B AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY p DESC, class_id) AS rn FROM A)",
+                                            body="""
+SELECT row_number() OVER (ORDER BY vec_id) - 1 AS pos, vec_id, gold, n_models, CAST(class_id AS INTEGER) AS pred FROM B WHERE rn = 1"""))
+def q_ensemble_stored(spark, d):
+    """Each run's scores are a file of their own; the files are read back, averaged after softmax, and lined up with the gold labels."""
+    lg = logits(spark, d)
+    runs = {}
+    for m in range(NUM_MODELS):
+        path = sinks.write_score_lines(lg, scratch_path(spark, f"run{m}"), ["vec_id"], f"m{m}")
+        runs[m] = rd.read_score_lines(spark, path, 10)
+    voted = sc.ensemble_vote(sc.stack_models(runs, "row_idx"), "row_idx", 10).select("row_idx", "n_models", "pred")
+    return sl.align_by_position(lg.select("vec_id", "gold"), ["vec_id"], voted, "row_idx").select("pos", "vec_id", "gold", "n_models", "pred")
+
+
+_ERROR_SLICES = " UNION ALL ".join(
+    f"SELECT '{name}' AS slice, CAST({expr} AS VARCHAR) AS value, label, pred FROM X"
+    for name, expr in [("grade", "orig_label"), ("length", f"CASE WHEN {sql_token_count('text')} > 63 THEN 'long' ELSE 'short' END")])
+
+
+@register("prediction_error_slices", with_ctes(
+    P_SQL, X_SQL, f"SX AS ({_ERROR_SLICES})",
+    f"C AS (SELECT slice, value, count(*) AS n, {sql_counts(with_tn=False)} FROM SX GROUP BY ALL)",
+    body=f"SELECT slice, value, n, tp, fp, fn, {sql_prf()} FROM C"))
+def q_error_slices(spark, d):
+    """Stored predictions lined up with the gold rows by position, and their errors by grade and length band."""
+    path = sinks.write_label_lines(_scored(spark, d), scratch_path(spark, "errors"))
+    p = paragraphs(spark, d)
+    gold = p.select("label", "row_idx", "orig_label", F.when(token_count("text") > 63, "long").otherwise("short").alias("band"))
+    both = sl.align_by_position(gold, ["row_idx"], rd.read_label_lines(spark, path), "row_idx")
+    return mt.prf1_by_slice(both, {"grade": F.col("orig_label"), "length": F.col("band")})

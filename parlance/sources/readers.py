@@ -103,3 +103,13 @@ def read_label_pairs(spark: SparkSession, path) -> DataFrame:
     lines = indexed_lines(spark, path, 0).withColumn("_f", _fields(py_strip("value")))
     lab = F.when(F.size("_f") == 1, F.get(F.col("_f"), 0)).otherwise(F.get(F.col("_f"), 1))
     return lines.select("row_idx", lab.cast("int").alias("label"))
+
+
+def read_score_lines(spark: SparkSession, path, num_classes: int | None = None) -> DataFrame:
+    """row_idx, logits ARRAY<DOUBLE>: numbers joined by commas, one line per row.  A line with another number of
+    scores than ``num_classes`` (if named) fails the job, and so does what is no number."""
+    lines = indexed_lines(spark, path, 0).select("row_idx", F.split(py_strip("value"), ",").cast("array<double>").alias("logits"), "value")
+    if num_classes is not None:
+        lines = lines.withColumn("logits", F.when(F.size("logits") == num_classes, F.col("logits")).otherwise(
+            F.raise_error(F.concat(F.lit(f"line has not {num_classes} scores: "), F.col("value")))))
+    return lines.select("row_idx", "logits")

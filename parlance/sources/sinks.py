@@ -94,3 +94,9 @@ def write_manifest_csv(df: DataFrame, path: str, order=("m_idx",), **kw) -> str:
        .select(F.col("par_id").cast("bigint").alias("par_id"), "label")
        .write.mode(kw.get("mode", "error")).option("header", True).csv(path))
     return path
+
+
+def write_score_lines(df: DataFrame, path: str, order=("row_idx",), scores: str = "logits", **kw) -> str:
+    """One line per row: the scores joined by commas, in digits that read back as the same numbers."""
+    line = F.array_join(F.transform(F.col(scores), lambda v: v.cast("double").cast("string")), ",")
+    return write_lines(df, line, path, order, **kw)

@@ -29,6 +29,24 @@ def freeze_model(spark: SparkSession, model: DataFrame, prior) -> tuple[DataFram
     return spark.read.parquet(path), prior_value
 
 
+def model_mark(model: DataFrame, prior: float) -> str:
+    """A short text that differs for another model: its words, a sum of hashes and the prior."""
+    row = model.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("word", "lo").cast("decimal(20,0)")).alias("s")).first()
+    return f"{row['n']}:{row['s']}:{prior!r}"
+
+
+def _same_model(spark: SparkSession, checkpoint: str, mark: str) -> None:
+    """Leave ``mark`` beside the checkpoint, or compare it with the one that lies there."""
+    place = checkpoint.rstrip("/") + ".model"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        held = spark.read.text(place).first()["value"]
+        if held != mark:
+            raise ValueError(f"the checkpoint {checkpoint} belongs to another model")
+    else:
+        spark.createDataFrame([(mark,)], "value string").coalesce(1).write.text(place)
+
+
 def score_stream(spark: SparkSession, path: str, model: DataFrame, prior: float,
                  exclude: DataFrame | None = None, out_dir: str | None = None,
                  checkpoint: str | None = None, max_files: int | None = None) -> str:
@@ -36,11 +54,15 @@ def score_stream(spark: SparkSession, path: str, model: DataFrame, prior: float,
     trigger) and return the output folder (one sub-folder per micro-batch).
 
     ``out_dir`` and ``checkpoint`` named by the caller make a restarted job
-    go on where it stopped; fresh folders are used otherwise.  ``max_files``
+    go on where it stopped; fresh folders are used otherwise.  A named
+    checkpoint remembers its model and refuses another one, so that no folder
+    holds scores of two models.  ``max_files``
     bounds the files of a micro-batch (default: no bound).  A source without
     files is an error.
     """
     out = out_dir or scratch_path(spark, "stream-scores")
+    if checkpoint:
+        _same_model(spark, checkpoint, model_mark(model, prior))
     docs = spark.readStream.schema(DOC_SCHEMA)
     if max_files:
         docs = docs.option("maxFilesPerTrigger", max_files)

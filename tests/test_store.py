@@ -264,3 +264,16 @@ def test_plan_does_not_grow_with_the_classes(spark):
     size = [len(cat.bitmap_to_multihot(cat.span_to_bitmap(s, keys=("par_id",)), n)._jdf.queryExecution().optimizedPlan().toString())
             for n in (10, 10_000)]
     assert size[1] < size[0] + 200
+
+
+def test_a_checkpoint_refuses_another_model(spark, tmp_path):
+    from parlance.streaming.scoring import score_stream
+    docs = spark.createDataFrame([(i, f"a b{i % 3}", "en", "s", 4) for i in range(6)], "doc_id long, text string, lang string, source string, n_chars long")
+    path, out, ck = (str(tmp_path / x) for x in ("docs", "out", "ck"))
+    docs.write.parquet(path)
+    model = spark.createDataFrame([("a", 0.5)], "word string, lo double")
+    for _ in range(2):
+        score_stream(spark, path, model, 0.1, out_dir=out, checkpoint=ck)
+    assert spark.read.parquet(out).count() == 6
+    with pytest.raises(ValueError, match="another model"):
+        score_stream(spark, path, spark.createDataFrame([("a", 0.6)], "word string, lo double"), 0.1, out_dir=out, checkpoint=ck)
