@@ -189,3 +189,42 @@ def classify_ml(train: DataFrame, docs: DataFrame, num_features: int = 1 << 18,
     model = pipe.fit(tr)
     out = model.transform(docs.select(key, "text", "label"))
     return out.select(key, "label", F.col("prediction").cast("int").alias("pred"))
+
+
+def classify_ml_multilabel(train: DataFrame, docs: DataFrame, num_classes: int, num_features: int = 1 << 18, key: str = "m_idx",
+                           keep=("par_id", "label"), max_iter: int = 50) -> DataFrame:
+    """key, keep..., pred ARRAY<INT>: learnt weights for several labels, one class-weighted logistic regression per class.
+
+    ``label`` is ARRAY<INT> of width ``num_classes``.  Texts are turned into
+    features once, for training and for ``docs``; both are written, so every
+    fit reads features.  A class that all or no training rows have is
+    predicted for all or none.  A null text has no words.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
+
+    count = fetch_one(train, n=F.count(F.lit(1)), **{f"c{c}": F.count(F.when(F.get("label", F.lit(c)) == 1, 1)) for c in range(num_classes)})
+    texts = lambda df, *cols: df.select(*cols, F.coalesce("text", F.lit("")).alias("text"))
+    pipe = Pipeline(stages=[RegexTokenizer(inputCol="text", outputCol="tok", pattern=PY_WS_RUN, toLowercase=True),
+                            HashingTF(inputCol="tok", outputCol="tf", numFeatures=num_features),
+                            IDF(inputCol="tf", outputCol="features")])
+    tr = texts(train, "label")
+    read = pipe.fit(tr) if count["n"] else None
+    if read is None:
+        return docs.select(key, *keep, F.array_repeat(F.lit(0), num_classes).alias("pred"))
+    learn = materialize(read.transform(tr).select("label", "features"))
+    out = materialize(read.transform(texts(docs, key, *keep)).select(key, *keep, "features"))
+    preds = []
+    for c in range(num_classes):
+        n, npos = count["n"], count[f"c{c}"]
+        if npos in (0, n):
+            preds.append(F.lit(int(npos > 0)))
+            continue
+        y = (F.get("label", F.lit(c)) == 1).cast("double")
+        w = F.when(y == 1, n / (2 * npos)).otherwise(n / (2 * (n - npos)))
+        fit = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="_w", maxIter=max_iter, regParam=0.01,
+                                 rawPredictionCol=f"_r{c}", probabilityCol=f"_p{c}", predictionCol=f"_d{c}")
+        out = fit.fit(learn.select("features", y.alias("_y"), w.alias("_w"))).transform(out).drop(f"_r{c}", f"_p{c}")
+        preds.append(F.col(f"_d{c}").cast("int"))
+    return out.select(key, *keep, F.array(*preds).alias("pred"))

@@ -10,11 +10,12 @@ from parlance.operators import mask_model as mm
 from parlance.operators import metrics as mt
 from parlance.operators import prompts as pm
 from parlance.operators import scorer as us
-from parlance.plans.fixtures import sql_tokens, unlabelled, with_ctes
+from parlance.operators import splits as sl
+from parlance.plans.fixtures import NUM_CATEGORIES, manifest, paragraphs, sql_tokens, unlabelled, with_ctes
 from parlance.plans.ordering import fetch_one, materialize
-from parlance.plans.q_classify import ORACLE_BATCH_SCORE, R6, _train_down
+from parlance.plans.q_classify import MLD_SQL, ORACLE_BATCH_SCORE, R6, _train_down
 from parlance.plans.q_metrics import sql_counts, sql_prf
-from parlance.plans.q_splits import BASE, _split
+from parlance.plans.q_splits import BASE, ML_SQL, _split
 from parlance.plans.registry import register
 
 
@@ -97,3 +98,15 @@ def q_classify_ml_rows(spark, d):
     """What is certain of ``classify_ml``: one prediction of a class per row, labels as they were (vocabulary of its own words)."""
     out = cl.classify_ml(_train_down(spark, d), _split(spark, d, "dev"), num_features=1 << 16, vocabulary=True)
     return out.select("par_id", "label", F.col("pred").isin(0, 1).alias("is_class"))
+
+
+@register("classify_ml_multilabel_rows", with_ctes(*BASE, ML_SQL, MLD_SQL, body="""
+SELECT par_id, array_to_string(list_transform(label, lambda v: CAST(v AS VARCHAR)), ',') AS gold, 7 AS width, true AS all_classes FROM MLD"""))
+def q_classify_ml_multilabel_rows(spark, d):
+    """What is certain of the learnt seven-way model: one vector of seven zeros and ones per row, labels as they were."""
+    m = manifest(spark, d)
+    tr = materialize(sl.rebuild_split_multilabel(paragraphs(spark, d), m.filter(F.col("split") == "train")))
+    dv = sl.rebuild_split_multilabel(paragraphs(spark, d), m.filter(F.col("split") == "dev"))
+    out = cl.classify_ml_multilabel(tr, dv, NUM_CATEGORIES, num_features=1 << 16)
+    return out.select("par_id", lb.render_ints("label").alias("gold"), F.size("pred").alias("width"),
+                      F.forall("pred", lambda v: v.isin(0, 1)).alias("all_classes"))

@@ -27,9 +27,9 @@ def _split(spark, d, name, cols=sl.WIDE, ids=manifest):
     return sl.rebuild_split(paragraphs(spark, d), m, cols)
 
 
-def _narrow(spark, d, name):
+def _narrow(spark, d, name, ids=manifest):
     """par_id, label, m_idx of a split, written once: what counts and draws read."""
-    return materialize(_split(spark, d, name).select("par_id", "label", "m_idx"))
+    return materialize(_split(spark, d, name, ids=ids).select("par_id", "label", "m_idx"))
 
 
 @register("rebuild_split", with_ctes(*BASE, body="SELECT m_idx, par_id, text, label FROM TR"))
@@ -145,7 +145,7 @@ SELECT par_id, label, m_idx FROM (
 
 @register("few_shot_sample", with_ctes(*BASE, body=_few_shot_sql(sp.FEW_SHOT_PER_LABEL)))
 def q_few_shot(spark, d):
-    tr = _split(spark, d, "train").select("par_id", "label", "m_idx")
+    tr = _narrow(spark, d, "train")
     return sp.few_shot_sample(tr, sp.FEW_SHOT_PER_LABEL, seed=42, order="m_idx")
 
 
@@ -155,13 +155,13 @@ SMALL_SHOT = 20
 @register("few_shot_sample_small", with_ctes(*BASE, body=_few_shot_sql(SMALL_SHOT)))
 def q_few_shot_small(spark, d):
     """A draw below the class sizes of every fixture."""
-    tr = _split(spark, d, "train").select("par_id", "label", "m_idx")
+    tr = _narrow(spark, d, "train")
     return sp.few_shot_sample(tr, SMALL_SHOT, seed=42, order="m_idx")
 
 
 @register("few_shot_sample_messy", with_ctes(*MESSY, body=_few_shot_sql(SMALL_SHOT)))
 def q_few_shot_messy(spark, d):
-    tr = _split(spark, d, "train", ids=messy_manifest).select("par_id", "label", "m_idx")
+    tr = _narrow(spark, d, "train", messy_manifest)
     return sp.few_shot_sample(tr, SMALL_SHOT, seed=42, order="m_idx")
 
 
