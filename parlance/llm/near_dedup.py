@@ -39,7 +39,7 @@ from parlance.llm.components import connected_components
 from parlance.llm.mixing import row_mark
 from parlance.llm.prefilter import bit_pages, marked
 from parlance.llm.words import row_slices, shingles, string_buffers, word_hashes
-from parlance.plans.ordering import materialize
+from parlance.plans.ordering import broadcast_if_small, materialize
 
 SIMILARITY = (75, 100)
 SHINGLE_WORDS = 5
@@ -233,16 +233,21 @@ def spanning(pairs) -> list[tuple]:
 
 
 def _with_sets(members: DataFrame, sets: DataFrame) -> DataFrame:
-    return members.join(sets, members["member"] == sets["node"]).drop("node")
+    """``members`` with their shingles; few members go to the sets, so that the sets are not shuffled for this."""
+    members = materialize(members)
+    members = broadcast_if_small(members, members.count())
+    return sets.join(members, sets["node"] == members["member"]).drop("node")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
-    """(node, shingles): the whole set of each wanted class, from its first document."""
+    """(node, shingles): the whole set of each wanted class (rep, digest, node, copies), from its first document."""
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     wanted = materialize(wanted)
     # Texts without a wanted class are left out before the shuffle.
-    pages, bits = bit_pages(wanted, F.col("rep"), wanted.count())
+    n = wanted.count()
+    pages, bits = bit_pages(wanted, F.col("rep"), n)
     narrow = marked(narrow, F.col("doc_id"), materialize(pages), bits, "_may").filter("_may").drop("_may")
+    wanted = broadcast_if_small(wanted, n)
     texts = narrow.join(wanted.withColumnRenamed("rep", "doc_id"), "doc_id")
 
     def rows(batches):
@@ -252,8 +257,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 # One doc_id may stand on several texts.
                 if hashlib.blake2b(s.tobytes(), digest_size=16).digest() == marks[i]:
                     yield nodes[i], s.tobytes()
-    found = map_rows(texts.select("doc_id", "text", "digest", "node"), rows, "node long, shingles binary")
-    return found.dropDuplicates(["node"])
+    found = lambda cond: map_rows(texts.filter(cond).select("doc_id", "text", "digest", "node"), rows,
+                                  "node long, shingles binary")
+    # A class of one row is found once; only classes of several may have been found on equal rows of one document.
+    return found("copies = 1").unionByName(found("copies > 1").dropDuplicates(["node"]))
 
 
 def _block_edges(batches, num: int, den: int):
@@ -347,12 +354,13 @@ def near_duplicates(docs: DataFrame, similarity: tuple[int, int] = SIMILARITY, k
     base = materialize(sketches(docs, k, size))
     usable = base.filter((F.col("n_shingles") > 0) & F.col("doc_id").isNotNull())
     classes = usable.groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"),
+        F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()))
     members = _memberships(classes, k, min_shared, num, den)
-    wanted = classes.select("rep", "digest", "node").join(
+    wanted = classes.select("rep", "digest", "node", "copies").join(
         members.select(F.col("member").alias("node")).distinct(), "node", "left_semi")
-    sets = materialize(_sets(docs, wanted.select("rep", "digest", "node"), size))
+    sets = materialize(_sets(docs, wanted.select("rep", "digest", "node", "copies"), size))
 
     sized = members.join(classes.select(F.col("node").alias("member"), "n"), "member")
     groups = sized.groupBy("leader").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("total"))
