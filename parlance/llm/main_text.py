@@ -7,10 +7,11 @@ repeat covers counts as covered.  What is not covered are a page's unique
 runs; the element that holds most of them is its main element, and its
 covered words leave.
 
-What marks itself as an article is taken at its word: all articles of a page
-are its main elements, and runs that they share with other pages are shared
-passages or copies, which are content.  So the words in articles stay out of
-the suffix array.  A notice that was put into articles still goes: a block of
+The suffix array sees every visible word, in articles too.  What marks itself
+as an article is taken at its word: all articles of a page are its main
+elements, and runs that they share with other pages are shared passages or
+copies, which are content; coverage decides there which parts with a name like
+that of a menu are one.  A notice that was put into articles goes: a block of
 its own of at least ``MIN_RUN`` words that stands on most pages of the host
 (``NOTICE_SHARE``, and ``NOTICE_PAGES`` at least) and, with the others like
 it, makes up at most half of the page.  A page without an article that is
@@ -50,6 +51,8 @@ SHARD_BYTES = 8 << 20
 NOTICE_SHARE, NOTICE_PAGES = 0.5, 5
 # A page is a copy if more of its words are covered; notices that make up more of a page stay.
 COPY_SHARE = 0.5
+# Pages that are packed together.
+PACK_PAGES = 64
 # Shards of a host per bucket of run hashes; hashes that a task holds before it sends them.
 BUCKET_SHARDS = 16
 _HELD = 1 << 22
@@ -256,13 +259,6 @@ class Page:
                 out.append(e)
         return out
 
-    def open_blocks(self) -> list[bool]:
-        """Per block: whether the suffix array sees it, outside of articles and of what marks itself as chrome by its tag."""
-        shut = [False] * len(self.tag)
-        for e in range(1, len(self.tag)):
-            shut[e] = shut[self.parent[e]] or self.tag[e] in ARTICLES or self.chrome[e]
-        return [not shut[e] for _, e in self.blocks]
-
     def _inside(self, e: int, outer: int) -> bool:
         while e > outer:
             e = self.parent[e]
@@ -348,10 +344,7 @@ def shard_texts(pages: list[Page], ids: list, repeated: np.ndarray | None = None
     order = sorted(range(len(pages)), key=lambda i: (ids[i] is None, ids[i] or 0))
     for i in order:
         page = known.setdefault(ids[i], len(known))
-        for (text, _), seen in zip(pages[i].blocks, pages[i].open_blocks()):
-            if not seen:
-                sizes.append(0)
-                continue
+        for text, _ in pages[i].blocks:
             w = [numbers.setdefault(x, len(numbers)) for x in text.split(" ")]
             words += w
             owner += [page] * len(w)
@@ -376,7 +369,7 @@ def shard_texts(pages: list[Page], ids: list, repeated: np.ndarray | None = None
 
 
 def _page_text(p: Page, covered: list[np.ndarray], notices: frozenset) -> str:
-    """The main text of a page, from which words of its open blocks are ``covered``."""
+    """The main text of a page, from which words of its blocks are ``covered``."""
     size = [text.count(" ") + 1 for text, _ in p.blocks]
     notice = [bool(notices) and _is_run(text) and block_hash(text) in notices for text, _ in p.blocks]
     unique = [0 if n else w - int(c.sum()) for w, c, n in zip(size, covered, notice)]
@@ -394,10 +387,25 @@ def _page_text(p: Page, covered: list[np.ndarray], notices: frozenset) -> str:
 
 
 def _packed(batches):
+    """Pages of a shard that stand near one another, up to PACK_PAGES, packed together: what they share is held once."""
     for batch in batches:
         ids, urls, hosts, shards = (batch.column(i).to_pylist() for i in range(4))
-        for i, source in enumerate(batch.column(4)):
-            yield ids[i], urls[i], hosts[i], shards[i], zlib.compress((source.as_py() or "").encode(), 6)
+        held: dict[tuple, list] = {}
+        for i, at in enumerate(zip(hosts, shards)):
+            held.setdefault(at, []).append(i)
+        for (host, shard), rows in held.items():
+            for a in range(0, len(rows), PACK_PAGES):
+                some = rows[a:a + PACK_PAGES]
+                html = [(batch.column(4)[i].as_py() or "").encode() for i in some]
+                yield ([ids[i] for i in some], [urls[i] for i in some], host, shard, [len(x) for x in html],
+                       zlib.compress(b"".join(html), 6))
+
+
+def _unpacked(packed: bytes, sizes: list[int]):
+    held, at = zlib.decompress(packed), 0
+    for n in sizes:
+        yield held[at:at + n].decode()
+        at += n
 
 
 def coded(values: np.ndarray) -> bytes:
@@ -411,39 +419,43 @@ def decoded(held: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
 
 
-def _marks(batches):
-    """What a host has to know of its pages, from one reading of them.
-
-    (host, block, pages, null...): on how many pages of the task a block stands.
-    (host, null, null, bucket, shard, runs): hashes of the open runs of a host with several shards.
-    """
+def _block_marks(batches):
+    """(host, block, pages): on how many pages of the task a block stands."""
     blocks: dict[tuple, int] = {}
+    for batch in batches:
+        hosts = batch.column(0).to_pylist()
+        for i, source in enumerate(batch.column(1)):
+            page = Page(source.as_py() or "")
+            for h in {block_hash(text) for text, e in page.blocks if not page.chrome[e] and _is_run(text)}:
+                blocks[hosts[i], h] = blocks.get((hosts[i], h), 0) + 1
+            if len(blocks) >= _HELD // 4:
+                yield from ((host, h, n) for (host, h), n in blocks.items())
+                blocks = {}
+    yield from ((host, h, n) for (host, h), n in blocks.items())
+
+
+def _run_marks(batches):
+    """(host, bucket, shard, runs): hashes of the runs of a host with several shards."""
     runs_of: dict[tuple, list] = {}
     known: dict[str, int] = {}
     total = 0
     for batch in batches:
         hosts, shards, counts = (batch.column(i).to_pylist() for i in range(3))
         for i, source in enumerate(batch.column(3)):
-            page = Page(source.as_py() or "")
-            for h in {block_hash(text) for text, e in page.blocks if not page.chrome[e] and _is_run(text)}:
-                blocks[hosts[i], h] = blocks.get((hosts[i], h), 0) + 1
-            if counts[i] > 1:
-                words = [x for (text, _), seen in zip(page.blocks, page.open_blocks()) if seen for x in text.split(" ")]
-                for x in words:
-                    if x not in known:
-                        known[x] = _word_hash(x)
-                h = np.unique(run_hashes(np.array([known[x] for x in words], np.uint64)))
-                runs_of.setdefault((hosts[i], counts[i], shards[i]), []).append(h)
-                total += len(h)
-            if total >= _HELD or len(blocks) + len(known) >= _HELD // 4:
-                yield from _sent(blocks, runs_of)
-                blocks, runs_of, known, total = {}, {}, {}, 0
-    yield from _sent(blocks, runs_of)
-
-
-def _sent(blocks: dict, runs_of: dict):
-    for (host, h), n in blocks.items():
-        yield host, h, n, None, None, None
+            words = [x for text, _ in Page(source.as_py() or "").blocks for x in text.split(" ")]
+            for x in words:
+                if x not in known:
+                    known[x] = _word_hash(x)
+            h = np.unique(run_hashes(np.array([known[x] for x in words], np.uint64)))
+            runs_of.setdefault((hosts[i], counts[i], shards[i]), []).append(h)
+            total += len(h)
+            if total >= _HELD or len(known) >= _HELD // 4:
+                yield from _sent(runs_of)
+                runs_of, known, total = {}, {}, 0
+    yield from _sent(runs_of)
+
+
+def _sent(runs_of: dict):
     for (host, count, shard), made in runs_of.items():
         h = np.unique(np.concatenate(made))
         buckets = -(-count // BUCKET_SHARDS)
@@ -452,7 +464,7 @@ def _sent(blocks: dict, runs_of: dict):
         cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
         for b in range(buckets):
             if cut[b] < cut[b + 1]:
-                yield host, None, None, b, shard, coded(h[order[cut[b]:cut[b + 1]]])
+                yield host, b, shard, coded(h[order[cut[b]:cut[b + 1]]])
 
 
 def _repeat_rows(batches):
@@ -479,8 +491,9 @@ def _shard_rows(batches):
         repeated = np.concatenate(back) if back else None
         notices = frozenset(h for h in t.column("notice").to_pylist() if h is not None)
         t = t.filter(t.column("packed").is_valid())
-        ids, urls = t.column("page_id").to_pylist(), t.column("url").to_pylist()
-        pages = [Page(zlib.decompress(x.as_py()).decode()) for x in t.column("packed")]
+        ids, urls = ([x for some in t.column(c).to_pylist() for x in some] for c in ("page_ids", "urls"))
+        pages = [Page(x) for packed, sizes in zip(t.column("packed"), t.column("sizes").to_pylist())
+                 for x in _unpacked(packed.as_py(), sizes)]
         for page_id, url, text in zip(ids, urls, shard_texts(pages, ids, repeated, notices)):
             yield page_id, url, text, len(text)
 
@@ -510,18 +523,19 @@ def main_texts(pages: DataFrame, shard_pages: int = SHARD_PAGES, shard_bytes: in
     shards = F.coalesce("shards", F.lit(1))
     dealt = p.join(many, "host", "left").select(
         "page_id", "url", "host", F.pmod(F.xxhash64("page_id"), shards).cast("int").alias("shard"), shards.alias("shards"), "html")
-    seen = materialize(map_rows(dealt.select("host", "shard", "shards", "html"), _marks,
-                                "host string, block long, pages long, bucket int, shard int, runs binary"))
-    often = seen.filter("block is not null").groupBy("host", "block").agg(F.sum("pages").alias("pages"))
-    often = often.filter(F.col("pages") >= NOTICE_PAGES).join(hosts, "host").filter(F.col("pages") > NOTICE_SHARE * F.col("n"))
+    # Read twice: hashes of all runs would weigh more on disk than the second reading on time.
+    often = map_rows(p.select("host", "html"), _block_marks, "host string, block long, pages long")
+    often = materialize(often.groupBy("host", "block").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= NOTICE_PAGES))
+    often = often.join(hosts, "host").filter(F.col("pages") > NOTICE_SHARE * F.col("n"))
     # At most 1 / NOTICE_SHARE blocks per block of a page: few rows per shard.
     notices = often.select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("block").alias("notice"))
-    sent = seen.filter("bucket is not null").select("host", "bucket", "shard", "runs")
+    sent = map_rows(dealt.filter("shards > 1").select("host", "shard", "shards", "html"), _run_marks,
+                    "host string, bucket int, shard int, runs binary")
     back = map_rows(sent.repartition("host", "bucket").sortWithinPartitions("host", "bucket"), _repeat_rows,
                     "host string, shard int, runs binary")
     packed = map_rows(dealt.select("page_id", "url", "host", "shard", "html"), _packed,
-                      "page_id long, url string, host string, shard int, packed binary")
+                      "page_ids array<long>, urls array<string>, host string, shard int, sizes array<int>, packed binary")
     both = packed.unionByName(back, allowMissingColumns=True).unionByName(notices, allowMissingColumns=True)
-    met = both.repartition("host", "shard").sortWithinPartitions("host", "shard", "page_id")
-    return map_rows(met.select("page_id", "url", "host", "shard", "packed", "runs", "notice"), _shard_rows,
+    met = both.repartition("host", "shard").sortWithinPartitions("host", "shard")
+    return map_rows(met.select("page_ids", "urls", "host", "shard", "sizes", "packed", "runs", "notice"), _shard_rows,
                     "page_id long, url string, text string, n_chars long")

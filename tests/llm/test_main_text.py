@@ -137,3 +137,26 @@ def test_coded_numbers_come_back():
     for n in (0, 1, 2, 1000):
         x = np.unique(rng.integers(0, 1 << 64, n, dtype=np.uint64, endpoint=False))
         assert (mt.decoded(mt.coded(x)) == x).all() and len(mt.decoded(mt.coded(x))) == len(x)
+
+
+def test_the_suffix_array_sees_the_words_of_articles():
+    """Two articles share a part whose name has a piece of a menu's; what they say themselves differs."""
+    rng = random.Random(10)
+    words = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    shared, own = words(8), [words(30) for _ in range(3)]
+    part = f"<div class='more-related'>{shared}</div>"
+    pages = [mt.Page(f"<article><p>{own[0]}</p>{part}</article>"), mt.Page(f"<article><p>{own[1]}</p>{part}</article>")]
+    assert mt.shard_texts(pages, [0, 1]) == own[:2]
+    # Nobody else says it: it stays.
+    alone = mt.Page(f"<article><p>{own[2]}</p><div class='more-related'>{words(8)}</div></article>")
+    assert len(mt.shard_texts([alone], [2])[0].split()) == 38
+
+
+def test_pages_that_are_packed_together_come_back():
+    import pyarrow as pa
+    html = ["<p>a</p>", None, "", "<p>é中</p>"] * 40
+    n = len(html)
+    batch = pa.record_batch([pa.array(range(n)), pa.array(["u"] * n), pa.array(["h"] * n), pa.array([0] * n, pa.int32()), pa.array(html)],
+                            names=["page_id", "url", "host", "shard", "html"])
+    got = [(i, x) for ids, _, _, _, sizes, packed in mt._packed([batch]) for i, x in zip(ids, mt._unpacked(packed, sizes))]
+    assert got == [(i, x or "") for i, x in enumerate(html)]
