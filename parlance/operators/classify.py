@@ -22,9 +22,16 @@ from parlance.plans.ordering import broadcast_if_small, fetch_one, lit_long, mat
 def doc_terms(df: DataFrame, key: str = "par_id", text: str = "text", keep=()) -> DataFrame:
     """(key, keep..., word, tf) with tf = occurrences of the word in the text;
     a text without words gives one row with a NULL word, so every row of
-    ``df`` stays and the kept columns need no second read.  ``key`` is unique."""
-    w = df.select(key, *keep, F.explode_outer(lower_tokens(text)).alias("word"))
-    return w.groupBy(key, *keep, "word").agg(F.count(F.lit(1)).alias("tf"))
+    ``df`` stays and the kept columns need no second read.  ``key`` is unique,
+    so a row's words are sorted and counted where it is read: no shuffle."""
+    w = df.select(key, *keep, F.array_sort(lower_tokens(text)).alias("_w"))
+    n = F.coalesce(F.size("_w"), F.lit(0))
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1))
+    w = w.select("*", F.filter(places, lambda i: (i == 0) | (F.get("_w", i) != F.get("_w", i - 1))).alias("_at"))
+    each = F.transform("_at", lambda i, k: F.struct(
+        F.get("_w", i).alias("word"), (F.coalesce(F.get("_at", k + 1), F.size("_w")) - i).cast("bigint").alias("tf")))
+    return w.select(key, *keep, F.explode_outer(each).alias("_e")).select(
+        key, *keep, F.col("_e.word").alias("word"), F.coalesce("_e.tf", F.lit(1).cast("bigint")).alias("tf"))
 
 
 def nb_word_scores(train: DataFrame, text: str = "text", label: str = "label") -> DataFrame:

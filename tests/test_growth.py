@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from parlance.functions.text import tokens
 from parlance.operators import augment as ag
+from parlance.operators import classify as cl
 
 
 def test_a_draw_for_a_whole_text_is_made_once(spark):
@@ -21,3 +22,12 @@ def test_rows_are_written_between_table_edits(spark, monkeypatch):
     out = ag.augment_positives(df, ag.bigram_table(df))
     assert len(written) == 2 and all("_t" in c and "round" in c for c in written)
     assert out.count() == 6 * ag.ROUNDS
+
+
+def test_terms_of_a_row_are_counted_without_a_shuffle(spark):
+    texts = ["b a B c a", "", None, "  ", "x"]
+    df = spark.createDataFrame([(i, f"p{i}", t) for i, t in enumerate(texts)], "row_idx int, par_id string, text string")
+    terms = cl.doc_terms(df, "row_idx", keep=("par_id",))
+    assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
+    want = [(0, "p0", "a", 2), (0, "p0", "b", 2), (0, "p0", "c", 1), (1, "p1", None, 1), (2, "p2", None, 1), (3, "p3", None, 1), (4, "p4", "x", 1)]
+    assert sorted((tuple(r) for r in terms.collect()), key=str) == sorted(want, key=str)
