@@ -93,8 +93,10 @@ def q_rejected_lines(spark, d):
     k = pick(7, F.col("par_id"), "broken")
     line = F.when(k == 0, F.col("par_id")).when(k == 1, F.concat_ws("\t", "par_id", "art_id")).otherwise(
         F.concat_ws("\t", "par_id", "art_id", "keyword", "country", collapse_ws("text"), "orig_label"))
-    path = sinks.write_lines(paragraphs(spark, d), line, scratch_path(spark, "broken"), ["row_idx"], num_files=1)
-    bad = ds.rejected_lines(ds.indexed_ranges(spark, path, range_bytes=RANGE), 5)
+    path = sinks.write_lines(paragraphs(spark, d), line, scratch_path(spark, "broken"), ["row_idx"])
+    # Many files in order: a line's number is its place in all of them.
+    lines = ds.indexed_ranges(spark, path, range_bytes=RANGE).withColumn("line_no", F.col("row_idx"))
+    bad = ds.rejected_lines(lines, 5)
     return bad.select("line_no", "n_fields", "value")
 
 

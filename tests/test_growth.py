@@ -31,3 +31,15 @@ def test_terms_of_a_row_are_counted_without_a_shuffle(spark):
     assert "Exchange" not in terms._jdf.queryExecution().executedPlan().toString()
     want = [(0, "p0", "a", 2), (0, "p0", "b", 2), (0, "p0", "c", 1), (1, "p1", None, 1), (2, "p2", None, 1), (3, "p3", None, 1), (4, "p4", "x", 1)]
     assert sorted((tuple(r) for r in terms.collect()), key=str) == sorted(want, key=str)
+
+
+def test_rejected_lines_are_not_written_by_one_task(spark, monkeypatch):
+    from conftest import SF_SMALL
+    from parlance.plans import q_store
+    asked = []
+    real = q_store.sinks.write_lines
+    monkeypatch.setattr(q_store.sinks, "write_lines", lambda *a, **kw: asked.append(kw) or real(*a, **(kw | {"num_files": 5})))
+    got = q_store.q_rejected_lines(spark, SF_SMALL).collect()
+    assert asked and not any(kw.get("num_files") for kw in asked)
+    # The numbers go on from file to file.
+    assert len({r["line_no"] for r in got}) == len(got) > 10
