@@ -32,6 +32,8 @@ from parlance.plans.workers import with_package
 
 NAME = "parlance_lines"
 RANGE_BYTES = 64 << 20
+# Bytes that a task reads if ranges are smaller, as far as there are PACKS tasks of that size.
+PACK_BYTES, PACKS = 64 << 20, 64
 _LINES = "file string, range_start bigint, place bigint, value string"
 _COUNTS = "file string, range_start bigint, lines bigint"
 
@@ -64,6 +66,28 @@ class ByteRange(InputPartition):
     end: int
 
 
+@dataclass
+class RangePack(InputPartition):
+    """Ranges that one task reads one after another."""
+
+    ranges: list[ByteRange]
+
+
+def packs_of(ranges: list[ByteRange]) -> list[RangePack]:
+    """Consecutive ranges by the bytes of a task: small ranges number their lines apart but cost no task each."""
+    total = sum(r.end - r.start for r in ranges)
+    wanted = min(PACK_BYTES, -(-total // PACKS))
+    out: list[RangePack] = []
+    held = 0
+    for r in ranges:
+        if not out or held + r.end - r.start > wanted:
+            out.append(RangePack([]))
+            held = 0
+        out[-1].ranges.append(r)
+        held += r.end - r.start
+    return out
+
+
 def ranges_of(sizes: list[tuple[str, int, int]], step: int) -> list[ByteRange]:
     """Ranges of ``step`` bytes from ``start`` to ``end`` of every (file, start, end)."""
     return [ByteRange(file, a, min(a + step, end)) for file, start, end in sizes for a in range(start, end, step)]
@@ -92,15 +116,16 @@ class LineReader(DataSourceReader):
         self.path, self.step = options["path"], int(options.get("rangebytes", RANGE_BYTES))
         self.count = options.get("count", "false").lower() == "true"
 
-    def partitions(self) -> list[ByteRange]:
-        return ranges_of([(p, 0, os.path.getsize(p)) for p in files_of(self.path)], self.step)
+    def partitions(self) -> list[RangePack]:
+        return packs_of(ranges_of([(p, 0, os.path.getsize(p)) for p in files_of(self.path)], self.step))
 
-    def read(self, partition: ByteRange):
-        if self.count:
-            yield partition.file, partition.start, sum(1 for _ in lines_of(partition))
-            return
-        for i, line in enumerate(lines_of(partition)):
-            yield partition.file, partition.start, i, line
+    def read(self, partition: RangePack):
+        for part in partition.ranges:
+            if self.count:
+                yield part.file, part.start, sum(1 for _ in lines_of(part))
+                continue
+            for i, line in enumerate(lines_of(part)):
+                yield part.file, part.start, i, line
 
 
 class LineStreamReader(DataSourceStreamReader):

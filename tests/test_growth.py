@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from parlance.functions.text import tokens
 from parlance.operators import augment as ag
 from parlance.operators import classify as cl
+from parlance.sources import datasource as ds
 
 
 def test_a_draw_for_a_whole_text_is_made_once(spark):
@@ -43,3 +44,16 @@ def test_rejected_lines_are_not_written_by_one_task(spark, monkeypatch):
     assert asked and not any(kw.get("num_files") for kw in asked)
     # The numbers go on from file to file.
     assert len({r["line_no"] for r in got}) == len(got) > 10
+
+
+def test_small_ranges_share_tasks(tmp_path):
+    lines = [f"line {i}" for i in range(3000)]
+    (tmp_path / "a.txt").write_text("\n".join(lines[:2000]) + "\n")
+    (tmp_path / "b.txt").write_text("\n".join(lines[2000:]) + "\n")
+    reader = ds.LineReader({"path": str(tmp_path), "rangebytes": "10"})
+    packs = reader.partitions()
+    assert len(packs) <= 2 * ds.PACKS and sum(len(p.ranges) for p in packs) > 1000
+    assert [row[3] for p in packs for row in reader.read(p)] == lines
+    count = ds.LineReader({"path": str(tmp_path), "rangebytes": "10", "count": "true"})
+    assert sum(n for p in packs for _, _, n in count.read(p)) == 3000
+    assert ds.LineReader({"path": str(tmp_path / "none")}).partitions() == []
