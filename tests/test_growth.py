@@ -1,9 +1,12 @@
 """What grows with the input: draws, shuffles, tasks and steps per row."""
 
+import random
+
 from pyspark.sql import functions as F
 
 from parlance.functions.text import tokens
 from parlance.operators import augment as ag
+from parlance.operators import categories as cat
 from parlance.operators import classify as cl
 from parlance.sources import datasource as ds
 
@@ -57,3 +60,17 @@ def test_small_ranges_share_tasks(tmp_path):
     count = ds.LineReader({"path": str(tmp_path), "rangebytes": "10", "count": "true"})
     assert sum(n for p in packs for _, _, n in count.read(p)) == 3000
     assert ds.LineReader({"path": str(tmp_path / "none")}).partitions() == []
+
+
+def test_wide_vectors_take_a_step_per_eight_classes(spark):
+    rng = random.Random(2)
+    sets = [sorted(rng.sample(range(1000), rng.randrange(1, 60))) for _ in range(20)] + [[31, 32, 63, 64, 999]]
+    s = spark.createDataFrame([(i, c) for i, x in enumerate(sets) for c in x], "par_id int, category_id int")
+    for n in (1000, 999, 33, 8, 1):
+        wide = cat.bitmap_to_multihot(cat.span_to_bitmap(s, keys=("par_id",)), n)
+        assert {r["par_id"]: r["label"] for r in wide.collect()} == {i: [int(c in set(x)) for c in range(n)] for i, x in enumerate(sets)}
+    assert f"sequence(0, {999 // 8}" in wide_plan(spark, s) and "sequence(0, 999" not in wide_plan(spark, s)
+
+
+def wide_plan(spark, s):
+    return cat.bitmap_to_multihot(cat.span_to_bitmap(s, keys=("par_id",)), 1000)._jdf.queryExecution().analyzed().toString()
