@@ -22,6 +22,7 @@ from parlance.plans.workers import with_package
 SCORED = "pos BIGINT, label INT, pred INT, ts TIMESTAMP"
 EPOCHS = "run BIGINT, epoch INT, precision DOUBLE, recall DOUBLE, f1 DOUBLE"
 _RUNS = ("run BIGINT, n_epochs BIGINT, best_epoch INT, best_f1 DOUBLE, best_precision DOUBLE, best_recall DOUBLE, stop_epoch INT")
+_RUN_COLUMNS = [c.split()[0] for c in _RUNS.split(", ")]
 _STATE = ("n_epochs BIGINT, best_epoch INT, best_f1 DOUBLE, best_precision DOUBLE, best_recall DOUBLE, streak INT, stop_epoch INT")
 
 
@@ -66,21 +67,21 @@ def stream_confusion(spark: SparkSession, path: str, out: str, checkpoint: str,
 def _advance(run: tuple, batches, state: GroupState, patience: int):
     """One run's state after more of its epochs, in order of the epoch."""
     n, best, f1, precision, recall, streak, stop = state.get if state.exists else (0, None, None, None, None, 0, None)
-    came = pd.concat(list(batches)).sort_values("epoch")
-    for e in came.itertuples():
+    # Plain numbers: a run has a few epochs, and a frame sorted for each run costs more than all else.
+    came = sorted((row for b in batches for row in zip(b["epoch"].tolist(), b["f1"].tolist(), b["precision"].tolist(), b["recall"].tolist())),
+                  key=lambda row: row[0])
+    for epoch, f, p, r in came:
         if stop is not None:
             break
         n += 1
-        if e.f1 > (f1 or 0.0):
-            best, f1, precision, recall, streak = int(e.epoch), float(e.f1), float(e.precision), float(e.recall), 0
+        if f > (f1 or 0.0):
+            best, f1, precision, recall, streak = int(epoch), f, p, r, 0
         else:
             streak += 1
             if streak >= patience:
-                stop = int(e.epoch)
+                stop = int(epoch)
     state.update((n, best, f1, precision, recall, streak, stop))
-    yield pd.DataFrame({"run": [run[0]], "n_epochs": [n], "best_epoch": pd.array([best], "Int32"), "best_f1": [f1],
-                        "best_precision": [precision], "best_recall": [recall], "stop_epoch": pd.array([stop], "Int32")}).astype(
-        {"best_f1": "float64", "best_precision": "float64", "best_recall": "float64"})
+    yield pd.DataFrame([(run[0], n, best, f1, precision, recall, stop)], columns=_RUN_COLUMNS, dtype=object)
 
 
 def stream_best_checkpoint(spark: SparkSession, path: str, out: str, checkpoint: str, patience: int = PATIENCE,

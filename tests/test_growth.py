@@ -2,6 +2,8 @@
 
 import random
 
+import pandas as pd
+
 from pyspark.sql import functions as F
 
 from parlance.functions.text import tokens
@@ -9,6 +11,7 @@ from parlance.operators import augment as ag
 from parlance.operators import categories as cat
 from parlance.operators import classify as cl
 from parlance.sources import datasource as ds
+from parlance.streaming import stateful as st
 
 
 def test_a_draw_for_a_whole_text_is_made_once(spark):
@@ -74,3 +77,23 @@ def test_wide_vectors_take_a_step_per_eight_classes(spark):
 
 def wide_plan(spark, s):
     return cat.bitmap_to_multihot(cat.span_to_bitmap(s, keys=("par_id",)), 1000)._jdf.queryExecution().analyzed().toString()
+
+
+def test_a_run_advances_without_frames_of_its_own(monkeypatch):
+    class State:
+        exists, held = False, None
+
+        @property
+        def get(self):
+            return self.held
+
+        def update(self, held):
+            self.exists, self.held = True, held
+    monkeypatch.setattr(pd, "concat", None)
+    state = State()
+    cols = ["epoch", "precision", "recall", "f1"]
+    first = [pd.DataFrame([(2, 0.1, 0.2, 0.4), (0, 0.5, 0.5, 0.3)], columns=cols), pd.DataFrame([(1, 0.3, 0.3, 0.2)], columns=cols)]
+    (out,) = st._advance((7,), first, state, 2)
+    assert out.iloc[0].tolist() == [7, 3, 2, 0.4, 0.1, 0.2, None]
+    (out,) = st._advance((7,), [pd.DataFrame([(4, 0, 0, 0.1), (3, 0, 0, 0.0), (5, 1, 1, 1.0)], columns=cols)], state, 2)
+    assert out.iloc[0].tolist() == [7, 5, 2, 0.4, 0.1, 0.2, 4]
