@@ -23,39 +23,45 @@ adverts, forms or comments never count, so a host with a single page, whose
 suffix array has no repeats, gives the same text.
 
 A host's pages are dealt into shards of bounded size, one suffix array each.
-For a host of several shards the hashes of all runs meet in buckets, and those
-that stand in more than one shard come back to their shards: repeats are those
-of the whole host, however many pages it has.  Blocks are counted per host
-before the shuffle, once per page.
+A page is read once; what was read of it is packed, shuffled to its shard once
+and read there three times.  For a host of several shards the runs meet twice
+in buckets: first short prints of all of them, then the whole 64-bit hashes of
+those whose print stands in more than one shard.  The hashes that do come back
+to their shards: repeats are those of the whole host, however many pages it
+has.  Blocks are counted per host on the same way, once per page.
 """
 
 from __future__ import annotations
 
 import html as entities
+import json
 import re
-import zlib
+import struct
 from hashlib import blake2b
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parlance.llm.arrow import map_rows, runs
+from parlance.llm.arrow import arrow_schema, map_rows, python_path, rebatch
 from parlance.plans.ordering import materialize
 
 MIN_RUN = 6
-SHARD_PAGES = 512
+SHARD_PAGES = 2048
 SHARD_BYTES = 8 << 20
 # A block is a notice beyond this share of a host's pages, and on so many pages at least.
 NOTICE_SHARE, NOTICE_PAGES = 0.5, 5
 # A page is a copy if more of its words are covered; notices that make up more of a page stay.
 COPY_SHARE = 0.5
 # Pages that are packed together.
-PACK_PAGES = 64
-# Shards of a host per bucket of run hashes; hashes that a task holds before it sends them.
-BUCKET_SHARDS = 16
-_HELD = 1 << 22
+PACK_PAGES = 256
+_CODEC = pa.Codec("zstd", compression_level=6)
+# Shards of a host per bucket of runs; bits of a print, which one in some hundred runs shares with another by chance.
+BUCKET_SHARDS = 4
+PRINT_BITS = 28
 # Rows (host, shards) that may be broadcast: some 20 MB; beyond, the join shuffles.
 BROADCAST_HOSTS = 200_000
 # Share of an element's words that a child must hold to be the main element in its place.
@@ -97,6 +103,23 @@ class Page:
         self._held: list[str] = []
         self._read(source)
 
+    def dumps(self) -> str:
+        """What was read of the page, as a string: a line of numbers, then a line per block."""
+        flags = [(t in ARTICLES) + 2 * c + 4 * m for t, c, m in zip(self.tag, self.chrome, self.named)]
+        numbers = json.dumps([self.parent, flags, [e for _, e in self.blocks]], separators=(",", ":"))
+        return "\n".join([numbers, *(text for text, _ in self.blocks)])
+
+    @classmethod
+    def loads(cls, held: str) -> Page:
+        numbers, *texts = held.split("\n")
+        page = cls("")
+        page.parent, flags, elements = json.loads(numbers)
+        page.tag = ["article" if f & 1 else "" for f in flags]
+        page.chrome = [bool(f & 2) for f in flags]
+        page.named = [f >> 2 for f in flags]
+        page.blocks = list(zip(texts, elements))
+        return page
+
     def _flush(self, element: int) -> None:
         text = " ".join(entities.unescape("".join(self._held)).split()) if self._held else ""
         self._held = []
@@ -179,7 +202,7 @@ class Page:
         if not any(self.named):
             return
         n = len(self.tag)
-        own, size, held, article = (np.zeros(n, np.int64) for _ in range(4))
+        own, size, held, article = ([0] * n for _ in range(4))
         for (_, e), u, w in zip(self.blocks, unique, words):
             if not self.chrome[e]:
                 own[e] += u
@@ -188,11 +211,11 @@ class Page:
             own[self.parent[e]] += own[e]
             size[self.parent[e]] += size[e]
         articles = [e for e in range(1, n) if self.tag[e] in ARTICLES and not self.chrome[e] and size[e] > 0]
-        held[articles] = 1
+        for e in articles:
+            held[e] = 1
         for e in range(n - 1, 0, -1):
             held[self.parent[e]] += held[e]
-        marked = np.zeros(n, bool)
-        hidden = np.zeros(n, bool)
+        marked, hidden = [False] * n, [False] * n
         for e in range(1, n):
             up = self.parent[e]
             article[e] = e if self.tag[e] in ARTICLES else article[up]
@@ -214,9 +237,9 @@ class Page:
         for e in range(1, n):
             self.chrome[e] = bool(self.chrome[e] or marked[e] or self.chrome[self.parent[e]])
 
-    def weights(self, unique: list[int], words: list[int]) -> np.ndarray:
+    def weights(self, unique: list[int], words: list[int]) -> list[int]:
         """Words plus unique words below every element, chrome left out."""
-        w = np.zeros(len(self.tag), np.int64)
+        w = [0] * len(self.tag)
         for (_, e), u, n in zip(self.blocks, unique, words):
             if not self.chrome[e]:
                 w[e] += u + n
@@ -224,7 +247,7 @@ class Page:
             w[self.parent[e]] += w[e]
         return w
 
-    def main_elements(self, weight: np.ndarray) -> tuple[list[int], bool]:
+    def main_elements(self, weight: list[int]) -> tuple[list[int], bool]:
         """(elements, whether they mark themselves as articles): all outermost articles, or the one main element.
 
         Where articles inside of an article hold most of it, they stand in its place.
@@ -277,7 +300,7 @@ def covered_words(words: np.ndarray, page: np.ndarray, depth: int = MIN_RUN) ->
     if n < depth:
         return covered
     left = np.searchsorted(page, page, "right") - np.arange(n)
-    rank, length = np.unique(words, return_inverse=True)[1], 1
+    rank, length = words - words.min(), 1
     steps = {1: rank}
     while 2 * length <= depth:
         rank = _pairs(rank, rank, length)
@@ -291,15 +314,20 @@ def covered_words(words: np.ndarray, page: np.ndarray, depth: int = MIN_RUN) ->
     whole = np.flatnonzero(left >= depth)
     if not len(whole):
         return covered
-    order = whole[np.lexsort((whole, rank[whole]))]
+    order = whole[np.argsort(rank[whole], kind="stable")]
     same = rank[order][1:] == rank[order][:-1]
     head = np.flatnonzero(np.concatenate([[True], ~same]))
     low, high = np.minimum.reduceat(page[order], head), np.maximum.reduceat(page[order], head)
     repeated = np.repeat(low != high, np.diff(np.concatenate([head, [len(order)]])))
-    delta = np.zeros(n + 1, np.int64)
-    np.add.at(delta, order[repeated], 1)
-    np.add.at(delta, order[repeated] + depth, -1)
-    return np.cumsum(delta)[:n] > 0
+    return _spread(order[repeated], n, depth)
+
+
+def _spread(starts: np.ndarray, n: int, depth: int = MIN_RUN) -> np.ndarray:
+    """Which of ``n`` words lie in a run of ``depth`` words from one of the distinct ``starts``."""
+    delta = np.zeros(n + 1, np.int8)
+    delta[starts] += 1
+    delta[starts + depth] -= 1
+    return np.cumsum(delta, dtype=np.int64)[:n] > 0
 
 
 def _pairs(first: np.ndarray, second: np.ndarray, shift: int) -> np.ndarray:
@@ -332,62 +360,78 @@ def _is_run(text: str) -> bool:
     return text.count(" ") >= MIN_RUN - 1
 
 
+def _in_order(ids: list) -> list[int]:
+    return sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0))
+
+
+def _words_of(pages: list[Page], ids: list) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Number and page of every word of the pages as they are ordered, and the word of each number."""
+    texts = [" ".join(text for text, _ in p.blocks) for p in pages]
+    known: dict = {}
+    page = [known.setdefault(i, len(known)) for i in ids]
+    split = pc.split_pattern(pa.array([x for x in texts if x], pa.large_string()), " ")
+    counts = np.zeros(len(pages), np.int64)
+    counts[[bool(x) for x in texts]] = pc.list_value_length(split).to_numpy(zero_copy_only=False)
+    words = split.flatten().dictionary_encode()
+    return (words.indices.to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(np.array(page, np.int64), counts),
+            words.dictionary.to_pylist())
+
+
+def _runs_of(numbered: np.ndarray, owners: np.ndarray, vocabulary: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and hashes of all runs that lie within a page."""
+    if len(numbered) < MIN_RUN:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    hashes = run_hashes(np.array([_word_hash(x) for x in vocabulary], np.uint64)[numbered])
+    starts = np.flatnonzero(owners[:len(hashes)] == owners[MIN_RUN - 1:])
+    return starts, hashes[starts]
+
+
 def shard_texts(pages: list[Page], ids: list, repeated: np.ndarray | None = None, notices: frozenset = frozenset()) -> list[str]:
     """Main text of every page of one shard; ``ids`` tell distinct pages apart.
 
     ``repeated`` has the hashes of runs that also stand in other shards,
     ``notices`` those of the blocks that stand on most pages of the host.
     """
-    numbers: dict[str, int] = {}
-    known: dict = {}
-    words, owner, sizes = [], [], []
-    order = sorted(range(len(pages)), key=lambda i: (ids[i] is None, ids[i] or 0))
-    for i in order:
-        page = known.setdefault(ids[i], len(known))
-        for text, _ in pages[i].blocks:
-            w = [numbers.setdefault(x, len(numbers)) for x in text.split(" ")]
-            words += w
-            owner += [page] * len(w)
-            sizes.append(len(w))
-    numbered, owners = np.array(words, np.int64), np.array(owner, np.int64)
+    order = _in_order(ids)
+    numbered, owners, vocabulary = _words_of([pages[i] for i in order], [ids[i] for i in order])
     covered = covered_words(numbered, owners)
-    if repeated is not None and len(repeated) and len(words) >= MIN_RUN:
-        hashes = run_hashes(np.array([_word_hash(x) for x in numbers], np.uint64)[numbered])
-        within = owners[:len(hashes)] == owners[MIN_RUN - 1:]
-        for at in np.flatnonzero(np.isin(hashes, repeated) & within):
-            covered[at:at + MIN_RUN] = True
+    if repeated is not None and len(repeated):
+        starts, hashes = _runs_of(numbered, owners, vocabulary)
+        covered |= _spread(starts[np.isin(hashes, repeated)], len(covered))
+    ahead = np.concatenate([[0], np.cumsum(covered)])
+    size = [[text.count(" ") + 1 for text, _ in pages[i].blocks] for i in order]
+    ends = np.cumsum([w for some in size for w in some], dtype=np.int64)
+    counts = np.diff(ahead[ends], prepend=0).tolist()
     out: list[str] = [""] * len(pages)
     at = block = 0
-    for i in order:
-        spans = []
-        for _ in pages[i].blocks:
-            spans.append(covered[at:at + sizes[block]])
-            at += sizes[block]
-            block += 1
-        out[i] = _page_text(pages[i], spans, notices)
+    for i, words in zip(order, size):
+        total = sum(words)
+        out[i] = _page_text(pages[i], words, counts[block:block + len(words)], covered[at:at + total], notices)
+        at += total
+        block += len(words)
     return out
 
 
-def _page_text(p: Page, covered: list[np.ndarray], notices: frozenset) -> str:
-    """The main text of a page, from which words of its blocks are ``covered``."""
-    size = [text.count(" ") + 1 for text, _ in p.blocks]
+def _page_text(p: Page, size: list[int], counts: list[int], covered: np.ndarray, notices: frozenset) -> str:
+    """The main text of a page of whose words some are ``covered``: ``counts`` of the ``size`` words of each block."""
     notice = [bool(notices) and _is_run(text) and block_hash(text) in notices for text, _ in p.blocks]
-    unique = [0 if n else w - int(c.sum()) for w, c, n in zip(size, covered, notice)]
+    unique = [0 if n else w - c for w, c, n in zip(size, counts, notice)]
     p.settle(unique, size)
     mains, marked = p.main_elements(p.weights(unique, size))
     own = [k for k, (_, e) in enumerate(p.blocks) if not p.chrome[e] and any(p._inside(e, m) for m in mains)]
     total = sum(size[k] for k in own)
     if sum(size[k] for k in own if notice[k]) <= COPY_SHARE * total:
         own = [k for k in own if not notice[k]]
-    if marked or sum(int(covered[k].sum()) for k in own) > COPY_SHARE * sum(size[k] for k in own):
+    if marked or sum(counts[k] for k in own) > COPY_SHARE * sum(size[k] for k in own):
         return " ".join(p.blocks[k][0] for k in own)
-    kept = (" ".join(x for x, c in zip(p.blocks[k][0].split(" "), covered[k]) if not c) if covered[k].any() else p.blocks[k][0]
-            for k in own)
+    at = np.cumsum([0, *size]).tolist()
+    kept = (" ".join(x for x, c in zip(p.blocks[k][0].split(" "), covered[at[k]:at[k + 1]]) if not c) if counts[k]
+            else p.blocks[k][0] for k in own)
     return " ".join(x for x in kept if x)
 
 
 def _packed(batches):
-    """Pages of a shard that stand near one another, up to PACK_PAGES, packed together: what they share is held once."""
+    """Strings of a shard that stand near one another, up to PACK_PAGES, packed together: what they share is held once."""
     for batch in batches:
         ids, urls, hosts, shards = (batch.column(i).to_pylist() for i in range(4))
         held: dict[tuple, list] = {}
@@ -396,106 +440,171 @@ def _packed(batches):
         for (host, shard), rows in held.items():
             for a in range(0, len(rows), PACK_PAGES):
                 some = rows[a:a + PACK_PAGES]
-                html = [(batch.column(4)[i].as_py() or "").encode() for i in some]
-                yield ([ids[i] for i in some], [urls[i] for i in some], host, shard, [len(x) for x in html],
-                       zlib.compress(b"".join(html), 6))
+                texts = [(batch.column(4)[i].as_py() or "").encode() for i in some]
+                yield ([ids[i] for i in some], [urls[i] for i in some], host, shard, [len(x) for x in texts],
+                       _LENGTH.pack(sum(map(len, texts))) + _CODEC.compress(b"".join(texts), asbytes=True))
 
 
 def _unpacked(packed: bytes, sizes: list[int]):
-    held, at = zlib.decompress(packed), 0
+    held, at = _CODEC.decompress(packed[_LENGTH.size:], _LENGTH.unpack_from(packed)[0], asbytes=True), 0
     for n in sizes:
         yield held[at:at + n].decode()
         at += n
 
 
-def coded(values: np.ndarray) -> bytes:
-    """Sorted 64-bit numbers as the compressed bytes of their differences, place by place."""
-    gaps = np.diff(values, prepend=np.uint64(0))
-    return zlib.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+_LENGTH = struct.Struct("<q")
+_CODED = struct.Struct("<qB")
 
 
-def decoded(held: bytes) -> np.ndarray:
-    planes = np.frombuffer(zlib.decompress(held), np.uint8).reshape(8, -1)
-    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint64).ravel(), dtype=np.uint64)
+def coded(values: np.ndarray, bits: int = 64) -> bytes:
+    """Sorted numbers below 2 ** ``bits``: the low bits of each as they are, the high ones as steps of a bitmap.
+
+    n numbers take some n * (bits - log2(n) + 2) bits.
+    """
+    n = len(values)
+    low = bits - n.bit_length() if n else 0
+    low = max(low, 0)
+    steps = (values >> np.uint64(low)).astype(np.int64) + np.arange(n)
+    high = np.zeros(int(steps[-1]) + 1 if n else 0, np.uint8)
+    high[steps] = 1
+    width = -(-low // 8)
+    each = values.astype(">u8").view(np.uint8).reshape(n, 8)[:, 8 - width:]
+    below = np.unpackbits(each, axis=1)[:, 8 * width - low:] if low else np.zeros((n, 0), np.uint8)
+    return _CODED.pack(n, low) + np.packbits(below).tobytes() + np.packbits(high).tobytes()
 
 
-def _block_marks(batches):
-    """(host, block, pages): on how many pages of the task a block stands."""
-    blocks: dict[tuple, int] = {}
-    for batch in batches:
-        hosts = batch.column(0).to_pylist()
-        for i, source in enumerate(batch.column(1)):
-            page = Page(source.as_py() or "")
-            for h in {block_hash(text) for text, e in page.blocks if not page.chrome[e] and _is_run(text)}:
-                blocks[hosts[i], h] = blocks.get((hosts[i], h), 0) + 1
-            if len(blocks) >= _HELD // 4:
-                yield from ((host, h, n) for (host, h), n in blocks.items())
-                blocks = {}
-    yield from ((host, h, n) for (host, h), n in blocks.items())
-
-
-def _run_marks(batches):
-    """(host, bucket, shard, runs): hashes of the runs of a host with several shards."""
-    runs_of: dict[tuple, list] = {}
-    known: dict[str, int] = {}
-    total = 0
+def decoded(held: bytes) -> np.ndarray:
+    n, low = _CODED.unpack_from(held)
+    raw = np.frombuffer(held, np.uint8, offset=_CODED.size)
+    cut = -(-n * low // 8)
+    steps = np.flatnonzero(np.unpackbits(raw[cut:]))[:n]
+    high = (steps - np.arange(n)).astype(np.uint64) << np.uint64(low)
+    width = -(-low // 8)
+    each = np.zeros((n, 8 * width), np.uint8)
+    each[:, 8 * width - low:] = np.unpackbits(raw[:cut], count=n * low).reshape(n, low)
+    whole = np.zeros((n, 8), np.uint8)
+    if low:
+        whole[:, 8 - width:] = np.packbits(each, axis=1)
+    return high | whole.view(">u8").ravel().astype(np.uint64)
+
+
+def _read_pages(batches):
+    """Pages as they are read from their html, packed; with the shards of their host."""
     for batch in batches:
-        hosts, shards, counts = (batch.column(i).to_pylist() for i in range(3))
-        for i, source in enumerate(batch.column(3)):
-            words = [x for text, _ in Page(source.as_py() or "").blocks for x in text.split(" ")]
-            for x in words:
-                if x not in known:
-                    known[x] = _word_hash(x)
-            h = np.unique(run_hashes(np.array([known[x] for x in words], np.uint64)))
-            runs_of.setdefault((hosts[i], counts[i], shards[i]), []).append(h)
-            total += len(h)
-            if total >= _HELD or len(known) >= _HELD // 4:
-                yield from _sent(runs_of)
-                runs_of, known, total = {}, {}, 0
-    yield from _sent(runs_of)
-
-
-def _sent(runs_of: dict):
-    for (host, count, shard), made in runs_of.items():
-        h = np.unique(np.concatenate(made))
-        buckets = -(-count // BUCKET_SHARDS)
-        bucket = (h % np.uint64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        for b in range(buckets):
-            if cut[b] < cut[b + 1]:
-                yield host, b, shard, coded(h[order[cut[b]:cut[b + 1]]])
-
-
-def _repeat_rows(batches):
-    """(host, shard, hashes) of the runs that stand in more than one shard."""
-    for t in runs(batches, ["host", "bucket"]):
-        host = t.column("host")[0].as_py()
-        held: dict[int, list] = {}
-        for shard, x in zip(t.column("shard").to_pylist(), t.column("runs")):
-            held.setdefault(shard, []).append(decoded(x.as_py()))
-        if len(held) < 2:
-            continue
-        each = [np.unique(np.concatenate(x)) for x in held.values()]
-        value, count = np.unique(np.concatenate(each), return_counts=True)
-        many = value[count > 1]
-        for shard, h in zip(held, each):
-            back = h[np.isin(h, many, assume_unique=True)]
-            if len(back):
-                yield host, shard, coded(back)
-
-
-def _shard_rows(batches):
-    for t in runs(batches, ["host", "shard"]):
-        back = [decoded(x) for x in t.column("runs").to_pylist() if x is not None]
-        repeated = np.concatenate(back) if back else None
-        notices = frozenset(h for h in t.column("notice").to_pylist() if h is not None)
-        t = t.filter(t.column("packed").is_valid())
-        ids, urls = ([x for some in t.column(c).to_pylist() for x in some] for c in ("page_ids", "urls"))
-        pages = [Page(x) for packed, sizes in zip(t.column("packed"), t.column("sizes").to_pylist())
-                 for x in _unpacked(packed.as_py(), sizes)]
-        for page_id, url, text in zip(ids, urls, shard_texts(pages, ids, repeated, notices)):
-            yield page_id, url, text, len(text)
+        read = pa.array([Page(x.as_py() or "").dumps() for x in batch.column(4)], pa.large_string())
+        of = dict(zip(batch.column(2).to_pylist(), batch.column(5).to_pylist()))
+        for row in _packed([pa.record_batch([*batch.columns[:4], read], names=batch.schema.names[:5])]):
+            yield *row, of[row[2]]
+
+
+def _pages_of(t: pa.Table) -> tuple[list, list, list[Page]]:
+    """Ids, addresses and pages of a shard, in the order of the ids."""
+    ids, urls = ([x for some in t.column(c).to_pylist() for x in some] for c in ("page_ids", "urls"))
+    pages = [Page.loads(x) for packed, sizes in zip(t.column("packed").to_pylist(), t.column("sizes").to_pylist())
+             for x in _unpacked(packed, sizes)]
+    order = _in_order(ids)
+    return [ids[i] for i in order], [urls[i] for i in order], [pages[i] for i in order]
+
+
+def _bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
+    return (values % np.uint64(buckets)).astype(np.int64)
+
+
+def _print_of(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - PRINT_BITS)
+
+
+def _run_marks(t: pa.Table):
+    """(host, bucket, shard, rows, prints, blocks, pages) of a shard, a row per bucket of its host, even if it has nothing there.
+
+    Prints are those of all runs, none for a host with one shard; blocks come
+    with the number of rows that they stand on.
+    """
+    host, shard, shards = (t.column(c)[0].as_py() for c in ("host", "shard", "shards"))
+    ids, _, pages = _pages_of(t)
+    buckets = -(-shards // BUCKET_SHARDS)
+    hashes = np.zeros(0, np.uint64)
+    if shards > 1:
+        hashes = np.unique(_runs_of(*_words_of(pages, ids))[1])
+    found = [h for p in pages for h in {block_hash(text) for text, e in p.blocks if not p.chrome[e] and _is_run(text)}]
+    blocks, on = np.unique(np.array(found, np.int64).view(np.uint64), return_counts=True)
+    at, block_at = _bucket_of(hashes, buckets), _bucket_of(blocks, buckets)
+    for b in range(buckets):
+        mine = block_at == b
+        yield (host, b, shard, len(ids), coded(np.unique(_print_of(hashes[at == b])), PRINT_BITS), coded(blocks[mine]),
+               _CODEC.compress(on[mine].astype("<u4").tobytes(), asbytes=True))
+
+
+def _repeated(parts: list[np.ndarray]) -> list[np.ndarray]:
+    """Which numbers of each part, distinct in it, stand in another part too."""
+    values = np.concatenate(parts)
+    order = np.argsort(values, kind="stable")
+    same = values[order][1:] == values[order][:-1]
+    many = np.zeros(len(values), bool)
+    many[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]]) if len(values) else False
+    return np.split(many, np.cumsum([len(x) for x in parts])[:-1])
+
+
+def _wanted(t: pa.Table):
+    """(host, shard, bucket, prints, notices): prints that stand in several shards, to each of these, and the host's notices."""
+    host, bucket = (t.column(c)[0].as_py() for c in ("host", "bucket"))
+    shards, rows = t.column("shard").to_pylist(), sum(t.column("rows").to_pylist())
+    prints = [decoded(x) for x in t.column("runs").to_pylist()]
+    blocks = [decoded(x) for x in t.column("blocks").to_pylist()]
+    on = [np.frombuffer(_CODEC.decompress(x, 4 * len(b), asbytes=True), "<u4") for x, b in zip(t.column("pages").to_pylist(), blocks)]
+    value, place = np.unique(np.concatenate(blocks), return_inverse=True)
+    pages = np.bincount(place, np.concatenate(on), len(value))
+    notices = value[(pages >= NOTICE_PAGES) & (pages > NOTICE_SHARE * rows)]
+    for shard, x, many in zip(shards, prints, _repeated(prints)):
+        if len(notices) or many.any():
+            yield host, shard, bucket, coded(x[many], PRINT_BITS), coded(notices)
+
+
+def _candidates(t: pa.Table, wanted: pa.Table):
+    """(host, bucket, shard, runs, notices): whole hashes of the runs of a shard whose prints are wanted; notices pass."""
+    if not (t.num_rows and wanted.num_rows):
+        return
+    host, shard, shards = (t.column(c)[0].as_py() for c in ("host", "shard", "shards"))
+    prints = [decoded(x) for x in wanted.column("runs").to_pylist()]
+    hashes = np.zeros(0, np.uint64)
+    if any(map(len, prints)):
+        ids, _, pages = _pages_of(t)
+        hashes = np.unique(_runs_of(*_words_of(pages, ids))[1])
+    at = _bucket_of(hashes, -(-shards // BUCKET_SHARDS))
+    for b, x, notices in zip(wanted.column("bucket").to_pylist(), prints, wanted.column("notices").to_pylist()):
+        mine = hashes[at == b]
+        yield host, b, shard, coded(mine[np.isin(_print_of(mine), x)]), notices
+
+
+def _confirmed(t: pa.Table):
+    """(host, shard, runs, notices): the hashes that stand in several shards, to each of these; notices pass."""
+    host = t.column("host")[0].as_py()
+    runs = [decoded(x) for x in t.column("runs").to_pylist()]
+    for shard, x, many, notices in zip(t.column("shard").to_pylist(), runs, _repeated(runs), t.column("notices").to_pylist()):
+        if many.any() or len(decoded(notices)):
+            yield host, shard, coded(x[many]), notices
+
+
+def _shard_rows(t: pa.Table, back: pa.Table):
+    if not t.num_rows:
+        return
+    repeated, notices = (np.concatenate([np.zeros(0, np.uint64), *(decoded(x) for x in back.column(c).to_pylist())])
+                         for c in ("runs", "notices"))
+    ids, urls, pages = _pages_of(t)
+    for page_id, url, text in zip(ids, urls, shard_texts(pages, ids, repeated, frozenset(notices.view(np.int64).tolist()))):
+        yield page_id, url, text, len(text)
+
+
+def _by_group(fn, ddl: str):
+    """A function from the tables of a group to row tuples, as ``applyInArrow`` takes it."""
+    schema = arrow_schema(ddl)
+
+    def of_one(t: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(rebatch(fn(t), schema), schema)
+
+    def of_two(t: pa.Table, other: pa.Table) -> pa.Table:
+        return pa.Table.from_batches(rebatch(fn(t, other), schema), schema)
+    return of_two if fn.__code__.co_argcount == 2 else of_one
 
 
 def host_of(url):
@@ -515,27 +624,25 @@ def main_texts(pages: DataFrame, shard_pages: int = SHARD_PAGES, shard_bytes: in
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"),
                      host_of(F.col("url").cast("string")).alias("host"), F.col("html").cast("string").alias("html"))
     hosts = p.groupBy("host").agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("html").cast("long")).alias("bytes"))
-    hosts = materialize(hosts.select("host", "n", F.greatest(
-        F.ceil(F.col("n") / shard_pages), F.ceil(F.coalesce("bytes", F.lit(0)) / shard_bytes)).cast("int").alias("shards")))
-    many = materialize(hosts.filter("shards > 1").select("host", "shards"))
+    hosts = hosts.select("host", F.greatest(
+        F.ceil(F.col("n") / shard_pages), F.ceil(F.coalesce("bytes", F.lit(0)) / shard_bytes)).cast("int").alias("shards"))
+    many = materialize(hosts.filter("shards > 1"))
     if many.count() <= broadcast_hosts:
         many = F.broadcast(many)
     shards = F.coalesce("shards", F.lit(1))
     dealt = p.join(many, "host", "left").select(
         "page_id", "url", "host", F.pmod(F.xxhash64("page_id"), shards).cast("int").alias("shard"), shards.alias("shards"), "html")
-    # Read twice: hashes of all runs would weigh more on disk than the second reading on time.
-    often = map_rows(p.select("host", "html"), _block_marks, "host string, block long, pages long")
-    often = materialize(often.groupBy("host", "block").agg(F.sum("pages").alias("pages")).filter(F.col("pages") >= NOTICE_PAGES))
-    often = often.join(hosts, "host").filter(F.col("pages") > NOTICE_SHARE * F.col("n"))
-    # At most 1 / NOTICE_SHARE blocks per block of a page: few rows per shard.
-    notices = often.select("host", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), F.col("block").alias("notice"))
-    sent = map_rows(dealt.filter("shards > 1").select("host", "shard", "shards", "html"), _run_marks,
-                    "host string, bucket int, shard int, runs binary")
-    back = map_rows(sent.repartition("host", "bucket").sortWithinPartitions("host", "bucket"), _repeat_rows,
-                    "host string, shard int, runs binary")
-    packed = map_rows(dealt.select("page_id", "url", "host", "shard", "html"), _packed,
-                      "page_ids array<long>, urls array<string>, host string, shard int, sizes array<int>, packed binary")
-    both = packed.unionByName(back, allowMissingColumns=True).unionByName(notices, allowMissingColumns=True)
-    met = both.repartition("host", "shard").sortWithinPartitions("host", "shard")
-    return map_rows(met.select("page_ids", "urls", "host", "shard", "sizes", "packed", "runs", "notice"), _shard_rows,
-                    "page_id long, url string, text string, n_chars long")
+    read = map_rows(dealt.select("page_id", "url", "host", "shard", "html", "shards"), _read_pages,
+                    "page_ids array<long>, urls array<string>, host string, shard int, sizes array<int>, packed binary, shards int")
+    # One shuffle, read by all three: the plan reuses it as long as they take the same columns.
+    met = read.repartition("host", "shard").groupBy("host", "shard")
+
+    def each(grouped, fn, ddl):
+        return grouped.applyInArrow(_by_group(fn, ddl), ddl)
+    python_path(pages.sparkSession)
+    marks = each(met, _run_marks, "host string, bucket int, shard int, rows long, runs binary, blocks binary, pages binary")
+    wanted = each(marks.groupBy("host", "bucket"), _wanted, "host string, shard int, bucket int, runs binary, notices binary")
+    sent = each(met.cogroup(wanted.groupBy("host", "shard")), _candidates,
+                "host string, bucket int, shard int, runs binary, notices binary")
+    back = each(sent.groupBy("host", "bucket"), _confirmed, "host string, shard int, runs binary, notices binary")
+    return each(met.cogroup(back.groupBy("host", "shard")), _shard_rows, "page_id long, url string, text string, n_chars long")

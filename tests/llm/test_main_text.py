@@ -160,3 +160,79 @@ def test_pages_that_are_packed_together_come_back():
                             names=["page_id", "url", "host", "shard", "html"])
     got = [(i, x) for ids, _, _, _, sizes, packed in mt._packed([batch]) for i, x in zip(ids, mt._unpacked(packed, sizes))]
     assert got == [(i, x or "") for i, x in enumerate(html)]
+
+
+def _grouped(rows, names, keys):
+    """The tables of each group of row tuples, as Spark hands them over."""
+    import pyarrow as pa
+    groups: dict = {}
+    for r in rows:
+        groups.setdefault(tuple(r[names.index(k)] for k in keys), []).append(r)
+    return {k: pa.table({n: [r[i] for r in some] for i, n in enumerate(names)}) for k, some in groups.items()}
+
+
+def _rounds(pages, shards):
+    """The rounds in which the runs of a host's shards meet: rows of the first, hashes that come back, by shard."""
+    import pyarrow as pa
+    rows = []
+    for i, html in pages.items():
+        batch = pa.record_batch([pa.array([i]), pa.array(["u"]), pa.array(["h"]), pa.array([i % shards], pa.int32()), pa.array([html]),
+                                 pa.array([shards], pa.int32())], names=["page_id", "url", "host", "shard", "html", "shards"])
+        rows += mt._read_pages([batch])
+    met = _grouped(rows, ["page_ids", "urls", "host", "shard", "sizes", "packed", "shards"], ["host", "shard"])
+    marks = [r for t in met.values() for r in mt._run_marks(t)]
+    buckets = _grouped(marks, ["host", "bucket", "shard", "rows", "runs", "blocks", "pages"], ["host", "bucket"])
+    wanted = _grouped([r for t in buckets.values() for r in mt._wanted(t)], ["host", "shard", "bucket", "runs", "notices"], ["host", "shard"])
+    sent = [r for k, t in met.items() if k in wanted for r in mt._candidates(t, wanted[k])]
+    sent = _grouped(sent, ["host", "bucket", "shard", "runs", "notices"], ["host", "bucket"])
+    back = [r for t in sent.values() for r in mt._confirmed(t)]
+    return marks, {s: {int(h) for _, x, runs, _ in back if x == s for h in mt.decoded(runs)} for s in range(shards)}
+
+
+def _runs_by_shard(pages, shards):
+    out = {s: set() for s in range(shards)}
+    for i, html in pages.items():
+        words = np.array([mt._word_hash(x) for text, _ in mt.Page(html).blocks for x in text.split(" ")], np.uint64)
+        out[i % shards] |= {int(h) for h in mt.run_hashes(words)}
+    return out
+
+
+def test_only_runs_of_several_shards_come_back_however_short_the_prints(monkeypatch):
+    rng = random.Random(12)
+    words = lambda n: " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(n))
+    passage = [words(9) for _ in range(4)]
+    pages = {i: f"<p>{words(30)}</p><p>{passage[i // 2 % 4] if i % 3 else ''}</p>" for i in range(40)}
+    for shards in (1, 2, 5, 9):
+        runs = _runs_by_shard(pages, shards)
+        want = {s: {h for h in x if any(h in y for t, y in runs.items() if t != s)} for s, x in runs.items()}
+        assert shards < 2 or any(want.values())
+        for bits in (2, 7, 28):
+            monkeypatch.setattr(mt, "PRINT_BITS", bits)
+            assert _rounds(pages, shards)[1] == want
+
+
+def test_runs_that_stand_once_cost_two_bytes_each():
+    rng = random.Random(13)
+    pages = {i: "<p>" + " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(2000)) + "</p>" for i in range(60)}
+    marks, back = _rounds(pages, 6)
+    n = sum(len(x) for x in _runs_by_shard(pages, 6).values())
+    assert sum(len(x) for row in marks for x in row if isinstance(x, bytes)) < 2.5 * n
+    assert not any(back.values())
+
+
+def test_what_was_read_of_a_page_comes_back():
+    rng = random.Random(14)
+    sources = [_page(rng, 1)[0], _page(rng, 2, marked=False)[0], "", "<p>a&#10;b c&nbsp;d<li>é<div hidden>x</div>y",
+               "<body><div class='has-nav'><main><article>a <p>b</article></main></div><div id='menu-2'>m</div>z"]
+    for source in sources:
+        a, b = mt.Page(source), mt.Page.loads(mt.Page(source).dumps())
+        assert (a.blocks, a.parent, a.chrome, a.named) == (b.blocks, b.parent, b.chrome, b.named)
+        assert [t in mt.ARTICLES for t in a.tag] == [t in mt.ARTICLES for t in b.tag]
+
+
+def test_pages_are_read_and_shuffled_once(spark):
+    rows = [(k, "http://h.example/", f"<p>one two three four five six seven {k}</p>") for k in range(20)]
+    df = mt.main_texts(spark.createDataFrame(rows, PAGES), shard_pages=4)
+    assert len(df.collect()) == 20
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("ReusedExchange") == 2 and plan.count("MapInArrow") == 1
