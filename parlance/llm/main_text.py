@@ -27,8 +27,8 @@ A page is read once; what was read of it is packed, shuffled to its shard once
 and read there three times.  For a host of several shards the runs meet twice
 in buckets: first short prints of all of them, then the whole 64-bit hashes of
 those whose print stands in more than one shard.  The hashes that do come back
-to their shards: repeats are those of the whole host, however many pages it
-has.  Blocks are counted per host on the same way, once per page.
+to their shards, in as many bits as tell them from the shard's other runs:
+repeats are those of the whole host, however many pages it has.  Blocks are counted per host on the same way, once per page.
 """
 
 from __future__ import annotations
@@ -37,6 +37,7 @@ import html as entities
 import json
 import re
 import struct
+from collections.abc import Callable
 from hashlib import blake2b
 
 import numpy as np
@@ -386,18 +387,19 @@ def _runs_of(numbered: np.ndarray, owners: np.ndarray, vocabulary: list[str]) ->
     return starts, hashes[starts]
 
 
-def shard_texts(pages: list[Page], ids: list, repeated: np.ndarray | None = None, notices: frozenset = frozenset()) -> list[str]:
+def shard_texts(pages: list[Page], ids: list, repeated: Callable | None = None, notices: frozenset = frozenset()) -> list[str]:
     """Main text of every page of one shard; ``ids`` tell distinct pages apart.
 
-    ``repeated`` has the hashes of runs that also stand in other shards,
-    ``notices`` those of the blocks that stand on most pages of the host.
+    ``repeated`` tells which of some runs, by their hashes, also stand in other
+    shards; ``notices`` has the hashes of the blocks that stand on most pages
+    of the host.
     """
     order = _in_order(ids)
     numbered, owners, vocabulary = _words_of([pages[i] for i in order], [ids[i] for i in order])
     covered = covered_words(numbered, owners)
-    if repeated is not None and len(repeated):
+    if repeated is not None:
         starts, hashes = _runs_of(numbered, owners, vocabulary)
-        covered |= _spread(starts[np.isin(hashes, repeated)], len(covered))
+        covered |= _spread(starts[repeated(hashes)], len(covered))
     ahead = np.concatenate([[0], np.cumsum(covered)])
     size = [[text.count(" ") + 1 for text, _ in pages[i].blocks] for i in order]
     ends = np.cumsum([w for some in size for w in some], dtype=np.int64)
@@ -424,7 +426,7 @@ def _page_text(p: Page, size: list[int], counts: list[int], covered: np.ndarray,
         own = [k for k in own if not notice[k]]
     if marked or sum(counts[k] for k in own) > COPY_SHARE * sum(size[k] for k in own):
         return " ".join(p.blocks[k][0] for k in own)
-    at = np.cumsum([0, *size]).tolist()
+    at, covered = np.cumsum([0, *size]).tolist(), covered.tolist()
     kept = (" ".join(x for x, c in zip(p.blocks[k][0].split(" "), covered[at[k]:at[k + 1]]) if not c) if counts[k]
             else p.blocks[k][0] for k in own)
     return " ".join(x for x in kept if x)
@@ -506,12 +508,21 @@ def _pages_of(t: pa.Table) -> tuple[list, list, list[Page]]:
     return [ids[i] for i in order], [urls[i] for i in order], [pages[i] for i in order]
 
 
-def _bucket_of(values: np.ndarray, buckets: int) -> np.ndarray:
-    return (values % np.uint64(buckets)).astype(np.int64)
+def _by_bucket(values: np.ndarray, shards: int) -> list[np.ndarray]:
+    """The places of the values of each bucket of a host with so many shards."""
+    buckets = -(-shards // BUCKET_SHARDS)
+    at = (values % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(at, kind="stable")
+    return np.split(order, np.searchsorted(at[order], np.arange(1, buckets)))
+
 
+def _first_bits(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return hashes >> np.uint64(64 - bits)
 
-def _print_of(hashes: np.ndarray) -> np.ndarray:
-    return hashes >> np.uint64(64 - PRINT_BITS)
+
+def _telling_bits(hashes: np.ndarray) -> int:
+    """How many first bits tell sorted, distinct hashes from one another."""
+    return 65 - int((hashes[1:] ^ hashes[:-1]).min()).bit_length() if len(hashes) > 1 else 1
 
 
 def _run_marks(t: pa.Table):
@@ -522,17 +533,14 @@ def _run_marks(t: pa.Table):
     """
     host, shard, shards = (t.column(c)[0].as_py() for c in ("host", "shard", "shards"))
     ids, _, pages = _pages_of(t)
-    buckets = -(-shards // BUCKET_SHARDS)
     hashes = np.zeros(0, np.uint64)
     if shards > 1:
         hashes = np.unique(_runs_of(*_words_of(pages, ids))[1])
     found = [h for p in pages for h in {block_hash(text) for text, e in p.blocks if not p.chrome[e] and _is_run(text)}]
     blocks, on = np.unique(np.array(found, np.int64).view(np.uint64), return_counts=True)
-    at, block_at = _bucket_of(hashes, buckets), _bucket_of(blocks, buckets)
-    for b in range(buckets):
-        mine = block_at == b
-        yield (host, b, shard, len(ids), coded(np.unique(_print_of(hashes[at == b])), PRINT_BITS), coded(blocks[mine]),
-               _CODEC.compress(on[mine].astype("<u4").tobytes(), asbytes=True))
+    for b, (mine, some) in enumerate(zip(_by_bucket(hashes, shards), _by_bucket(blocks, shards))):
+        yield (host, b, shard, len(ids), coded(np.unique(_first_bits(hashes[mine], PRINT_BITS)), PRINT_BITS), coded(blocks[some]),
+               _CODEC.compress(on[some].astype("<u4").tobytes(), asbytes=True))
 
 
 def _repeated(parts: list[np.ndarray]) -> list[np.ndarray]:
@@ -561,7 +569,10 @@ def _wanted(t: pa.Table):
 
 
 def _candidates(t: pa.Table, wanted: pa.Table):
-    """(host, bucket, shard, runs, notices): whole hashes of the runs of a shard whose prints are wanted; notices pass."""
+    """(host, bucket, shard, runs, bits, notices): whole hashes of the runs of a shard whose prints are wanted.
+
+    So many first bits tell all its runs in the bucket from one another; notices pass.
+    """
     if not (t.num_rows and wanted.num_rows):
         return
     host, shard, shards = (t.column(c)[0].as_py() for c in ("host", "shard", "shards"))
@@ -570,28 +581,44 @@ def _candidates(t: pa.Table, wanted: pa.Table):
     if any(map(len, prints)):
         ids, _, pages = _pages_of(t)
         hashes = np.unique(_runs_of(*_words_of(pages, ids))[1])
-    at = _bucket_of(hashes, -(-shards // BUCKET_SHARDS))
+    places = _by_bucket(hashes, shards)
     for b, x, notices in zip(wanted.column("bucket").to_pylist(), prints, wanted.column("notices").to_pylist()):
-        mine = hashes[at == b]
-        yield host, b, shard, coded(mine[np.isin(_print_of(mine), x)]), notices
+        mine = hashes[places[b]]
+        yield host, b, shard, coded(mine[np.isin(_first_bits(mine, PRINT_BITS), x)]), _telling_bits(mine), notices
 
 
 def _confirmed(t: pa.Table):
-    """(host, shard, runs, notices): the hashes that stand in several shards, to each of these; notices pass."""
-    host = t.column("host")[0].as_py()
+    """(host, shard, bucket, runs, bits, notices): first bits of the runs that stand in several shards, to each of these."""
+    host, bucket = (t.column(c)[0].as_py() for c in ("host", "bucket"))
     runs = [decoded(x) for x in t.column("runs").to_pylist()]
-    for shard, x, many, notices in zip(t.column("shard").to_pylist(), runs, _repeated(runs), t.column("notices").to_pylist()):
-        if many.any() or len(decoded(notices)):
-            yield host, shard, coded(x[many]), notices
+    shards, bits, notices = (t.column(c).to_pylist() for c in ("shard", "bits", "notices"))
+    for shard, x, many, n, notice in zip(shards, runs, _repeated(runs), bits, notices):
+        if many.any() or len(decoded(notice)):
+            yield host, shard, bucket, coded(_first_bits(x[many], n), n), n, notice
+
+
+def _told(back: pa.Table, shards: int) -> Callable | None:
+    """A function that tells which of the hashes of a shard's runs came back, if any did."""
+    rows = [(b, n, decoded(x)) for b, n, x in zip(*(back.column(c).to_pylist() for c in ("bucket", "bits", "runs")))]
+    if not any(len(x) for _, _, x in rows):
+        return None
+
+    def told(hashes: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(hashes), bool)
+        places = _by_bucket(hashes, shards)
+        for b, n, x in rows:
+            out[places[b]] = np.isin(_first_bits(hashes[places[b]], n), x)
+        return out
+    return told
 
 
 def _shard_rows(t: pa.Table, back: pa.Table):
     if not t.num_rows:
         return
-    repeated, notices = (np.concatenate([np.zeros(0, np.uint64), *(decoded(x) for x in back.column(c).to_pylist())])
-                         for c in ("runs", "notices"))
+    notices = frozenset(h for x in back.column("notices").to_pylist() for h in decoded(x).view(np.int64).tolist())
     ids, urls, pages = _pages_of(t)
-    for page_id, url, text in zip(ids, urls, shard_texts(pages, ids, repeated, frozenset(notices.view(np.int64).tolist()))):
+    texts = shard_texts(pages, ids, _told(back, t.column("shards")[0].as_py()), notices)
+    for page_id, url, text in zip(ids, urls, texts):
         yield page_id, url, text, len(text)
 
 
@@ -643,6 +670,7 @@ def main_texts(pages: DataFrame, shard_pages: int = SHARD_PAGES, shard_bytes: in
     marks = each(met, _run_marks, "host string, bucket int, shard int, rows long, runs binary, blocks binary, pages binary")
     wanted = each(marks.groupBy("host", "bucket"), _wanted, "host string, shard int, bucket int, runs binary, notices binary")
     sent = each(met.cogroup(wanted.groupBy("host", "shard")), _candidates,
-                "host string, bucket int, shard int, runs binary, notices binary")
-    back = each(sent.groupBy("host", "bucket"), _confirmed, "host string, shard int, runs binary, notices binary")
+                "host string, bucket int, shard int, runs binary, bits int, notices binary")
+    back = each(sent.groupBy("host", "bucket"), _confirmed,
+                "host string, shard int, bucket int, runs binary, bits int, notices binary")
     return each(met.cogroup(back.groupBy("host", "shard")), _shard_rows, "page_id long, url string, text string, n_chars long")

@@ -184,9 +184,15 @@ def _rounds(pages, shards):
     buckets = _grouped(marks, ["host", "bucket", "shard", "rows", "runs", "blocks", "pages"], ["host", "bucket"])
     wanted = _grouped([r for t in buckets.values() for r in mt._wanted(t)], ["host", "shard", "bucket", "runs", "notices"], ["host", "shard"])
     sent = [r for k, t in met.items() if k in wanted for r in mt._candidates(t, wanted[k])]
-    sent = _grouped(sent, ["host", "bucket", "shard", "runs", "notices"], ["host", "bucket"])
-    back = [r for t in sent.values() for r in mt._confirmed(t)]
-    return marks, {s: {int(h) for _, x, runs, _ in back if x == s for h in mt.decoded(runs)} for s in range(shards)}
+    sent = _grouped(sent, ["host", "bucket", "shard", "runs", "bits", "notices"], ["host", "bucket"])
+    names = ["host", "shard", "bucket", "runs", "bits", "notices"]
+    back = _grouped([r for t in sent.values() for r in mt._confirmed(t)], names, ["shard"])
+    out = {}
+    for s, runs in _runs_by_shard(pages, shards).items():
+        told = mt._told(back[s,], shards) if (s,) in back else None
+        hashes = np.array(sorted(runs), np.uint64)
+        out[s] = set(hashes[told(hashes)].tolist()) if told else set()
+    return marks, out
 
 
 def _runs_by_shard(pages, shards):
