@@ -53,7 +53,9 @@ BLOCK_SHINGLES = 400_000
 # estimate may rule out a pair at the threshold (less above it).
 UNION_SKETCH = 64
 UNION_LOSS = 1e-6
-_ESTIMATED_PAIRS = 1 << 15
+# Pairs estimated at once, and bytes of text hashed at once: a worker needs some 20 MB for either.
+_ESTIMATED_PAIRS = 1 << 12
+_HASHED_BYTES = 1 << 18
 
 _LAST = np.uint64((1 << 64) - 1)
 _SETS = "doc_id long, n_shingles long, digest binary, sketch array<long>, text_mark long"
@@ -61,7 +63,7 @@ _SETS = "doc_id long, n_shingles long, digest binary, sketch array<long>, text_m
 
 def _sets_of(batch: pa.RecordBatch, size: int):
     """(row, sorted shingle hashes) of a batch with columns doc_id, text."""
-    for part in row_slices(batch, "text"):
+    for part in row_slices(batch, "text", _HASHED_BYTES):
         data, offsets = string_buffers(part.column(1))
         starts, hashes = word_hashes(data, offsets)
         cut = np.searchsorted(starts, offsets)

@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pyarrow as pa
@@ -79,6 +80,31 @@ def test_union_estimate_rules_out_distant_pairs_only():
     assert ruled_out > 0.95, ruled_out
 
 
+def _peak_mb(call) -> float:
+    tracemalloc.start()
+    try:
+        call()
+        return tracemalloc.get_traced_memory()[1] / 2 ** 20
+    finally:
+        tracemalloc.stop()
+
+
+def test_a_worker_estimates_and_hashes_in_small_parts():
+    """A full block of near copies, and 8 MB of texts: 110 and 83 MB at once before they were cut smaller."""
+    rng = np.random.default_rng(1)
+    base = rng.integers(0, 1 << 63, 1000, dtype=np.uint64)
+    sets = []
+    for _ in range(nd.BLOCK_ROWS + 1):
+        new = base.copy()
+        new[rng.integers(0, 1000, 20)] = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+        sets.append(np.unique(new))
+    apart = np.triu(np.ones((len(sets), len(sets)), bool), 1)
+    assert _peak_mb(lambda: nd._estimate_allows(sets, None, apart, 75, 100)) < 40
+    batch = pa.record_batch([pa.array(range(4000)), pa.array([f"w{i} " * 300 + "a b c d e f g " * 40 for i in range(4000)])],
+                            names=["doc_id", "text"])
+    assert _peak_mb(lambda: sum(len(s) for _, s in nd._sets_of(batch, 5))) < 40
+
+
 def _group(n: int, strays: int) -> list[tuple]:
     """Members similar to member 0, and strays that share a third of its words each."""
     rng = random.Random(7)
